@@ -2,8 +2,8 @@
 
 A category describes a homogeneous grid of tasks. ``totals`` gives whole-kernel figures
 that do not depend on the card; ``demand`` gives the per-task demand on each pipeline and
-the number of tasks. Both return plain Columns, so a new category registered by a user
-runs inside the same generated code as the built-in ones.
+the number of tasks. Both are SQL expressions, so a new category registered by a user runs
+inside the same generated code as the built-in ones.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from jouleframe.functions.missing import optional
-
 # Bytes per element of the known dtypes.
 DTYPE_BYTES = {"fp32": 4, "tf32": 4, "fp16": 2, "bf16": 2, "fp8_e4m3": 1, "fp8_e5m2": 1, "int8": 1}
 
@@ -34,51 +32,53 @@ TOTAL_FIELDS = ["flops", "bytes_global", "working_set"]
 
 
 class Params:
-    """Access to a frame's ``p_*`` parameters as numbers, flags and words."""
+    """SQL text for a frame's ``p_*`` parameters as numbers, flags and words.
+
+    Expressions are written as SQL text: a whole demand formula reaches Spark in one call
+    instead of one call per operator.
+    """
 
     def __init__(self, df: DataFrame):
-        self._df = df
+        self._types = {f.name[2:]: f.dataType for f in df.schema.fields if f.name.startswith("p_")}
 
-    def has(self, name: str) -> Column:
-        return optional(self._df, f"p_{name}", "string").isNotNull()
+    def has(self, name: str) -> str:
+        return f"p_{name} IS NOT NULL" if name in self._types else "false"
 
-    def num(self, name: str, default: Column | float | None = None) -> Column:
-        col = f"p_{name}"
-        if col not in self._df.columns:
-            return F.lit(default).cast("double") if not isinstance(default, Column) else default
-        value = F.col(col)
-        is_text = isinstance(self._df.schema[col].dataType, T.StringType)
-        value = value.try_cast("double") if is_text else value.cast("double")
-        if default is None:
-            return value
-        return F.coalesce(value, default if isinstance(default, Column) else F.lit(float(default)))
+    def num(self, name: str, default: str | None = None) -> str:
+        if name not in self._types:
+            return f"CAST({default or 'NULL'} AS DOUBLE)"
+        cast = "try_cast" if isinstance(self._types[name], T.StringType) else "CAST"
+        value = f"{cast}(p_{name} AS DOUBLE)"
+        return value if default is None else f"coalesce({value}, {default})"
 
-    def flag(self, name: str, default: bool) -> Column:
-        text = F.lower(optional(self._df, f"p_{name}", "string").cast("string"))
-        return F.coalesce(~text.isin("false", "0", "0.0", ""), F.lit(default))
+    def flag(self, name: str, default: bool) -> str:
+        if name not in self._types:
+            return str(default).lower()
+        return f"coalesce(lower(CAST(p_{name} AS STRING)) NOT IN ('false', '0', '0.0', ''), {str(default).lower()})"
 
-    def word(self, name: str, default: str | None = None) -> Column:
-        value = optional(self._df, f"p_{name}", "string").cast("string")
-        return value if default is None else F.coalesce(value, F.lit(default))
+    def word(self, name: str, default: str | None = None) -> str:
+        value = f"CAST(p_{name} AS STRING)" if name in self._types else "CAST(NULL AS STRING)"
+        return value if default is None else f"coalesce({value}, '{default}')"
 
 
 @dataclass(frozen=True)
 class Category:
-    """A kernel category.
+    """A kernel category; every formula is SQL text over ``p_*``, ``_width`` and ``dtype``.
 
     ``matmul`` gives the (m, n, k) of the underlying matrix product, when there is one; the
-    tile chosen for it is handed to ``demand``. ``persistent_on`` lists architectures whose
-    launches keep one resident block per unit. ``invalid`` gives a reason text or NULL.
+    tile chosen for it is then available to ``demand`` as ``_tile.m``, ``_tile.n``,
+    ``_tile.k`` and ``_tile.tiles``. ``persistent_on`` lists architectures whose launches
+    keep one resident block per unit. ``invalid`` gives a reason text or NULL.
     """
 
     name: str
     required: tuple[str, ...]
-    totals: Callable[[Params, Column, Column], dict[str, Column]]
-    demand: Callable[[Params, Column, Column, dict[str, Column]], dict[str, Column]]
-    matmul: Callable[[Params], tuple[Column, Column, Column]] | None = None
+    totals: Callable[[Params], dict[str, str]]
+    demand: Callable[[Params], dict[str, str]]
+    matmul: Callable[[Params], tuple[str, str, str]] | None = None
     blocks_per_sm: int = 2
     persistent_on: tuple[str, ...] = ()
-    invalid: Callable[[Params], Column] | None = None
+    invalid: Callable[[Params], str] | None = None
 
 
 @dataclass
@@ -92,51 +92,43 @@ class CategoryRegistry:
     def names(self) -> list[str]:
         return list(self.by_name)
 
-    def pick(self, build: Callable[[Category], Column | None], otherwise=None) -> Column:
+    def pick(self, build: Callable[[Category], str | None], otherwise: str = "NULL") -> str:
         """CASE over the category column; categories whose build gives None are skipped."""
-        chosen = None
-        for cat in self.by_name.values():
-            value = build(cat)
-            if value is None:
-                continue
-            test = F.col("category") == cat.name
-            chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
-        if chosen is None:
-            return F.lit(otherwise)
-        return chosen if otherwise is None else chosen.otherwise(otherwise)
+        built = [(c.name, build(c)) for c in self.by_name.values()]
+        whens = " ".join(f"WHEN '{name}' THEN {text}" for name, text in built if text is not None)
+        return f"(CASE category {whens} ELSE {otherwise} END)" if whens else otherwise
 
 
 REGISTRY = CategoryRegistry()
 
 
 def register_category(name: str, required, demand_fn, totals_fn, **options) -> Category:
-    """Add a category made of Column expressions (no Python runs per row)."""
+    """Add a category made of SQL expressions (no Python runs per row)."""
     return REGISTRY.register(Category(name, tuple(required), totals_fn, demand_fn, **options))
 
 
-def dtype_bytes(dtype: Column) -> Column:
+def struct_text(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in fields.items()) + ")"
+
+
+def dtype_bytes(dtype: str = "dtype") -> str:
     """Element width; NULL for a dtype that is not known."""
-    pairs = [F.lit(x) for item in DTYPE_BYTES.items() for x in item]
-    return F.create_map(*pairs).getItem(dtype).cast("double")
+    return f"CAST(CASE {dtype} " + " ".join(f"WHEN '{d}' THEN {b}" for d, b in DTYPE_BYTES.items()) + " END AS DOUBLE)"
 
 
-def accumulator_bytes(dtype: Column, width: Column, wide_dtypes) -> Column:
-    return F.when(dtype.isin(*wide_dtypes), F.lit(4.0)).otherwise(width)
+def accumulator_bytes(wide_dtypes) -> str:
+    return "CASE WHEN dtype IN (" + ", ".join(f"'{d}'" for d in wide_dtypes) + ") THEN 4D ELSE _width END"
 
 
-def tile_count(m: Column, n: Column, tm: Column, tn: Column) -> Column:
-    return F.ceil(m / tm).cast("double") * F.ceil(n / tn).cast("double")
+def tile_count(m: str, n: str, tm, tn) -> str:
+    return f"CAST(ceil({m} / {tm}) AS DOUBLE) * CAST(ceil({n} / {tn}) AS DOUBLE)"
 
 
-def choose_tile(m: Column, n: Column, sms: Column) -> Column:
+def choose_tile(m: str, n: str, sms: str) -> str:
     """Largest tile of the ladder whose grid covers the units twice, else the smallest."""
-    options = []
-    for rows, cols, depth in TILE_LADDER:
-        tile = F.struct(*[F.lit(float(x)).alias(a) for a, x in zip(("m", "n", "k"), (rows, cols, depth))])
-        last = (rows, cols, depth) == TILE_LADDER[-1]
-        fits = tile_count(m, n, F.lit(float(rows)), F.lit(float(cols))) >= 2 * sms
-        options.append(tile if last else F.when(fits, tile))
-    return F.when(m.isNotNull() & n.isNotNull(), F.coalesce(*options))
+    pick = [(struct_text({"m": a, "n": b, "k": c}), f"{tile_count(m, n, a, b)} >= 2 * {sms}") for a, b, c in TILE_LADDER]
+    whens = " ".join(f"WHEN {fits} THEN {tile}" for tile, fits in pick[:-1])
+    return f"CASE WHEN {m} IS NULL OR {n} IS NULL THEN NULL {whens} ELSE {pick[-1][0]} END"
 
 
 # --- built-in categories ----------------------------------------------------------------
@@ -145,166 +137,149 @@ _NARROW = ("bf16", "fp16", "fp8_e4m3", "fp8_e5m2")
 _NARROW_CONV = ("bf16", "fp16")
 
 
-def _matmul_demand(m, n, k, width, acc, tile, hbm_total):
+def _matmul_demand(k: str, acc: str, hbm_total: str) -> dict[str, str]:
     """One task per output tile: read an A and a B panel, write the tile once."""
-    panels = (tile["m"] * k + k * tile["n"]) * width
+    panels = f"(_tile.m * {k} + {k} * _tile.n) * _width"
     return {
-        "count": tile["tiles"],
-        "mma": 2.0 * tile["m"] * tile["n"] * k,
-        "fma": F.lit(0.0),
-        "xu": F.lit(0.0),
-        "hbm": hbm_total / F.greatest(tile["tiles"], F.lit(1.0)),
-        "l2": panels + tile["m"] * tile["n"] * acc,
+        "count": "_tile.tiles",
+        "mma": f"2D * _tile.m * _tile.n * {k}",
+        "fma": "0D",
+        "xu": "0D",
+        "hbm": f"({hbm_total}) / greatest(_tile.tiles, 1D)",
+        "l2": f"({panels} + _tile.m * _tile.n * {acc})",
         "smem": panels,
     }
 
 
-def _gemm_totals(p, width, dtype):
-    m, n, k = p.num("m"), p.num("n"), p.num("k")
+def _gemm_totals(p):
+    m, n, k, acc = p.num("m"), p.num("n"), p.num("k"), accumulator_bytes(_NARROW)
     bias = p.flag("bias", True)
-    acc = accumulator_bytes(dtype, width, _NARROW)
     return {
-        "flops": 2.0 * m * n * k + F.when(bias, m * n).otherwise(0.0),
-        "bytes_global": (m * k + k * n) * width + m * n * acc + F.when(bias, n * width).otherwise(0.0),
-        "working_set": (m * k + k * n) * width + m * n * width,
+        "flops": f"2D * {m} * {n} * {k} + IF({bias}, {m} * {n}, 0D)",
+        "bytes_global": f"({m} * {k} + {k} * {n}) * _width + {m} * {n} * {acc} + IF({bias}, {n} * _width, 0D)",
+        "working_set": f"({m} * {k} + {k} * {n}) * _width + {m} * {n} * _width",
     }
 
 
-def _gemm_demand(p, width, dtype, tile):
-    m, n, k = p.num("m"), p.num("n"), p.num("k")
-    acc = accumulator_bytes(dtype, width, _NARROW)
-    out = _matmul_demand(m, n, k, width, acc, tile, (m * k + k * n) * width + m * n * acc)
+def _gemm_demand(p):
+    m, n, k, acc = p.num("m"), p.num("n"), p.num("k"), accumulator_bytes(_NARROW)
     bias = p.flag("bias", True)
-    out["fma"] = F.when(bias, tile["m"] * tile["n"]).otherwise(0.0)
-    out["l2"] = out["l2"] + F.when(bias, tile["n"] * width).otherwise(0.0)
+    out = _matmul_demand(k, acc, f"({m} * {k} + {k} * {n}) * _width + {m} * {n} * {acc}")
+    out["fma"] = f"IF({bias}, _tile.m * _tile.n, 0D)"
+    out["l2"] += f" + IF({bias}, _tile.n * _width, 0D)"
     return out
 
 
-def _conv_shape(p):
-    kh, kw = p.num("kh"), p.num("kw")
-    stride, groups = p.num("stride", 1.0), p.num("groups", 1.0)
-    pad = p.num("pad", F.floor(kh / 2).cast("double"))
-    h_out = F.floor((p.num("h") + 2 * pad - kh) / stride).cast("double") + 1
-    w_out = F.floor((p.num("w") + 2 * pad - kw) / stride).cast("double") + 1
-    per_group_in = F.floor(p.num("c_in") / groups).cast("double")
-    per_group_out = F.floor(p.num("c_out") / groups).cast("double")
-    return kh, kw, stride, groups, h_out, w_out, per_group_in, per_group_out
+def _conv_shape(p) -> dict[str, str]:
+    kh, kw, stride, groups = p.num("kh"), p.num("kw"), p.num("stride", "1D"), p.num("groups", "1D")
+    pad = p.num("pad", f"floor({kh} / 2)")
+    out = lambda side, k: f"(floor(({p.num(side)} + 2 * {pad} - {k}) / {stride}) + 1D)"
+    return {"kh": kh, "kw": kw, "stride": stride, "groups": groups, "h_out": out("h", kh), "w_out": out("w", kw),
+            "in": f"floor({p.num('c_in')} / {groups})", "out": f"floor({p.num('c_out')} / {groups})"}
 
 
 def _conv_matmul(p):
-    kh, kw, _, _, h_out, w_out, per_group_in, per_group_out = _conv_shape(p)
-    return p.num("n") * h_out * w_out, per_group_out, per_group_in * kh * kw
+    s = _conv_shape(p)
+    return f"{p.num('n')} * {s['h_out']} * {s['w_out']}", s["out"], f"{s['in']} * {s['kh']} * {s['kw']}"
 
 
-def _conv_tensors(p, width, out_width):
-    kh, kw, _, _, h_out, w_out, per_group_in, _ = _conv_shape(p)
-    x = p.num("n") * p.num("c_in") * p.num("h") * p.num("w") * width
-    y = p.num("n") * p.num("c_out") * h_out * w_out * out_width
-    weights = p.num("c_out") * per_group_in * kh * kw * width
-    return x + y + weights
+def _conv_tensors(p, out_width: str) -> str:
+    s = _conv_shape(p)
+    x = f"{p.num('n')} * {p.num('c_in')} * {p.num('h')} * {p.num('w')} * _width"
+    y = f"{p.num('n')} * {p.num('c_out')} * {s['h_out']} * {s['w_out']} * {out_width}"
+    return f"({x} + {y} + {p.num('c_out')} * {s['in']} * {s['kh']} * {s['kw']} * _width)"
 
 
-def _conv_totals(p, width, dtype):
+def _conv_totals(p):
     m, n, k = _conv_matmul(p)
-    _, _, _, groups, h_out, w_out, _, _ = _conv_shape(p)
-    bias = F.when(p.flag("bias", True), p.num("n") * p.num("c_out") * h_out * w_out).otherwise(0.0)
-    return {
-        "flops": 2.0 * m * n * k * groups + bias,
-        "bytes_global": _conv_tensors(p, width, accumulator_bytes(dtype, width, _NARROW_CONV)),
-        "working_set": _conv_tensors(p, width, width),
-    }
+    s = _conv_shape(p)
+    bias = f"IF({p.flag('bias', True)}, {p.num('n')} * {p.num('c_out')} * {s['h_out']} * {s['w_out']}, 0D)"
+    return {"flops": f"2D * {m} * {n} * {k} * {s['groups']} + {bias}",
+            "bytes_global": _conv_tensors(p, accumulator_bytes(_NARROW_CONV)), "working_set": _conv_tensors(p, "_width")}
 
 
-def _conv_demand(p, width, dtype, tile):
-    m, n, k = _conv_matmul(p)
-    kh, kw, stride, groups, *_ = _conv_shape(p)
-    acc = accumulator_bytes(dtype, width, _NARROW_CONV)
-    out = _matmul_demand(m, n, k, width, acc, tile, _conv_tensors(p, width, acc))
+def _conv_demand(p):
+    s, acc = _conv_shape(p), accumulator_bytes(_NARROW_CONV)
+    out = _matmul_demand("_mm.k", acc, _conv_tensors(p, acc))
     # Overlapping gathers hit cache, so they raise the L2 figure only.
-    out["l2"] = out["l2"] * F.greatest(kh * kw / (stride * stride), F.lit(1.0))
-    out["fma"] = F.when(p.flag("bias", True), tile["m"] * tile["n"]).otherwise(0.0)
-    out["count"] = out["count"] * F.greatest(groups, F.lit(1.0))
+    out["l2"] += f" * greatest({s['kh']} * {s['kw']} / ({s['stride']} * {s['stride']}), 1D)"
+    out["fma"] = f"IF({p.flag('bias', True)}, _tile.m * _tile.n, 0D)"
+    out["count"] += f" * greatest({s['groups']}, 1D)"
     return out
 
 
-def _attention_totals(p, width, dtype):
-    b, h, s_q, s_kv, d = (p.num(x) for x in ("b", "h", "s_q", "s_kv", "d"))
-    q = b * h * s_q * d * width
-    kv = 2.0 * b * p.num("h_kv", h) * s_kv * d * width
-    seen = F.when(p.flag("causal", False), s_kv / 2.0).otherwise(s_kv)
-    return {"flops": 4.0 * b * h * s_q * seen * d, "bytes_global": 2.0 * q + kv, "working_set": q + kv + q}
+def _attention_tensors(p) -> tuple[str, str]:
+    q = f"{p.num('b')} * {p.num('h')} * {p.num('s_q')} * {p.num('d')} * _width"
+    kv = f"2D * {p.num('b')} * {p.num('h_kv', p.num('h'))} * {p.num('s_kv')} * {p.num('d')} * _width"
+    return q, kv
+
 
+def _attention_totals(p):
+    q, kv = _attention_tensors(p)
+    seen = f"IF({p.flag('causal', False)}, {p.num('s_kv')} / 2D, {p.num('s_kv')})"
+    return {"flops": f"4D * {p.num('b')} * {p.num('h')} * {p.num('s_q')} * {seen} * {p.num('d')}",
+            "bytes_global": f"2D * {q} + {kv}", "working_set": f"{q} + {kv} + {q}"}
 
-def _attention_demand(p, width, dtype, tile):
-    b, h, s_q, s_kv, d = (p.num(x) for x in ("b", "h", "s_q", "s_kv", "d"))
-    block = p.num("block_q", 128.0)
-    q_blocks = F.ceil(s_q / block).cast("double")
+
+def _attention_demand(p):
+    s_kv, d, block = p.num("s_kv"), p.num("d"), p.num("block_q", "128D")
+    blocks = f"CAST(ceil({p.num('s_q')} / {block}) AS DOUBLE)"
     # Causal: block i sees min(s_kv, (i+1)*block) keys; sum the arithmetic part, then the plateau.
-    rising = F.least(q_blocks, F.floor(s_kv / block).cast("double"))
-    causal_mean = (block * rising * (rising + 1) / 2.0 + (q_blocks - rising) * s_kv) / q_blocks
-    seen = F.when(p.flag("causal", False), causal_mean).otherwise(s_kv)
-    tasks = b * h * q_blocks
-    io = 2.0 * block * d * width
-    kv_task = 2.0 * seen * d * width
-    kv_once = 2.0 * b * p.num("h_kv", h) * s_kv * d * width
+    rising = f"least({blocks}, CAST(floor({s_kv} / {block}) AS DOUBLE))"
+    mean = f"({block} * {rising} * ({rising} + 1) / 2D + ({blocks} - {rising}) * {s_kv}) / {blocks}"
+    seen = f"IF({p.flag('causal', False)}, {mean}, {s_kv})"
+    tasks = f"{p.num('b')} * {p.num('h')} * {blocks}"
+    io, kv = f"2D * {block} * {d} * _width", f"2D * {seen} * {d} * _width"
     return {
         "count": tasks,
-        "mma": 4.0 * block * seen * d,
-        "fma": 3.0 * block * seen + 2.0 * block * d,
-        "xu": block * seen,
-        "hbm": io + kv_once / F.greatest(tasks, F.lit(1.0)),
-        "l2": io + kv_task,
-        "smem": kv_task + block * d * width,
+        "mma": f"4D * {block} * {seen} * {d}",
+        "fma": f"3D * {block} * {seen} + 2D * {block} * {d}",
+        "xu": f"{block} * {seen}",
+        "hbm": f"{io} + {_attention_tensors(p)[1]} / greatest({tasks}, 1D)",
+        "l2": f"{io} + {kv}",
+        "smem": f"{kv} + {block} * {d} * _width",
     }
 
 
-def _norm_passes(p):
-    return F.when(p.word("kind", "layer") == "rms", 1.0).otherwise(2.0) + 2.0
+def _norm_passes(p) -> str:
+    return f"(IF({p.word('kind', 'layer')} = 'rms', 1D, 2D) + 2D)"
 
 
-def _norm_totals(p, width, dtype):
+def _norm_totals(p):
     rows, dim = p.num("rows"), p.num("dim")
-    affine = F.when(p.flag("affine", True), 2.0 * dim * width).otherwise(0.0)
-    moved = 2.0 * rows * dim * width
-    return {"flops": rows * dim * _norm_passes(p), "bytes_global": moved + affine, "working_set": moved}
+    moved = f"2D * {rows} * {dim} * _width"
+    affine = f"IF({p.flag('affine', True)}, 2D * {dim} * _width, 0D)"
+    return {"flops": f"{rows} * {dim} * {_norm_passes(p)}", "bytes_global": f"{moved} + {affine}", "working_set": moved}
 
 
-def _norm_demand(p, width, dtype, tile):
-    dim = p.num("dim")
-    moved = 2.0 * dim * width
-    affine = F.when(p.flag("affine", True), 2.0 * dim * width).otherwise(0.0)
-    return {
-        "count": p.num("rows"), "mma": F.lit(0.0), "fma": _norm_passes(p) * dim, "xu": F.lit(1.0),
-        "hbm": moved, "l2": moved + affine, "smem": dim * 4.0,
-    }
+def _norm_demand(p):
+    moved = f"2D * {p.num('dim')} * _width"
+    return {"count": p.num("rows"), "mma": "0D", "fma": f"{_norm_passes(p)} * {p.num('dim')}", "xu": "1D", "hbm": moved,
+            "l2": f"{moved} + IF({p.flag('affine', True)}, 2D * {p.num('dim')} * _width, 0D)", "smem": f"{p.num('dim')} * 4D"}
 
 
-def _cost(p, position):
-    pairs = [F.lit(x) for kind, cost in ELEMENTWISE_COST.items() for x in (kind, float(cost[position]))]
-    return F.create_map(*pairs).getItem(p.word("kind"))
+def _cost(p, position: int) -> str:
+    return f"(CASE {p.word('kind')} " + " ".join(f"WHEN '{k}' THEN {float(c[position])}D" for k, c in ELEMENTWISE_COST.items()) + " END)"
 
 
-def _elementwise_totals(p, width, dtype):
+def _elementwise_totals(p):
     n = p.num("n_elem")
-    moved = _cost(p, 2) * n * width
-    return {"flops": n * (_cost(p, 0) + _cost(p, 1)), "bytes_global": moved, "working_set": moved}
+    moved = f"{_cost(p, 2)} * {n} * _width"
+    return {"flops": f"{n} * ({_cost(p, 0)} + {_cost(p, 1)})", "bytes_global": moved, "working_set": moved}
 
 
-def _elementwise_demand(p, width, dtype, tile):
-    n = p.num("n_elem")
-    per_block = p.num("threads", 256.0) * p.num("elems_per_thread", 4.0)
-    elems = F.least(per_block, n)
-    moved = _cost(p, 2) * elems * width
-    return {
-        "count": F.greatest(F.ceil(n / per_block).cast("double"), F.lit(1.0)),
-        "mma": F.lit(0.0), "fma": _cost(p, 0) * elems, "xu": _cost(p, 1) * elems,
-        "hbm": moved, "l2": moved, "smem": F.lit(0.0),
-    }
+def _elementwise_demand(p):
+    per_block = f"({p.num('threads', '256D')} * {p.num('elems_per_thread', '4D')})"
+    elems = f"least({per_block}, {p.num('n_elem')})"
+    moved = f"{_cost(p, 2)} * {elems} * _width"
+    return {"count": f"greatest(CAST(ceil({p.num('n_elem')} / {per_block}) AS DOUBLE), 1D)", "mma": "0D",
+            "fma": f"{_cost(p, 0)} * {elems}", "xu": f"{_cost(p, 1)} * {elems}", "hbm": moved, "l2": moved, "smem": "0D"}
 
 
 def _elementwise_invalid(p):
     kind = p.word("kind")
-    return F.when(~kind.isin(*ELEMENTWISE_COST), F.concat(F.lit("unknown elementwise kind "), kind))
+    known = ", ".join(f"'{k}'" for k in ELEMENTWISE_COST)
+    return f"CASE WHEN {kind} NOT IN ({known}) THEN concat('unknown elementwise kind ', {kind}) END"
 
 
 register_category(
@@ -323,40 +298,37 @@ register_category(
 # --- over frames ------------------------------------------------------------------------
 
 
-def analysis_failure(df: DataFrame, registry: CategoryRegistry | None = None) -> Column:
-    """Why a row cannot be analysed, or NULL when it can."""
+def failure_text(df: DataFrame, registry: CategoryRegistry | None = None) -> str:
     reg = registry or REGISTRY
     p = Params(df)
 
-    def missing(cat: Category) -> Column:
-        names = F.array_compact(F.array(*[F.when(~p.has(r), F.lit(r)) for r in cat.required]))
-        lacks = F.when(F.size(names) > 0, F.concat(F.lit(f"{cat.name}: missing "), F.array_join(names, ", ")))
-        return lacks if cat.invalid is None else F.coalesce(lacks, cat.invalid(p))
+    def missing(cat: Category) -> str:
+        names = "array_compact(array(" + ", ".join(f"IF({p.has(r)}, NULL, '{r}')" for r in cat.required) + "))"
+        lacks = f"IF(size({names}) > 0, concat('{cat.name}: missing ', array_join({names}, ', ')), NULL)"
+        return lacks if cat.invalid is None else f"coalesce({lacks}, {cat.invalid(p)})"
 
-    return F.coalesce(
-        F.when(F.col("category").isNull() | ~F.col("category").isin(*reg.names()),
-               F.concat(F.lit("unknown category "), F.coalesce(F.col("category"), F.lit("NULL")))),
-        reg.pick(missing),
-        F.when(dtype_bytes(F.col("dtype")).isNull(),
-               F.concat(F.lit("unknown dtype "), F.coalesce(F.col("dtype"), F.lit("NULL")))),
-    )
+    known = ", ".join(f"'{n}'" for n in reg.names())
+    return (f"coalesce(CASE WHEN category IS NULL OR category NOT IN ({known}) THEN concat('unknown category ', coalesce(category, 'NULL')) END, "
+            f"{reg.pick(missing)}, CASE WHEN {dtype_bytes()} IS NULL THEN concat('unknown dtype ', coalesce(dtype, 'NULL')) END)")
+
+
+def analysis_failure(df: DataFrame, registry: CategoryRegistry | None = None) -> Column:
+    """Why a row cannot be analysed, or NULL when it can."""
+    return F.expr(failure_text(df, registry))
 
 
 def with_kernel_totals(df: DataFrame, registry: CategoryRegistry | None = None) -> DataFrame:
     """Add flops, HBM bytes, intensity and resident bytes of each kernel (card-free)."""
     reg = registry or REGISTRY
     p = Params(df)
-    width = dtype_bytes(F.col("dtype"))
-
-    def build(cat: Category) -> Column:
-        t = cat.totals(p, width, F.col("dtype"))
-        return F.struct(*[t[f].cast("double").alias(f) for f in TOTAL_FIELDS])
-
-    staged = df.withColumn("_totals", F.when(analysis_failure(df, reg).isNull(), reg.pick(build)))
+    totals = reg.pick(lambda c: struct_text({f: c.totals(p)[f] for f in TOTAL_FIELDS}))
+    staged = df.withColumn("_width", F.expr(dtype_bytes()))
+    # The one-row explode keeps filters on the results from carrying copies of the formulas.
+    staged = staged.withColumn("_totals", F.explode(F.array(F.expr(f"IF({failure_text(df, reg)} IS NULL, {totals}, NULL)"))))
     flops, moved = F.col("_totals.flops"), F.col("_totals.bytes_global")
     return staged.withColumns({
         "kernel_flops": flops,
         "kernel_bytes_global": moved,
         "arithmetic_intensity": F.when(moved > 0, flops / moved).when(moved.isNotNull(), float("inf")),
         "working_set_bytes": F.col("_totals.working_set"),
-    }).drop("_totals")
+    }).drop("_totals", "_width")

@@ -8,16 +8,12 @@ so each stage refers to columns of the one before and no expression is repeated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from jouleframe.functions.categories import (
-    DEMAND_FIELDS, TOTAL_FIELDS, CategoryRegistry, Params, REGISTRY, analysis_failure, choose_tile,
-    dtype_bytes, tile_count,
+    DEMAND_FIELDS, TOTAL_FIELDS, CategoryRegistry, Params, REGISTRY, choose_tile, dtype_bytes, struct_text, tile_count,
 )
-from jouleframe.functions.missing import log_floored, optional
-from jouleframe.sources.hardware import clock_mhz, peak_tensor_flops, smem_bandwidth_gbs
 
-EPS = 1e-30
 MATH_PIPES = {"tensor": ("mma", "ops_per_clk"), "fma": ("fma", "fma_per_clk"), "xu": ("xu", "xu_per_clk")}
 MEMORY_LEVELS = {"global": "hbm", "l2": "l2", "shared": "smem"}
 SLACK_PIPES = ["tensor", "fma", "xu", "mem_global", "mem_global_sm", "mem_l2", "mem_l2_sm",
@@ -39,138 +35,123 @@ FEATURE_COLUMNS = (
 ANALYTIC_COLUMNS = ["theoretical_time_s", "bottleneck", "analytic_flops", "analytic_bytes_global"]
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(0.0)
+def _ratio(a: str, b: str) -> str:
+    return f"IF({b} > 0, {a} / {b}, 0D)"
+
+
+def _log(x: str) -> str:
+    return f"ln(greatest({x}, 1e-30D))"
+
+
+def _stage(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{text} AS {name}" for name, text in columns.items()])
 
 
 def with_demand(df: DataFrame, prefix: str = "hw_", registry: CategoryRegistry | None = None) -> DataFrame:
     """Add the tile (``_tile``) and per-task demand (``_demand``) of each row."""
     reg = registry or REGISTRY
-    sms, width, dtype = F.col(f"{prefix}sms"), F.col("_width"), F.col("dtype")
     p = Params(df)
 
     def matmul(cat):
-        if cat.matmul is None:
-            return None
-        m, n, k = cat.matmul(p)
-        return F.struct(m.alias("m"), n.alias("n"), k.alias("k"))
+        return None if cat.matmul is None else struct_text(dict(zip(("m", "n", "k"), cat.matmul(p))))
 
-    staged = df.withColumns({"_width": dtype_bytes(dtype), "_mm": reg.pick(matmul)})
-    staged = staged.withColumn("_pick", choose_tile(F.col("_mm.m"), F.col("_mm.n"), sms))
-    tiles = tile_count(F.col("_mm.m"), F.col("_mm.n"), F.col("_pick.m"), F.col("_pick.n"))
-    staged = staged.withColumn("_tile", F.struct("_pick.m", "_pick.n", "_pick.k", tiles.alias("tiles")))
-    tile = {x: F.col(f"_tile.{x}") for x in ("m", "n", "k", "tiles")}
+    nothing = struct_text({"m": "NULL", "n": "NULL", "k": "NULL"})
+    staged = _stage(df, {"_width": dtype_bytes(), "_mm": reg.pick(matmul, nothing)})
+    staged = _stage(staged, {"_pick": choose_tile("_mm.m", "_mm.n", f"{prefix}sms")})
+    tiles = tile_count("_mm.m", "_mm.n", "_pick.m", "_pick.n")
+    staged = _stage(staged, {"_tile": struct_text({"m": "_pick.m", "n": "_pick.n", "k": "_pick.k", "tiles": tiles})})
 
     def demand(cat):
-        d = cat.demand(p, width, dtype, tile)
-        t = cat.totals(p, width, dtype)
-        return F.struct(*[d[f].cast("double").alias(f) for f in DEMAND_FIELDS],
-                        *[t[f].cast("double").alias(f) for f in TOTAL_FIELDS])
+        d, t = cat.demand(p), cat.totals(p)
+        return struct_text({f: d[f] for f in DEMAND_FIELDS} | {f: t[f] for f in TOTAL_FIELDS})
 
-    return staged.withColumn("_demand", reg.pick(demand))
+    # The one-row explode keeps filters on derived columns above this point: pushed further
+    # down, each would carry its own copy of the tile and demand formulas.
+    return _stage(staged, {"_demand": f"explode(array({reg.pick(demand)}))"})
 
 
-def roofline_features(df: DataFrame, clock: str = "tensor", n_buffers: Column | None = None,
+def roofline_features(df: DataFrame, clock: str = "tensor", n_buffers: str | None = None,
                       prefix: str = "hw_", registry: CategoryRegistry | None = None) -> DataFrame:
     """Append the 65 features and the four analytic columns to rows with hardware attached.
 
     Columns of ``df`` that carry a feature's name are kept (a measured value wins); the
     analytic columns are always recomputed. Rows must have passed ``analysis_failure``.
     """
+    if clock not in ("tensor", "boost"):
+        raise ValueError(f"clock must be 'tensor' or 'boost', got {clock!r}")
     reg = registry or REGISTRY
     base = [c for c in df.columns if c not in ANALYTIC_COLUMNS]
     df = df.select(*base)
-    hw = lambda c: F.col(f"{prefix}{c}")
-
-    buffers = optional(df, "n_buffers", "double", 1.0) if n_buffers is None else n_buffers
-    buffers = F.greatest(F.floor(F.coalesce(buffers.cast("double"), F.lit(1.0))).cast("double"), F.lit(1.0))
-    staged = with_demand(df, prefix, reg).withColumn("_buffers", buffers)
+    hw = lambda c: f"{prefix}{c}"
 
     # Sums over the card and over its busiest unit.
-    count, sms = F.col("_demand.count"), hw("sms").cast("double")
-    busiest = F.ceil(count / sms).cast("double")
-    clk = clock_mhz(clock, prefix) * 1e6
+    buffers = n_buffers or ("n_buffers" if "n_buffers" in df.columns else "1")
     sums = {}
     for f in ("mma", "fma", "xu", "hbm", "l2", "smem"):
-        sums[f"_tot_{f}"] = F.col(f"_demand.{f}") * count
-        sums[f"_max_{f}"] = F.col(f"_demand.{f}") * busiest
-    sums |= {"_sms": sms, "_count": count, "_clk": clk, "_peak": peak_tensor_flops(clock, prefix),
-             "_bw_global": hw("mem_bandwidth_gbs") * 1e9, "_bw_l2": hw("l2_bandwidth_gbs") * 1e9,
-             "_bw_shared": smem_bandwidth_gbs(clock, prefix) * 1e9, "_flops": F.col("_demand.flops"),
-             "_slots": sms * reg.pick(lambda c: F.lit(float(max(c.blocks_per_sm, 1))), 2.0),
-             "_persistent": reg.pick(lambda c: hw("architecture").isin(*c.persistent_on) if c.persistent_on else None, False)}
-    staged = staged.withColumns(sums)
+        sums[f"_tot_{f}"] = f"_demand.{f} * _demand.count"
+        sums[f"_max_{f}"] = f"_demand.{f} * CAST(ceil(_demand.count / {hw('sms')}) AS DOUBLE)"
+    quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+    sums |= {
+        "_sms": f"CAST({hw('sms')} AS DOUBLE)", "_count": "_demand.count", "_flops": "_demand.flops",
+        "_clk": f"{hw(clock + '_clock_mhz')} * 1e6D",
+        "_peak": f"{hw('sms')} * {hw('ops_per_clk')} * {hw(clock + '_clock_mhz')} * 1e6D * 2D",
+        "_bw_global": f"{hw('mem_bandwidth_gbs')} * 1e9D", "_bw_l2": f"{hw('l2_bandwidth_gbs')} * 1e9D",
+        "_bw_shared": f"{hw('sms')} * {hw('smem_bandwidth_b_per_clk_sm')} * {hw(clock + '_clock_mhz')} * 1e6D",
+        "_buffers": f"greatest(CAST(floor(coalesce(CAST({buffers} AS DOUBLE), 1D)) AS DOUBLE), 1D)",
+        "_slots": f"{hw('sms')} * " + reg.pick(lambda c: f"{max(c.blocks_per_sm, 1)}D", "2D"),
+        "_persistent": reg.pick(lambda c: f"{hw('architecture')} IN ({quoted(c.persistent_on)})" if c.persistent_on else None, "false"),
+    }
+    staged = _stage(with_demand(df, prefix, reg), sums)
 
     # Time each pipeline would need alone.
-    g, one_pass = F.col, F.col("_tot_hbm")
-    times = {}
+    times = {"_res": f"_tot_hbm * _buffers / greatest({hw('l2_cache_mb')} * 1048576D, 1D)", "_waves": "_count / _slots"}
     for pipe, (f, rate) in MATH_PIPES.items():
-        r = hw(rate).cast("double")
-        times[f"_cyc_{pipe}_gpu"] = _ratio(g(f"_tot_{f}"), sms * r)
-        times[f"_cyc_{pipe}_sm_max"] = _ratio(g(f"_max_{f}"), r)
-        times[f"_t_{pipe}"] = _ratio(g(f"_max_{f}"), r) / g("_clk")
+        times[f"_cyc_{pipe}_gpu"] = _ratio(f"_tot_{f}", f"(_sms * {hw(rate)})")
+        times[f"_cyc_{pipe}_sm_max"] = _ratio(f"_max_{f}", hw(rate))
+        times[f"_t_{pipe}"] = _ratio(f"_max_{f}", hw(rate)) + " / _clk"
     for level, f in MEMORY_LEVELS.items():
-        bw = g(f"_bw_{level}")
-        times[f"_t_mem_{level}"] = _ratio(g(f"_tot_{f}"), bw)
-        times[f"_t_mem_{level}_sm"] = _ratio(g(f"_max_{f}"), bw / sms)
-    times["_res"] = one_pass * g("_buffers") / F.greatest(hw("l2_cache_mb") * 1048576.0, F.lit(1.0))
-    times["_waves"] = g("_count") / g("_slots")
-    staged = staged.withColumns(times)
-    miss = F.when(g("_res") > 1.0, 1.0 - 1.0 / g("_res")).otherwise(0.0)
-    staged = staged.withColumn("_miss", miss).withColumn("_t_mem_compulsory", _ratio(one_pass * miss, g("_bw_global")))
-    floor = F.greatest(*[g(f"_t_{p}") for p in FLOOR_PIPES])
-    staged = staged.withColumn("_floor", floor)
-    named = F.coalesce(*[F.when(g(f"_t_{p}") == g("_floor"), F.lit(p)) for p in FLOOR_PIPES])
-    theory = F.greatest(g("_floor"), F.lit(EPS))
-
-    feats: dict[str, Column] = {}
+        times[f"_t_mem_{level}"] = _ratio(f"_tot_{f}", f"_bw_{level}")
+        times[f"_t_mem_{level}_sm"] = _ratio(f"_max_{f}", f"(_bw_{level} / _sms)")
+    staged = _stage(staged, times)
+    staged = _stage(staged, {"_miss": "IF(_res > 1D, 1D - 1D / _res, 0D)"})
+    staged = _stage(staged, {"_t_mem_compulsory": _ratio("_tot_hbm * _miss", "_bw_global")})
+    staged = _stage(staged, {"_floor": "greatest(" + ", ".join(f"_t_{p}" for p in FLOOR_PIPES) + ")"})
+    theory = "greatest(_floor, 1e-30D)"
+
+    feats: dict[str, str] = {}
     for pipe, (f, _) in MATH_PIPES.items():
-        feats[f"log_ops_{pipe}_gpu"] = log_floored(g(f"_tot_{f}"))
-        feats[f"log_ops_{pipe}_sm_max"] = log_floored(g(f"_max_{f}"))
+        feats[f"log_ops_{pipe}_gpu"], feats[f"log_ops_{pipe}_sm_max"] = _log(f"_tot_{f}"), _log(f"_max_{f}")
         for scope in ("gpu", "sm_max"):
-            feats[f"log_cycles_{pipe}_{scope}"] = log_floored(g(f"_cyc_{pipe}_{scope}"))
+            feats[f"log_cycles_{pipe}_{scope}"] = _log(f"_cyc_{pipe}_{scope}")
     for level, f in MEMORY_LEVELS.items():
-        feats[f"log_bytes_{level}_gpu"] = log_floored(g(f"_tot_{f}"))
-        feats[f"log_bytes_{level}_sm_max"] = log_floored(g(f"_max_{f}"))
-        feats[f"log_cycles_mem_{level}_gpu"] = log_floored(g(f"_t_mem_{level}") * g("_clk"))
-        feats[f"log_cycles_mem_{level}_sm_max"] = log_floored(g(f"_t_mem_{level}_sm") * g("_clk"))
-    feats["log_l2_residency"] = log_floored(g("_res"))
-    feats["compulsory_miss_fraction"] = g("_miss")
-    feats["fits_in_l2"] = (g("_res") <= 1.0).cast("double")
-    feats["log_theoretical_time"] = F.ln(theory)
-    for p in SLACK_PIPES:
-        feats[f"slack_{p}"] = F.ln(F.greatest(g(f"_t_{p}"), F.lit(EPS)) / theory)
-
-    def imbalance(f):
-        mean = g(f"_tot_{f}") / sms
-        return F.when(mean > 0, g(f"_max_{f}") / mean).otherwise(1.0)
-
+        feats[f"log_bytes_{level}_gpu"], feats[f"log_bytes_{level}_sm_max"] = _log(f"_tot_{f}"), _log(f"_max_{f}")
+        feats[f"log_cycles_mem_{level}_gpu"] = _log(f"_t_mem_{level} * _clk")
+        feats[f"log_cycles_mem_{level}_sm_max"] = _log(f"_t_mem_{level}_sm * _clk")
+    feats |= {f"slack_{p}": f"ln(greatest(_t_{p}, 1e-30D) / {theory})" for p in SLACK_PIPES}
+    imbalance = lambda f: f"IF(_tot_{f} > 0, _max_{f} / (_tot_{f} / _sms), 1D)"
     feats |= {
-        "log_n_tasks": log_floored(g("_count")), "log_n_waves": log_floored(g("_waves")),
-        "tail_fraction": F.ceil(g("_waves")).cast("double") - g("_waves"),
-        "sm_occupancy": F.least(g("_count"), sms) / sms,
-        "imbalance_mma": imbalance("mma"), "imbalance_bytes": imbalance("hbm"),
-        "is_persistent": g("_persistent").cast("double"),
-        "log_flops": log_floored(g("_flops")),
-        "log_bytes_per_flop": log_floored(one_pass / F.greatest(g("_flops"), F.lit(EPS))),
-        "log_l2_reuse": log_floored(g("_tot_l2") / F.greatest(one_pass, F.lit(EPS))),
-        "log_arithmetic_intensity": log_floored(g("_flops") / F.greatest(one_pass, F.lit(EPS))),
-        "log_peak_flops": log_floored(g("_peak")), "log_mem_bw": log_floored(hw("mem_bandwidth_gbs")),
-        "log_sms": log_floored(sms), "log_ops_per_clk": log_floored(hw("ops_per_clk").cast("double")),
-        "log_clock": log_floored(g("_clk")), "log_smem_kb": log_floored(hw("smem_size_kb_sm")),
-        "log_l2_bw": log_floored(hw("l2_bandwidth_gbs")),
-        "log_tdp": log_floored(hw("tdp_w")), "log_idle_power": log_floored(hw("idle_power_w")),
-        "idle_fraction": hw("idle_power_w") / hw("tdp_w"),
-        "log_watt_per_tflop": log_floored(hw("tdp_w") / F.greatest(g("_peak") / 1e12, F.lit(EPS))),
-        "log_watt_per_gbs": log_floored(hw("tdp_w") / F.greatest(hw("mem_bandwidth_gbs"), F.lit(EPS))),
-        "is_hbm": hw("is_hbm").cast("double"), "compute_capability": hw("compute_capability"),
-        "log_dsize": log_floored(g("_width")), "uses_tensor_core": (g("_tot_mma") > 0).cast("double"),
+        "log_l2_residency": _log("_res"), "compulsory_miss_fraction": "_miss", "fits_in_l2": "CAST(_res <= 1D AS DOUBLE)",
+        "log_theoretical_time": f"ln({theory})",
+        "log_n_tasks": _log("_count"), "log_n_waves": _log("_waves"), "tail_fraction": "CAST(ceil(_waves) AS DOUBLE) - _waves",
+        "sm_occupancy": "least(_count, _sms) / _sms", "imbalance_mma": imbalance("mma"), "imbalance_bytes": imbalance("hbm"),
+        "is_persistent": "CAST(_persistent AS DOUBLE)",
+        "log_flops": _log("_flops"), "log_bytes_per_flop": _log("_tot_hbm / greatest(_flops, 1e-30D)"),
+        "log_l2_reuse": _log("_tot_l2 / greatest(_tot_hbm, 1e-30D)"),
+        "log_arithmetic_intensity": _log("_flops / greatest(_tot_hbm, 1e-30D)"),
+        "log_peak_flops": _log("_peak"), "log_mem_bw": _log(hw("mem_bandwidth_gbs")), "log_sms": _log("_sms"),
+        "log_ops_per_clk": _log(f"CAST({hw('ops_per_clk')} AS DOUBLE)"), "log_clock": _log("_clk"),
+        "log_smem_kb": _log(hw("smem_size_kb_sm")), "log_l2_bw": _log(hw("l2_bandwidth_gbs")),
+        "log_tdp": _log(hw("tdp_w")), "log_idle_power": _log(hw("idle_power_w")), "idle_fraction": f"{hw('idle_power_w')} / {hw('tdp_w')}",
+        "log_watt_per_tflop": _log(f"{hw('tdp_w')} / greatest(_peak / 1e12D, 1e-30D)"),
+        "log_watt_per_gbs": _log(f"{hw('tdp_w')} / greatest({hw('mem_bandwidth_gbs')}, 1e-30D)"),
+        "is_hbm": f"CAST({hw('is_hbm')} AS DOUBLE)", "compute_capability": hw("compute_capability"),
+        "log_dsize": _log("_width"), "uses_tensor_core": "CAST(_tot_mma > 0 AS DOUBLE)",
     }
-    analytic = {"theoretical_time_s": theory, "bottleneck": named,
-                "analytic_flops": g("_flops"), "analytic_bytes_global": one_pass}
-    keep = [F.col(c) for c in base]
-    return staged.select(*keep, *[feats[c].alias(c) for c in FEATURE_COLUMNS if c not in base],
-                         *[analytic[c].alias(c) for c in ANALYTIC_COLUMNS])
+    named = "coalesce(" + ", ".join(f"IF(_t_{p} = _floor, '{p}', NULL)" for p in FLOOR_PIPES) + ")"
+    analytic = {"theoretical_time_s": theory, "bottleneck": named, "analytic_flops": "_flops", "analytic_bytes_global": "_tot_hbm"}
+    return staged.selectExpr(
+        *[f"`{c}`" for c in base], *[f"{feats[c]} AS {c}" for c in FEATURE_COLUMNS if c not in base],
+        *[f"{analytic[c]} AS {c}" for c in ANALYTIC_COLUMNS])
 
 
 def project_model_features(df: DataFrame, extra: list[str] = ()) -> DataFrame:

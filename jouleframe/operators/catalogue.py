@@ -30,7 +30,7 @@ def _per_model(captures: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(optional(captures, c, "string"), F.lit(""))
     keyed = captures.withColumns({
         "kernel_sig": signature(captures), "_calls": calls,
-        "_prov": F.struct(text("source_model").alias("source_model"), text("source_module").alias("source_module"),
+        "_prov": F.struct(F.lit(0).alias("made"), text("source_model").alias("source_model"), text("source_module").alias("source_module"),
                           text("op_name").alias("op_name"))})
     return (keyed.groupBy("kernel_sig", "category", "dtype", *param_columns(captures), text("source_model").alias("model"))
             .agg(F.sum("_calls").alias("calls"), F.min("_prov").alias("prov")))
@@ -43,15 +43,15 @@ def _synthesised(per_model: DataFrame, kinds) -> DataFrame:
     smallest signature, with that norm's calls doubled.
     """
     p = Params(per_model)
-    norms = per_model.filter((F.col("category") == "norm") & (F.coalesce(p.word("kind"), F.lit("")) != "group"))
-    norms = norms.withColumn("_n", (p.num("rows") * p.num("dim")).cast("bigint"))
+    norms = per_model.filter((F.col("category") == "norm") & F.expr(f"{p.word('kind', '')} != 'group'"))
+    norms = norms.withColumn("_n", F.expr(f"CAST({p.num('rows')} * {p.num('dim')} AS BIGINT)"))
     chosen = norms.groupBy("_n", "dtype").agg(F.min("kernel_sig").alias("kernel_sig"))
     kept = norms.join(chosen, ["_n", "dtype", "kernel_sig"], "left_semi")
     made = kept.select(
         F.lit("elementwise").alias("category"), "dtype", F.col("_n").alias("p_n_elem"), "model",
         (F.col("calls") * 2).alias("calls"), F.explode(F.array(*[F.lit(k) for k in kinds])).alias("p_kind"))
     op = F.concat(F.lit("synth::"), F.col("p_kind"))
-    made = made.withColumn("prov", F.struct(F.lit("").alias("source_model"), F.lit("").alias("source_module"), op.alias("op_name")))
+    made = made.withColumn("prov", F.struct(F.lit(1).alias("made"), F.lit("").alias("source_model"), F.lit("").alias("source_module"), op.alias("op_name")))
     return made.withColumn("kernel_sig", signature(made))
 
 

@@ -48,36 +48,34 @@ def attach_operator_features(df: DataFrame, features: DataFrame, keys: list[str]
 def lowering(df: DataFrame) -> DataFrame:
     """Operator and its problem size: (m, n, k) for products, (seq, dim) for row-wise kernels."""
     p = Params(df)
-    cat = F.col("category")
-    kh, kw, stride, groups = p.num("kh"), p.num("kw"), p.num("stride", 1.0), p.num("groups", 1.0)
-    pad = p.num("pad", F.floor(kh / 2).cast("double"))
-    h_out = F.floor((p.num("h") + 2 * pad - kh) / stride) + 1
-    w_out = F.floor((p.num("w") + 2 * pad - kw) / stride) + 1
-    launch = p.num("threads", 256.0) * p.num("elems_per_thread", 4.0)
-    given = F.when(p.num("dim", 0.0) > 0, p.num("dim", 0.0)).otherwise(launch)
-    lane = F.greatest(F.lit(8.0), given - F.pmod(given, F.lit(8.0)))
-    seq = F.greatest(F.lit(1.0), F.ceil(p.num("n_elem") / lane).cast("double"))
-    pick = lambda gemm, conv: F.when(cat == "gemm", gemm).when(cat == "conv", conv).cast("bigint")
-    row = lambda norm, elem: F.when(cat == "norm", norm).when(cat == "elementwise", elem).cast("bigint")
+    kh, kw, stride, groups = p.num("kh"), p.num("kw"), p.num("stride", "1D"), p.num("groups", "1D")
+    pad = p.num("pad", f"floor({kh} / 2)")
+    out = lambda side, k: f"(floor(({p.num(side)} + 2 * {pad} - {k}) / {stride}) + 1)"
+    launch = f"{p.num('threads', '256D')} * {p.num('elems_per_thread', '4D')}"
+    given = f"IF({p.num('dim', '0D')} > 0, {p.num('dim', '0D')}, {launch})"
+    lane = f"greatest(8D, {given} - pmod({given}, 8D))"
+    pick = lambda **cases: "CAST(CASE category " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in cases.items()) + " END AS BIGINT)"
     return df.withColumns({
-        "pw_operator": operator_of(cat, p.word("kind")),
-        "low_m": pick(p.num("m"), p.num("n") * h_out * w_out),
+        "pw_operator": operator_of(F.col("category"), F.expr(p.word("kind"))),
+        "low_m": F.expr(pick(gemm=p.num("m"), conv=f"{p.num('n')} * {out('h', kh)} * {out('w', kw)}")),
         # The external family lowers a grouped convolution with all output channels.
-        "low_n": pick(p.num("n"), p.num("c_out")),
-        "low_k": pick(p.num("k"), F.floor(p.num("c_in") / groups) * kh * kw),
-        "low_seq": row(p.num("rows"), seq), "low_dim": row(p.num("dim"), lane),
+        "low_n": F.expr(pick(gemm=p.num("n"), conv=p.num("c_out"))),
+        "low_k": F.expr(pick(gemm=p.num("k"), conv=f"floor({p.num('c_in')} / {groups}) * {kh} * {kw}")),
+        "low_seq": F.expr(pick(norm=p.num("rows"), elementwise=f"greatest(1D, ceil({p.num('n_elem')} / {lane}))")),
+        "low_dim": F.expr(pick(norm=p.num("dim"), elementwise=lane)),
     })
 
 
 def audit_notes(df: DataFrame) -> Column:
     """Why a row is outside the external family's own data, as one text ('' when it is not)."""
     p = Params(df)
-    cat, kind = F.col("category"), p.word("kind")
+    cat, kind = F.col("category"), F.expr(p.word("kind"))
     norm_kind = F.coalesce(kind, F.lit("layer"))
+    causal, shared = F.expr(p.flag("causal", False)), F.expr(f"{p.num('h_kv', p.num('h'))} != {p.num('h')}")
     notes = F.array_compact(F.array(
         F.when(cat == "conv", "conv lowered to a matrix product; the external data has no convolutions"),
-        F.when((cat == "attention") & ~p.flag("causal", False), "non-causal; the external data is causal throughout"),
-        F.when((cat == "attention") & (p.num("h_kv", p.num("h")) == p.num("h")), "one key head per query head; the external data mostly shares them"),
+        F.when((cat == "attention") & ~causal, "non-causal; the external data is causal throughout"),
+        F.when((cat == "attention") & ~shared, "one key head per query head; the external data mostly shares them"),
         F.when((cat == "norm") & (norm_kind != "rms"), F.concat(norm_kind, F.lit(" norm through an rms model; one reduction pass is not counted"))),
         F.when((cat == "norm") & (norm_kind == "group"), "group norm has no counterpart; features only"),
         F.when(cat == "elementwise", "element count factored by the launch shape"),

@@ -10,6 +10,7 @@ from jouleframe.functions.metrics import mape
 from jouleframe.functions.missing import require_columns
 from jouleframe.functions.targets import energy_from_heads
 from jouleframe.operators.quantiles import group_quantiles, median
+from jouleframe.runtime import cut_lineage
 
 FOLDS = {"hardware": "gpu_key", "architecture": "source_model", "category": "category"}
 NEEDED = ["eta", "pi", "energy_j", "latency_s", "theoretical_time_s", "tdp_w"]
@@ -31,6 +32,12 @@ def complete_rows(df: DataFrame, fold: str, features: list[str]) -> DataFrame:
     return df.dropna(subset=list(dict.fromkeys([*features, "eta", "pi", "energy_j", col])))
 
 
+def written_rows(df: DataFrame, fold: str, features: list[str]) -> DataFrame:
+    """``complete_rows`` written once: every fold and baseline reads them again."""
+    ids = [c for c in ("kernel_sig", "gpu_key", "category", "source_model", *NEEDED) if c in df.columns]
+    return cut_lineage(complete_rows(df, fold, features).select(*dict.fromkeys([*ids, *features])))
+
+
 def fold_groups(df: DataFrame, fold: str, min_rows: int = 10) -> list[tuple[str, int, int]]:
     """(group, training rows, test rows) of every group with enough rows on both sides.
 
@@ -189,7 +196,7 @@ def complement_overview(df: DataFrame, fold: str, min_rows: int = 10) -> DataFra
 def baseline_table(df: DataFrame, fold: str, features: list[str] | None = None, ridge: bool = False,
                    min_rows: int = 10, small: bool | None = None) -> DataFrame:
     """Report table of the parameter-free and linear baselines alone."""
-    rows = complete_rows(df, fold, features or [])
+    rows = written_rows(df, fold, features or [])
     groups = [g for g, _, _ in fold_groups(rows, fold, min_rows)]
     return report_table(with_baselines(rows, fold, groups, features, ridge, small).withColumn("energy_true", F.col("energy_j")))
 

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from jouleframe.functions.roofline import FEATURE_COLUMNS
 from jouleframe.functions.targets import energy_from_heads, latency_from_eta
-from jouleframe.operators.folds import NEEDED, complete_rows, fold_column, fold_groups, report_table, with_baselines
-from jouleframe.runtime import cut_lineage
+from jouleframe.operators.folds import fold_column, fold_groups, report_table, with_baselines, written_rows
 
 HEADS = ("eta", "pi")
 HISTORY_SCHEMA = "fold string, `group` string, model string, head string, train array<double>, val array<double>, test array<double>, best_epoch int"
@@ -84,11 +83,8 @@ def evaluate(df: DataFrame, fold: str = "hardware", features: list[str] | None =
     """
     features = [c for c in FEATURE_COLUMNS if c in df.columns] if features is None else features
     col = fold_column(fold)
-    rows = complete_rows(df, fold, features)
+    rows = written_rows(df, fold, features)
     groups = fold_groups(rows, fold, min_rows)
-    # Every fold reads these rows many times; write them once instead of recomputing features.
-    ids = [c for c in ("kernel_sig", "gpu_key", "category", "source_model", *NEEDED) if c in rows.columns]
-    rows = cut_lineage(rows.select(*dict.fromkeys([*ids, *features])))
     with_base = with_baselines(rows, fold, [g for g, _, _ in groups], features, ridge)
     ready_all, ready_test = _assembled(rows, features, cfg), _assembled(with_base, features, cfg)
     histories: list[tuple] = []

@@ -31,7 +31,7 @@ def input_bytes(df: DataFrame) -> int:
     Leaves, not the root: without column statistics the estimate above a join is the
     product of its sides. Relations of unknown size report a huge number.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     sizes = (leaves.apply(i).stats().sizeInBytes().toString() for i in range(leaves.size()))
     return sum(int(s) for s in sizes)
 

@@ -152,15 +152,15 @@ def attach_hardware(df: DataFrame, hardware: DataFrame | None = None, key: str =
     """
     built_in = hardware is None
     hw = hardware_frame(df.sparkSession) if built_in else hardware
-    spec = F.struct(*[F.col(c) for c in hw.columns])
-    by_key = hw.select(normal_key(F.col("gpu_key")).alias("_hw_key"), spec.alias("_by_key"))
-    by_name = hw.select(F.upper("name").alias("_hw_name"), spec.alias("_by_name"))
+    by_key = hw.selectExpr("translate(upper(trim(gpu_key)), '- ', '__') AS _hw_key", "struct(*) AS _by_key")
+    by_name = hw.selectExpr("upper(name) AS _hw_name", "struct(*) AS _by_name")
     if built_in:
         by_key, by_name = F.broadcast(by_key), F.broadcast(by_name)
     out = (df.join(by_key, normal_key(F.col(key)) == F.col("_hw_key"), "left")
            .join(by_name, F.upper(F.trim(F.col(key))) == F.col("_hw_name"), "left"))
-    chosen = F.coalesce("_by_key", "_by_name")
-    return out.select(*df.columns, *[chosen[c].alias(f"{prefix}{c}") for c in hw.columns])
+    kept = [f"`{c}`" for c in df.columns]
+    placed = out.selectExpr(*kept, "coalesce(_by_key, _by_name) AS _spec")
+    return placed.selectExpr(*kept, *[f"_spec.{c} AS {prefix}{c}" for c in hw.columns])
 
 
 def identify_device(name: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
