@@ -58,7 +58,7 @@ def operator_of(category: Column, kind: Column) -> Column:
     """External model family a kernel belongs to; group norms are their own operator."""
     pairs = [F.lit(x) for item in CATEGORY_TO_OPERATOR.items() for x in item]
     return (F.when((category == "norm") & (F.coalesce(kind, F.lit("layer")) == "group"), "groupnorm")
-            .otherwise(F.create_map(*pairs).getItem(category)))
+            .otherwise(F.try_element_at(F.create_map(*pairs), category)))
 
 
 def transfer_verdict(zeroshot: Column, finetuned: Column, scratch: Column, hybrid: Column) -> dict[str, Column]:

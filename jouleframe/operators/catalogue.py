@@ -26,14 +26,17 @@ def category_counts(captures: DataFrame) -> DataFrame:
 
 def _per_model(captures: DataFrame) -> DataFrame:
     """One row per (signature, model) with summed calls and a stable provenance."""
+    params = param_columns(captures)
     calls = F.coalesce(optional(captures, "count", "bigint", 1).cast("bigint"), F.lit(1))
-    text = lambda c: F.coalesce(optional(captures, c, "string"), F.lit(""))
-    keyed = captures.withColumns({
-        "kernel_sig": signature(captures), "_calls": calls,
-        "_prov": F.struct(F.lit(0).alias("made"), text("source_model").alias("source_model"), text("source_module").alias("source_module"),
-                          text("op_name").alias("op_name"))})
-    return (keyed.groupBy("kernel_sig", "category", "dtype", *param_columns(captures), text("source_model").alias("model"))
-            .agg(F.sum("_calls").alias("calls"), F.min("_prov").alias("prov")))
+    text = lambda c: F.coalesce(optional(captures, c, "string"), F.lit("")).alias(c)
+    # Sum first, with only a number in the buffer (a hash aggregate); sign the few rows left.
+    summed = captures.groupBy("category", "dtype", *params, text("source_model"), text("source_module"), text("op_name")).agg(
+        F.sum(calls).alias("calls"))
+    keyed = summed.withColumns({
+        "kernel_sig": signature(summed),
+        "prov": F.struct(F.lit(0).alias("made"), F.col("source_model"), F.col("source_module"), F.col("op_name"))})
+    return (keyed.groupBy("kernel_sig", "category", "dtype", *params, F.col("source_model").alias("model"))
+            .agg(F.sum("calls").alias("calls"), F.min("prov").alias("prov")))
 
 
 def _synthesised(per_model: DataFrame, kinds) -> DataFrame:

@@ -8,6 +8,7 @@ from jouleframe.functions.categories import Params
 from jouleframe.functions.labels import operator_of
 from jouleframe.functions.metrics import ape
 from jouleframe.operators.quantiles import Quantile, group_quantiles, median
+from jouleframe.runtime import spread
 from jouleframe.sources.hardware import external_hardware_frame, normal_key
 
 PREFIX = "pw_"
@@ -36,6 +37,7 @@ REFERENCE_CYCLES = {
 }
 NO_COUNTERPART = ["groupnorm"]
 SATURATED_LOGIT = 12.0
+BROADCAST_REFERENCE_ROWS = 500_000
 ALL_FEATURES = list(dict.fromkeys(f for fs in OPERATOR_FEATURES.values() for f in fs))
 
 
@@ -125,7 +127,10 @@ def nearest_launch(shapes: DataFrame, reference: DataFrame, cards: DataFrame | N
                      F.col("is_split_k").cast("boolean").alias("is_split_k"))
     blocks = (reference.withColumn("_block", F.floor(F.col("idx") / block))
               .groupBy("hardware", "_block").agg(F.collect_list(entry).alias("entries")))
-    distinct = shapes.select("gpu_key", "m", "n", "k").distinct()
+    # Broadcast only a reference counted to be small; a larger one is joined by shuffle.
+    if reference.limit(BROADCAST_REFERENCE_ROWS + 1).count() <= BROADCAST_REFERENCE_ROWS:
+        blocks = F.broadcast(blocks)
+    distinct = spread(shapes.select("gpu_key", "m", "n", "k").distinct(), "gpu_key", "m", "n", "k")
     placed = distinct.join(where, "gpu_key").join(blocks, "hardware")
     m, n, k = (F.col(c).cast("double") for c in ("m", "n", "k"))
     sq = lambda a, b: (a - b) * (a - b)

@@ -57,7 +57,7 @@ def fold_groups(df: DataFrame, fold: str, min_rows: int = 10) -> list[tuple[str,
 
 def _lookup(values: dict[str, float], key: Column) -> Column:
     pairs = [F.lit(x) for k, v in values.items() for x in (k, float(v))]
-    return F.create_map(*pairs).getItem(key)
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def complement_medians(df: DataFrame, fold: str, groups: list[str], small: bool | None = None) -> DataFrame:
@@ -137,7 +137,7 @@ def ridge_predictions(df: DataFrame, fold: str, groups: list[str], features: lis
         coefs[str(g)] = coef
         shifts[str(g)] = intercept - float(coef @ centre)
     pairs = [x for g, c in coefs.items() for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in c]))]
-    weights = F.create_map(*pairs).getItem(key)
+    weights = F.try_element_at(F.create_map(*pairs), key)
     x = F.array(*[F.col(f).cast("double") for f in features])
     dot = F.aggregate(F.zip_with(weights, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return F.exp(dot + _lookup(shifts, key))

@@ -8,10 +8,13 @@ from jouleframe.operators.external import OPERATOR_FEATURES, PREFIX
 from jouleframe.operators.quantiles import Quantile, group_quantiles, median
 
 
-def mahalanobis(x: Column, mean: Column, precision: Column) -> Column:
-    """sqrt(max(d' P d, 0)) with d = log1p(x) - mean, over arrays."""
+def offset(x: Column, mean: Column) -> Column:
+    return F.zip_with(x, mean, lambda a, b: F.log1p(a) - b)
+
+
+def mahalanobis(d: Column, precision: Column) -> Column:
+    """sqrt(max(d' P d, 0)) over an offset vector; pass ``d`` as a plain column, it is read often."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    d = F.zip_with(x, mean, lambda a, b: F.log1p(a) - b)
     along = F.zip_with(d, precision, lambda di, row: di * total(F.zip_with(row, d, lambda p, dj: p * dj)))
     return F.sqrt(F.greatest(total(along), F.lit(0.0)))
 
@@ -33,17 +36,19 @@ def with_distance(df: DataFrame, moments: DataFrame, features: dict[str, list[st
         lit = F.array(*[F.lit(c) for c in cols])
         vector = F.when(test, arr) if vector is None else vector.when(test, arr)
         order = F.when(test, lit) if order is None else order.when(test, lit)
-    staged = df.withColumns({
-        "_x": vector, "_order": order,
-        "_ref": F.when(F.col("pw_operator") == "groupnorm", "rmsnorm").otherwise(F.col("pw_operator"))})
+    # The one-row explode computes the vector once, below every filter and lambda that reads it.
+    once = df.withColumn("_x", F.explode(F.array(vector)))
+    staged = once.withColumns({
+        "_order": order, "_ref": F.when(F.col("pw_operator") == "groupnorm", "rmsnorm").otherwise(F.col("pw_operator"))})
     whole = staged.filter(F.col("_x").isNotNull() & ~F.exists("_x", lambda v: v.isNull()))
     m = moments.select(F.col("operator").alias("_ref"), F.col("features").alias("_names"), F.col("mean").alias("_mean"),
                        F.col("precision").alias("_precision"), *[c for c in moments.columns if c.startswith("md_")])
     joined = whole.join(m, "_ref")
     ordered = F.when(F.col("_names") == F.col("_order"), F.col("_x")).otherwise(
         F.raise_error(F.concat(F.lit("moments have another feature order for "), F.col("_ref"))))
-    return joined.withColumn(out, mahalanobis(ordered, F.col("_mean"), F.col("_precision"))).drop(
-        "_x", "_order", "_ref", "_names", "_mean", "_precision")
+    moved = joined.withColumn("_d", F.explode(F.array(offset(ordered, F.col("_mean")))))
+    return moved.withColumn(out, mahalanobis(F.col("_d"), F.col("_precision"))).drop(
+        "_x", "_d", "_order", "_ref", "_names", "_mean", "_precision")
 
 
 def ood_report(df: DataFrame, moments: DataFrame, quantile: str = "md_p99", features: dict[str, list[str]] | None = None,

@@ -25,10 +25,6 @@ def card_of(key: Column) -> Column:
     return _nth(FLEET_KEYS, F.pmod(key, F.lit(8)))
 
 
-def _spec(field: int, key: Column) -> Column:
-    return _nth([float(r[field]) for r in FLEET], F.pmod(key, F.lit(8)))
-
-
 def _sig(key: Column) -> Column:
     return F.concat(F.lit("k"), key.cast("string"))
 
@@ -44,12 +40,11 @@ class Tables:
 
     @cached_property
     def kernels(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.raw("part").select(
-            _sig(key).alias("kernel_sig"), _nth(["gemm", "attention", "conv", "norm", "elementwise"], F.pmod(key, F.lit(5))).alias("category"),
-            F.when(F.col("p_size") % 3 == 0, "fp32").otherwise("bf16").alias("dtype"),
-            (64 * F.col("p_size")).cast("bigint").alias("m"), (128 * (1 + key % 32)).cast("bigint").alias("n"),
-            (64 * (1 + key % 48)).cast("bigint").alias("k"), F.col("p_type").alias("kind_label"), key.alias("partkey"))
+        return self.raw("part").selectExpr(
+            "concat('k', p_partkey) AS kernel_sig",
+            "CASE p_partkey % 5 WHEN 0 THEN 'gemm' WHEN 1 THEN 'attention' WHEN 2 THEN 'conv' WHEN 3 THEN 'norm' ELSE 'elementwise' END AS category",
+            "IF(p_size % 3 = 0, 'fp32', 'bf16') AS dtype", "CAST(64 * p_size AS BIGINT) AS m", "128 * (1 + p_partkey % 32) AS n",
+            "64 * (1 + p_partkey % 48) AS k", "p_type AS kind_label", "p_partkey AS partkey")
 
     @cached_property
     def kernel_params(self) -> DataFrame:
@@ -116,12 +111,12 @@ class Tables:
 
     @cached_property
     def e2e_runs(self) -> DataFrame:
-        cust = F.col("o_custkey")
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("run_id"), card_of(cust).alias("gpu_key"), F.col("o_orderpriority").alias("model"),
-            (1 + F.col("o_orderkey") % 28).cast("bigint").alias("steps"), (F.col("o_totalprice") * F.lit(1e-6)).alias("energy_j"),
-            ((1 + cust % 7).cast("double") * F.lit(1e-3)).alias("latency_s"),
-            ((1 + cust % 9).cast("double") * F.lit(0.9e-3)).alias("device_time_s"), _spec(21, cust).alias("idle_power_w"))
+        idle = "element_at(array(" + ", ".join(f"{float(r[21])}D" for r in FLEET) + "), CAST(o_custkey % 8 + 1 AS INT))"
+        cards = "element_at(array(" + ", ".join(f"'{k}'" for k in FLEET_KEYS) + "), CAST(o_custkey % 8 + 1 AS INT))"
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS run_id", f"{cards} AS gpu_key", "o_orderpriority AS model", "1 + o_orderkey % 28 AS steps",
+            "o_totalprice * 1e-6D AS energy_j", "CAST(1 + o_custkey % 7 AS DOUBLE) * 1e-3D AS latency_s",
+            "CAST(1 + o_custkey % 9 AS DOUBLE) * 0.9e-3D AS device_time_s", f"{idle} AS idle_power_w")
 
     @cached_property
     def e2e_calls(self) -> DataFrame:
@@ -143,42 +138,37 @@ class Tables:
 
     @cached_property
     def transfer_preds(self) -> DataFrame:
-        m = self.measurements
-        e, line, order = F.col("energy_j"), F.col("l_linenumber"), F.col("l_orderkey")
-        eta = (1.0 + line) / 10.0
-        ops = F.create_map(*[F.lit(x) for x in ("attention", "attn", "norm", "rmsnorm", "elementwise", "siluandmul")])
-        return m.select(
-            "gpu_key", F.coalesce(ops.getItem(F.col("category")), F.lit("gemm")).alias("operator"), "kernel_sig", e.alias("energy_true"),
-            (e * (0.5 + 0.2 * line)).alias("energy_zeroshot"), (e * (0.8 + 0.1 * (order % 5))).alias("energy_finetuned"),
-            (e * (0.7 + 0.1 * (F.col("l_suppkey") % 7))).alias("energy_scratch"), (5.0 * line - 20.0).alias("eta_logit"),
-            eta.alias("eta_true"), (eta * (0.8 + 0.1 * (order % 3))).alias("eta_zeroshot"), (eta * (0.9 + 0.1 * (order % 2))).alias("eta_finetuned"),
-            F.lit(0.5).alias("pi_true"), (0.4 + 0.05 * (order % 4)).alias("pi_finetuned"), (F.col("l_quantity") < 3).alias("below_train"))
+        eta = "(1D + l_linenumber) / 10D"
+        return self.measurements.selectExpr(
+            "gpu_key", "CASE category WHEN 'attention' THEN 'attn' WHEN 'norm' THEN 'rmsnorm' WHEN 'elementwise' THEN 'siluandmul' ELSE 'gemm' END AS operator",
+            "kernel_sig", "energy_j AS energy_true", "energy_j * (0.5D + 0.2D * l_linenumber) AS energy_zeroshot",
+            "energy_j * (0.8D + 0.1D * (l_orderkey % 5)) AS energy_finetuned", "energy_j * (0.7D + 0.1D * (l_suppkey % 7)) AS energy_scratch",
+            "5D * l_linenumber - 20D AS eta_logit", f"{eta} AS eta_true", f"{eta} * (0.8D + 0.1D * (l_orderkey % 3)) AS eta_zeroshot",
+            f"{eta} * (0.9D + 0.1D * (l_orderkey % 2)) AS eta_finetuned", "0.5D AS pi_true", "0.4D + 0.05D * (l_orderkey % 4) AS pi_finetuned",
+            "l_quantity < 3 AS below_train")
 
     @cached_property
     def external(self) -> DataFrame:
         """Vectors as external features: operator from the label, card from the id."""
-        e = self.raw("embeddings").withColumn("pw_operator", _nth(EXTERNAL_OPERATORS, F.pmod(F.col("label"), F.lit(4))))
-        cols = []
-        for f in ALL_FEATURES:
-            value = None
-            for op in EXTERNAL_OPERATORS:
-                if f in OPERATOR_FEATURES[op]:
-                    item = F.abs(F.element_at("embedding", OPERATOR_FEATURES[op].index(f) + 1).cast("double")) * 1e6
-                    test = F.col("pw_operator") == op
-                    value = F.when(test, item) if value is None else value.when(test, item)
-            cols.append(value.alias(PREFIX + f))
-        vec = F.col("vec_id")
-        return e.select(
-            "vec_id", "pw_operator", card_of(vec).alias("gpu_key"), _nth(["gemm", "attention", "norm", "elementwise"], F.pmod(F.col("label"), F.lit(4))).alias("category"),
-            ((1 + vec % 50) * F.lit(1e-6)).alias("latency_s"), ((1 + vec % 7) * F.lit(1e-6)).alias("theoretical_time_s"),
-            ((1 + vec % 7) / (1 + vec % 50)).alias("eta"), *cols)
+        def value(f):
+            whens = [f"WHEN '{op}' THEN abs(CAST(element_at(embedding, {OPERATOR_FEATURES[op].index(f) + 1}) AS DOUBLE)) * 1e6D"
+                     for op in EXTERNAL_OPERATORS if f in OPERATOR_FEATURES[op]]
+            return f"CASE pw_operator {' '.join(whens)} END AS {PREFIX}{f}"
+
+        named = "CASE label % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{}' WHEN 2 THEN '{}' ELSE '{}' END"
+        cards = "element_at(array(" + ", ".join(f"'{k}'" for k in FLEET_KEYS) + "), CAST(vec_id % 8 + 1 AS INT))"
+        tagged = self.raw("embeddings").selectExpr(
+            "*", named.format(*EXTERNAL_OPERATORS) + " AS pw_operator", named.format("gemm", "attention", "norm", "elementwise") + " AS category")
+        return tagged.selectExpr(
+            "vec_id", "pw_operator", f"{cards} AS gpu_key", "category", "(1 + vec_id % 50) * 1e-6D AS latency_s",
+            "(1 + vec_id % 7) * 1e-6D AS theoretical_time_s", "(1 + vec_id % 7) / (1 + vec_id % 50) AS eta", *[value(f) for f in ALL_FEATURES])
 
     @cached_property
     def feature_moments(self) -> DataFrame:
         """Per (operator, feature): mean and population sd, raw and after log1p."""
-        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(PREFIX + f).alias("x")) for f in ALL_FEATURES])).alias("r")
-        tall = self.external.select(F.col("pw_operator").alias("operator"), pairs).select("operator", "r.*").filter(F.col("x").isNotNull())
-        return tall.groupBy("operator", "feature").agg(
+        tall = self.external.selectExpr("pw_operator AS operator", f"stack({len(ALL_FEATURES)}, " + ", ".join(
+            f"'{f}', {PREFIX}{f}" for f in ALL_FEATURES) + ") AS (feature, x)")
+        return tall.filter("x IS NOT NULL").groupBy("operator", "feature").agg(
             F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.avg(F.log1p("x")).alias("mu"), F.var_pop(F.log1p("x")).alias("var"))
 
     @cached_property
@@ -197,8 +187,8 @@ class Tables:
             F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mu", "var")))).alias("s"))
         named = packed.withColumn("features", order)
         return named.select(
-            "operator", "features", F.transform("features", lambda f: F.col("s").getItem(f)["mu"]).alias("mean"),
-            F.transform("features", lambda f, i: F.transform("features", lambda g, j: F.when(i == j, 1.0 / F.col("s").getItem(f)["var"]).otherwise(0.0))).alias("precision"),
+            "operator", "features", F.transform("features", lambda f: F.try_element_at("s", f)["mu"]).alias("mean"),
+            F.transform("features", lambda f, i: F.transform("features", lambda g, j: F.when(i == j, 1.0 / F.try_element_at("s", f)["var"]).otherwise(0.0))).alias("precision"),
             F.lit(4.0).alias("md_p99"))
 
     @cached_property
@@ -215,9 +205,9 @@ class Tables:
 
 
 def _telemetry(ev: DataFrame) -> DataFrame:
-    i, u = F.col("event_id"), F.col("user_id")
-    return ev.select(
-        card_of(u).alias("gpu_key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("power_w"),
-        (i % 512).cast("bigint").alias("throttle"), (1000 + i % 900).cast("double").alias("sm_clock"), (500 + i % 70).cast("double").alias("mem_clock"),
-        (40 + u % 40).cast("double").alias("temp"), (i % 101).cast("double").alias("util_gpu"), (i % 53).cast("double").alias("util_mem"),
-        (i * 250).cast("bigint").alias("counter_mj"))
+    cards = "element_at(array(" + ", ".join(f"'{k}'" for k in FLEET_KEYS) + "), CAST(user_id % 8 + 1 AS INT))"
+    return ev.selectExpr(
+        f"{cards} AS gpu_key", "event_id", "CAST(ts AS TIMESTAMP) AS ts", "CAST(value AS DOUBLE) AS power_w", "event_id % 512 AS throttle",
+        "CAST(1000 + event_id % 900 AS DOUBLE) AS sm_clock", "CAST(500 + event_id % 70 AS DOUBLE) AS mem_clock",
+        "CAST(40 + user_id % 40 AS DOUBLE) AS temp", "CAST(event_id % 101 AS DOUBLE) AS util_gpu", "CAST(event_id % 53 AS DOUBLE) AS util_mem",
+        "event_id * 250 AS counter_mj")

@@ -181,11 +181,10 @@ CTES = {
  p_m AS rm, p_n AS rn, p_k AS rk, 64*(1 + p_partkey % 4) AS tile_m, 32*(1 + p_partkey % 8) AS tile_n, 64 AS tile_k, p_partkey AS idx FROM kernels WHERE category = 'gemm'""",
 }
 
-_WORD = {name: re.compile(rf"\b{name}\b") for name in CTES}
-
 
 def _needs(text: str) -> set[str]:
-    return {n for n, pattern in _WORD.items() if pattern.search(text)}
+    words = set(re.findall(r"\w+", text))
+    return {n for n in CTES if n in words}
 
 
 def sql(body: str) -> str:

@@ -16,7 +16,7 @@ from jouleframe.operators import (
 )
 from jouleframe.plans.bindings import LATER, MODELS, Tables
 from jouleframe.plans.oracle import CTES, rounded, sql
-from jouleframe.runtime import shared_dir
+from jouleframe.runtime import shared_dir, spread
 from jouleframe.sources.hardware import FLEET_KEYS, attach_hardware, external_hardware_frame, identify_device, power_descriptors
 from jouleframe.streaming import ingest, rollup
 
@@ -201,7 +201,7 @@ def _(t):
 
 @query("gemm_tiles", "SELECT kernel_sig, gpu_key, tm AS tile_m, tn AS tile_n, cnt AS n_tiles, CASE WHEN ceil(gm/tm)*ceil(gn/tn) > 4*sms THEN 1 ELSE 0 END AS many FROM task WHERE category IN ('gemm','conv')")
 def _(t):
-    k = planning.planned_pairs(t.kernel_params.filter(F.col("category").isin("gemm", "conv")), FLEET_KEYS)
+    k = planning.planned_pairs(spread(t.kernel_params.filter(F.col("category").isin("gemm", "conv")), "kernel_sig"), FLEET_KEYS)
     d = roofline.with_demand(attach_hardware(k))
     many = F.col("_tile.tiles") > categories.PERSISTENT_TILES_PER_SM * F.col("hw_sms")
     return d.select("kernel_sig", "gpu_key", F.col("_tile.m").alias("tile_m"), F.col("_tile.n").alias("tile_n"), F.col("_tile.tiles").alias("n_tiles"), many.cast("int").alias("many"))
@@ -209,7 +209,7 @@ def _(t):
 
 @query("task_demand", "SELECT kernel_sig, gpu_key, category, cnt AS n_tasks, mma, fma, xu, hbm, l2, smem FROM demand", hbm=3)
 def _(t):
-    k = planning.planned_pairs(t.kernel_params, FLEET_KEYS)
+    k = planning.planned_pairs(spread(t.kernel_params, "kernel_sig"), FLEET_KEYS)
     d = roofline.with_demand(attach_hardware(k))
     return d.select("kernel_sig", "gpu_key", "category", F.col("_demand.count").alias("n_tasks"), *[F.col(f"_demand.{c}").alias(c) for c in ("mma", "fma", "xu", "hbm", "l2", "smem")])
 
@@ -249,7 +249,7 @@ def _feature_sql() -> str:
 
 @query("roofline_features", _feature_sql(), theory_us=6, analytic_bytes_global=1, **{c: 8 for c in roofline.FEATURE_COLUMNS})
 def _(t):
-    k = planning.planned_pairs(t.kernel_params, FLEET_KEYS)
+    k = planning.planned_pairs(spread(t.kernel_params, "kernel_sig"), FLEET_KEYS)
     out = roofline.roofline_features(attach_hardware(k))
     return out.select("kernel_sig", "gpu_key", *roofline.FEATURE_COLUMNS, (F.col("theoretical_time_s") * 1e6).alias("theory_us"), "bottleneck", "analytic_flops", "analytic_bytes_global")
 
@@ -275,14 +275,14 @@ def _(t):
 
 # --- dataset and targets ------------------------------------------------------------------------
 
-_TARGET_DIGITS = dict(eta=7, power_avg_w=7, pi=8, pi_dynamic=8, energy_dynamic_j=13, pi_limit=8, power_cap_ratio=8, log_energy=8, log_latency=8, pj_per_flop=6, pj_per_byte=6)
+_TARGETS = ["eta", "power_avg_w", "pi", "pi_dynamic", "energy_dynamic_j", "pi_limit", "power_cap_ratio", "log_energy", "log_latency", "pj_per_flop", "pj_per_byte"]
 
 
 @query("build_dataset", """SELECT kernel_sig, gpu_key, eta, power_avg_w, pi, greatest((power_avg_w - idle_power_w)/greatest(tdp_w - idle_power_w, 1e-6), 1e-6) AS pi_dynamic,
  greatest(energy_j - idle_power_w*latency_s, 0e0) AS energy_dynamic_j, power_avg_w/coalesce(power_limit_w, tdp_w) AS pi_limit, coalesce(power_limit_w, tdp_w)/tdp_w AS power_cap_ratio,
- ln(energy_j) AS log_energy, ln(latency_s) AS log_latency, energy_j/greatest(flops, 1e0)*1e12 AS pj_per_flop, energy_j/greatest(t_hbm, 1e0)*1e12 AS pj_per_byte FROM ds""", **_TARGET_DIGITS)
+ ln(energy_j) AS log_energy, ln(latency_s) AS log_latency, energy_j/greatest(flops, 1e0)*1e12 AS pj_per_flop, energy_j/greatest(t_hbm, 1e0)*1e12 AS pj_per_byte FROM ds""", eta=7, log_energy=8, log_latency=8, pj_per_flop=6, pj_per_byte=6)
 def _(t):
-    return t.dataset().select("kernel_sig", "gpu_key", *_TARGET_DIGITS)
+    return t.dataset().select("kernel_sig", "gpu_key", *_TARGETS)
 
 
 @query("energy_from_heads", "SELECT kernel_sig, gpu_key, 1e6*(least(eta, 1e0)*0 + 0.5e0*tdp_w*theory/greatest(eta, 1e-6)) AS energy_uj, 1e6*theory/greatest(eta, 1e-6) AS latency_us FROM ds", energy_uj=6, latency_us=6)
@@ -616,7 +616,7 @@ def _(t):
 
 
 @query("subtract_overhead", """SELECT kernel_sig, gpu_key, l*1e6 AS latency_us, e*1e6 AS energy_uj, e/greatest(l, 1e-12) AS power_avg_w FROM (SELECT m.kernel_sig, m.gpu_key, greatest(latency_s - oh, 1e-9) AS l, greatest(energy_j - oe, 1e-12) AS e FROM merged m JOIN
- (SELECT gpu_key, min(latency_s) AS oh, min(energy_j) AS oe FROM measurements GROUP BY gpu_key) o ON o.gpu_key = m.gpu_key)""", latency_us=6, energy_uj=6, power_avg_w=8)
+ (SELECT gpu_key, min(latency_s) AS oh, min(energy_j) AS oe FROM measurements GROUP BY gpu_key) o ON o.gpu_key = m.gpu_key)""", latency_us=9, energy_uj=9)
 def _(t):
     floor = t.measured.groupBy("gpu_key").agg(F.min("latency_s").alias("overhead_s"), F.min("energy_j").alias("overhead_j"))
     out = targets.subtract_overhead(t.merged.withColumnRenamed("energy_j", "energy_raw_j").join(floor, "gpu_key"))
@@ -723,8 +723,8 @@ def _reconciled(t):
     return rec.reconcile(t.e2e_runs, t.e2e_calls, _reliable(t), _predictions(t))
 
 
-_REC_DIGITS = dict(e2e_energy_j=9, e2e_power_w=5, gap_s=9, device_time_s=9, busy_fraction=9, call_coverage=9, A_kernel_energy_j=9, A_gap_energy_j=9, A_total_j=9, A_ratio=7, A_residual_j=9, A_residual_frac=7, A_kernel_latency_s=10,
-                   A_latency_ratio=8, B_kernel_energy_j=9, B_total_j=9, B_ratio=7, B_residual_frac=7, B_call_coverage=9, B_kernel_latency_s=10, B_latency_ratio=8)
+_REC_DIGITS = dict(call_coverage=11, A_kernel_energy_j=13, A_total_j=13, A_ratio=9, A_residual_j=13, A_residual_frac=9, A_kernel_latency_s=13,
+                   A_latency_ratio=9, B_kernel_energy_j=13, B_total_j=13, B_ratio=9, B_residual_frac=9, B_call_coverage=11, B_kernel_latency_s=13, B_latency_ratio=9)
 
 
 @query("reconcile", "SELECT * FROM rec", **_REC_DIGITS)
@@ -733,7 +733,7 @@ def _(t):
 
 
 @query("reconcile_summary", "SELECT gpu_key, model, steps, e2e_energy_j, A_total_j, B_total_j, A_ratio, B_ratio, A_residual_frac, busy_fraction, call_coverage, profiler_coverage, A_latency_ratio, B_latency_ratio FROM rec",
-       **{c: _REC_DIGITS[c] for c in ("e2e_energy_j", "A_total_j", "B_total_j", "A_ratio", "B_ratio", "A_residual_frac", "busy_fraction", "call_coverage", "A_latency_ratio", "B_latency_ratio")})
+       **{c: _REC_DIGITS[c] for c in ("A_total_j", "B_total_j", "A_ratio", "B_ratio", "A_residual_frac", "call_coverage", "A_latency_ratio", "B_latency_ratio")})
 def _(t):
     return rec.summarise(_reconciled(t))
 
@@ -753,7 +753,7 @@ def _(t):
     return rec.step_model(_reconciled(t))
 
 
-@query("sum_over_calls", "SELECT c.run_id, coalesce(sum(d.energy_j*c.calls), 0) AS energy, CAST(coalesce(sum(c.calls) FILTER (d.energy_j IS NOT NULL), 0) AS BIGINT) AS matched, CAST(coalesce(sum(c.calls) FILTER (d.energy_j IS NULL), 0) AS BIGINT) AS missing FROM calls c JOIN runs r ON r.run_id = c.run_id LEFT JOIN reliable d ON d.kernel_sig = c.kernel_sig AND d.gpu_key = r.gpu_key GROUP BY c.run_id", energy=9)
+@query("sum_over_calls", "SELECT c.run_id, coalesce(sum(d.energy_j*c.calls), 0) AS energy, CAST(coalesce(sum(c.calls) FILTER (d.energy_j IS NOT NULL), 0) AS BIGINT) AS matched, CAST(coalesce(sum(c.calls) FILTER (d.energy_j IS NULL), 0) AS BIGINT) AS missing FROM calls c JOIN runs r ON r.run_id = c.run_id LEFT JOIN reliable d ON d.kernel_sig = c.kernel_sig AND d.gpu_key = r.gpu_key GROUP BY c.run_id", energy=13)
 def _(t):
     calls = t.e2e_calls.join(t.e2e_runs.select("run_id", "gpu_key"), "run_id")
     return rec.sum_over_calls(calls, _reliable(t), ["run_id"], {"energy_j": "energy"})
@@ -803,7 +803,7 @@ def _recon_sql(idle: str) -> str:
 
 
 CTES["mcalls"] = "SELECT c.kernel_sig, r.model, k.category, sum(c.calls) AS calls FROM calls c JOIN runs r ON r.run_id = c.run_id JOIN kernels k ON k.kernel_sig = c.kernel_sig GROUP BY ALL"
-_RECON_DIGITS = dict(e2e_energy_j=9, kernel_sum_energy_j=5, kernel_sum_latency_s=6, reconstructed_energy_j=5, energy_ratio=3, latency_ratio=4, catalogue_call_coverage=9)
+_RECON_DIGITS = dict(kernel_sum_energy_j=7, kernel_sum_latency_s=8, reconstructed_energy_j=7, energy_ratio=6, latency_ratio=7, catalogue_call_coverage=9)
 
 
 @query("reconstruct_run", _recon_sql("r.latency_s"), **_RECON_DIGITS)
@@ -925,7 +925,7 @@ def _(t):
     return ext.transfer_table(ext.with_hybrid(t.transfer_preds), small=False)
 
 
-@query("transfer_cells", "SELECT operator, gpu_key, count(*) AS n_test, (SELECT count(*) FROM tp o WHERE o.operator = p.operator) - count(*) AS n_train, CASE WHEN count(*) < 1000 THEN 'too few rows' ELSE 'evaluated' END AS status FROM tp p GROUP BY ALL")
+@query("transfer_cells", "SELECT operator, gpu_key, n_test, CAST(sum(n_test) OVER (PARTITION BY operator) - n_test AS BIGINT) AS n_train, CASE WHEN n_test < 1000 THEN 'too few rows' ELSE 'evaluated' END AS status FROM (SELECT operator, gpu_key, count(*) AS n_test FROM tp GROUP BY ALL)")
 def _(t):
     return ext.transfer_cells(t.transfer_preds, min_test=1000)
 
@@ -963,7 +963,7 @@ def _(t):
     return seeds.seed_summary(t.seed_runs.filter(F.col("arm") == "a"))
 
 
-_P = "(list_sum([factorial(n)/(factorial(k)*factorial(n - k)) for k in range(w, n + 1)])/power(2, n))"
+_P = "(list_sum([factorial(CAST(n AS INTEGER))/(factorial(CAST(k AS INTEGER))*factorial(CAST(n - k AS INTEGER))) for k in range(w, n + 1)])/power(2, n))"
 
 
 def _arms(t):

@@ -43,6 +43,14 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
         return False
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal few rows over all cores ahead of work that is heavy per row.
+
+    The explicit count keeps adaptive execution from folding a small table into one task.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a scratch one in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
