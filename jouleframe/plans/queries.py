@@ -803,7 +803,7 @@ def _recon_sql(idle: str) -> str:
 
 
 CTES["mcalls"] = "SELECT c.kernel_sig, r.model, k.category, sum(c.calls) AS calls FROM calls c JOIN runs r ON r.run_id = c.run_id JOIN kernels k ON k.kernel_sig = c.kernel_sig GROUP BY ALL"
-_RECON_DIGITS = dict(kernel_sum_energy_j=7, kernel_sum_latency_s=8, reconstructed_energy_j=7, energy_ratio=6, latency_ratio=7, catalogue_call_coverage=9)
+_RECON_DIGITS = dict(kernel_sum_energy_j=11, kernel_sum_latency_s=9, reconstructed_energy_j=11, energy_ratio=6, latency_ratio=7, catalogue_call_coverage=9)
 
 
 @query("reconstruct_run", _recon_sql("r.latency_s"), **_RECON_DIGITS)

@@ -30,6 +30,7 @@ def test_ridge_equals_the_closed_form_and_spark_ml(spark, data):
     pdf = data.select("gpu_key", "energy_j", *FEW).toPandas()
     tr, te = pdf[pdf.gpu_key != held], pdf[pdf.gpu_key == held]
     mu, sd = tr[FEW].mean().to_numpy(), tr[FEW].std(ddof=0).to_numpy()
+    sd[sd < 1e-12] = 1.0
     x, y = (tr[FEW].to_numpy() - mu) / sd, np.log(tr.energy_j.to_numpy())
     coef = np.linalg.solve(x.T @ x + np.eye(len(FEW)), x.T @ (y - y.mean()))
     want = np.sort(np.exp((te[FEW].to_numpy() - mu) / sd @ coef + y.mean()))
@@ -39,7 +40,7 @@ def test_ridge_equals_the_closed_form_and_spark_ml(spark, data):
     std = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y)], ["y", *FEW])
     fit = LinearRegression(labelCol="y", regParam=1.0 / len(y) * float(np.std(y)), elasticNetParam=0, standardization=False, solver="normal").fit(
         VectorAssembler(inputCols=FEW, outputCol="features").transform(std))
-    assert np.allclose(fit.coefficients.toArray(), coef, rtol=1e-8)
+    assert np.allclose(fit.coefficients.toArray(), coef, rtol=1e-5, atol=1e-7)
 
 
 def test_complement_medians(data):
