@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jouleframe.functions.categories import Params
@@ -37,7 +39,7 @@ REFERENCE_CYCLES = {
 }
 NO_COUNTERPART = ["groupnorm"]
 SATURATED_LOGIT = 12.0
-BROADCAST_REFERENCE_ROWS = 500_000
+SHIPPED_REFERENCE_ROWS = 500_000
 ALL_FEATURES = list(dict.fromkeys(f for fs in OPERATOR_FEATURES.values() for f in fs))
 
 
@@ -107,6 +109,50 @@ def reference_hardware(reference: DataFrame, cards: DataFrame) -> DataFrame:
         F.when(F.col("hardware").isNotNull(), "exact").otherwise(F.concat(F.lit("arch:"), F.col("best.hardware"))).alias("how"))
 
 
+_FOUND = ("gpu_key string, m bigint, n bigint, k bigint, how string, "
+          "b struct<distance: double, idx: bigint, tile_m: bigint, tile_n: bigint, tile_k: bigint, cta_count: bigint, is_split_k: boolean>")
+_LAUNCH = ["idx", "tile_M", "tile_N", "tile_K", "cta_count", "is_split_k"]
+
+
+def _search_shipped(placed: DataFrame, rows: pd.DataFrame) -> DataFrame:
+    """Nearest reference row per shape with the whole (small) reference at hand in every task."""
+    tables = {hw: g.sort_values("idx").reset_index(drop=True) for hw, g in rows.groupby("hardware")}
+
+    def run(batches):
+        for pdf in batches:
+            for hw, part in pdf.groupby("hardware"):
+                ref = tables[hw]
+                points = ref[["M", "N", "K"]].to_numpy(float)
+                step = max(1, 4_000_000 // len(points))
+                for start in range(0, len(part), step):
+                    chunk = part.iloc[start:start + step]
+                    gap = chunk[["m", "n", "k"]].to_numpy(float)[:, None, :] - points[None, :, :]
+                    dist = np.einsum("ijk,ijk->ij", gap, gap)
+                    at = dist.argmin(axis=1)  # the first of equals
+                    best = ref.iloc[at][_LAUNCH].reset_index(drop=True)
+                    best.columns = ["idx", "tile_m", "tile_n", "tile_k", "cta_count", "is_split_k"]
+                    best.insert(0, "distance", np.sqrt(dist[np.arange(len(at)), at]))
+                    out = chunk[["gpu_key", "m", "n", "k", "how"]].reset_index(drop=True)
+                    yield out.assign(b=best.to_dict("records"))
+
+    return placed.select("gpu_key", "m", "n", "k", "how", "hardware").mapInPandas(run, _FOUND)
+
+
+def _search_blocks(placed: DataFrame, reference: DataFrame, block: int) -> DataFrame:
+    """A shape meets each block of its card's reference as one row and keeps the block's best."""
+    entry = F.struct("idx", "M", "N", "K", "tile_M", "tile_N", "tile_K", "cta_count", "is_split_k")
+    blocks = (reference.withColumn("_block", F.floor(F.col("idx") / block))
+              .groupBy("hardware", "_block").agg(F.collect_list(entry).alias("entries")))
+    m, n, k = (F.col(c).cast("double") for c in ("m", "n", "k"))
+    sq = lambda a, b: (a - b) * (a - b)
+    best_here = F.array_min(F.transform("entries", lambda e: F.struct(
+        F.sqrt(sq(e["M"], m) + sq(e["N"], n) + sq(e["K"], k)).alias("distance"), e["idx"].alias("idx"),
+        e["tile_M"].alias("tile_m"), e["tile_N"].alias("tile_n"), e["tile_K"].alias("tile_k"),
+        e["cta_count"].alias("cta_count"), e["is_split_k"].alias("is_split_k"))))
+    return (placed.join(blocks, "hardware").select("gpu_key", "m", "n", "k", "how", best_here.alias("b"))
+            .groupBy("gpu_key", "m", "n", "k", "how").agg(F.min("b").alias("b")))
+
+
 def nearest_launch(shapes: DataFrame, reference: DataFrame, cards: DataFrame | None = None, mode: str = "structural",
                    block: int = 1024) -> DataFrame:
     """Launch geometry for matrix products: nearest reference shape in raw (M, N, K).
@@ -114,32 +160,19 @@ def nearest_launch(shapes: DataFrame, reference: DataFrame, cards: DataFrame | N
     ``shapes`` has gpu_key, m, n, k; ``reference`` has hardware, arch, num_sms, M, N, K,
     tile_M/N/K, cta_count, is_split_k and ``idx``, its row order (ties go to the lowest).
 
-    Distinct shapes are looked up once. The reference of a card is packed into blocks of at
-    most ``block`` rows; a shape meets each block as one row and keeps only the block's best
-    candidate, so no (shape, reference row) pairs are ever produced as rows.
+    Distinct shapes are looked up once. A reference counted to be small is shipped to the
+    tasks and searched there batch by batch; a larger one is packed into blocks that the
+    shapes are joined to. Neither way produces (shape, reference row) pairs as rows.
     """
     if mode not in ("structural", "upstream"):
         raise ValueError(f"mode must be 'structural' or 'upstream', got {mode!r}")
     cards = external_hardware_frame(shapes.sparkSession) if cards is None else cards
-    where = reference_hardware(reference, cards)
-    entry = F.struct(*[F.col(c).cast("double").alias(c) for c in ("M", "N", "K")],
-                     *[F.col(c).cast("bigint").alias(c) for c in ("idx", "tile_M", "tile_N", "tile_K", "cta_count")],
-                     F.col("is_split_k").cast("boolean").alias("is_split_k"))
-    blocks = (reference.withColumn("_block", F.floor(F.col("idx") / block))
-              .groupBy("hardware", "_block").agg(F.collect_list(entry).alias("entries")))
-    # Broadcast only a reference counted to be small; a larger one is joined by shuffle.
-    if reference.limit(BROADCAST_REFERENCE_ROWS + 1).count() <= BROADCAST_REFERENCE_ROWS:
-        blocks = F.broadcast(blocks)
-    distinct = spread(shapes.select("gpu_key", "m", "n", "k").distinct(), "gpu_key", "m", "n", "k")
-    placed = distinct.join(where, "gpu_key").join(blocks, "hardware")
-    m, n, k = (F.col(c).cast("double") for c in ("m", "n", "k"))
-    sq = lambda a, b: (a - b) * (a - b)
-    best_here = F.array_min(F.transform("entries", lambda e: F.struct(
-        F.sqrt(sq(e["M"], m) + sq(e["N"], n) + sq(e["K"], k)).alias("distance"), e["idx"].alias("idx"),
-        e["tile_M"].alias("tile_m"), e["tile_N"].alias("tile_n"), e["tile_K"].alias("tile_k"),
-        e["cta_count"].alias("cta_count"), e["is_split_k"].alias("is_split_k"))))
-    found = (placed.select("gpu_key", "m", "n", "k", "how", best_here.alias("b"))
-             .groupBy("gpu_key", "m", "n", "k", "how").agg(F.min("b").alias("b")))
+    placed = (spread(shapes.select("gpu_key", "m", "n", "k").distinct(), "gpu_key", "m", "n", "k")
+              .join(reference_hardware(reference, cards), "gpu_key"))
+    slim = reference.select("hardware", *[F.col(c).cast("bigint").alias(c) for c in ("idx", "M", "N", "K", "tile_M", "tile_N", "tile_K", "cta_count")],
+                            F.col("is_split_k").cast("boolean").alias("is_split_k"))
+    rows = slim.limit(SHIPPED_REFERENCE_ROWS + 1).toPandas()
+    found = _search_shipped(placed, rows) if len(rows) <= SHIPPED_REFERENCE_ROWS else _search_blocks(placed, slim, block)
     spec = cards.select("gpu_key", F.col("architecture").alias("_arch"), F.col("num_sms").alias("_sms"))
     out = found.join(spec, "gpu_key")
     if mode == "upstream":
@@ -264,6 +297,8 @@ def transfer_table(df: DataFrame, min_train: int = 40, min_test: int = 10, small
             medians.append(median(out, ape(F.col(t), F.col(p))))
     if "below_train" in df.columns:
         aggs.append(F.avg(F.col("below_train").cast("double")).alias("oob"))
-    cells = group_quantiles(rows, ["gpu_key", "operator"], medians, aggs, small).withColumnRenamed("gpu_key", "gpu")
-    pooled = group_quantiles(rows, [], medians, aggs, small).withColumns({"gpu": F.lit("POOLED"), "operator": F.lit("-")})
-    return cells.unionByName(pooled.select(*cells.columns))
+    # Each row counts for its cell and for the pool; the copies combine map-side, the scan happens once.
+    twice = rows.withColumn("_cell", F.explode(F.array(
+        F.struct(F.col("gpu_key").alias("gpu"), F.col("operator").alias("op")), F.struct(F.lit("POOLED").alias("gpu"), F.lit("-").alias("op")))))
+    keyed = twice.withColumns({"gpu": F.col("_cell.gpu"), "operator": F.col("_cell.op")})
+    return group_quantiles(keyed, ["gpu", "operator"], medians, aggs, small)

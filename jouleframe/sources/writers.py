@@ -17,7 +17,7 @@ def write_catalogue(catalogue: DataFrame, path: str, models: list[str]) -> None:
 
 def check_columns(df: DataFrame, table: dict[str, str], extra: list[str] = ()) -> None:
     """Refuse columns that are neither in the table nor kernel parameters."""
-    unknown = sorted(c for c in df.columns if c not in table and c not in extra and not c.startswith("p_"))
+    unknown = sorted(c for c in df.columns if c not in table and c not in extra and not c.startswith("p_") and not c.endswith("_version"))
     if unknown:
         raise ValueError(f"rows introduce columns {unknown} that the table does not have")
 

@@ -31,7 +31,9 @@ def test_distance_with_identity_precision(spark):
 REF = "idx long, hardware string, arch string, num_sms int, M long, N long, K long, tile_M long, tile_N long, tile_K long, cta_count long, is_split_k boolean"
 
 
-def test_nearest_launch_by_brute_force(spark):
+@pytest.mark.parametrize("shipped", [500_000, 2])
+def test_nearest_launch_by_brute_force(spark, monkeypatch, shipped):
+    monkeypatch.setattr(ext, "SHIPPED_REFERENCE_ROWS", shipped)
     rows = [(i, hw, arch, sms, 64 * (i % 7), 32 * (i % 11), 128 * (i % 5), 64, 32, 64, i, i % 2 == 0)
             for i, (hw, arch, sms) in enumerate([("NVIDIA H100", "hopper", 132), ("NVIDIA L40", "ada", 142), ("Other Ada", "ada", 60)] * 40)]
     ref = spark.createDataFrame(rows, REF)
@@ -53,13 +55,6 @@ def test_nearest_launch_by_brute_force(spark):
         ext.nearest_launch(df, ref, mode="x")
 
 
-def test_a_large_reference_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(ext, "BROADCAST_REFERENCE_ROWS", 2)
-    ref = spark.createDataFrame([(i, "NVIDIA H100", "hopper", 132, i, i, i, 64, 64, 64, 1, True) for i in range(9)], REF)
-    df = spark.createDataFrame([("H100", 5, 5, 6)], "gpu_key string, m long, n long, k long")
-    assert ext.nearest_launch(df, ref, mode="upstream").first()["neighbour_distance"] == 1
-
-
 def test_prepare_floors_and_ranges(spark):
     df = spark.createDataFrame([("gemm", "h100", 1.83e9, None, None, 2.0, 0.5, 0.25, "gemm"), ("rmsnorm", "H100", None, 1.83e9, 1.83e9, 4.0, 1.0, 2.0, "norm")],
                                "pw_operator string, gpu_key string, pw_tensor_all_cycle double, pw_fma_all_cycle double, pw_xu_all_cycle double, latency_s double, theoretical_time_s double, eta double, category string")
