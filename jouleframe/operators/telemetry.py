@@ -63,6 +63,27 @@ def trapezoid_energy(samples: DataFrame, keys: list[str], slice_s: int = SLICE_S
             .agg(F.sum(F.coalesce("_inner", F.lit(0.0)) + F.coalesce("_bridge", F.lit(0.0))).alias("energy_integrated_j")))
 
 
+def with_sessions(samples: DataFrame, keys: list[str], gap: str, slice_s: int = SLICE_SECONDS, out: str = "session") -> DataFrame:
+    """Number each group's runs of samples separated by silence of at least ``gap``.
+
+    Breaks are counted inside time slices and the slices are numbered through, so a group
+    that never falls silent is still spread over tasks.
+    """
+    t = F.unix_micros("ts")
+    cut = samples.withColumns({"_t": t, "_slice": F.floor(t / (slice_s * 1_000_000))})
+    broken = lambda before, now: F.expr(f"CAST(unix_micros(timestamp_micros({before}) + INTERVAL {gap}) <= {now} AS INT)")
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_t")
+    marked = cut.withColumn("_prev", F.lag("_t").over(inside)).withColumn("_brk", F.coalesce(broken("_prev", "_t"), F.lit(0)))
+    slices = marked.groupBy(*keys, "_slice").agg(F.sum("_brk").alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_slice")
+    edged = slices.withColumn("_prev", F.lag("_last").over(along)).withColumn("_edge", F.coalesce(broken("_prev", "_first"), F.lit(1)))
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = edged.select(*keys, "_slice", (F.sum(F.col("_edge") + F.col("_n")).over(upto) - F.col("_n")).alias("_base"))
+    running = F.sum("_brk").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = marked.withColumn("_in", running).join(offsets, [*keys, "_slice"])
+    return numbered.withColumn(out, F.col("_base") + F.col("_in")).select(*samples.columns, out)
+
+
 def summarise_telemetry(samples: DataFrame, keys: list[str], slice_s: int = SLICE_SECONDS, tie: list[str] = (),
                         small: bool | None = None) -> DataFrame:
     """One row per window: power, clocks, temperature, throttling and both energy estimates."""

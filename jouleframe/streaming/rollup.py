@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jouleframe.operators.telemetry import sample_stats
+from jouleframe.operators.telemetry import sample_stats, summarise_telemetry, with_sessions
 
 
 def ordered_trapezoid(tie: list[str] = ()) -> Column:
@@ -36,11 +36,14 @@ def windowed_rollup(samples: DataFrame, keys: list[str], size: str, slide: str |
                     tie: list[str] = ()) -> DataFrame:
     """One summary per (event-time window, keys); works on a stream or a table alike.
 
-    Samples later than ``delay`` behind the newest one are dropped by the watermark.
+    On a stream, samples later than ``delay`` behind the newest one are dropped by the
+    watermark. A table is summarised slice by slice instead of holding a window's samples.
     """
-    marked = samples.withWatermark("ts", delay) if samples.isStreaming else samples
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    out = marked.groupBy(window.alias("w"), *keys).agg(*_aggregates(samples.columns, tie))
+    if not samples.isStreaming:
+        placed = samples.withColumn("_w", window).withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
+        return summarise_telemetry(placed, ["window_start", "window_end", *keys], tie=list(tie))
+    out = samples.withWatermark("ts", delay).groupBy(window.alias("w"), *keys).agg(*_aggregates(samples.columns, tie))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                       *[c for c in out.columns if c != "w"])
 
@@ -48,9 +51,13 @@ def windowed_rollup(samples: DataFrame, keys: list[str], size: str, slide: str |
 def run_rollup(samples: DataFrame, run: str = "run_id", keys: list[str] = ("gpu_key",), gap: str | None = None,
                delay: str = "1 minute", tie: list[str] = ()) -> DataFrame:
     """One summary per measured run; with ``gap``, runs are sessions separated by silence instead."""
-    marked = samples.withWatermark("ts", delay) if samples.isStreaming else samples
+    if not samples.isStreaming:
+        if not gap:
+            return summarise_telemetry(samples, [run, *keys], tie=list(tie))
+        spans = summarise_telemetry(with_sessions(samples, list(keys), gap), ["session", *keys], tie=list(tie))
+        return spans.drop("session")
     by = F.session_window("ts", gap).alias("w") if gap else F.col(run)
-    out = marked.groupBy(by, *keys).agg(*_aggregates(samples.columns, tie))
+    out = samples.withWatermark("ts", delay).groupBy(by, *keys).agg(*_aggregates(samples.columns, tie))
     if not gap:
         return out
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in out.columns if c != "w"])

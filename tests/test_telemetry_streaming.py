@@ -86,6 +86,11 @@ def test_runs_and_sessions(spark):
     df, _ = samples(spark)
     assert rollup.run_rollup(df.withColumn("run_id", F.lit("r1"))).count() == 2
     assert rollup.run_rollup(df.filter("gpu_key = 'hot'"), gap="3 days").count() == 1
+    native = df.groupBy(F.session_window("ts", "90 seconds"), "gpu_key").agg(F.count("*").alias("n"), F.avg("power_w").alias("p"))
+    want = sorted((r["gpu_key"], r["n"], round(r["p"], 9)) for r in native.collect())
+    for slice_s in (1, 60, 100_000):
+        split = tel.with_sessions(df, ["gpu_key"], "90 seconds", slice_s).groupBy("gpu_key", "session").agg(F.count("*").alias("n"), F.avg("power_w").alias("p"))
+        assert sorted((r["gpu_key"], r["n"], round(r["p"], 9)) for r in split.collect()) == want
 
 
 def test_ingest_resumes_without_duplicates(spark, tmp_path):
