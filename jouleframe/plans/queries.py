@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -556,7 +556,7 @@ def _(t):
     from jouleframe.plans.bindings import _telemetry
 
     events = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-    out = tempfile.mkdtemp(prefix="rollup-", dir=_local_or_shared(t.spark))
+    out = _fresh_folder(t.spark, "rollup")
     rolled = rollup.windowed_rollup(_telemetry(events), ["gpu_key"], "6 hours", delay="1 hour", tie=["event_id"])
     rollup.start_rollup(rolled, f"{out}/windows", f"{out}/state", available_now=True).awaitTermination()
     return rollup.read_rollup(t.spark, f"{out}/windows", ["gpu_key", "window_start"]).select(*_WIN_COLS)
@@ -571,7 +571,7 @@ def _(t):
             return facts if name == "lineitem" else super().raw(name)
 
     rows = Streamed(t.spark, t.dir).measured.withColumn("ts", F.col("ts").cast("timestamp"))
-    out = tempfile.mkdtemp(prefix="ingest-", dir=_local_or_shared(t.spark))
+    out = _fresh_folder(t.spark, "ingest")
     ingest.start_ingest(rows, f"{out}/rows", f"{out}/state", LATER, available_now=True).awaitTermination()
     return ingest.read_ingested(t.spark, f"{out}/rows", LATER).select(*_MERGE_COLS)
 
@@ -582,9 +582,9 @@ def _(t):
     return rollup.run_rollup(t.telemetry, gap="30 minutes", tie=["event_id"]).select("gpu_key", "n_samples", "power_mean_w")
 
 
-def _local_or_shared(spark):
-    root = shared_dir(spark)
-    return root.removeprefix("file:") if root.startswith(("/", "file:/")) else None
+def _fresh_folder(spark, prefix: str) -> str:
+    """A new folder under the one all executors reach."""
+    return f"{shared_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
 @query("summarise_repeats", """SELECT kernel_sig, gpu_key, median(latency_s)*1e6 AS latency_us, median(energy_j)*1e6 AS energy_uj, stddev_pop(latency_s)/greatest(avg(latency_s), 1e-30) AS latency_sd_rel,
