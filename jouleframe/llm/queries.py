@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jouleframe.llm import exact_dedup
+from jouleframe.llm import exact_dedup, licenses, mixing, toxicity
 from jouleframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,74 @@ SELECT doc_id,
 FROM t
 WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST)
 """
+
+
+# Production weights: domains, languages, and equal sources.
+WEIGHTS = {
+    "domain": F.expr("CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END"),
+    "lang": F.expr("CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END"),
+    "source": F.lit(1),
+}
+
+
+@query
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, a document in up to four epochs."""
+    picked = mixing.mix(table(spark, sf_dir, "documents"), F.floor(F.sum("tokens") / 2), WEIGHTS, max_epochs=4, seed=7)
+    return picked.select("doc_id", "domain", "lang", "source", "epoch", "tokens", "taken")
+
+
+def _share_sql(nodes: str, parent: str, budget: str, level: str) -> str:
+    by = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+  SELECT *, CAST(part + CASE WHEN NOT is_full AND weight > 0 AND part < cap
+      AND sum(CASE WHEN NOT is_full AND weight > 0 THEN 1 ELSE 0 END) OVER ({by} ORDER BY full_at, {level} ROWS UNBOUNDED PRECEDING)
+          <= {budget} - sum(part) OVER ({by}) THEN 1 ELSE 0 END AS BIGINT) AS got
+  FROM (SELECT *, least(CAST(CASE WHEN is_full THEN cap WHEN opened = 0 THEN 0
+            ELSE floor(CAST(left_over AS DOUBLE) * CAST(weight AS DOUBLE) / CAST(opened AS DOUBLE)) END AS BIGINT), cap) AS part
+  FROM (SELECT *, CAST({budget} - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({by}) AS BIGINT) AS left_over,
+               CAST(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}) AS BIGINT) AS opened
+  FROM (SELECT *, weight > 0 AND CAST(cap AS DOUBLE) * CAST(w AS DOUBLE) <= (CAST({budget} AS DOUBLE) - CAST(used AS DOUBLE)) * CAST(weight AS DOUBLE) AS is_full
+  FROM (SELECT *, coalesce(sum(cap) OVER ({by} ORDER BY full_at, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+               sum(weight) OVER ({by} ORDER BY full_at, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w
+  FROM (SELECT *, CAST(cap AS DOUBLE) / CAST(weight AS DOUBLE) AS full_at FROM {nodes})))))"""
+
+
+def mixing_sql(fraction: str, max_epochs: int, seed: int, documents: str = "documents") -> str:
+    """CTEs up to ``picked``: one row per document and epoch."""
+    return f"""
+d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+   CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]+)', 1) = '' THEN 'd'
+        ELSE 'd' || (CAST(right(regexp_extract(coalesce(source, ''), '([0-9]+)', 1), 1) AS INTEGER) % 4) END AS domain,
+   CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 4)) AS BIGINT) AS tokens FROM {documents}),
+leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {max_epochs} AS BIGINT) AS cap FROM d GROUP BY ALL),
+n1 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS weight,
+   (SELECT CAST(least({fraction}, sum(cap)) AS BIGINT) FROM leaf) AS b FROM leaf GROUP BY domain),
+s1 AS ({_share_sql('n1', '', 'b', 'domain')}),
+n2 AS (SELECT domain, lang, CAST(sum(leaf.cap) AS BIGINT) AS cap, CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight,
+   any_value(s1.got) AS b FROM leaf JOIN s1 USING (domain) GROUP BY domain, lang),
+s2 AS ({_share_sql('n2', 'domain', 'b', 'lang')}),
+n3 AS (SELECT domain, lang, source, leaf.cap, leaf.tokens, 1 AS weight, s2.got AS b FROM leaf JOIN s2 USING (domain, lang)),
+s3 AS ({_share_sql('n3', 'domain, lang', 'b', 'source')}),
+plan AS (SELECT domain, lang, source, got // tokens AS full_epochs, got % tokens AS rest FROM s3),
+x AS (SELECT * FROM d JOIN plan USING (domain, lang, source)),
+placed AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY
+     md5('{seed}:' || full_epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, tokens
+     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM x),
+picked AS (
+  SELECT doc_id, domain, lang, source, CAST(unnest(range(full_epochs)) AS INTEGER) AS epoch, tokens, tokens AS taken FROM x
+  UNION ALL
+  SELECT doc_id, domain, lang, source, CAST(full_epochs AS INTEGER), tokens, CAST(least(tokens, rest - at) AS BIGINT) FROM placed WHERE at < rest)"""
+
+
+ORACLES["op9_mix_sources"] = f"WITH {mixing_sql('(SELECT floor(sum(tokens) / 2) FROM leaf)', 4, 7)} SELECT * FROM picked"
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
