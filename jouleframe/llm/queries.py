@@ -89,11 +89,11 @@ plan AS (SELECT domain, lang, source, got // tokens AS full_epochs, got % tokens
 x AS (SELECT * FROM d JOIN plan USING (domain, lang, source)),
 placed AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY
      md5('{seed}:' || full_epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, tokens
-     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM x),
+     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM x),
 picked AS (
   SELECT doc_id, domain, lang, source, CAST(unnest(range(full_epochs)) AS INTEGER) AS epoch, tokens, tokens AS taken FROM x
   UNION ALL
-  SELECT doc_id, domain, lang, source, CAST(full_epochs AS INTEGER), tokens, CAST(least(tokens, rest - at) AS BIGINT) FROM placed WHERE at < rest)"""
+  SELECT doc_id, domain, lang, source, CAST(full_epochs AS INTEGER), tokens, CAST(least(tokens, rest - place) AS BIGINT) FROM placed WHERE place < rest)"""
 
 
 ORACLES["op9_mix_sources"] = f"WITH {mixing_sql('(SELECT floor(sum(tokens) / 2) FROM leaf)', 4, 7)} SELECT * FROM picked"
