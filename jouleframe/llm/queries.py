@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jouleframe.llm import exact_dedup, licenses, mixing, packing, pages, secrets, toxicity
+from jouleframe.llm import exact_dedup, licenses, mixing, near_dedup, packing, pages, secrets, toxicity
 from jouleframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,15 @@ def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "cluster_id", "cluster_size", "kept")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module's weights
+
+    return corpus_pipeline.run(spark, sf_dir)
