@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jouleframe.llm import exact_dedup, licenses, mixing, near_dedup, neighbours, packing, pages, secrets, toxicity
+from jouleframe.llm import brown, exact_dedup, licenses, mixing, near_dedup, neighbours, packing, pages, secrets, toxicity
 from jouleframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scored(table(spark, sf_dir, "documents"))
