@@ -1,10 +1,11 @@
 """Toxicity scores from gradient-boosted trees over dense text features (operator 7).
 
-Features of a text: lexicon hits (density, number, variety, most in a window), hits near a
+Features of a text: lexicon hits (density, number, number of fixed insults, most in a window), hits near a
 second-person word, second-person rate, capitals, exclamation and other punctuation, digits,
 hits that only appear once obfuscation (leet signs, stretched or starred letters) is undone,
 and the rate of words that mix letters with digits or signs. The lexicon is a short fixed
-list of insults plus words that the labelled texts show to be as telling. Trees are boosted
+list of insults plus words and word beginnings that the labelled texts show to be as telling
+(languages that inflect or compound rarely repeat a whole word). Trees are boosted
 on three of the five folds of ``doc_id``; a fourth, unseen by the trees and the lexicon,
 calibrates their output with isotonic regression; the fifth stays held out.
 
@@ -13,8 +14,8 @@ scoring covers every row and its whole text. Labels, language, source and identi
 enter a score.
 
 Defined results: a null or empty text has zero features and gets the model's score for
-them. Without labelled rows of both kinds to learn from, the score is the share of hits of
-the fixed lexicon. Repeated labels of one ``doc_id`` count once, toxic if one is. A null
+them. Without labelled rows of both kinds to learn from, the score is half the number of
+fixed insults, 1 at most. Repeated labels of one ``doc_id`` count once, toxic if one is. A null
 ``doc_id`` is held out. An empty table gives no rows.
 """
 
@@ -35,8 +36,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 from jouleframe.llm.common import keep, text_of
 
 FIT_ROWS = 20_000      # most labelled rows used for fitting
-LEXICON_WORDS = 200    # most learned lexicon words
-MIN_TEXTS = 6          # different toxic texts that must hold a learned word
+LEXICON_WORDS = 200    # most learned lexicon entries
+MIN_TEXTS = 6          # different toxic texts that must hold a learned entry
+CLEAN_WEIGHT = 9       # texts that are toxic for each one that is not
+STEMS = range(3, 9)    # letters of a word beginning
+CACHED = 300_000
 FOLDS, CALIBRATION = 5, 1
 WINDOW, NEAR = 25, 5   # words
 PREFIX = "__tox_"
@@ -48,7 +52,7 @@ INSULTS = ("idiot idiots moron morons stupid dumb dumbass loser losers trash scu
 SECOND_PERSON = "you your yours yourself u ur youre du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted vosotros".split()
 LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
-FEATURES = ["density", "hits", "variety", "most_near", "at_second_person", "second_person", "capitals", "exclaims", "punctuation", "digits",
+FEATURES = ["density", "hits", "insults", "most_near", "at_second_person", "second_person", "capitals", "exclaims", "punctuation", "digits",
             "hidden_hits", "mixed_words", "length"]
 
 
@@ -67,29 +71,44 @@ STRETCHED, STARRED = re.compile(rb"([a-z])\1{2,}"), re.compile(rb"[a-z]+(?:\*+[a
 _SIGNS = np.array([not chr(c).isalnum() and c > 32 for c in range(128)] + [False] * 128)
 
 
-def _hidden(low: bytes, lexicon: set[bytes], plain: int) -> int:
+class Lexicon(dict):
+    """2 for a fixed insult, 1 for a learned word, else 0; entries end in ``!``, ``$`` (whole words) or ``*`` (beginnings)."""
+
+    def __init__(self, entries: list[str]):
+        super().__init__()
+        self.fixed = {e[:-1].encode() for e in entries if e[-1] == "!"}
+        self.whole = self.fixed | {e[:-1].encode() for e in entries if e[-1] == "$"}
+        self.stems = {e[:-1] for e in entries if e[-1] == "*"}
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        letters = word.decode("utf-8", "replace")
+        self[word] = hit = (word in self.fixed) + (word in self.whole or any(letters[:k] in self.stems for k in STEMS if len(letters) > k))
+        return hit
+
+
+def _hidden(low: bytes, lexicon: Lexicon, plain: int) -> int:
     """Hits that show only once obfuscation is undone."""
     text = STRETCHED.sub(rb"\1", low) if STRETCHED.search(low) else low
-    words = text.translate(UNLEET).split()
-    found = sum(w in lexicon for w in words) if not lexicon.isdisjoint(words) else 0
+    found = sum(map(bool, map(lexicon.__getitem__, text.translate(UNLEET).split()))) if text is not low or HIDING.search(low) else plain
     stars = 0
     for w in STARRED.findall(low) if b"*" in low else ():
         shape = re.compile(re.sub(rb"\*+", rb"[a-z]+", w) + rb"\Z")
-        stars += any(shape.match(x) for x in lexicon if len(x) >= 4)
+        stars += any(shape.match(x) for x in lexicon.whole if len(x) >= 4)
     return max(found - plain, 0) + stars
 
 
-def features_of(text: str, lexicon: set[bytes], second: set[bytes]) -> list[float]:
+def features_of(text: str, lexicon: Lexicon, second: set[bytes]) -> list[float]:
     raw = text.encode("utf-8", "surrogatepass")
     bins = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    # ASCII letters are lowered by bytes; others only where the lexicon could need it.
-    low = raw.lower()
+    low = text.lower().encode("utf-8", "surrogatepass")
     words = low.translate(PLAIN).split()
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    hits = [i for i, w in enumerate(words) if w in lexicon] if not lexicon.isdisjoint(words) else []
-    spoken = [i for i, w in enumerate(words) if w in second] if not second.isdisjoint(words) else []
+    hits = [i for i, hit in enumerate(map(lexicon.__getitem__, words)) if hit]
+    spoken = [i for i, w in enumerate(words) if w in second] if hits or not second.isdisjoint(words) else []
     near = most = 0
     if hits:
         at = np.array(hits)
@@ -101,21 +120,23 @@ def features_of(text: str, lexicon: set[bytes], second: set[bytes]) -> list[floa
             near = int((gap <= NEAR).sum())
     letters, size = bins[65:91].sum() + bins[97:123].sum(), len(raw)
     mixed = len(MIXED.findall(low)) if bins[48:58].any() or bins[[36, 64]].any() else 0
-    return [100.0 * len(hits) / n, float(len(hits)), float(len({words[i] for i in hits})), float(most), float(near), 100.0 * len(spoken) / n,
+    return [100.0 * len(hits) / n, float(len(hits)), float(sum(lexicon[words[i]] == 2 for i in hits)), float(most), float(near), 100.0 * len(spoken) / n,
             bins[65:91].sum() / max(letters, 1), 100.0 * bins[33] / size, 100.0 * (bins[_SIGNS].sum() - bins[33]) / size, 100.0 * bins[48:58].sum() / size,
             float(_hidden(low, lexicon, len(hits))), 100.0 * mixed / n, float(np.log1p(n))]
 
 
+HIDING = re.compile(rb"[a-z][0134579@$!]|[0134579@$!][a-z]")
 MIXED = re.compile(rb"[a-z](?=[0-9@$])")
 
 
 def feature_udf(lexicon: list[str]):
-    words, second = {w.encode() for w in lexicon}, {w.encode() for w in SECOND_PERSON}
+    second = {w.encode() for w in SECOND_PERSON}
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Lexicon(lexicon)
         for texts in batches:
-            yield pd.Series([features_of(t or "", words, second) for t in texts])
+            yield pd.Series([features_of(t or "", known, second) for t in texts])
 
     return features
 
@@ -124,14 +145,38 @@ def fold(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
 
 
-def learned_words(fit: DataFrame) -> list[str]:
-    """Words of the fitting rows that are held mostly by toxic texts; each different text counts once."""
-    texts = fit.dropDuplicates(["hash", "toxic"])
-    words = F.array_distinct(F.split(F.lower(text_of()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    by = texts.select("toxic", F.explode(words).alias("word")).where(F.length("word").between(3, 30)).groupBy("word").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    top = by.where((F.col("t") >= MIN_TEXTS) & (F.col("t") >= 4 * F.col("c"))).orderBy(F.desc(F.col("t") - 4 * F.col("c")), "word").limit(LEXICON_WORDS)
-    return [r.word for r in top.collect()]
+def with_sketch(rows: DataFrame) -> DataFrame:
+    """Adds the smallest hash of three words in a row: near copies mostly share it, other texts do not."""
+    # The words are a column of their own, or each step of the transform would split the text again.
+    x = rows.withColumn("words", F.split(F.lower(text_of()), r"\s+"))
+    grams = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+    return x.withColumn("sketch", F.array_min(grams)).drop("words")
+
+
+def learned_entries(fit: DataFrame) -> list[str]:
+    """Words and beginnings that are held mostly by toxic texts; near copies of a text count once."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
+        for batch in batches:
+            for toxic, text in zip(batch["toxic"], batch["text"]):
+                words = {w.decode("utf-8", "replace") for w in text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split() if 3 <= len(w) <= 40}
+                for entry in {w + "$" for w in words} | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}:
+                    held.setdefault(entry, [0, 0])[toxic] += 1
+            if len(held) > CACHED:
+                yield pd.DataFrame([(e, *n) for e, n in held.items()], columns=["entry", "c", "t"])
+                held = {}
+        yield pd.DataFrame([(e, *n) for e, n in held.items()], columns=["entry", "c", "t"])
+
+    texts = fit.dropDuplicates(["sketch", "toxic"]).select("toxic", text_of().alias("text"))
+    by = texts.mapInPandas(count, "entry string, c long, t long").groupBy("entry").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    worth = F.col("t") - CLEAN_WEIGHT * F.col("c")
+    top = by.where((F.col("t") >= MIN_TEXTS) & (worth >= 0)).orderBy(F.desc(worth), F.length("entry"), "entry").limit(10 * LEXICON_WORDS).collect()
+    out: list[str] = []
+    for r in top:
+        if not any(r.entry.startswith(e[:-1]) for e in out if e[-1] == "*") and len(out) < LEXICON_WORDS:
+            out.append(r.entry)
+    return out
 
 
 @dataclass
@@ -144,7 +189,7 @@ class ToxicityModel:
         """``docs`` with the calibrated score of each whole text; rows are not moved."""
         x = docs.withColumn(PREFIX + "f", feature_udf(self.lexicon)(text_of()))
         if self.trees is None:
-            return x.withColumn(out, F.least(F.lit(1.0), F.col(PREFIX + "f")[1] / 4)).select(*docs.columns, out)
+            return x.withColumn(out, F.least(F.lit(1.0), F.col(PREFIX + "f")[2] / 2)).select(*docs.columns, out)
         x = self.trees.transform(x.withColumn(PREFIX + "v", array_to_vector(PREFIX + "f")))
         x = x.withColumn(PREFIX + "p", vector_to_array(PREFIX + "prob")[1])
         return self.isotonic.transform(x).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), PREFIX + "cal"))).select(*docs.columns, out)
@@ -155,11 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: in
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     # At most ``fit_rows`` narrow rows, so the broadcast has a fixed bound.
-    rows = keep(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-                .select("doc_id", "text", "toxic", fold().alias("fold"), F.xxhash64(text_of()).alias("hash")), "labelled")
+    rows = keep(with_sketch(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("fold", fold())), "labelled")
     train = rows.where(F.col("fold") != CALIBRATION)
     kinds = {r.toxic for r in train.select("toxic").distinct().collect()}
-    lexicon = sorted({*INSULTS, *(learned_words(train) if len(kinds) == 2 else [])})
+    lexicon = sorted({*(w + "!" for w in INSULTS), *(learned_entries(train) if len(kinds) == 2 else [])})
     rows = rows.withColumn(PREFIX + "v", array_to_vector(feature_udf(lexicon)(text_of())))
     rows = keep(rows.select("toxic", "fold", PREFIX + "v"), "features")
     train, held = rows.where(F.col("fold") != CALIBRATION), rows.where(F.col("fold") == CALIBRATION)
