@@ -28,6 +28,7 @@ from jouleframe.llm.common import LOCATOR, located, text_of
 K = 3
 GAP = 4        # words by which neighbouring diagonals of one span may differ
 COVER = 0.6    # least share of a template's grams that a span must cover
+SHORT = 12     # templates of so few grams must be covered as a whole
 STRETCH = 1.5  # most words of a span per word of the template
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -118,7 +119,11 @@ def spans(found: DataFrame) -> DataFrame:
         F.max(F.when(F.size("covered") == F.col("n_grams"), F.col("first"))).alias("last_whole"))
     cover = F.col("n_covered") / F.col("n_grams")
     fits = (F.col("end") - F.col("start") <= STRETCH * (F.col("n_grams") + K - 1)) | (F.col("whole") > 0)
-    return x.withColumn("cover", cover).withColumn("verified", (cover >= COVER) & fits & ~F.col("is_base") | (F.col("whole") > 0))
+    least = F.when(F.col("n_grams") <= SHORT, 1.0).otherwise(COVER)
+    x = x.withColumn("cover", cover).withColumn("verified", (cover >= least) & fits | (F.col("whole") > 0))
+    # Of notices that differ in a few words, the one that covers its span best.
+    best = F.max(F.when(F.col("verified") & ~F.col("is_base"), F.col("cover"))).over(Window.partitionBy(LOCATOR, "start"))
+    return x.withColumn("verified", F.col("verified") & (F.col("is_base") | (F.col("cover") >= best)))
 
 
 def scan(docs: DataFrame, base=None, notices=None) -> DataFrame:
