@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -12,7 +13,12 @@ from jouleframe.runtime import shared_dir
 LOCATOR = "__row_locator__"
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Local Python workers find this package where the driver found it; a cluster ships it.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -11,12 +11,15 @@ count, so the points of weight v < w are exactly those below v: this hierarchy m
 smallest time per register an unbiased weighted-Jaccard sample. Points are made in order
 of time and only while they can still lower the text's largest register.
 
-*Links.* Texts that are equal word for word are one node. Registers are banded; each bucket
-first tests its smallest node against the others (a star, not all pairs), components are
-formed, and only then are pairs tested that share a bucket but not yet a class. So a bucket
-of thousands of copies costs thousands of tests, and every pair of a bucket is either in one
-class or has been tested, unless its signatures agree on so few registers
-(``AGREE``) that a similarity of ``THRESHOLD`` is more than six deviations away.
+*Links.* Texts that are equal word for word are one node. Registers are banded, and the
+smallest node of a bucket is its head. Pairs are tested in three steps, each followed by
+forming components and leaving out pairs that share a class by then: every node with the
+smallest head it meets in any bucket, every node with the heads of its other buckets, and
+then all pairs that share a bucket. So a group of thousands of copies costs thousands of
+tests, and every pair of a bucket is either in one class or has been tested. Before texts
+are fetched, signatures of four bits a register are compared: pairs that agree on fewer than
+``AGREE`` of 256 are left out, which at a similarity of ``THRESHOLD`` is more than four and a
+half deviations away (3e-6). A pair is made in the first bucket that it shares only.
 
 A pair at 0.8 shares no bucket with probability (1 - 0.8^5)^26 = 3e-5. Nothing is collected;
 hot buckets and classes only meet in aggregates with partial sums and in sort-merge joins
@@ -36,17 +39,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from jouleframe.llm.common import LOCATOR, forget, keep, located, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 26, 5
-REGISTERS = BANDS * ROWS
-AGREE = 0.58           # 0.8 less six standard deviations of a share of 130 registers
-BATCH_WORDS = 400_000  # words whose signatures are made at once
+BANDS, ROWS = 26, 5    # of the first registers
+REGISTERS = 256
+AGREE = 180            # of 256 four-bit registers; 208 are expected at 0.8, with a deviation of 6.2
+BATCH_WORDS = 200_000  # words whose signatures are made at once
 CACHED = 300_000
 
 _PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -128,7 +131,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
 
 def band_keys(times: np.ndarray) -> np.ndarray:
     """One key per band: equal where all its registers are."""
-    bits = np.ascontiguousarray(times).view(np.uint64).reshape(len(times), BANDS, ROWS)
+    bits = np.ascontiguousarray(times[:, :BANDS * ROWS]).view(np.uint64).reshape(len(times), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(times), BANDS))
     with np.errstate(over="ignore"):
         for j in range(ROWS):
@@ -136,17 +139,34 @@ def band_keys(times: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNED = f"{LOCATOR} string, doc_id long, node binary, n_words long, bands array<long>, signature binary"
+def nibbles(times: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen to a number."""
+    four = mixed(np.ascontiguousarray(times).view(np.uint64)) & np.uint64(15)
+    shift = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.bitwise_or.reduce(four.reshape(len(times), -1, 16) << shift, axis=2).view(np.int64)
+
+
+def agreement(a: str, b: str) -> Column:
+    """Registers whose four bits are equal."""
+    def differing(i: int) -> Column:
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return REGISTERS - sum((differing(i) for i in range(1, REGISTERS // 16)), differing(0))
+
+
+SIGNED = f"{LOCATOR} string, doc_id long, node binary, n_words long, bands array<long>, signature array<long>"
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def made(rows):
         times = signatures([g for *_, g in rows])
         keys = band_keys(times)
-        small = (mixed(np.ascontiguousarray(times).view(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
+        small = nibbles(times)
         return pd.DataFrame({
             LOCATOR: [r[0] for r in rows], "doc_id": pd.array([r[1] for r in rows], "Int64"), "node": [r[2] for r in rows], "n_words": [r[3] for r in rows],
-            "bands": [keys[i] if r[3] else [] for i, r in enumerate(rows)], "signature": [small[i].tobytes() if r[3] else b"" for i, r in enumerate(rows)]})
+            "bands": [keys[i] if r[3] else [] for i, r in enumerate(rows)], "signature": [small[i] if r[3] else [] for i, r in enumerate(rows)]})
 
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -182,11 +202,6 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf(IntegerType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([int((np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).sum()) for x, y in zip(a, b)], dtype="int32")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) for all ends of ``edges`` (a, b)."""
     both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
@@ -213,6 +228,48 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return x.where(F.col("similarity") >= THRESHOLD).select("a", "b", "similarity")
 
 
+def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures do not rule them out."""
+    a, b = (texts.select(F.col("node").alias(s), F.col("signature").alias(f"signature_{s}")) for s in "ab")
+    return pairs.join(b, "b").join(a, "a").where(agreement("signature_a", "signature_b") >= AGREE).select("a", "b")
+
+
+def _with_first_head(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each node with the smallest head that it meets."""
+    return _likely(members.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")).where("a != b").select("a", "b"), texts)
+
+
+def _with_heads(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each node with the heads of its buckets that are of another class."""
+    met = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    x = met.join(labels.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
+    x = x.join(labels.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").where("root_a != root_b").select("a", "b")
+    return _likely(x, texts)
+
+
+def _all_open(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs of different classes that share a bucket and whose signatures do not rule them out."""
+    placed = members.join(labels, "node")
+    open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
+    rest = placed.join(open_, "key", "left_semi").join(texts.select("node", "signature", "bands"), "node")
+    left, right = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "head", "root", "signature", "bands")]) for s in "ab")
+    first = F.array_compact(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)))[0]
+    # The head of a bucket has met all its members already.
+    fits = ((F.col("root_a") < F.col("root_b")) & (F.col("node_a") != F.col("head_a")) & (F.col("node_b") != F.col("head_b"))
+            & (agreement("signature_a", "signature_b") >= AGREE) & (first == left["key"]))
+    return left.join(right, (left["key"] == right["key"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after merging the classes that ``edges`` link."""
+    a, b = (labels.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
+    between = edges.join(a, "a").join(b, "b").where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    out = keep(labels.join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
+    forget(labels)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, cluster_id, cluster_size, kept and the locator."""
     return _near(located(docs, "doc_id", "text"))
@@ -227,25 +284,17 @@ def _near(content: DataFrame) -> DataFrame:
 
     # Texts of the nodes that share a bucket.
     shared = members.select("node").distinct()
-    places = nodes.join(shared, "node", "left_semi").select("node", F.col(f"r.{LOCATOR}").alias(LOCATOR), "r.signature")
-    texts = keep(content.select(LOCATOR, text_of().alias("text")).join(places, LOCATOR).select("node", "signature", "text"), "texts")
-
-    star = members.where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    edges = keep(_verified(star, texts), "links")
-    roots = components(edges)
-
-    # Pairs that share a bucket and still belong to different classes.
-    placed = members.join(roots, "node", "left").select("key", "node", "head", F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-    rest = keep(placed.join(open_, "key", "left_semi").join(texts.select("node", "signature"), "node"), "open")
-    left, right = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "head", "root", "signature")]) for s in "ab")
-    # The head of a bucket has met all its members already.
-    pairs = left.join(right, "key").where((F.col("root_a") < F.col("root_b")) & (F.col("node_a") != F.col("head_a")) & (F.col("node_b") != F.col("head_b")))
-    pairs = pairs.where(_agreement("signature_a", "signature_b") >= int(AGREE * REGISTERS))
-    more = keep(_verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), texts), "links")
-    if not more.isEmpty():
-        roots = components(edges.unionByName(more))
-    forget(texts), forget(members), forget(rest)
+    places = nodes.join(shared, "node", "left_semi").select("node", F.col(f"r.{LOCATOR}").alias(LOCATOR), "r.signature", "r.bands")
+    texts = keep(content.select(LOCATOR, text_of().alias("text")).join(places, LOCATOR).select("node", "signature", "bands", "text"), "texts")
+
+    labels = keep(shared.withColumn("root", F.col("node")), "labels")
+    for pairs in (_with_first_head, _with_heads, _all_open):
+        edges = keep(_verified(pairs(members, labels, texts), texts), "links")
+        if not edges.isEmpty():
+            labels = _joined(labels, edges)
+        forget(edges)
+    roots = labels
+    forget(texts), forget(members)
 
     alone = F.when(F.col("n_words") == 0, F.encode(F.col(LOCATOR), "utf-8"))
     whole = rows.select(LOCATOR, "doc_id", "node", "n_words").join(roots, "node", "left").select(
