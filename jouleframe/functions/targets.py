@@ -52,6 +52,18 @@ def training_eta_floor(min_train_eta: Column) -> Column:
     return F.greatest(min_train_eta * 0.5, F.lit(1e-8))
 
 
+def complement_eta_floors(df: DataFrame, fold: str) -> DataFrame:
+    """Per held-out value of ``fold``, the floor that all rows of the other values give.
+
+    Only the two smallest minima are needed: a value's complement has the smallest one,
+    unless the value holds it itself.
+    """
+    lows = df.groupBy(fold).agg(F.min("eta").alias("lo"))
+    two = lows.agg(F.slice(F.array_sort(F.collect_list(F.struct("lo", fold))), 1, 2).alias("two")).select("two").scalar()
+    other = F.filter(two, lambda x: x[fold] != F.col(fold))
+    return lows.select(fold, training_eta_floor(F.get(other, 0)["lo"]).alias("floor"))
+
+
 def subtract_overhead(df: DataFrame, latency: str = "latency_s", energy: str = "energy_raw_j",
                       overhead_s: str = "overhead_s", overhead_j: str = "overhead_j") -> DataFrame:
     """Net latency, energy and power after removing the cost of an empty launch.

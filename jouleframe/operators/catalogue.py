@@ -100,9 +100,15 @@ def ordered(catalogue: DataFrame) -> DataFrame:
     return catalogue.orderBy(F.asc("category"), F.desc("calls_total"), F.asc("kernel_sig"))
 
 
-def pivot_calls(catalogue: DataFrame, models: list[str]) -> DataFrame:
-    """Spread the calls map into ``calls_<model>`` columns; the model list is given."""
-    return catalogue.withColumns({f"calls_{m}": F.col("calls").getItem(m) for m in models}).drop("calls", "models")
+def pivot_calls(catalogue: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """Spread the calls map into ``calls_<model>`` columns, one for every model that occurs.
+
+    ``models`` sets which columns come first (and are there even without calls). Models are
+    found in one distinct pass; the header of a flat file has one column for each anyway.
+    """
+    found = catalogue.select(F.explode(F.map_keys("calls")).alias("m")).distinct().orderBy("m").collect()
+    names = list(dict.fromkeys([*(models or []), *(r["m"] for r in found)]))
+    return catalogue.withColumns({f"calls_{m}": F.col("calls").getItem(m) for m in names}).drop("calls", "models")
 
 
 def summarise(catalogue: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jouleframe.functions.categories import Params
 from jouleframe.functions.labels import operator_of
 from jouleframe.functions.metrics import ape
 from jouleframe.operators.quantiles import Quantile, group_quantiles, median
-from jouleframe.runtime import spread
+from jouleframe.runtime import spread, written
 from jouleframe.sources.hardware import external_hardware_frame, normal_key
 
 PREFIX = "pw_"
@@ -39,7 +37,6 @@ REFERENCE_CYCLES = {
 }
 NO_COUNTERPART = ["groupnorm"]
 SATURATED_LOGIT = 12.0
-SHIPPED_REFERENCE_ROWS = 500_000
 ALL_FEATURES = list(dict.fromkeys(f for fs in OPERATOR_FEATURES.values() for f in fs))
 
 
@@ -109,70 +106,70 @@ def reference_hardware(reference: DataFrame, cards: DataFrame) -> DataFrame:
         F.when(F.col("hardware").isNotNull(), "exact").otherwise(F.concat(F.lit("arch:"), F.col("best.hardware"))).alias("how"))
 
 
-_FOUND = ("gpu_key string, m bigint, n bigint, k bigint, how string, "
-          "b struct<distance: double, idx: bigint, tile_m: bigint, tile_n: bigint, tile_k: bigint, cta_count: bigint, is_split_k: boolean>")
-_LAUNCH = ["idx", "tile_M", "tile_N", "tile_K", "cta_count", "is_split_k"]
+def _blocks(reference: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(entries of each block, boxes of each card): blocks hold shapes that are near each other.
 
+    Rows of a card are dealt into cells of a logarithmic grid over (M, N, K); a cell of more
+    than ``size`` rows is cut further by row order.
+    """
+    step = lambda c: F.floor(F.log2(F.greatest(F.col(c), F.lit(1)).cast("double")))
+    celled = reference.withColumn("_cell", F.concat_ws("/", step("M"), step("N"), step("K")))
+    counted = celled.groupBy("hardware", "_cell").agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64("idx"), F.ceil(F.col("_n") / size))
+    entry = F.struct("idx", "M", "N", "K", "tile_M", "tile_N", "tile_K", "cta_count", "is_split_k")
+    placed = celled.join(counted, ["hardware", "_cell"]).withColumn("_block", F.concat_ws(":", "_cell", part))
+    blocks = placed.groupBy("hardware", "_block").agg(
+        F.collect_list(entry).alias("entries"), *[f(c).alias(f"{n}_{c}") for c in "MNK" for n, f in (("lo", F.min), ("hi", F.max))])
+    box = F.struct("_block", *[f"{n}_{c}" for c in "MNK" for n in ("lo", "hi")])
+    return blocks.select("hardware", "_block", "entries"), blocks.groupBy("hardware").agg(F.collect_list(box).alias("boxes"))
 
-def _search_shipped(placed: DataFrame, rows: pd.DataFrame) -> DataFrame:
-    """Nearest reference row per shape with the whole (small) reference at hand in every task."""
-    tables = {hw: g.sort_values("idx").reset_index(drop=True) for hw, g in rows.groupby("hardware")}
-
-    def run(batches):
-        for pdf in batches:
-            for hw, part in pdf.groupby("hardware"):
-                ref = tables[hw]
-                points = ref[["M", "N", "K"]].to_numpy(float)
-                step = max(1, 4_000_000 // len(points))
-                for start in range(0, len(part), step):
-                    chunk = part.iloc[start:start + step]
-                    gap = chunk[["m", "n", "k"]].to_numpy(float)[:, None, :] - points[None, :, :]
-                    dist = np.einsum("ijk,ijk->ij", gap, gap)
-                    at = dist.argmin(axis=1)  # the first of equals
-                    best = ref.iloc[at][_LAUNCH].reset_index(drop=True)
-                    best.columns = ["idx", "tile_m", "tile_n", "tile_k", "cta_count", "is_split_k"]
-                    best.insert(0, "distance", np.sqrt(dist[np.arange(len(at)), at]))
-                    out = chunk[["gpu_key", "m", "n", "k", "how"]].reset_index(drop=True)
-                    yield out.assign(b=best.to_dict("records"))
-
-    return placed.select("gpu_key", "m", "n", "k", "how", "hardware").mapInPandas(run, _FOUND)
 
+def _search(placed: DataFrame, reference: DataFrame, size: int) -> DataFrame:
+    """The nearest reference row of each shape, from the blocks whose box can hold it.
 
-def _search_blocks(placed: DataFrame, reference: DataFrame, block: int) -> DataFrame:
-    """A shape meets each block of its card's reference as one row and keeps the block's best."""
-    entry = F.struct("idx", "M", "N", "K", "tile_M", "tile_N", "tile_K", "cta_count", "is_split_k")
-    blocks = (reference.withColumn("_block", F.floor(F.col("idx") / block))
-              .groupBy("hardware", "_block").agg(F.collect_list(entry).alias("entries")))
-    m, n, k = (F.col(c).cast("double") for c in ("m", "n", "k"))
-    sq = lambda a, b: (a - b) * (a - b)
-    best_here = F.array_min(F.transform("entries", lambda e: F.struct(
-        F.sqrt(sq(e["M"], m) + sq(e["N"], n) + sq(e["K"], k)).alias("distance"), e["idx"].alias("idx"),
+    A box bounds the distance of its rows from both sides, so only boxes that begin nearer
+    than the nearest one ends are searched; the join spreads over (card, block).
+    """
+    blocks, boxes = _blocks(written(reference), size)
+    q = {c: F.col(c.lower()).cast("double") for c in "MNK"}
+    sq = lambda x: x * x
+    near = lambda b: sum((sq(F.greatest(F.lit(0.0), b[f"lo_{c}"] - q[c], q[c] - b[f"hi_{c}"])) for c in "NK"),
+                         sq(F.greatest(F.lit(0.0), b["lo_M"] - q["M"], q["M"] - b["hi_M"])))
+    far = lambda b: sum((sq(F.greatest(F.abs(b[f"lo_{c}"] - q[c]), F.abs(b[f"hi_{c}"] - q[c]))) for c in "NK"),
+                        sq(F.greatest(F.abs(b["lo_M"] - q["M"]), F.abs(b["hi_M"] - q["M"]))))
+    met = placed.join(boxes, "hardware").withColumn("_reach", F.array_min(F.transform("boxes", far)))
+    open_ = F.explode(F.transform(F.filter("boxes", lambda b: near(b) <= F.col("_reach")), lambda b: b["_block"])).alias("_block")
+    tried = met.select("gpu_key", "m", "n", "k", "how", "hardware", open_)
+    best = F.array_min(F.transform("entries", lambda e: F.struct(
+        F.sqrt(sq(e["M"] - q["M"]) + sq(e["N"] - q["N"]) + sq(e["K"] - q["K"])).alias("distance"), e["idx"].alias("idx"),
         e["tile_M"].alias("tile_m"), e["tile_N"].alias("tile_n"), e["tile_K"].alias("tile_k"),
         e["cta_count"].alias("cta_count"), e["is_split_k"].alias("is_split_k"))))
-    return (placed.join(blocks, "hardware").select("gpu_key", "m", "n", "k", "how", best_here.alias("b"))
+    return (tried.join(blocks, ["hardware", "_block"]).select("gpu_key", "m", "n", "k", "how", best.alias("b"))
             .groupBy("gpu_key", "m", "n", "k", "how").agg(F.min("b").alias("b")))
 
 
 def nearest_launch(shapes: DataFrame, reference: DataFrame, cards: DataFrame | None = None, mode: str = "structural",
-                   block: int = 1024) -> DataFrame:
+                   block: int = 1024, missing: str = "raise") -> DataFrame:
     """Launch geometry for matrix products: nearest reference shape in raw (M, N, K).
 
     ``shapes`` has gpu_key, m, n, k; ``reference`` has hardware, arch, num_sms, M, N, K,
     tile_M/N/K, cta_count, is_split_k and ``idx``, its row order (ties go to the lowest).
 
-    Distinct shapes are looked up once. A reference counted to be small is shipped to the
-    tasks and searched there batch by batch; a larger one is packed into blocks that the
-    shapes are joined to. Neither way produces (shape, reference row) pairs as rows.
+    Distinct shapes are looked up once, in blocks of near reference shapes that boxes rule in
+    or out. A card that is unknown or has no reference of its architecture fails the query;
+    with ``missing="keep"`` its shapes come back with NULL geometry and the reason as
+    ``launch_source``.
     """
     if mode not in ("structural", "upstream"):
         raise ValueError(f"mode must be 'structural' or 'upstream', got {mode!r}")
+    if missing not in ("raise", "keep"):
+        raise ValueError(f"missing must be 'raise' or 'keep', got {missing!r}")
     cards = external_hardware_frame(shapes.sparkSession) if cards is None else cards
-    placed = (spread(shapes.select("gpu_key", "m", "n", "k").distinct(), "gpu_key", "m", "n", "k")
-              .join(reference_hardware(reference, cards), "gpu_key"))
+    wanted = written(spread(shapes.select("gpu_key", "m", "n", "k").distinct(), "gpu_key", "m", "n", "k")
+                         .join(reference_hardware(reference, cards), "gpu_key", "left"))
     slim = reference.select("hardware", *[F.col(c).cast("bigint").alias(c) for c in ("idx", "M", "N", "K", "tile_M", "tile_N", "tile_K", "cta_count")],
                             F.col("is_split_k").cast("boolean").alias("is_split_k"))
-    rows = slim.limit(SHIPPED_REFERENCE_ROWS + 1).toPandas()
-    found = _search_shipped(placed, rows) if len(rows) <= SHIPPED_REFERENCE_ROWS else _search_blocks(placed, slim, block)
+    found = _search(wanted.where(F.col("hardware").isNotNull()), slim, block)
     spec = cards.select("gpu_key", F.col("architecture").alias("_arch"), F.col("num_sms").alias("_sms"))
     out = found.join(spec, "gpu_key")
     if mode == "upstream":
@@ -183,9 +180,18 @@ def nearest_launch(shapes: DataFrame, reference: DataFrame, cards: DataFrame | N
         count = F.greatest(F.lit(1).cast("bigint"), F.when(hopper, F.least(tiles, F.col("_sms").cast("bigint"))).otherwise(tiles))
         split = ~hopper
         source = F.when(hopper, "structural/hopper/").otherwise("structural/tiled/")
-    return out.select(
+    done = out.select(
         "gpu_key", "m", "n", "k", "b.tile_m", "b.tile_n", "b.tile_k", count.alias("cta_count"), split.alias("is_split_k"),
         F.concat(source, F.col("how")).alias("launch_source"), F.col("b.distance").alias("neighbour_distance"))
+    lost = wanted.where(F.col("hardware").isNull()).withColumn("launch_source", F.concat(F.lit("no reference for "), F.coalesce("gpu_key", F.lit("NULL"))))
+    if missing == "raise":
+        first = lost.select("launch_source").take(1)
+        if first:
+            raise ValueError(first[0]["launch_source"])
+        return done
+    blank = lost.select("gpu_key", "m", "n", "k", *[F.lit(None).cast(t).alias(c) for c, t in done.dtypes[4:9]], "launch_source",
+                        F.lit(None).cast("double").alias("neighbour_distance"))
+    return done.unionByName(blank)
 
 
 # --- floors, ranges, transfer tables ------------------------------------------------------
@@ -210,7 +216,7 @@ def prepare(df: DataFrame) -> DataFrame:
     return staged.withColumn("eta_pw", F.col("theory_pw_s") / F.col("latency_s"))
 
 
-def compare_floors(df: DataFrame, small: bool | None = None) -> DataFrame:
+def compare_floors(df: DataFrame) -> DataFrame:
     """External over own floor per (card, category), and how often each exceeds the measured time."""
     gap = {"theoretical_time_s", "theory_pw_s"} - set(df.columns)
     if gap:
@@ -226,10 +232,10 @@ def compare_floors(df: DataFrame, small: bool | None = None) -> DataFrame:
     return group_quantiles(
         d, ["gpu_key", "category"],
         [median("ratio_median", ratio), Quantile("ratio_p10", ratio, 0.1), Quantile("ratio_p90", ratio, 0.9)],
-        [F.count("*").alias("n"), over("eta").alias("eta_ours_over_1"), over("eta_pw").alias("eta_pw_over_1")], small)
+        [F.count("*").alias("n"), over("eta").alias("eta_ours_over_1"), over("eta_pw").alias("eta_pw_over_1")])
 
 
-def range_report(df: DataFrame, ranges: DataFrame, small: bool | None = None) -> DataFrame:
+def range_report(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """Per (operator, feature): share of rows below / above the training range, median in sds.
 
     ``ranges`` has operator, feature, min, max, mean, std. Features stay wide until they are
@@ -246,7 +252,7 @@ def range_report(df: DataFrame, ranges: DataFrame, small: bool | None = None) ->
         aggs.append(F.struct(F.count(v).alias("n"), F.avg(low.cast("double")).alias("below"), F.avg(high.cast("double")).alias("above"),
                              F.max(r["mean"]).alias("mean"), F.max(r["std"]).alias("std")).alias(f"s_{f}"))
         quantiles.append(median(f"q_{f}", v))
-    wide = group_quantiles(rows, ["operator"], quantiles, aggs, small)
+    wide = group_quantiles(rows, ["operator"], quantiles, aggs)
     tidy = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"s_{f}").alias("s"), F.col(f"q_{f}").alias("q")) for f in used])).alias("r")
     member = F.lit(False)
     for op, names in OPERATOR_FEATURES.items():
@@ -278,7 +284,7 @@ def transfer_cells(df: DataFrame, min_train: int = 40, min_test: int = 10) -> Da
                              .when((F.col("n_train") < min_train) | (F.col("n_test") < min_test), "too few rows").otherwise("evaluated"))
 
 
-def transfer_table(df: DataFrame, min_train: int = 40, min_test: int = 10, small: bool | None = None) -> DataFrame:
+def transfer_table(df: DataFrame, min_train: int = 40, min_test: int = 10) -> DataFrame:
     """Energy error of each variant per (card, operator), and a POOLED row over all rows.
 
     ``df`` is a predictions table: gpu_key, operator, energy_true, energy_zeroshot,
@@ -301,4 +307,4 @@ def transfer_table(df: DataFrame, min_train: int = 40, min_test: int = 10, small
     twice = rows.withColumn("_cell", F.explode(F.array(
         F.struct(F.col("gpu_key").alias("gpu"), F.col("operator").alias("op")), F.struct(F.lit("POOLED").alias("gpu"), F.lit("-").alias("op")))))
     keyed = twice.withColumns({"gpu": F.col("_cell.gpu"), "operator": F.col("_cell.op")})
-    return group_quantiles(keyed, ["gpu", "operator"], medians, aggs, small)
+    return group_quantiles(keyed, ["gpu", "operator"], medians, aggs)

@@ -14,7 +14,6 @@ from jouleframe.runtime import cut_lineage
 
 FOLDS = {"hardware": "gpu_key", "architecture": "source_model", "category": "category"}
 NEEDED = ["eta", "pi", "energy_j", "latency_s", "theoretical_time_s", "tdp_w"]
-MAX_GROUPS = 256
 
 
 def fold_column(fold: str) -> str:
@@ -41,13 +40,11 @@ def written_rows(df: DataFrame, fold: str, features: list[str]) -> DataFrame:
 def fold_groups(df: DataFrame, fold: str, min_rows: int = 10) -> list[tuple[str, int, int]]:
     """(group, training rows, test rows) of every group with enough rows on both sides.
 
-    Groups are the held-out units of a fold - cards, models, categories - and are few; a
-    column with more than ``MAX_GROUPS`` values is refused.
+    Groups are the held-out units of a fold: cards, combinations of models, categories. The
+    list is as long as there are units, since each is fitted and reported by itself.
     """
     col = fold_column(fold)
-    counts = df.groupBy(col).agg(F.count("*").alias("n")).orderBy(col).limit(MAX_GROUPS + 1).collect()
-    if len(counts) > MAX_GROUPS:
-        raise ValueError(f"{col} has more than {MAX_GROUPS} values; not a fold")
+    counts = df.groupBy(col).agg(F.count("*").alias("n")).orderBy(col).collect()
     total = sum(r["n"] for r in counts)
     out = [(r[col], total - r["n"], r["n"]) for r in counts if r["n"] >= min_rows and total - r["n"] >= min_rows]
     if not out:
@@ -60,14 +57,14 @@ def _lookup(values: dict[str, float], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def complement_medians(df: DataFrame, fold: str, groups: list[str], small: bool | None = None) -> DataFrame:
+def complement_medians(df: DataFrame, fold: str, groups: list[str]) -> DataFrame:
     """Per group, the median eta and pi of all other groups: one pass, no copies of the rows."""
     col = fold_column(fold)
     wanted = []
     for i, g in enumerate(groups):
         outside = F.col(col) != g
         wanted += [median(f"eta_{i}", F.when(outside, F.col("eta"))), median(f"pi_{i}", F.when(outside, F.col("pi")))]
-    one = group_quantiles(df, [], wanted, small=small)
+    one = group_quantiles(df, [], wanted)
     rows = F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.col(f"eta_{i}").alias("eta_const"), F.col(f"pi_{i}").alias("pi_const"))
                                for i, g in enumerate(groups)])).alias("r")
     return one.select(rows).select("r.*")
@@ -147,12 +144,12 @@ def ridge_predictions(df: DataFrame, fold: str, groups: list[str], features: lis
 
 
 def with_baselines(df: DataFrame, fold: str, groups: list[str], features: list[str] | None = None,
-                   ridge: bool = True, small: bool | None = None) -> DataFrame:
+                   ridge: bool = True) -> DataFrame:
     """Rows of the held-out groups with the energy each baseline predicts for them."""
     col = fold_column(fold)
     theory, tdp = F.col("theoretical_time_s"), F.col("tdp_w")
     one = F.lit(1.0)
-    consts = {r["group"]: r for r in complement_medians(df, fold, groups, small).collect()}
+    consts = {r["group"]: r for r in complement_medians(df, fold, groups).collect()}
     key = F.col(col)
     out = df.filter(key.isin(*groups))
     cols = {
@@ -194,11 +191,11 @@ def complement_overview(df: DataFrame, fold: str, min_rows: int = 10) -> DataFra
 
 
 def baseline_table(df: DataFrame, fold: str, features: list[str] | None = None, ridge: bool = False,
-                   min_rows: int = 10, small: bool | None = None) -> DataFrame:
+                   min_rows: int = 10) -> DataFrame:
     """Report table of the parameter-free and linear baselines alone."""
     rows = written_rows(df, fold, features or [])
     groups = [g for g, _, _ in fold_groups(rows, fold, min_rows)]
-    return report_table(with_baselines(rows, fold, groups, features, ridge, small).withColumn("energy_true", F.col("energy_j")))
+    return report_table(with_baselines(rows, fold, groups, features, ridge).withColumn("energy_true", F.col("energy_j")))
 
 
 def clock_comparison(tensor: DataFrame, boost: DataFrame) -> DataFrame:

@@ -51,13 +51,12 @@ def with_distance(df: DataFrame, moments: DataFrame, features: dict[str, list[st
         "_x", "_d", "_order", "_ref", "_names", "_mean", "_precision")
 
 
-def ood_report(df: DataFrame, moments: DataFrame, quantile: str = "md_p99", features: dict[str, list[str]] | None = None,
-               small: bool | None = None) -> DataFrame:
+def ood_report(df: DataFrame, moments: DataFrame, quantile: str = "md_p99", features: dict[str, list[str]] | None = None) -> DataFrame:
     """Per (operator, card): median and p95 distance, and the share beyond the training quantile."""
     d = with_distance(df, moments, features, "_md")
     out = group_quantiles(
         d, ["pw_operator", "gpu_key"], [median("md_median", F.col("_md")), Quantile("md_p95", F.col("_md"), 0.95)],
         [F.count("*").alias("n"), F.max("md_p99").alias("train_p99"),
-         F.avg((F.col("_md") > F.col(quantile)).cast("double")).alias("frac_beyond_train_p99")], small)
+         F.avg((F.col("_md") > F.col(quantile)).cast("double")).alias("frac_beyond_train_p99")])
     return (out.select(F.col("pw_operator").alias("operator"), "gpu_key", "n", "md_median", "md_p95", "train_p99", "frac_beyond_train_p99")
             .orderBy(F.desc("frac_beyond_train_p99"), "operator", "gpu_key"))

@@ -1,32 +1,23 @@
 """Ranks and running sums over groups of any size.
 
-A window over one hot group (or over no group at all) sorts it in a single task. For large
-inputs the frame is range-sorted across tasks, written once so positions are fixed, and
-each task's run is offset by the totals of the runs before it.
+A window over one hot group (or over no group at all) sorts it in a single task. Instead the
+frame is range-sorted across tasks, written once so positions are fixed, and each task's run
+is offset by the totals of the runs before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from jouleframe.runtime import cut_lineage, is_small
+from jouleframe.runtime import written
 
 
 def with_running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column] | None = None,
-                 rank: str | None = None, small: bool | None = None) -> DataFrame:
+                 rank: str | None = None) -> DataFrame:
     """Add inclusive running sums and a 1-based row number; ``order`` must be total per group."""
     sums = sums or {}
-    small = is_small(df) if small is None else small
-    if small:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cols = {name: F.sum(value).over(upto) for name, value in sums.items()}
-        if rank:
-            cols[rank] = F.row_number().over(w)
-        return df.withColumns(cols)
-
     staged = df.withColumns({f"_x_{n}": v for n, v in sums.items()})
-    placed = cut_lineage(staged.orderBy(*[F.col(k) for k in keys], *order)
+    placed = written(staged.orderBy(*[F.col(k) for k in keys], *order)
                          .withColumn("_pos", F.monotonically_increasing_id())
                          .withColumn("_run", F.shiftright("_pos", 33)))
     run_keys = [*keys, "_run"]

@@ -30,8 +30,7 @@ def estimate_cost_s(working_set: Column, protocol: dict = PROTOCOL) -> Column:
     return F.lit(fixed) + SECONDS_PER_GIB * gib
 
 
-def balanced_shards(df: DataFrame, n: int, cost: str = "cost_s", key: str = "kernel_sig",
-                    small: bool | None = None) -> DataFrame:
+def balanced_shards(df: DataFrame, n: int, cost: str = "cost_s", key: str = "kernel_sig") -> DataFrame:
     """Assign each row to one of ``n`` shards with nearly equal cost.
 
     Rows are dealt in descending cost, forwards then backwards over the shards. Membership
@@ -39,13 +38,13 @@ def balanced_shards(df: DataFrame, n: int, cost: str = "cost_s", key: str = "ker
     """
     if n < 1:
         raise ValueError("need at least one shard")
-    ranked = with_running(df, [], [F.desc(cost), F.col(key)], rank="_rank", small=small)
+    ranked = with_running(df, [], [F.desc(cost), F.col(key)], rank="_rank")
     step = F.pmod(F.col("_rank") - 1, F.lit(2 * n))
     return ranked.withColumn("shard", F.when(step < n, step).otherwise(2 * n - 1 - step).cast("int")).drop("_rank")
 
 
 def within_budget(df: DataFrame, budget_s: float, order: list[Column], cost: str = "cost_s",
-                  by: list[str] = (), small: bool | None = None) -> DataFrame:
+                  by: list[str] = ()) -> DataFrame:
     """Work that fits: stop before the first config whose cost would overrun the budget."""
-    running = with_running(df, list(by), order, {"elapsed_s": F.col(cost)}, small=small)
+    running = with_running(df, list(by), order, {"elapsed_s": F.col(cost)})
     return running.filter(F.col("elapsed_s") <= budget_s)

@@ -14,8 +14,7 @@ def device_kernels(records: DataFrame, name: str = "kernel", time: str = "cuda_t
             .withColumn("category", categorise_kernel(F.col(name))))
 
 
-def kernel_shares(profile: DataFrame, run: list[str], name: str = "kernel", time: str = "cuda_time_us",
-                  small: bool | None = None) -> DataFrame:
+def kernel_shares(profile: DataFrame, run: list[str], name: str = "kernel", time: str = "cuda_time_us") -> DataFrame:
     """Share of each kernel in its run and the running share, most expensive first.
 
     ``name`` must be unique within a run. Run totals come from an aggregate joined back, so
@@ -23,7 +22,7 @@ def kernel_shares(profile: DataFrame, run: list[str], name: str = "kernel", time
     """
     totals = profile.groupBy(*run).agg(F.sum(time).alias("_total"))
     shared = profile.join(totals, run).withColumn("share", F.col(time) / F.col("_total")).drop("_total")
-    return with_running(shared, run, [F.desc(time), F.col(name)], {"cumshare": F.col("share")}, small=small)
+    return with_running(shared, run, [F.desc(time), F.col(name)], {"cumshare": F.col("share")})
 
 
 def coverage_report(profile: DataFrame, run: list[str] = (), implemented=IMPLEMENTED,

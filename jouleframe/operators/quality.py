@@ -8,38 +8,43 @@ from jouleframe.functions.categories import REGISTRY
 from jouleframe.operators.quantiles import Quantile, group_quantiles, median
 
 
-def validate_efficiency(df: DataFrame, by: list[str] = ("category", "gpu_key"), small: bool | None = None) -> DataFrame:
+def validate_efficiency(df: DataFrame, by: list[str] = ("category", "gpu_key")) -> DataFrame:
     """Where the analytical floor exceeds the measured time, worst first."""
     eta = F.col("eta")
     out = group_quantiles(
         df, list(by), [median("eta_median", eta), Quantile("eta_p95", eta, 0.95)],
         [F.count("*").alias("n"), F.max(eta).alias("eta_max"),
-         F.avg(F.coalesce(eta > 1.0, F.lit(False)).cast("double")).alias("frac_over_1")], small)
+         F.avg(F.coalesce(eta > 1.0, F.lit(False)).cast("double")).alias("frac_over_1")])
     return out.select(*by, "n", "eta_median", "eta_p95", "eta_max", "frac_over_1").orderBy(F.desc("frac_over_1"), *by)
 
 
 def coverage(df: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Rows per card and category with a total; the pivot list is given, not discovered."""
+    """Rows per card and category with a total over all rows.
+
+    Columns are the given categories (default: the registered ones); rows of any other, or of
+    none, are counted in ``other``, which is there only when the list leaves rows out.
+    """
     cats = list(categories or REGISTRY.names())
     counts = [F.count_if(F.col("category") == c).alias(c) for c in cats]
-    known = df.filter(F.col("category").isin(*cats))
-    return known.groupBy("gpu_key").agg(*counts, F.count("*").alias("total"))
+    outside = ~F.coalesce(F.col("category").isin(*cats), F.lit(False))
+    left_out = [] if df.where(outside).isEmpty() else [F.count_if(outside).alias("other")]
+    return df.groupBy("gpu_key").agg(*counts, *left_out, F.count("*").alias("total"))
 
 
-def instrument_agreement(df: DataFrame, small: bool | None = None) -> DataFrame:
+def instrument_agreement(df: DataFrame) -> DataFrame:
     r = F.col("energy_check_ratio")
     return group_quantiles(df, ["gpu_key"], [median("median", r)],
-                           [F.stddev_samp(r).alias("std"), F.min(r).alias("min"), F.max(r).alias("max")], small)
+                           [F.stddev_samp(r).alias("std"), F.min(r).alias("min"), F.max(r).alias("max")])
 
 
-def power_regime(df: DataFrame, small: bool | None = None) -> DataFrame:
+def power_regime(df: DataFrame) -> DataFrame:
     return group_quantiles(
         df, ["gpu_key"],
         [median("clock_frac", F.col("sm_clock_median_mhz")), median("power_frac", F.col("pi")), median("util", F.col("eta"))],
-        [F.avg("frac_sw_power_cap").alias("frac_capped"), F.avg("frac_sw_thermal").alias("frac_thermal")], small)
+        [F.avg("frac_sw_power_cap").alias("frac_capped"), F.avg("frac_sw_thermal").alias("frac_thermal")])
 
 
-def target_description(df: DataFrame, columns: list[str] = ("eta", "pi", "power_avg_w"), small: bool | None = None) -> DataFrame:
+def target_description(df: DataFrame, columns: list[str] = ("eta", "pi", "power_avg_w")) -> DataFrame:
     """count, mean, sample sd, min, quartiles, max of each target per category (tidy rows)."""
     quantiles, aggs = [], []
     for c in columns:
@@ -47,7 +52,7 @@ def target_description(df: DataFrame, columns: list[str] = ("eta", "pi", "power_
         aggs += [F.count(v).alias(f"{c}|count"), F.avg(v).alias(f"{c}|mean"), F.stddev_samp(v).alias(f"{c}|std"),
                  F.min(v).alias(f"{c}|min"), F.max(v).alias(f"{c}|max")]
         quantiles += [Quantile(f"{c}|q25", v, 0.25), Quantile(f"{c}|q50", v, 0.5), Quantile(f"{c}|q75", v, 0.75)]
-    wide = group_quantiles(df, ["category"], quantiles, aggs, small)
+    wide = group_quantiles(df, ["category"], quantiles, aggs)
     names = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     rows = F.explode(F.array(*[
         F.struct(F.lit(c).alias("target"), *[F.col(f"`{c}|{n}`").alias(n) for n in names]) for c in columns])).alias("r")

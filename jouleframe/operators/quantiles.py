@@ -1,20 +1,25 @@
-"""Exact grouped quantiles that never hold a whole group in one task.
+"""Exact grouped quantiles that never hold a large group in one task.
 
 Spark's exact percentile keeps every distinct value of a group in one aggregation buffer.
-That is fine for small inputs. For large ones a mergeable sketch first brackets each
-wanted rank, and only the rows inside the bracket (about 6/accuracy of the group, counted
-per distinct value) are ranked. Both ways return the same linearly interpolated numbers.
+That fits groups whose size is bounded by what they are, such as the repeats of one
+measurement or the seeds of one cell; operators over such keys say ``bounded_groups=True``.
+For all other keys a mergeable sketch first brackets each wanted rank, and only the rows
+inside the bracket (about 6/accuracy of the group, counted per distinct value) are ranked.
+Both give the same linearly interpolated numbers; the operator states which, never the size
+of the input.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from jouleframe.runtime import is_small
+from jouleframe.runtime import written
 
 ACCURACY = 10_000
+FEW_GROUPS = 10_000  # most bracket rows that are broadcast, after counting them
 
 
 @dataclass(frozen=True)
@@ -31,21 +36,28 @@ def median(out: str, value: Column) -> Quantile:
 
 
 def group_quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile], aggs: list[Column] = (),
-                    small: bool | None = None, accuracy: int = ACCURACY) -> DataFrame:
+                    bounded_groups: bool = False, accuracy: int = ACCURACY) -> DataFrame:
     """One row per group with the asked quantiles and the plain aggregates ``aggs``.
 
-    ``small`` forces a strategy; by default the size of the plan's inputs decides.
+    ``bounded_groups``: the keys bound their groups to what one aggregation buffer holds.
     """
-    small = is_small(df) if small is None else small
     if not quantiles:
         return df.groupBy(*keys).agg(*aggs)
-    if small:
+    if bounded_groups:
         exact = [F.percentile(z.value.cast("double"), F.lit(float(z.q))).alias(z.out) for z in quantiles]
         return df.groupBy(*keys).agg(*aggs, *exact)
     return _bracketed(df, keys, quantiles, list(aggs), accuracy)
 
 
+def _used(df: DataFrame, keys: list[str], columns: list[Column]) -> list[str]:
+    """The columns of ``df`` that the expressions name (or whose names cannot be told from their text)."""
+    words = set(re.findall(r"\w+", " ".join(map(str, columns)))) | set(keys)
+    return [c for c in df.columns if c in words or not re.fullmatch(r"\w+", c)]
+
+
 def _bracketed(df: DataFrame, keys, quantiles, aggs, accuracy) -> DataFrame:
+    # Read twice below: what is needed is written once, so that its source is planned and run once.
+    df = written(df.select(*_used(df, keys, [*aggs, *[z.value for z in quantiles]])))
     slots = range(len(quantiles))
     vals = [z.value.cast("double") for z in quantiles]
     slack = 3.0 / accuracy
@@ -68,7 +80,11 @@ def _bracketed(df: DataFrame, keys, quantiles, aggs, accuracy) -> DataFrame:
             pos.alias("pos"),
         ).alias(f"_b{j}"))
     names = [f"_k{i}" for i in range(len(keys))]
+    if keys:
+        first = written(first)
     brackets = first.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *bounds)
+    # Counted: few brackets go to every task; else rows would go to as many tasks as there are groups.
+    sent = F.broadcast if keys and first.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else (lambda d: d)
 
     # Pass 2: below the bracket count only (NULL value); above it drop; inside keep the value.
     on = F.lit(True)
@@ -76,7 +92,7 @@ def _bracketed(df: DataFrame, keys, quantiles, aggs, accuracy) -> DataFrame:
         on = on & F.col(f"_d.{k}").eqNullSafe(F.col(f"_r.{n}"))
     slim = df.select(*keys, *[vals[j].alias(f"_v{j}") for j in slots])
     if keys:
-        joined = slim.alias("_d").join(brackets.alias("_r"), on)
+        joined = slim.alias("_d").join(sent(brackets).alias("_r"), on)
     else:
         one = brackets.select(F.struct(*brackets.columns).alias("s")).scalar()
         joined = slim.withColumn("_r", one).select(*slim.columns, "_r.*")

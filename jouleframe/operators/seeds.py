@@ -16,12 +16,12 @@ def _half_range(c: str):
     return (F.max(c) - F.min(c)) / 2.0
 
 
-def seed_summary(runs: DataFrame, metrics=METRICS, small: bool | None = None) -> DataFrame:
+def seed_summary(runs: DataFrame, metrics=METRICS) -> DataFrame:
     """Median and half the min-max range of each metric per cell, with the seeds behind it."""
     present = [m for m in metrics if m in runs.columns]
     aggs = [F.min("n_test").alias("n_test"), F.countDistinct("seed").alias("seeds")]
     aggs += [_half_range(m).alias(f"{m}_pm") for m in present]
-    return group_quantiles(runs, CELL, [median(m, F.col(m)) for m in present], aggs, small)
+    return group_quantiles(runs, CELL, [median(m, F.col(m)) for m in present], aggs, bounded_groups=True)  # the seeds of one cell
 
 
 def pair_arms(a: DataFrame, b: DataFrame, metric: str = "hybrid") -> DataFrame:
@@ -38,24 +38,23 @@ def require_shared_cells(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
-def per_cell(pairs: DataFrame, small: bool | None = None) -> DataFrame:
+def per_cell(pairs: DataFrame) -> DataFrame:
     """Medians, median difference, wins of b and the sign test per cell."""
     out = group_quantiles(
         pairs.filter(F.col("operator") != "-"), CELL,
         [median("a", F.col("a")), median("b", F.col("b")), median("delta", F.col("delta"))],
-        [F.min("n_test").alias("n_test"), F.countDistinct("seed").alias("seeds"), F.count_if(F.col("delta") < 0).alias("b_wins")],
-        small)
+        [F.min("n_test").alias("n_test"), F.countDistinct("seed").alias("seeds"), F.count_if(F.col("delta") < 0).alias("b_wins")], bounded_groups=True)
     return out.withColumn("p_sign", sign_test_p(F.col("b_wins"), F.col("seeds")))
 
 
-def pooled_verdict(pairs: DataFrame, small: bool | None = None) -> DataFrame:
+def pooled_verdict(pairs: DataFrame) -> DataFrame:
     """One row over the pooled cells (operator '-'): medians, ranges, wins, sign test, reading."""
     a, b, d = F.col("a"), F.col("b"), F.col("delta")
     out = group_quantiles(
         pairs.filter(F.col("operator") == "-"), [],
         [median("a_median", a), median("b_median", b), median("delta_median", d)],
         [F.count("*").alias("seeds"), F.min(a).alias("a_min"), F.max(a).alias("a_max"),
-         F.min(b).alias("b_min"), F.max(b).alias("b_max"), F.count_if(d < 0).alias("b_wins")], small)
+         F.min(b).alias("b_min"), F.max(b).alias("b_max"), F.count_if(d < 0).alias("b_wins")], bounded_groups=True)  # the seeds
     out = out.filter(F.col("seeds") > 0).withColumn("p_sign", sign_test_p(F.col("b_wins"), F.col("seeds")))
     return out.withColumn("reading", seed_verdict(F.col("b_wins"), F.col("seeds"), F.col("p_sign")))
 

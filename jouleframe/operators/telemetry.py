@@ -84,17 +84,16 @@ def with_sessions(samples: DataFrame, keys: list[str], gap: str, slice_s: int =
     return numbered.withColumn(out, F.col("_base") + F.col("_in")).select(*samples.columns, out)
 
 
-def summarise_telemetry(samples: DataFrame, keys: list[str], slice_s: int = SLICE_SECONDS, tie: list[str] = (),
-                        small: bool | None = None) -> DataFrame:
+def summarise_telemetry(samples: DataFrame, keys: list[str], slice_s: int = SLICE_SECONDS, tie: list[str] = ()) -> DataFrame:
     """One row per window: power, clocks, temperature, throttling and both energy estimates."""
     medians = [median("power_median_w", F.col("power_w"))]
     if "sm_clock" in samples.columns:
         medians.append(median("sm_clock_median_mhz", F.col("sm_clock")))
-    stats = group_quantiles(samples, keys, medians, sample_stats(samples.columns), small)
+    stats = group_quantiles(samples, keys, medians, sample_stats(samples.columns))
     return stats.join(trapezoid_energy(samples, keys, slice_s, tie), keys, "left")
 
 
-def idle_baseline(samples: DataFrame, keys: list[str], settle_s: float = 5.0, small: bool | None = None) -> DataFrame:
+def idle_baseline(samples: DataFrame, keys: list[str], settle_s: float = 5.0) -> DataFrame:
     """Resting power per group after discarding its settling period."""
     start = samples.groupBy(*keys).agg(F.min(F.unix_micros("ts")).alias("_t0"))
     settled = samples.join(start, keys).filter(F.unix_micros("ts") >= F.col("_t0") + int(settle_s * 1_000_000))
@@ -102,7 +101,7 @@ def idle_baseline(samples: DataFrame, keys: list[str], settle_s: float = 5.0, sm
         settled, keys, [median("power_w", F.col("power_w")), median("sm_clock_mhz", F.col("sm_clock"))],
         [F.stddev_pop("power_w").alias("power_sd_w"), F.avg("temp").alias("temperature_c"),
          F.count("*").alias("samples"),
-         ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("seconds")], small)
+         ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("seconds")])
 
 
 def repeat_energy(df: DataFrame) -> Column:
@@ -113,7 +112,7 @@ def repeat_energy(df: DataFrame) -> Column:
 
 
 def summarise_repeats(windows: DataFrame, keys: list[str] = ("kernel_sig", "gpu_key"), order: str = "repeat",
-                      latency: str = "latency_s", energy: str = "energy_j", small: bool | None = None) -> DataFrame:
+                      latency: str = "latency_s", energy: str = "energy_j") -> DataFrame:
     """Median latency and energy over repeat windows with their relative spread.
 
     The counter/integral ratio is the last repeat's, and only when both are present.
@@ -127,21 +126,19 @@ def summarise_repeats(windows: DataFrame, keys: list[str] = ("kernel_sig", "gpu_
     if {"energy_counter_j", "energy_integrated_j"} <= set(windows.columns):
         c, i = F.col("energy_counter_j"), F.col("energy_integrated_j")
         aggs.append(F.max_by(F.when((c != 0) & (i != 0), c / i), F.col(order)).alias("energy_check_ratio"))
-    return group_quantiles(windows, list(keys), quantiles, aggs, small)
+    return group_quantiles(windows, list(keys), quantiles, aggs, bounded_groups=True)  # the repeats of one kernel on one card
 
 
-def summarise_e2e_repeats(runs: DataFrame, keys: list[str], latency: str = "latency_s", energy: str = "energy_j",
-                          small: bool | None = None) -> DataFrame:
+def summarise_e2e_repeats(runs: DataFrame, keys: list[str], latency: str = "latency_s", energy: str = "energy_j") -> DataFrame:
     """Whole-run repeats: medians, spreads, and power as median energy over median latency."""
     lat, en = F.col(latency), F.col(energy)
     out = group_quantiles(runs, keys, [median("latency_s", lat), median("energy_j", en)], [
         population_sd_rel(lat, 1e-12).alias("latency_sd_rel"), population_sd_rel(en, 1e-12).alias("energy_sd_rel"),
-        F.count("*").alias("n_repeats")], small)
+        F.count("*").alias("n_repeats")], bounded_groups=True)  # the repeats of one run
     return out.withColumn("power_avg_w", F.col("energy_j") / F.col("latency_s"))
 
 
-def launch_overhead(windows: DataFrame, session: list[str], latency: str = "latency_s", energy: str = "energy_j",
-                    small: bool | None = None) -> DataFrame:
+def launch_overhead(windows: DataFrame, session: list[str], latency: str = "latency_s", energy: str = "energy_j") -> DataFrame:
     """Median seconds and joules per empty launch, per session."""
     return group_quantiles(windows, session, [
-        median("overhead_s", F.col(latency)), median("overhead_j", F.coalesce(F.col(energy), F.lit(0.0)))], small=small)
+        median("overhead_s", F.col(latency)), median("overhead_j", F.coalesce(F.col(energy), F.lit(0.0)))])

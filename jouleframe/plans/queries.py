@@ -293,10 +293,10 @@ def _(t):
 
 
 @query("energy_floored", """SELECT d.gpu_key, count(*) AS n, sum(1e6*0.5e0*tdp_w*theory/greatest(eta*0.01, greatest(lo*0.5, 1e-8))) AS energy_uj FROM ds d JOIN (
- SELECT gpu_key, min(eta) AS lo FROM ds GROUP BY gpu_key) f ON f.gpu_key = d.gpu_key GROUP BY d.gpu_key""", energy_uj=3)
+ SELECT k.gpu_key, min(o.eta) AS lo FROM (SELECT DISTINCT gpu_key FROM ds) k JOIN ds o ON o.gpu_key <> k.gpu_key GROUP BY k.gpu_key) f ON f.gpu_key = d.gpu_key GROUP BY d.gpu_key""", energy_uj=3)
 def _(t):
     d = t.dataset()
-    floor = d.groupBy("gpu_key").agg(targets.training_eta_floor(F.min("eta")).alias("floor"))
+    floor = targets.complement_eta_floors(d, "gpu_key")
     e = targets.energy_from_heads(F.col("eta") * 0.01, F.lit(0.5), F.col("theoretical_time_s"), F.col("tdp_w"), F.col("floor"))
     return d.join(floor, "gpu_key").groupBy("gpu_key").agg(F.count("*").alias("n"), F.sum(1e6 * e).alias("energy_uj"))
 
@@ -310,7 +310,7 @@ def _(t):
 @query("validate_efficiency_large", """SELECT category, gpu_key, count(*) AS n, median(eta) AS eta_median, quantile_cont(eta, 0.95) AS eta_p95, max(eta) AS eta_max,
  avg(CASE WHEN eta > 1 THEN 1e0 ELSE 0e0 END) AS frac_over_1 FROM ds GROUP BY ALL""", eta_median=7, eta_p95=7, eta_max=7, frac_over_1=9)
 def _(t):
-    return quality.validate_efficiency(t.dataset(), small=False)
+    return quality.validate_efficiency(t.dataset())
 
 
 @query("coverage", "SELECT gpu_key, count(*) FILTER (category = 'gemm') AS gemm, count(*) FILTER (category = 'attention') AS attention, count(*) FILTER (category = 'conv') AS conv, count(*) FILTER (category = 'norm') AS norm, count(*) FILTER (category = 'elementwise') AS elementwise, count(*) AS total FROM reliable GROUP BY gpu_key")
@@ -419,7 +419,7 @@ def _(t):
 
 @query("kernel_shares_large", _SHARE, share=9, cumshare=9)
 def _(t):
-    return prof.kernel_shares(_profile(t), ["run_id"], small=False).select("run_id", "kernel", "category", "share", "cumshare")
+    return prof.kernel_shares(_profile(t), ["run_id"]).select("run_id", "kernel", "category", "share", "cumshare")
 
 
 @query("coverage_report", """SELECT run_id, category, sum(cuda_time_us) AS cuda_time_us, CAST(sum(calls) AS BIGINT) AS calls, count(*) AS n_kernels, category IN ('gemm','attention','conv','norm','elementwise') AS implemented,
@@ -472,7 +472,7 @@ def _(t):
 
 @query("balanced_shards_large", _SHARDS)
 def _(t):
-    return planning.balanced_shards(_costed(t), 7, small=False).select("kernel_sig", "shard")
+    return planning.balanced_shards(_costed(t), 7).select("kernel_sig", "shard")
 
 
 @query("within_budget", f"SELECT kernel_sig, elapsed_s FROM (SELECT kernel_sig, sum(cost_s) OVER (ORDER BY kernel_sig ROWS UNBOUNDED PRECEDING) AS elapsed_s FROM {_COST}) WHERE elapsed_s <= 10000", elapsed_s=4)
@@ -646,7 +646,7 @@ def _(t):
 
 @query("complement_medians_large", """SELECT k.category AS "group", median(o.eta) AS eta_const, median(o.pi) AS pi_const FROM (SELECT DISTINCT category FROM ds) k JOIN ds o ON o.category <> k.category GROUP BY 1""", eta_const=7, pi_const=9)
 def _(t):
-    return folds.complement_medians(t.dataset(), "category", ["attention", "conv", "elementwise", "gemm", "norm"], small=False)
+    return folds.complement_medians(t.dataset(), "category", ["attention", "conv", "elementwise", "gemm", "norm"])
 
 
 _CLOCK_SQL = """SELECT gpu_key AS "group", count(*) AS n_test_tensor, avg(abs(tdp_w*theory - energy_j)/greatest(abs(energy_j), 1e-8)*100) AS roofline_tensor, count(*) AS n_test_boost, avg(abs(tdp_w*theory_boost - energy_j)/greatest(abs(energy_j), 1e-8)*100) AS roofline_boost FROM ds GROUP BY gpu_key"""
@@ -922,7 +922,7 @@ def _(t):
 
 @query("transfer_table_large", _TT_SQL, **_TT_DIGITS)
 def _(t):
-    return ext.transfer_table(ext.with_hybrid(t.transfer_preds), small=False)
+    return ext.transfer_table(ext.with_hybrid(t.transfer_preds))
 
 
 @query("transfer_cells", "SELECT operator, gpu_key, n_test, CAST(sum(n_test) OVER (PARTITION BY operator) - n_test AS BIGINT) AS n_train, CASE WHEN n_test < 1000 THEN 'too few rows' ELSE 'evaluated' END AS status FROM (SELECT operator, gpu_key, count(*) AS n_test FROM tp GROUP BY ALL)")

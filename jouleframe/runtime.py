@@ -1,15 +1,13 @@
-"""Session settings, input-size checks and lineage cutting shared by the operators."""
+"""Session settings and lineage cutting shared by the operators."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this many bytes at the leaves of a plan, one task can hold any group of it.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -25,24 +23,6 @@ def apply_recommended_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes Spark expects to read at the leaves of ``df``'s plan (no job is run).
-
-    Leaves, not the root: without column statistics the estimate above a join is the
-    product of its sides. Relations of unknown size report a huge number.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    sizes = (leaves.apply(i).stats().sizeInBytes().toString() for i in range(leaves.size()))
-    return sum(int(s) for s in sizes)
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    try:
-        return input_bytes(df) <= (SMALL_INPUT_BYTES if limit is None else limit)
-    except Exception:  # e.g. a remote session without plan access: assume it is large
-        return False
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal few rows over all cores ahead of work that is heavy per row.
 
@@ -64,8 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable checkpoint storage and continue from the written copy."""
+    """Write ``df`` to reliable checkpoint storage; the copy keeps its partitions and their order."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as parquet in the folder all executors reach and go on from the written copy."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -122,7 +122,10 @@ def load_hardware(spark: SparkSession, path: str) -> DataFrame:
     read_type = {"int": "double"}
     schema = ", ".join(f"`{c}` {read_type.get(types.get(c, 'string'), types.get(c, 'string'))}" for c in header)
     given = spark.read.option("header", True).schema(schema).csv(path)
-    given = given.withColumn("gpu_key", F.upper(F.trim("gpu_key"))).dropDuplicates(["gpu_key"])
+    given = given.withColumn("gpu_key", F.upper(F.trim("gpu_key")))
+    twice = given.groupBy("gpu_key").count().where("count > 1").orderBy("gpu_key").take(1)
+    if twice:
+        raise ValueError(f"{twice[0]['gpu_key']} is described more than once")
     base = _inline_table(spark, FLEET_FIELDS, FLEET)
     joined = given.alias("g").join(F.broadcast(base.alias("b")), "gpu_key", "left")
     cols = [F.col("gpu_key")]
@@ -148,13 +151,17 @@ def attach_hardware(df: DataFrame, hardware: DataFrame | None = None, key: str =
     """Left join each row to its card by key or product name; unmatched rows keep NULLs.
 
     The built-in table is eight rows and is broadcast. A supplied table carries no hint:
-    Spark broadcasts it only if its own size estimate allows.
+    Spark broadcasts it only if its own size estimate allows. Of several cards of one key or
+    name the one with the smallest ``gpu_key`` counts, so rows are never doubled.
     """
     built_in = hardware is None
     hw = hardware_frame(df.sparkSession) if built_in else hardware
     by_key = hw.selectExpr("translate(upper(trim(gpu_key)), '- ', '__') AS _hw_key", "struct(*) AS _by_key")
     by_name = hw.selectExpr("upper(name) AS _hw_name", "struct(*) AS _by_name")
-    if built_in:
+    if not built_in:
+        by_key = by_key.groupBy("_hw_key").agg(F.min_by("_by_key", F.col("_by_key.gpu_key")).alias("_by_key"))
+        by_name = by_name.groupBy("_hw_name").agg(F.min_by("_by_name", F.col("_by_name.gpu_key")).alias("_by_name"))
+    else:
         by_key, by_name = F.broadcast(by_key), F.broadcast(by_name)
     out = (df.join(by_key, normal_key(F.col(key)) == F.col("_hw_key"), "left")
            .join(by_name, F.upper(F.trim(F.col(key))) == F.col("_hw_name"), "left"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.errors import AnalysisException
 
 from jouleframe.operators.catalogue import ordered, pivot_calls
+from jouleframe.runtime import path_exists
 from jouleframe.schema import MEASUREMENT
 
 
-def write_catalogue(catalogue: DataFrame, path: str, models: list[str]) -> None:
+def write_catalogue(catalogue: DataFrame, path: str, models: list[str] | None = None) -> None:
     """CSV sorted by category, then most-called first, with one calls column per model."""
     flat = pivot_calls(ordered(catalogue), models)
     flat.write.mode("overwrite").option("header", True).csv(path)
@@ -29,12 +29,8 @@ def append_measurements(df: DataFrame, path: str) -> None:
     the whole job commits, so concurrent writers do not interleave.
     """
     check_columns(df, MEASUREMENT)
-    try:
-        existing = df.sparkSession.read.parquet(path).columns
-    except AnalysisException:
-        existing = None
-    if existing is not None:
-        unseen = sorted(set(df.columns) - set(existing))
+    if path_exists(df.sparkSession, path):
+        unseen = sorted(set(df.columns) - set(df.sparkSession.read.parquet(path).columns))
         if unseen:
             raise ValueError(f"rows introduce columns {unseen} not in the existing table at {path}")
     df.write.mode("append").partitionBy("gpu_key", "category").parquet(path)

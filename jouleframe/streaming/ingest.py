@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jouleframe.operators.merge import KEY, merge_measurements
+from jouleframe.runtime import path_exists
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    return spark.read.parquet(path) if path_exists(spark, path) else None
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity that the checkpoint gives its query; a new checkpoint is a new query."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
 def new_rows(batch: DataFrame, recorded: DataFrame | None, later: list[str], keys: list[str] = KEY) -> DataFrame:
@@ -33,14 +35,16 @@ def start_ingest(stream: DataFrame, path: str, checkpoint: str, later: list[str]
     """Append new rows per batch under ``path``; ``on_batch`` sees each batch's kept rows.
 
     A batch never compares itself with its own earlier attempt, so a retry rewrites the same
-    rows instead of losing them.
+    rows instead of losing them. Folders carry query and batch, so a query with a new
+    checkpoint adds to what an earlier one stored.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        query_id = _query_id(spark, checkpoint)
         recorded = _read(spark, path)
         if recorded is not None:
-            recorded = recorded.filter(F.col("batch_id") != batch_id)
-        target = f"{path}/batch_id={batch_id}"
+            recorded = recorded.filter((F.col("query_id") != query_id) | (F.col("batch_id") != batch_id))
+        target = f"{path}/query_id={query_id}/batch_id={batch_id}"
         new_rows(batch, recorded, later, keys).write.mode("overwrite").parquet(target)
         if on_batch is not None:
             on_batch(spark.read.parquet(target), batch_id)
@@ -51,7 +55,7 @@ def start_ingest(stream: DataFrame, path: str, checkpoint: str, later: list[str]
 
 def read_ingested(spark: SparkSession, path: str, later: list[str], keys: list[str] = KEY) -> DataFrame:
     """The table as one row per pair, clean rows first."""
-    return merge_measurements(spark.read.parquet(path), [*later, "batch_id"], keys).drop("batch_id")
+    return merge_measurements(spark.read.parquet(path), [*later, "batch_id"], keys).drop("batch_id", "query_id")
 
 
 def drop_resends(stream: DataFrame, keys: list[str], ts: str = "timestamp", delay: str = "10 minutes") -> DataFrame:

@@ -49,26 +49,34 @@ def windowed_rollup(samples: DataFrame, keys: list[str], size: str, slide: str |
 
 
 def run_rollup(samples: DataFrame, run: str = "run_id", keys: list[str] = ("gpu_key",), gap: str | None = None,
-               delay: str = "1 minute", tie: list[str] = ()) -> DataFrame:
-    """One summary per measured run; with ``gap``, runs are sessions separated by silence instead."""
+               delay: str = "1 minute", tie: list[str] = (), silence: str = "10 minutes") -> DataFrame:
+    """One summary per measured run; with ``gap``, runs are sessions separated by silence instead.
+
+    On a stream a run ends when no sample of it came for ``silence`` of event time; its state
+    is then dropped, and samples that still follow count as a further row of that run. Start
+    these streams with ``mode="append"``: sessions have no intermediate results.
+    """
     if not samples.isStreaming:
         if not gap:
             return summarise_telemetry(samples, [run, *keys], tie=list(tie))
         spans = summarise_telemetry(with_sessions(samples, list(keys), gap), ["session", *keys], tie=list(tie))
         return spans.drop("session")
-    by = F.session_window("ts", gap).alias("w") if gap else F.col(run)
-    out = samples.withWatermark("ts", delay).groupBy(by, *keys).agg(*_aggregates(samples.columns, tie))
+    by = [F.session_window("ts", gap or silence).alias("w"), *([] if gap else [run])]
+    out = samples.withWatermark("ts", delay).groupBy(*by, *keys).agg(*_aggregates(samples.columns, tie))
     if not gap:
-        return out
+        return out.drop("w")
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in out.columns if c != "w"])
 
 
-def start_rollup(rollup: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Write every refreshed window per batch; a replayed batch overwrites its own files."""
+def start_rollup(rollup: DataFrame, path: str, checkpoint: str, available_now: bool = False, mode: str = "update") -> StreamingQuery:
+    """Write every refreshed window per batch; a replayed batch overwrites its own files.
+
+    ``mode="append"`` writes a window once, when the watermark has passed it.
+    """
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    writer = rollup.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
+    writer = rollup.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

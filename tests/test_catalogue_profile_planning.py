@@ -61,9 +61,8 @@ def records(spark):
 def test_profile(spark):
     p = prof.device_kernels(records(spark))
     assert {r["kernel"]: r["category"] for r in p.collect()} == {"flash_fwd": "attention", "cutlass_gemm": "gemm", "mystery": "other", "memcpy DtoD": "memory"}
-    for small in (True, False):
-        s = prof.kernel_shares(p, ["run_id"], small=small).orderBy(F.desc("share")).collect()
-        assert [r["cumshare"] for r in s] == pytest.approx([0.5, 0.8, 0.95, 1.0])
+    s = prof.kernel_shares(p, ["run_id"]).orderBy(F.desc("share")).collect()
+    assert [r["cumshare"] for r in s] == pytest.approx([0.5, 0.8, 0.95, 1.0])
     for run in ([], ["run_id"]):
         c = {r["category"]: r for r in prof.coverage_report(p, run).collect()}
         assert c["__covered__"]["share"] == pytest.approx(0.8) and c["__covered__"]["n_kernels"] == 2 and c["other"]["implemented"] is False
@@ -84,10 +83,9 @@ def work(spark, n=57):
     return spark.createDataFrame([(f"k{i:03d}", 12.0 + (i % 9) * 1.7) for i in range(n)], "kernel_sig string, cost_s double")
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_shards_partition_balance_and_ignore_input_order(spark, small):
-    a = {r["kernel_sig"]: r["shard"] for r in planning.balanced_shards(work(spark), 4, small=small).collect()}
-    b = {r["kernel_sig"]: r["shard"] for r in planning.balanced_shards(work(spark).orderBy(F.rand(3)).repartition(5), 4, small=small).collect()}
+def test_shards_partition_balance_and_ignore_input_order(spark):
+    a = {r["kernel_sig"]: r["shard"] for r in planning.balanced_shards(work(spark), 4).collect()}
+    b = {r["kernel_sig"]: r["shard"] for r in planning.balanced_shards(work(spark).orderBy(F.rand(3)).repartition(5), 4).collect()}
     assert a == b and len(a) == 57 and set(a.values()) == {0, 1, 2, 3}
     cost = {r["kernel_sig"]: r["cost_s"] for r in work(spark).collect()}
     loads = [sum(cost[k] for k, s in a.items() if s == i) for i in range(4)]

@@ -31,9 +31,8 @@ def test_distance_with_identity_precision(spark):
 REF = "idx long, hardware string, arch string, num_sms int, M long, N long, K long, tile_M long, tile_N long, tile_K long, cta_count long, is_split_k boolean"
 
 
-@pytest.mark.parametrize("shipped", [500_000, 2])
-def test_nearest_launch_by_brute_force(spark, monkeypatch, shipped):
-    monkeypatch.setattr(ext, "SHIPPED_REFERENCE_ROWS", shipped)
+@pytest.mark.parametrize("block", [7, 1024])
+def test_nearest_launch_by_brute_force(spark, block):
     rows = [(i, hw, arch, sms, 64 * (i % 7), 32 * (i % 11), 128 * (i % 5), 64, 32, 64, i, i % 2 == 0)
             for i, (hw, arch, sms) in enumerate([("NVIDIA H100", "hopper", 132), ("NVIDIA L40", "ada", 142), ("Other Ada", "ada", 60)] * 40)]
     ref = spark.createDataFrame(rows, REF)
@@ -41,7 +40,7 @@ def test_nearest_launch_by_brute_force(spark, monkeypatch, shipped):
     df = spark.createDataFrame(shapes * 2, "gpu_key string, m long, n long, k long")
     home = {"H100": "NVIDIA H100", "L40": "NVIDIA L40", "L4": "Other Ada"}
     for mode in ("structural", "upstream"):
-        got = {(r["gpu_key"], r["m"], r["n"], r["k"]): r for r in ext.nearest_launch(df, ref, mode=mode, block=7).collect()}
+        got = {(r["gpu_key"], r["m"], r["n"], r["k"]): r for r in ext.nearest_launch(df, ref, mode=mode, block=block).collect()}
         assert len(got) == 9
         for (c, m, n, k), r in got.items():
             best = min((math.dist((x[4], x[5], x[6]), (m, n, k)), x[0]) for x in rows if x[1] == home[c])
@@ -53,6 +52,11 @@ def test_nearest_launch_by_brute_force(spark, monkeypatch, shipped):
                 assert r["is_split_k"] == (c != "H100") and r["launch_source"].endswith("arch:Other Ada" if c == "L4" else "exact")
     with pytest.raises(ValueError, match="mode"):
         ext.nearest_launch(df, ref, mode="x")
+    lost = df.union(spark.createDataFrame([("mystery", 1, 2, 3), ("A100_SXM4", 1, 2, 3)], df.schema))
+    with pytest.raises(ValueError, match="no reference"):
+        ext.nearest_launch(lost, ref)
+    kept = ext.nearest_launch(lost, ref, missing="keep").collect()
+    assert len(kept) == 11 and {r["gpu_key"] for r in kept if r["tile_m"] is None} == {"mystery", "A100_SXM4"}
 
 
 def test_prepare_floors_and_ranges(spark):
@@ -67,9 +71,8 @@ def test_prepare_floors_and_ranges(spark):
     fl = {r["category"]: r for r in ext.compare_floors(ext.prepare(full)).collect()}
     assert fl["gemm"]["ratio_median"] == pytest.approx(2.0) and fl["norm"]["eta_ours_over_1"] == 1
     ranges = spark.createDataFrame([("gemm", "tensor_all_cycle", 0.0, 1.0, 0.5, 0.25), ("gemm", "global_cycle", 0.0, 2.0, 1.0, 0.5)], "operator string, feature string, min double, max double, mean double, std double")
-    for small in (True, False):
-        rr = {r["feature"]: r for r in ext.range_report(full, ranges, small).collect()}
-        assert set(rr) == {"tensor_all_cycle", "global_cycle"} and rr["tensor_all_cycle"]["frac_above_max"] == 1 and rr["global_cycle"]["median_z"] == 0
+    rr = {r["feature"]: r for r in ext.range_report(full, ranges).collect()}
+    assert set(rr) == {"tensor_all_cycle", "global_cycle"} and rr["tensor_all_cycle"]["frac_above_max"] == 1 and rr["global_cycle"]["median_z"] == 0
     assert ext.worst_ranges(ext.range_report(full, ranges), 1).first()["feature"] == "tensor_all_cycle"
 
 
@@ -103,7 +106,7 @@ def test_captures_to_catalogue_and_back(spark, tmp_path):
     (tmp_path / "capture__sd.csv").write_text("kernel_sig,category,dtype,source_model,source_module,op_name,p_m,p_n,p_k,p_bias,height,width\nx,gemm,bf16,sd,,linear,64.0,64,64,True,512,512\n")
     cat = build_catalogue(readers.read_captures(spark, str(tmp_path)))
     assert cat.count() == 1 and cat.first()["source_model"] == "flux|sd"
-    writers.write_catalogue(cat, str(tmp_path / "cat"), ["flux", "sd"])
+    writers.write_catalogue(cat, str(tmp_path / "cat"), ["flux"])  # the other model is found
     back = readers.read_catalogue(spark, str(tmp_path / "cat"))
     assert back.first()["kernel_sig"] == cat.first()["kernel_sig"] and back.first()["calls"] == {"flux": 1, "sd": 1}
 

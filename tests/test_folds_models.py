@@ -18,7 +18,7 @@ def data(spark):
 
 
 def test_synthetic_data_covers_the_fleet_and_ignores_partitioning(spark, data):
-    assert synthetic_configs(spark).count() == 144
+    assert synthetic_configs(spark).count() == 3 * (9 * 4 + 2)
     assert data.groupBy("gpu_key").count().count() == 8 and data.filter("eta > 1 OR pi > 1").count() == 0
     a = {(r[0], r[1], r[2]): r[3] for r in synthetic_measurements(spark, 3, ["L4"]).select("kernel_sig", "source_model", "source_module", "energy_j").collect()}
     b = {(r[0], r[1], r[2]): r[3] for r in synthetic_measurements(spark, 3, ["H100", "L4"]).filter("gpu_key = 'L4'").repartition(7).select("kernel_sig", "source_model", "source_module", "energy_j").collect()}
@@ -46,8 +46,8 @@ def test_ridge_equals_the_closed_form_and_spark_ml(spark, data):
 def test_complement_medians(data):
     pdf = data.select("category", "eta", "pi").toPandas()
     cats = sorted(pdf.category.unique())
-    for small in (True, False):
-        for r in folds.complement_medians(data, "category", cats, small).collect():
+    for wanted in (cats, cats[:2]):
+        for r in folds.complement_medians(data, "category", wanted).collect():
             rest = pdf[pdf.category != r["group"]]
             assert r["eta_const"] == pytest.approx(rest.eta.median()) and r["pi_const"] == pytest.approx(rest.pi.median())
 

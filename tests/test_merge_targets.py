@@ -66,8 +66,8 @@ def test_heads_invert_targets(spark):
 
 def test_impossible_efficiency_is_reported(spark):
     d = spark.createDataFrame([("gemm", "H100", e) for e in (0.4, 0.5, 1.7)], "category string, gpu_key string, eta double")
-    for small in (True, False):
-        r = quality.validate_efficiency(d, small=small).first()
+    for by in (["category", "gpu_key"], ["gpu_key"]):
+        r = quality.validate_efficiency(d, by).first()
         assert r["frac_over_1"] == pytest.approx(1 / 3) and r["n"] == 3 and r["eta_median"] == 0.5 and r["eta_max"] == 1.7
 
 

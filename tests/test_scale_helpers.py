@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from jouleframe.operators import quantiles
 from jouleframe.operators.ordering import with_running
 from jouleframe.operators.quantiles import Quantile, group_quantiles, median
 
@@ -24,7 +25,7 @@ def test_bracketed_quantiles_are_exact(spark, accuracy):
     df, rows = skewed(spark)
     qs = [0.0, 0.1, 0.5, 0.95, 1.0]
     wanted = [Quantile(f"q{j}", F.col("v"), q) for j, q in enumerate(qs)] + [median("odd", F.when(F.col("w") > 2, F.col("v")))]
-    got = {r["g"]: r for r in group_quantiles(df, ["g"], wanted, [F.count("*").alias("n")], small=False, accuracy=accuracy).collect()}
+    got = {r["g"]: r for r in group_quantiles(df, ["g"], wanted, [F.count("*").alias("n")], accuracy=accuracy).collect()}
     assert set(got) == {r[0] for r in rows}
     for g, r in got.items():
         vals = [v for k, v, _, _ in rows if k == g and v is not None]
@@ -37,8 +38,8 @@ def test_bracketed_quantiles_are_exact(spark, accuracy):
 
 def test_quantiles_without_keys(spark):
     df, rows = skewed(spark)
-    for small in (True, False):
-        r = group_quantiles(df, [], [median("m", F.col("v"))], [F.count("v").alias("n")], small=small, accuracy=50).first()
+    for bounded in (True, False):
+        r = group_quantiles(df, [], [median("m", F.col("v"))], [F.count("v").alias("n")], bounded_groups=bounded, accuracy=50).first()
         vals = [v for _, v, _, _ in rows if v is not None]
         assert r["m"] == pytest.approx(float(np.median(vals))) and r["n"] == len(vals)
 
@@ -47,15 +48,17 @@ def test_quantiles_without_keys(spark):
 def test_running_sums_agree_with_a_window(spark, keys):
     df, _ = skewed(spark, 900)
     order = [F.desc_nulls_last("v"), F.col("i")]
-    a = with_running(df, keys, order, {"s": F.col("w")}, "r", small=True)
-    b = with_running(df, keys, order, {"s": F.col("w")}, "r", small=False)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    a = df.withColumns({"s": F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)), "r": F.row_number().over(w).cast("bigint")})
+    b = with_running(df, keys, order, {"s": F.col("w")}, "r")
     assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
 
 
-def test_no_group_gathers_in_the_large_plans(spark):
-    """Large-input plans never hold a group in an exact percentile buffer."""
+def test_no_group_gathers_in_one_buffer(spark, monkeypatch):
+    """Plans for unbounded groups never hold a group in an exact percentile buffer."""
+    monkeypatch.setattr(quantiles, "written", lambda d: d)  # to see the whole plan
     df, _ = skewed(spark, 300)
-    text = group_quantiles(df, ["g"], [median("m", F.col("v"))], small=False)._jdf.queryExecution().optimizedPlan().toString()
+    text = group_quantiles(df, ["g"], [median("m", F.col("v"))])._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile_approx" in text or "approx_percentile" in text
     assert " percentile(" not in text
 
