@@ -36,48 +36,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 from jouleframe.llm.common import keep, text_of
 
 CAPACITY = 2048
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.tiktoken"
 END_ID = 0
 BUCKETS = 256
 ROUNDS = 500
-CACHED_WORDS, CACHED_LENGTH = 200_000, 40
-
-
-class WordTokenizer:
-    """Token ids by a byte-level vocabulary whose merges never cross words, with a bounded cache of words."""
-
-    def __init__(self, path: str):
-        import regex
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
-
-        self.words = regex.compile(PATTERN).findall
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        words = self.words(text)
-        known = self.known
-        new = {w for w in words if w not in known} if words else ()
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = set(words)
-            order = list(new)
-            for w, e in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False)):
-                known[w] = tuple(e.ids)
-        ids = [i for w in words for i in known[w]]
-        if new:
-            for w in new:
-                if len(w) > CACHED_LENGTH:
-                    del known[w]
-        return np.array(ids, np.uint32)
+
+
+# The word pattern of the vocabulary, with possessive repeats: the same words, found without backtracking.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str):
+    """Encoder of a rank file; strings of special tokens in a text are ordinary text.
+
+    The rank file holds the vocabulary of the public ``byte_bpe_50k.json`` and gives the same ids.
+    """
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -89,11 +70,11 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        encode = _tokenizer(path or public_tokenizers.path(VOCABULARY)).encode
+        encode = tokenizer(path or public_tokenizers.path(VOCABULARY))
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.append(encode(text), np.uint32(END_ID)).astype("<u4")
+                ids = np.array([*encode(text), END_ID], "<u4")
                 first = len(ids) % capacity or capacity
                 for piece, (a, b) in enumerate(zip([0, *range(first, len(ids), capacity)], [*range(first, len(ids) + 1, capacity)])):
                     rows.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
