@@ -42,7 +42,9 @@ EXCLUDED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w
                       r"cookies?|consent|gdpr|notices?|alert\w*|popup\w*|modal\w*|newsletter\w*|subscri\w*|comments?|commentlist|respond|replies|reply|discussion|disqus\w*|"
                       r"share\w*|social\w*|related\w*|recommend\w*|widget\w*|toolbar\w*|pagination|pager|login|signup|search\w*|copyright|legal|skip\w*|hidden|"
                       r"navigation|complementary|contentinfo|dialog|form)(?:$|[\s_-])", re.I)
-BODY_ROLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body|text)(?:$|[\s_-]|\w*body|\w*content)", re.I)
+# The head of an article is part of it, and an article element is reader comment or teaser only by its first role.
+ARTICLE_HEAD = re.compile(r"(?:entry|post|article|content|story|page)[_-]?(?:header|title|heading|head)\b", re.I)
+NOT_ARTICLE = re.compile(r"(?:comment|reply|related|promo|teaser|ad)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ROLE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
@@ -51,6 +53,13 @@ WHITE = re.compile(r"[\s\xa0]+")
 HEADING = re.compile(r"h[1-6]\Z")
 
 
+def barring(tag: str, roles: str) -> bool:
+    """Whether an element of these roles is no part of the main text."""
+    if tag == "article":
+        return bool(NOT_ARTICLE.match(roles))
+    return tag not in ("main", "body", "html") and bool(EXCLUDED.search(ARTICLE_HEAD.sub("", roles)))
+
+
 def nodes(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
     """Text nodes in page order: path of open tags, number of its block, raw text, and whether it may be content."""
     out, open_tags, barred, block, at = [], [], [], 0, 0
@@ -105,7 +114,7 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
             continue
         roles = " ".join(a or b or c for a, b, c in ROLE.findall(m[3])) if m[3] else ""
         inside = any(x.partition(".")[0] in ("article", "main") for x in open_tags)
-        bad = tag in PLAIN or tag == "header" and not inside or bool(roles and EXCLUDED.search(roles) and not (tag in ("article", "main", "body", "html"))) or bool(m[3] and HIDDEN.search(m[3]))
+        bad = tag in PLAIN or tag == "header" and not inside or bool(roles) and barring(tag, roles) or bool(m[3] and HIDDEN.search(m[3]))
         open_tags.append(f"{tag}.{roles.split()[0].lower()}" if roles.split() else tag)
         barred.append(bad)
         if tag in RAW:

@@ -97,6 +97,8 @@ PAGE = ("<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script
 def test_page_text():
     assert pages.main_text(PAGE) == "A & B\nFirst part, with bold text.\nSecond one <here>."
     assert pages.main_text(PAGE.replace("<article>", "<div class='content'>").replace("</article>", "</div>")) == "A & B\nFirst part, with bold text.\nSecond one <here>."
+    head = "<body><div id='main'><div class='entry-header'><h1>Title.</h1></div><p>Long text, of the article.</p></div><article class='comment'><p>A reader.</p></article></body>"
+    assert pages.main_text(head) == "Title.\nLong text, of the article."
     assert pages.main_text("<p>Only, one.") == "Only, one." and pages.main_text("just text") == "just text"
     for odd in ("<", "<p", "<!-- open", "<script>x", "</p></p>", "<a b='", "<p>a</div></p>", "&#x110000;&bogus;", "<![CDATA[x"):
         assert isinstance(pages.main_text(odd), str)
