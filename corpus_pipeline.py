@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jouleframe.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from jouleframe.llm.common import keep, table
-from jouleframe.llm.queries import WEIGHTS
+from jouleframe.llm.queries import production_weights
 
 MIXED_SHARE = 0.9  # of the tokens that the stages before it kept
 MIXED_SEED = 7
@@ -31,7 +31,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One epoch at most, so no document occurs twice; the budget is a share of what is there."""
-    return mixing.take_mixed(docs, F.floor(F.sum("tokens") * MIXED_SHARE), WEIGHTS, MIXED_SEED)
+    return mixing.take_mixed(docs, F.floor(F.sum("tokens") * MIXED_SHARE), production_weights(), MIXED_SEED)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

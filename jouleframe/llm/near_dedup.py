@@ -252,12 +252,12 @@ def _all_open(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
     placed = members.join(labels, "node")
     open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
     rest = placed.join(open_, "key", "left_semi").join(texts.select("node", "signature", "bands"), "node")
-    left, right = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "head", "root", "signature", "bands")]) for s in "ab")
+    left, right = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "head", "root", "signature", "bands")]) for s in "ab")
     first = F.array_compact(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)))[0]
     # The head of a bucket has met all its members already.
     fits = ((F.col("root_a") < F.col("root_b")) & (F.col("node_a") != F.col("head_a")) & (F.col("node_b") != F.col("head_b"))
-            & (agreement("signature_a", "signature_b") >= AGREE) & (first == left["key"]))
-    return left.join(right, (left["key"] == right["key"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            & (agreement("signature_a", "signature_b") >= AGREE) & (first == F.col("key_a")))
+    return left.join(right, (F.col("key_a") == F.col("key_b")) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:

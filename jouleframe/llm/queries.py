@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jouleframe.llm import brown, exact_dedup, licenses, mixing, near_dedup, neighbours, packing, pages, secrets, toxicity
 from jouleframe.llm.common import table
@@ -38,18 +38,19 @@ WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST)
 """
 
 
-# Production weights: domains, languages, and equal sources.
-WEIGHTS = {
-    "domain": F.expr("CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END"),
-    "lang": F.expr("CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END"),
-    "source": F.lit(1),
-}
+def production_weights() -> dict[str, Column]:
+    """Domains, languages, and equal sources; made when a session is there to hold expressions."""
+    return {
+        "domain": F.expr("CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END"),
+        "lang": F.expr("CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END"),
+        "source": F.lit(1),
+    }
 
 
 @query
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, a document in up to four epochs."""
-    picked = mixing.mix(table(spark, sf_dir, "documents"), F.floor(F.sum("tokens") / 2), WEIGHTS, max_epochs=4, seed=7)
+    picked = mixing.mix(table(spark, sf_dir, "documents"), F.floor(F.sum("tokens") / 2), production_weights(), max_epochs=4, seed=7)
     return picked.select("doc_id", "domain", "lang", "source", "epoch", "tokens", "taken")
 
 
@@ -131,7 +132,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline  # it imports this module's weights
+    import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 

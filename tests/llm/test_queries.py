@@ -1,10 +1,12 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from jouleframe.llm.common import table
+from jouleframe.llm.common import ROOT, table
 from jouleframe.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -23,6 +25,11 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(rows.fetchall(), key=key) == sorted((tuple(r[c] for c in names) for r in got.collect()), key=key)
 
 
+def test_entry_imports_without_a_session():
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+
+
 def test_every_operator_has_a_query():
     assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
 
