@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def add_targets(df: DataFrame, latency_col: str = "latency_s", energy_col: str = "energy_j",
@@ -59,9 +59,11 @@ def complement_eta_floors(df: DataFrame, fold: str) -> DataFrame:
     unless the value holds it itself.
     """
     lows = df.groupBy(fold).agg(F.min("eta").alias("lo"))
-    two = lows.agg(F.slice(F.array_sort(F.collect_list(F.struct("lo", fold))), 1, 2).alias("two")).select("two").scalar()
-    other = F.filter(two, lambda x: x[fold] != F.col(fold))
-    return lows.select(fold, training_eta_floor(F.get(other, 0)["lo"]).alias("floor"))
+    # One row per held-out unit.
+    all_ = Window.orderBy(F.asc_nulls_last("lo"), fold).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = lows.withColumns({"_rank": F.row_number().over(Window.orderBy(F.asc_nulls_last("lo"), fold)),
+                               "_lowest": F.nth_value("lo", 1).over(all_), "_next": F.nth_value("lo", 2).over(all_)})
+    return ranked.select(fold, training_eta_floor(F.when(F.col("_rank") == 1, F.col("_next")).otherwise(F.col("_lowest"))).alias("floor"))
 
 
 def subtract_overhead(df: DataFrame, latency: str = "latency_s", energy: str = "energy_raw_j",

@@ -8,21 +8,35 @@ from __future__ import annotations
 
 import re
 
-from jouleframe.operators.external import ALL_FEATURES, OPERATOR_FEATURES
-from jouleframe.plans.bindings import EXTERNAL_OPERATORS, KINDS
-from jouleframe.sources.hardware import EXTERNAL_FLEET, FLEET
-
-_HW_ROWS = ",\n ".join(
-    f"({i},'{r[0]}','{r[1]}','{r[2]}',{r[3]}e0,{r[4]},{r[5]},{r[8]},{r[9]},{r[11]}e0,{r[10]}e0,{r[13]}e0,{r[14]}e0,{r[15]}e0,{r[16]},{r[17]}e0,{r[20]}e0,{r[21]}e0,{int(r[19] == 'HBM')})"
-    for i, r in enumerate(FLEET))
-_KIND_CASE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items())
-_EXT_ROWS = ",\n ".join(f"('{r[0]}','{r[1]}','{r[2]}',{r[3]},{r[8]}e0)" for r in EXTERNAL_FLEET)
+# Fixed values, written out so that a wrong constant of the engine shows as a difference.
+_HW_ROWS = """(0,'L4','NVIDIA L4','Ada',8.9e0,60,1024,128,16,1969e0,2040e0,300e0,2430e0,48e0,128,100e0,72e0,15e0,0),
+ (1,'L40S','NVIDIA L40S','Ada',8.9e0,142,1024,128,16,2490e0,2520e0,864e0,2430e0,96e0,128,100e0,350e0,32e0,0),
+ (2,'L40','NVIDIA L40','Ada',8.9e0,142,512,128,16,2490e0,2490e0,864e0,2430e0,96e0,128,100e0,300e0,30e0,0),
+ (3,'A100_PCIE','NVIDIA A100 80GB PCIe','Ampere',8.0e0,108,2048,64,16,1411e0,1410e0,1935e0,5120e0,40e0,128,164e0,300e0,40e0,1),
+ (4,'A100_SXM4','NVIDIA A100-SXM4-80GB','Ampere',8.0e0,108,2048,64,16,1411e0,1410e0,2039e0,5120e0,40e0,128,164e0,400e0,52e0,1),
+ (5,'H100','NVIDIA H100 SXM5 80GB','Hopper',9.0e0,132,4096,128,16,1830e0,1980e0,3352e0,8000e0,50e0,128,228e0,700e0,72e0,1),
+ (6,'H200_NVL','NVIDIA H200 NVL','Hopper',9.0e0,132,4096,128,16,1545e0,1785e0,4800e0,8000e0,50e0,128,228e0,600e0,68e0,1),
+ (7,'H200_SXM','NVIDIA H200','Hopper',9.0e0,132,4096,128,16,1830e0,1980e0,4800e0,8000e0,50e0,128,228e0,700e0,75e0,1)"""
+_EXT_ROWS = """('A100_SXM4','NVIDIA A100-SXM4-80GB','ampere',108,1410e0),
+ ('H100','NVIDIA H100','hopper',132,1830e0),
+ ('H200_SXM','NVIDIA H200','hopper',132,1830e0),
+ ('L40','NVIDIA L40','ada',142,2490e0),
+ ('A100_PCIE','NVIDIA A100-PCIE-80GB','ampere',108,1410e0),
+ ('L40S','NVIDIA L40S','ada',142,2520e0),
+ ('L4','NVIDIA L4','ada',58,2040e0),
+ ('H200_NVL','NVIDIA H200 NVL','hopper',132,1830e0)"""
+_KIND_CASE = ("WHEN 'STANDARD' THEN 'add' WHEN 'ECONOMY' THEN 'mul' WHEN 'MEDIUM' THEN 'gelu' "
+              "WHEN 'PROMO' THEN 'silu' WHEN 'SMALL' THEN 'scale_shift' WHEN 'LARGE' THEN 'swiglu'")
+_MEMORY = "global_in_flight global_cycle local_cycle sm_max_in_flight sm_max_global_cycle sm_max_shared_cycle sm_max_local_cycle".split()
+_TENSOR = "tensor_all_ops tensor_all_cycle tensor_sm_max_ops tensor_sm_max_cycle".split()
+_XU = "xu_all_ops xu_all_cycle xu_sm_max_ops xu_sm_max_cycle".split()
+_FMA = "fma_all_ops fma_all_cycle fma_sm_max_ops fma_sm_max_cycle".split()
+_VECTORS = {"gemm": _TENSOR + _MEMORY, "attn": _TENSOR + _XU + _MEMORY, "rmsnorm": _FMA + _XU + _MEMORY, "siluandmul": _FMA + _XU + _MEMORY}
+_FEATURES = _TENSOR + _MEMORY + _XU + _FMA
 
 
 def _feature_case(f: str) -> str:
-    whens = " ".join(
-        f"WHEN pw_operator='{op}' THEN abs(CAST(embedding[{OPERATOR_FEATURES[op].index(f) + 1}] AS DOUBLE))*1e6"
-        for op in EXTERNAL_OPERATORS if f in OPERATOR_FEATURES[op])
+    whens = " ".join(f"WHEN pw_operator='{op}' THEN abs(CAST(embedding[{names.index(f) + 1}] AS DOUBLE))*1e6" for op, names in _VECTORS.items() if f in names)
     return f"CASE {whens} END AS pw_{f}"
 
 
@@ -169,9 +183,9 @@ CTES = {
  CASE label % 4 WHEN 0 THEN 'gemm' WHEN 1 THEN 'attention' WHEN 2 THEN 'norm' ELSE 'elementwise' END AS category, h.gpu_key,
  (1 + vec_id % 50)*CAST(1e-6 AS DOUBLE) AS latency_s, (1 + vec_id % 7)*CAST(1e-6 AS DOUBLE) AS theoretical_time_s, (1 + vec_id % 7)/(1 + vec_id % 50) AS eta
  FROM embeddings JOIN hw h ON vec_id % 8 = h.gpu_idx""",
-    "ext": "SELECT *, " + ",\n ".join(_feature_case(f) for f in ALL_FEATURES) + " FROM ext0",
+    "ext": "SELECT *, " + ",\n ".join(_feature_case(f) for f in _FEATURES) + " FROM ext0",
     "ext_tall": " UNION ALL ".join(
-        f"SELECT vec_id, gpu_key, pw_operator AS operator, '{f}' AS feature, pw_{f} AS x FROM ext WHERE pw_{f} IS NOT NULL" for f in ALL_FEATURES),
+        f"SELECT vec_id, gpu_key, pw_operator AS operator, '{f}' AS feature, pw_{f} AS x FROM ext WHERE pw_{f} IS NOT NULL" for f in _FEATURES),
     "fmom": "SELECT operator, feature, avg(x) AS mean, stddev_pop(x) AS std, avg(ln(1 + x)) AS mu, var_pop(ln(1 + x)) AS var FROM ext_tall GROUP BY ALL",
     "dist": """SELECT t.vec_id, any_value(t.gpu_key) AS gpu_key, any_value(t.operator) AS operator, sqrt(sum((ln(1 + x) - mu)*(ln(1 + x) - mu)/var)) AS md
  FROM ext_tall t JOIN fmom m ON m.operator = t.operator AND m.feature = t.feature GROUP BY t.vec_id""",

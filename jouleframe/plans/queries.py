@@ -350,9 +350,11 @@ def _(t):
     return quality.pi_floor_audit(t.dataset())
 
 
-@query("split_failures", "SELECT 'ok' AS state, count(*) AS n FROM merged")
+@query("split_failures", "SELECT CASE WHEN category = 'gemm' AND CAST(substr(kernel_sig, 2) AS BIGINT) % 3 = 0 THEN 'failed' ELSE 'ok' END AS state, count(*) AS n FROM merged GROUP BY 1")
 def _(t):
-    ok, failed = dset.split_failures(t.merged_kernels)
+    """A third of the matrix products has lost a parameter."""
+    lost = (F.col("category") == "gemm") & (F.substring("kernel_sig", 2, 20).cast("bigint") % 3 == 0)
+    ok, failed = dset.split_failures(t.merged_kernels.withColumn("p_k", F.when(~lost, F.col("p_k"))))
     both = ok.select(F.lit("ok").alias("state")).unionByName(failed.select(F.lit("failed").alias("state")))
     return both.groupBy("state").agg(F.count("*").alias("n"))
 
@@ -576,6 +578,20 @@ def _(t):
     return ingest.read_ingested(t.spark, f"{out}/rows", LATER).select(*_MERGE_COLS)
 
 
+@query("stream_sessions", """SELECT gpu_key, count(*) AS n_samples, avg(power_w) AS power_mean_w FROM (SELECT *, sum(fresh) OVER (PARTITION BY gpu_key ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM (
+ SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY gpu_key ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM telemetry)) GROUP BY gpu_key, s
+ HAVING max(us) + 1800000000 <= (SELECT max(us) FROM telemetry) - 3600000000""", power_mean_w=6)
+def _(t):
+    """Sessions that the watermark has passed, each written once."""
+    from jouleframe.plans.bindings import _telemetry
+
+    events = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    out = _fresh_folder(t.spark, "sessions")
+    spans = rollup.run_rollup(_telemetry(events), gap="30 minutes", delay="1 hour", tie=["event_id"])
+    rollup.start_rollup(spans, f"{out}/windows", f"{out}/state", available_now=True, mode="append").awaitTermination()
+    return rollup.read_rollup(t.spark, f"{out}/windows", ["gpu_key", "window_start"]).select("gpu_key", "n_samples", "power_mean_w")
+
+
 @query("session_rollup", """SELECT gpu_key, count(*) AS n_samples, avg(power_w) AS power_mean_w FROM (SELECT *, sum(fresh) OVER (PARTITION BY gpu_key ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM (
  SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY gpu_key ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM telemetry)) GROUP BY gpu_key, s""", power_mean_w=6)
 def _(t):
