@@ -1,6 +1,6 @@
 """Toxicity scores from gradient-boosted trees over dense text features (operator 7).
 
-Features of a text: lexicon hits (density, number, number of fixed insults, most in a window), hits near a
+Features of a text: lexicon hits (density, number, number of fixed insults, variety, most in a window), hits near a
 second-person word, second-person rate, capitals, exclamation and other punctuation, digits,
 hits that only appear once obfuscation (leet signs, stretched or starred letters) is undone,
 and the rate of words that mix letters with digits or signs. The lexicon is a short fixed
@@ -37,7 +37,7 @@ from jouleframe.llm.common import keep, text_of
 
 FIT_ROWS = 20_000      # most labelled rows used for fitting
 LEXICON_WORDS = 200    # most learned lexicon entries
-MIN_TEXTS = 6          # different toxic texts that must hold a learned entry
+MIN_TEXTS = 8          # different toxic texts that must hold a learned entry
 CLEAN_WEIGHT = 9       # texts that are toxic for each one that is not
 STEMS = range(3, 9)    # letters of a word beginning
 CACHED = 300_000
@@ -52,7 +52,7 @@ INSULTS = ("idiot idiots moron morons stupid dumb dumbass loser losers trash scu
 SECOND_PERSON = "you your yours yourself u ur youre du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted vosotros".split()
 LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
-FEATURES = ["density", "hits", "insults", "most_near", "at_second_person", "second_person", "capitals", "exclaims", "punctuation", "digits",
+FEATURES = ["density", "hits", "insults", "variety", "most_near", "at_second_person", "second_person", "capitals", "exclaims", "punctuation", "digits",
             "hidden_hits", "mixed_words", "length"]
 
 
@@ -120,7 +120,7 @@ def features_of(text: str, lexicon: Lexicon, second: set[bytes]) -> list[float]:
             near = int((gap <= NEAR).sum())
     letters, size = bins[65:91].sum() + bins[97:123].sum(), len(raw)
     mixed = len(MIXED.findall(low)) if bins[48:58].any() or bins[[36, 64]].any() else 0
-    return [100.0 * len(hits) / n, float(len(hits)), float(sum(lexicon[words[i]] == 2 for i in hits)), float(most), float(near), 100.0 * len(spoken) / n,
+    return [100.0 * len(hits) / n, float(len(hits)), float(sum(lexicon[words[i]] == 2 for i in hits)), float(len({words[i] for i in hits})), float(most), float(near), 100.0 * len(spoken) / n,
             bins[65:91].sum() / max(letters, 1), 100.0 * bins[33] / size, 100.0 * (bins[_SIGNS].sum() - bins[33]) / size, 100.0 * bins[48:58].sum() / size,
             float(_hidden(low, lexicon, len(hits))), 100.0 * mixed / n, float(np.log1p(n))]
 
