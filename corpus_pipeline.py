@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, added=True)
 
 
 STAGES = [("toxicity", remove_toxic), ("exact dedup", remove_copies), ("near dedup", remove_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]

@@ -18,7 +18,8 @@ so that no common length meets in one task) and a rank falls into one range of o
 configuration. The table of ranges has as many rows as configurations have lengths: it
 depends on the capacity, not on the number of documents.
 
-Defined results: a null or empty text is one piece with the end id alone. Repeated rows are
+Defined results: a null or empty text is one piece with the end id alone. With ``added``, as the
+registered operator and the pipeline run it, an added token's string in a text is that token. Repeated rows are
 packed as often as they occur. An empty table gives no rows. A long text costs one task
 memory in proportion to itself.
 """
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ from jouleframe.llm.common import keep, text_of
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"
+ADDED = "byte_bpe_50k.json"
 END_ID = 0
 BUCKETS = 256
 ROUNDS = 500
@@ -47,30 +49,37 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """Encoder of a rank file; strings of special tokens in a text are ordinary text.
+def tokenizer(path: str, added: str | None = None):
+    """Encoder of a rank file, with the added tokens of the json at ``added``; without one their strings are ordinary text.
 
-    The rank file holds the vocabulary of the public ``byte_bpe_50k.json`` and gives the same ids.
+    The rank file holds the vocabulary of the public ``byte_bpe_50k.json`` and gives the same ids. A text is cut
+    at its added tokens first, and each stretch between them is encoded for itself, as ``tokenizers`` does.
     """
     import base64
+    import json
 
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    special = {}
+    if added:
+        with open(added, encoding="utf-8") as file:
+            special = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+    encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return partial(encoding.encode, allowed_special=set(special), disallowed_special=()) if special else encoding.encode_ordinary
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32. ``added`` maps added tokens in a text to their ids."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        encode = tokenizer(path or public_tokenizers.path(VOCABULARY))
+        encode = tokenizer(path or public_tokenizers.path(VOCABULARY), public_tokenizers.path(ADDED) if added else None)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -191,9 +200,9 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return x.join(sums, ["length", "_bucket"]).withColumn("rank", F.col("_first") + F.row_number().over(own) - 1).select(*pieces.columns, "rank")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece with its sequence and its offset there."""
-    pieces = keep(tokenised(docs, path, capacity), "pieces")
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """One row per piece with its sequence and its offset there. ``added`` maps added tokens in a text to their ids."""
+    pieces = keep(tokenised(docs, path, capacity, added), "pieces")
     # At most ``capacity`` rows.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = ranges(configurations(counts, capacity))

@@ -122,7 +122,7 @@ def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=True)
 
 
 @query

@@ -49,6 +49,24 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, []), capacity=256).collect() == []
 
 
+def test_packing_operator_maps_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from jouleframe.llm import queries
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"x{end}", end, end * 3, f"a  {end}  b", f"one\n\n {end}\n two {end}", "<|endoftext|", f"{end[:-1]}{end}>", f"é{end}　日本\t", f"words {end} " * 700, "plain", ""]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (queries.op4_pack_sequences(spark, str(tmp_path)).collect(), corpus_pipeline.pack_sequences(spark, docs(spark, texts), str(tmp_path)).collect()):
+        lengths = Counter()
+        for r in rows:
+            ids = np.array([*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+            assert r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes()), texts[r.doc_id][:40]
+            lengths[r.doc_id] += r.length
+        assert lengths == {i: len(t.encode(x, add_special_tokens=False)) + 1 for i, x in enumerate(texts)}
+    assert packing.tokenizer(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.ADDED))(f"x{end}") == [87, 50256]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_configurations_cover_every_length_once(seed):
     rng = np.random.default_rng(seed)
