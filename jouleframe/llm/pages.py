@@ -8,7 +8,9 @@ whose fused ratio reaches a threshold that follows from the page's own spread ar
 paths. Nodes on content paths are selected; so are the headings and short nodes of the block
 that holds most of the selected text, for a ratio cannot tell a short last paragraph from a
 caption. Paths through menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comment sections take no part.
+styles and comment sections take no part. Where only a role or a form says so, an element stays in
+that holds the bulk of the text, and all stay in if nothing else is left; layout modifiers
+(``with-sidebar``) and the ids of sections and headings are no roles.
 
 Blocks are joined in page order. Pages are handled row by row in Arrow batches, so nothing
 is moved. Defined results: a null or empty page has an empty text; a page without any
@@ -37,37 +39,58 @@ PLAIN = frozenset("aside footer form nav button dialog head menu label object au
 CLOSES_P = BLOCK - {"html", "body"}
 SAME = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
-# Roles in class, id and role attributes that are never main text.
-EXCLUDED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|header|masthead|"
-                      r"cookies?|consent|gdpr|notices?|alert\w*|popup\w*|modal\w*|newsletter\w*|subscri\w*|comments?|commentlist|respond|replies|reply|discussion|disqus\w*|"
-                      r"share\w*|social\w*|related\w*|recommend\w*|widget\w*|toolbar\w*|pagination|pager|login|signup|search\w*|copyright|legal|skip\w*|hidden|"
-                      r"navigation|complementary|contentinfo|dialog|form)(?:$|[\s_-])", re.I)
+# Roles in class, id and role attributes that are never main text: as the first part of a name, as its last, and what an id may hold after the first.
+_FIRST = (r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|header|masthead|"
+          r"cookies?|consent|gdpr|notices?|alert\w*|popup\w*|modal\w*|newsletter\w*|subscri\w*|comments?|commentlist|respond|replies|reply|discussion|disqus\w*|"
+          r"share\w*|social\w*|related\w*|recommend\w*|widget\w*|toolbar\w*|pagination|pager|login|signup|search\w*|copyright|legal|skip\w*|hidden|"
+          r"navigation|complementary|contentinfo|dialog|form)")
+_LAST = (r"(?:ads?|adverts?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|footer|header|masthead|cookies?|consent|popup|modal|newsletter|"
+         r"comments?|replies|share|social|related|widgets?|toolbar|pagination|pager|login|signup|copyright)")
+_PLACE = r"(?:area|list|section|wrap\w*|container|box|bar|left|right|inner|outer|top|bottom|links?|form|content|primary|secondary|panel|block|region|holder|posts?|buttons?|widgets?|[0-9]+)"
+EXCLUDED = re.compile(rf"{_FIRST}(?:$|[_-])|(?:.*[_-])?{_LAST}$", re.I)
+EXCLUDED_ID = re.compile(rf"(?!discussion$){_FIRST}(?:[_-]+{_PLACE})*$|(?:.*[_-])?{_LAST}$", re.I)
+# What a name says about the layout of an element, not about its role.
+MODIFIER = re.compile(r"(?:^|[_-])(?:no|has|with|without)[_-].*", re.I)
+BULK = 0.5        # share of the text that an element of such a role does not hold
+LONGER = 10       # times the text of articles outside it, for comments can be longer than what they comment on
 # The head of an article is part of it, and an article element is reader comment or teaser only by its first role.
 ARTICLE_HEAD = re.compile(r"(?:entry|post|article|content|story|page)[_-]?(?:header|title|heading|head)\b", re.I)
 NOT_ARTICLE = re.compile(r"(?:comment|reply|related|promo|teaser|ad)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ROLE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ROLE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 WHITE = re.compile(r"[\s\xa0]+")
 HEADING = re.compile(r"h[1-6]\Z")
 
 
-def barring(tag: str, roles: str) -> bool:
-    """Whether an element of these roles is no part of the main text."""
+def barring(tag: str, roles: list[tuple[str, str]]) -> bool:
+    """Whether an element of these (attribute, value) roles looks like no part of the main text."""
     if tag == "article":
-        return bool(NOT_ARTICLE.match(roles))
-    return tag not in ("main", "body", "html") and bool(EXCLUDED.search(ARTICLE_HEAD.sub("", roles)))
+        return bool(NOT_ARTICLE.match(" ".join(value for _, value in roles)))
+    if tag in ("main", "body", "html"):
+        return False
+    # Ids of sections and headings name their subject.
+    subject = tag == "section" or bool(HEADING.match(tag)) or any(kind == "class" and "section" in value.lower().split() for kind, value in roles)
+    for kind, value in roles:
+        if kind == "id" and subject:
+            continue
+        excluded = EXCLUDED_ID if kind == "id" else EXCLUDED
+        if any(excluded.match(MODIFIER.sub("", name)) for name in ARTICLE_HEAD.sub("", value).split()):
+            return True
+    return False
 
 
 def nodes(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
     """Text nodes in page order: path of open tags, number of its block, raw text, and whether it may be content."""
     out, open_tags, barred, block, at = [], [], [], 0, 0
+    # An element's entry in ``barred``: 0, -1 if nothing lifts its bar, or its own number if it is barred by role.
+    number = 0
     text_from, skip = 0, None
 
     def put(text: str) -> None:
         if text:
-            out.append((tuple(open_tags), block, text, not any(barred)))
+            out.append((tuple(open_tags), block, text, tuple(x for x in barred if x)))
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -112,9 +135,15 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
                     break
         if tag in VOID or m[3].endswith("/") and tag not in RAW and tag not in BLOCK:
             continue
-        roles = " ".join(a or b or c for a, b, c in ROLE.findall(m[3])) if m[3] else ""
+        named = [(kind.lower(), a or b or c) for kind, a, b, c in ROLE.findall(m[3])] if m[3] else []
+        roles = " ".join(value for _, value in named)
         inside = any(x.partition(".")[0] in ("article", "main") for x in open_tags)
-        bad = tag in PLAIN or tag == "header" and not inside or bool(roles) and barring(tag, roles) or bool(m[3] and HIDDEN.search(m[3]))
+        bad = 0
+        if tag in PLAIN and tag != "form" or tag == "header" and not inside or m[3] and HIDDEN.search(m[3]):
+            bad = -1
+        elif tag == "form" or named and barring(tag, named):
+            number += 1
+            bad = number
         open_tags.append(f"{tag}.{roles.split()[0].lower()}" if roles.split() else tag)
         barred.append(bad)
         if tag in RAW:
@@ -127,7 +156,30 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
             close = page.find(">", end.end())
             text_from = at = len(page) if close < 0 else close + 1
     put(page[text_from:])
-    return out
+    return lifted(out)
+
+
+def lifted(found: list[tuple[tuple[str, ...], int, str, tuple[int, ...]]]) -> list[tuple[tuple[str, ...], int, str, bool]]:
+    """Nodes with their bars resolved: a role (or form) does not bar the bulk of the text, nor all of it.
+
+    An element does not hold the bulk if article or main elements have text of some length beside it.
+    """
+    size: dict[int, int] = {}
+    total = named = 0
+    for path, _, text, bars in found:
+        n = len(text.strip())
+        if not n or -1 in bars:
+            continue
+        total += n
+        article = any(x.partition(".")[0] in ("article", "main") for x in path)
+        named += n if article and not bars else 0
+        for b in bars:
+            size[b] = size.get(b, 0) + n
+    free = {b for b, n in size.items() if n > BULK * total and n > LONGER * named}
+    may = [not (set(bars) - free) for _, _, _, bars in found]
+    if not any(m and x[2].strip() for m, x in zip(may, found)):
+        may = [-1 not in x[3] for x in found]
+    return [(path, block, text, m) for (path, block, text, _), m in zip(found, may)]
 
 
 def ratios(found: list[tuple[tuple[str, ...], int, str, bool]]) -> tuple[dict[tuple[str, ...], float], float]:

@@ -106,6 +106,23 @@ def test_page_text():
     assert pages.main_text(long).count("\n") == 2999
 
 
+def test_page_roles_of_layouts_and_subjects():
+    body = "<h1>Title.</h1><p>Long text, of the article.</p><p>More of it, as long again.</p>"
+    plain = "Title.\nLong text, of the article.\nMore of it, as long again."
+    for role in ("layout has-sidebar", "content with-sidebar", "post no-sidebar", "site-content no-comments", "long-form", "sidebar-right", "search-results", "layout--with-sidebar"):
+        assert pages.main_text(f"<body><nav>Home</nav><div class='{role}'>{body}</div><footer>Me.</footer></body>") == plain, role
+    for name in ("related-work", "discussion", "results-and-discussion", "search-algorithms", "legal-aspects", "social-policy"):
+        for section in (f"<section id='{name}'><h2>Part.</h2>", f"<div class='section' id='{name}'><h2>Part.</h2>", f"<div id='{name}'><h2>Part.</h2>", f"<h2 id='{name}'>Part.</h2><div>"):
+            page = f"<main>{body}{section}<p>Words of the part, and more.</p></main>"
+            assert pages.main_text(page) == f"{plain}\nPart.\nWords of the part, and more.", page
+    assert pages.main_text(f"<form id='aspnetForm'><div>{body}</div></form>") == plain
+    for role in ("class='site-footer'", "id='comments'", "id='sidebar-left'", "class='post-comments'", "class='ad-box'", "role='navigation'", "class='main-nav'"):
+        assert pages.main_text(f"<div class='content'>{body}</div><div {role}><p>Something else, not wanted.</p></div>") == plain, role
+    long = "<p>A reader says, at length, what they think.</p>" * 9
+    assert pages.main_text(f"<article>{body}<div class='comments'>{long}</div></article>") == plain
+    assert pages.main_text(f"<main><h1>Title.</h1><div class='sidebar-right'>{long}</div></main>").count("A reader") == 9
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (None, "u", "", 7), (1, "u", PAGE, 8)], "page_id long, url string, html string, n_chars int")
     got = pages.extract(df).collect()
