@@ -5,8 +5,11 @@ with the roles that ``class``, ``id`` and ``role`` attributes name). Per path th
 length, punctuation and number of nodes are summed; the two ratios - text per node and
 punctuation per node - are smoothed along the page, fused by their product, and the paths
 whose fused ratio reaches a threshold that follows from the page's own spread are content
-paths. Nodes on content paths are selected; so are the headings and short nodes of the block
-that holds most of the selected text, for a ratio cannot tell a short last paragraph from a
+paths, unless they hold link texts only; so are paths nearly as dense, whatever their share. Blocks with nodes on content paths
+are selected wherever they stand. Others are added if they stand in the same element as selected
+text (lists, quotes and cells count as standing in theirs) or wholly between two such blocks, if
+they are headings of them, or short and next to them in the innermost element that holds all
+selected text: a ratio cannot tell a short last paragraph from a
 caption. Paths through menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comment sections take no part. Where only a role or a form says so, an element stays in
 that holds the bulk of the text, and all stay in if nothing else is left; layout modifiers
@@ -51,6 +54,12 @@ EXCLUDED = re.compile(rf"{_FIRST}(?:$|[_-])|(?:.*[_-])?{_LAST}$", re.I)
 EXCLUDED_ID = re.compile(rf"(?!discussion$){_FIRST}(?:[_-]+{_PLACE})*$|(?:.*[_-])?{_LAST}$", re.I)
 # What a name says about the layout of an element, not about its role.
 MODIFIER = re.compile(r"(?:^|[_-])(?:no|has|with|without)[_-].*", re.I)
+# Elements that structure the text of the element they stand in.
+TEXT = frozenset("p li ul ol dir dl dt dd blockquote pre h1 h2 h3 h4 h5 h6 hr center address".split())
+CELL = frozenset("td th".split())
+TABLE = CELL | frozenset("tr table tbody thead tfoot".split())
+SHORT = 80        # characters of a block that a ratio says nothing about
+DENSE = 0.25      # of the usual ratio of content, without shares
 BULK = 0.5        # share of the text that an element of such a role does not hold
 LONGER = 10       # times the text of articles outside it, for comments can be longer than what they comment on
 # The head of an article is part of it, and an article element is reader comment or teaser only by its first role.
@@ -207,39 +216,91 @@ def ratios(found: list[tuple[tuple[str, ...], int, str, bool]]) -> tuple[dict[tu
     return {p: float(fused[i]) for p, i in order.items()}, float(min(fused.std(), fused.max()) * 0.5)
 
 
+def content_paths(found: list[tuple[tuple[str, ...], int, str, bool]]) -> set[tuple[str, ...]]:
+    """Paths whose fused ratio reaches the threshold, and those of prose nearly as dense, for a share says nothing about one of many sections.
+
+    Paths of link texts need that density.
+    """
+    fused, least = ratios(found)
+    reached = {p for p, x in fused.items() if x >= least}
+    # Many links reach it by their share alone.
+    content = {p for p in reached if "a" not in (x.partition(".")[0] for x in p)} or reached
+    sums: dict[tuple[str, ...], list[int]] = {}
+    for path, _, text, may in found:
+        size = len(text.strip())
+        if may and size:
+            x = sums.setdefault(path, [0, 0, 0])
+            x[0] += size
+            x[1] += len(PUNCTUATION.findall(text))
+            x[2] += 1
+    dense = {p: (size / n * (1 + marks / n)) ** 0.5 for p, (size, marks, n) in sums.items()}
+    whole = sum(sums[p][0] for p in content)
+    usual = sum(dense[p] * sums[p][0] for p in content) / whole if whole else 0.0
+    return content | {p for p, x in dense.items() if x >= DENSE * usual}
+
+
+def container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The element that a block of text stands in: ``path`` without inline elements, paragraphs, lists, quotes and cells at its end."""
+    end = len(path)
+    while end and ((tag := path[end - 1].partition(".")[0]) not in BLOCK or tag in TEXT):
+        end -= 1
+    if end and path[end - 1].partition(".")[0] in CELL and not any(x.partition(".")[0] in TEXT for x in path[end:]):
+        while end and path[end - 1].partition(".")[0] in TABLE:
+            end -= 1
+    return path[:end]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = nodes(page)
-    fused, least = ratios(found)
-    content = {p for p, x in fused.items() if x >= least}
-    root = _root(found, content)
-    chosen: dict[int, list[str]] = {}
+    content = content_paths(found)
+    # Blocks in page order: text, container, whether a heading, whether it holds a content node.
+    chosen: dict[int, list] = {}
     for path, block, text, may in found:
-        if may and (path[:len(root)] == root if root is not None else True):
-            chosen.setdefault(block, []).append(text)
-    blocks = (WHITE.sub(" ", html.unescape("".join(x))).strip() for _, x in sorted(chosen.items()))
-    return "\n".join(b for b in blocks if b)
+        if may:
+            x = chosen.setdefault(block, [[], path, False, False])
+            x[0].append(text)
+            x[2] = x[2] or any(HEADING.match(p.partition(".")[0]) for p in path)
+            x[3] = x[3] or path in content and bool(text.strip())
+    blocks = [(t, container(path), heading, selected) for _, (texts, path, heading, selected) in sorted(chosen.items())
+              if (t := WHITE.sub(" ", html.unescape("".join(texts))).strip())]
+    taken = _taken(blocks)
+    return "\n".join(t for (t, *_), take in zip(blocks, taken) if take)
 
 
-def _root(found, content) -> tuple[str, ...] | None:
-    """The innermost element that holds nearly all text of the content paths."""
-    weight: dict[tuple[str, ...], float] = {}
-    total = 0.0
-    for path, _, text, may in found:
-        if may and path in content:
-            size = len(text.strip())
-            total += size
-            for i in range(len(path) + 1):
-                weight[path[:i]] = weight.get(path[:i], 0.0) + size
-    if not total:
-        return None
-    named = [p for p, w in weight.items() if w >= 0.5 * total and p and p[-1].partition(".")[0] in ("article", "main")]
-    if named:
-        return max(named, key=len)
-    wide = [p for p, w in weight.items() if w >= 0.9 * total and not (p and p[-1].partition(".")[0] not in BLOCK)]
-    wide = [p for p in wide if not p or p[-1].partition(".")[0] not in ("p", "li", "td", "tr", "ul", "ol", "blockquote", "pre") and not HEADING.match(p[-1].partition(".")[0])]
-    return max(wide, key=len) if wide else ()
+def _taken(blocks: list[tuple[str, tuple[str, ...], bool, bool]]) -> list[bool]:
+    """Which blocks belong to the main text: selected ones, and by them headings, short ones and what stands inside their text."""
+    inside = {place for _, place, _, selected in blocks if selected}
+    if not inside:
+        return [True] * len(blocks)
+    low, high = min(inside), max(inside)
+    root = low[:next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))]
+    taken = [selected or place in inside for _, place, _, selected in blocks]
+    out = list(taken)
+    # Runs of other blocks: between two taken blocks of one container and below it they are part of its text.
+    at = 0
+    while at < len(blocks):
+        end = at
+        while end < len(blocks) and not taken[end]:
+            end += 1
+        if 0 < at < end < len(blocks):
+            place = blocks[at - 1][1]
+            if place == blocks[end][1] and place and all(blocks[i][1][:len(place)] == place for i in range(at, end)):
+                out[at:end] = [True] * (end - at)
+        # Short blocks next to a taken one, in the element that holds all content.
+        for i, near in ((at, at > 0), (end - 1, end < len(blocks))):
+            if at < end and near and len(blocks[i][0]) <= SHORT and blocks[i][1][:len(root)] == root:
+                out[i] = True
+        at = end + 1
+    # A heading belongs to the taken block that follows it, short lines between them aside.
+    before = False
+    for i in range(len(blocks) - 1, -1, -1):
+        text, _, heading, _ = blocks[i]
+        if heading and before:
+            out[i] = True
+        before = out[i] or before and not heading and len(text) <= SHORT
+    return out
 
 
 @F.pandas_udf(StringType())

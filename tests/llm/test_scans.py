@@ -123,6 +123,29 @@ def test_page_roles_of_layouts_and_subjects():
     assert pages.main_text(f"<main><h1>Title.</h1><div class='sidebar-right'>{long}</div></main>").count("A reader") == 9
 
 
+def test_page_nodes_are_selected_by_their_paths():
+    def part(n, words="Words of this part, as many as it takes, and a few more."):
+        return "".join(f"<p>{i}: {words}</p>" for i in range(n))
+
+    def lines(n):
+        return [f"{i}: Words of this part, as many as it takes, and a few more." for i in range(n)]
+
+    # Content outside the largest article, and beside the widest block, stays.
+    assert pages.main_text(f"<main><section>{part(9)}</section><article>{part(11)}</article></main>").split("\n") == lines(9) + lines(11)
+    assert pages.main_text(f"<div class='lead'>{part(1)}</div><div class='body'>{part(19)}</div>").split("\n") == lines(1) + lines(19)
+    many = "".join(f"<section class='s{i}'><h2>Part {i}</h2>{part(2)}</section>" for i in range(12))
+    assert pages.main_text(f"<main><div class='big'>{part(60)}</div>{many}</main>").count("as many as it takes") == 60 + 24
+    # Low ratios that stand apart from it go.
+    links = "".join(f"<div class='tile'><a href='/{i}'>Link {i}</a></div>" for i in range(30))
+    got = pages.main_text(f"<body><div class='text'><h1>T</h1>{part(9)}</div><div class='tiles'>{links}</div></body>").split("\n")
+    assert got[:10] == ["T", *lines(9)] and len(got) <= 11
+    # What stands inside its text stays: lists, quotes, tables, short last lines.
+    inner = "<ul><li>one</li><li>two</li></ul><div class='t'><table><tr><td>1<td>2<td>3</table></div>"
+    got = pages.main_text(f"<article><h1>T</h1>{part(3)}{inner}{part(2)}<p>End</p></article>").split("\n")
+    assert got == ["T", *lines(3), "one", "two", "1", "2", "3", *lines(2), "End"]
+    assert pages.main_text(f"<div class='head'><h1>T</h1></div><div class='by'>Me</div><div class='text'>{part(9)}</div>").split("\n")[0] == "T"
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (None, "u", "", 7), (1, "u", PAGE, 8)], "page_id long, url string, html string, n_chars int")
     got = pages.extract(df).collect()
