@@ -3,7 +3,8 @@
 Three plain patterns give the base spans: values assigned to a secret's name, access keys,
 and long hexadecimal runs. Beside them a lexer reads each whole text as source or
 configuration: it finds every ``name = literal`` pair (``=``, ``:``, ``:=``, ``=>``; quoted
-strings, string concatenations, bare words; JSON keys, exports, flags, XML attributes),
+strings, also on the next line or after a type, string concatenations, bare words; JSON keys,
+quoted subscripts, exports, flags, XML attributes),
 binds names to literals in order of appearance, and follows names that are assigned other
 names or concatenations of them, so a constant that reaches a sensitive name later is
 flagged where it is written. A pair is scored by how sensitive the words of its name are
@@ -32,7 +33,6 @@ from jouleframe.llm.common import text_of
 
 LEAST = 0.6       # least score of a flagged pair
 SHORTEST = 8      # characters of a literal worth scoring
-ROUNDS = 8        # longest chain of names that is followed
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -48,8 +48,19 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "sec
 HARMLESS = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|\*\*\*|<[^>]*>|\$\{|\{\{|^(?:none|null|true|false|undefined|required|optional|string|todo)$", re.A)
 
 _QUOTED = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
-PAIR = re.compile(rf"""(?P<name>(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_.-]{{0,63}})(?P<shut>["'`]?)[\x20\t]{{0,8}}(?::=|=>|=(?!=)|:(?!:))[\x20\t]{{0,8}}"""
-                  rf"""(?P<value>(?:{_QUOTED}|[^\s"'`,;(){{}}\[\]<>]+)(?:[\x20\t]*\+[\x20\t]*(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*))*)""", re.A)
+_GAP = r"[\x20\t]*+"
+_BREAK = r"[\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?+"
+_PART = rf"(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*+)"
+# A type between a name and its literal; it holds no colon, so that a scan ends before the next one.
+_TYPE = (rf"""[&*]*+(?:'\w++[\x20\t]++)?+(?![0-9])[\w.]++(?:\[[^\]\[:\n"'`=]*+(?:\[[^\]\[:\n"'`=]*+\][^\]\[:\n"'`=]*+)*+\]|<[^<>:\n"'`=]*+(?:<[^<>:\n"'`=]*+>[^<>:\n"'`=]*+)*+>)*+"""
+         rf"""(?:{_GAP}\|{_GAP}[\w.]++)*+\??+{_GAP}""")
+# A literal that may stand on the next line, and is no quoted name there.
+_NEXT = rf"""{_BREAK}(?=(?:{_QUOTED})(?!{_GAP}[:=\]]))"""
+# A name, which can be the quoted subscript of another, and what it is assigned. A name without a value is passed over as a whole,
+# for no part of it has one either: a text is read once, however long its names and gaps.
+PAIR = re.compile(rf"""(?P<name>(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_.-]*+)(?:(?P<shut>["'`]?(?:{_GAP}\])?+){_GAP}"""
+                  rf"""(?::(?![:=]){_GAP}{_TYPE}=(?![=>]){_NEXT}|(?::=|=>|=(?!=)|:(?!:))(?:{_NEXT}|{_GAP}))"""
+                  rf"""(?P<value>(?:{_QUOTED}|[^\s"'`,;(){{}}\[\]<>]+)(?:[\x20\t]*+\+[\x20\t]*+{_PART})*))?+""", re.A)
 PART = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<word>[^\s\"'`+]+)", re.A)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.A)
@@ -80,6 +91,8 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     reach: dict[str, float] = {}
     for m in PAIR.finditer(text):
         name, value, at = m["name"], m["value"], m.start("value")
+        if value is None:
+            continue
         reach[name] = sensitivity(name)
         bare = "=" in text[m.end("shut"):at]
         for p in PART.finditer(value):
@@ -91,15 +104,14 @@ def literals(text: str) -> list[tuple[int, int, float]]:
                     bound.setdefault(name, []).append((at + p.start(), at + p.end()))
             else:
                 bound.setdefault(name, []).append((at + p.start(), at + p.end()))
-    # A constant is as sensitive as the most sensitive name that it reaches.
-    for _ in range(ROUNDS):
-        changed = False
-        for name, used in sources.items():
-            for other in used & bound.keys() - {name}:
-                if reach[name] > reach[other]:
-                    reach[other], changed = reach[name], True
-        if not changed:
-            break
+    # A constant is as sensitive as the most sensitive name that it reaches: from those names backwards, most sensitive first.
+    for name in sorted(reach, key=reach.get, reverse=True):
+        level, waiting = reach[name], [name]
+        while waiting:
+            for other in sources.get(waiting.pop(), ()):
+                if other in bound and reach[other] < level:
+                    reach[other] = level
+                    waiting.append(other)
     found = []
     for name, places in bound.items():
         if reach[name]:

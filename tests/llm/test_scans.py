@@ -89,6 +89,19 @@ def test_secret_lexing_and_propagation():
         assert literal_texts(harmless) == [], harmless
 
 
+def test_secret_pairs_of_any_width_type_and_chain():
+    s = "q8Zr!w2LpX9v"
+    for text in ("client_pwd" + " " * 9 + f'= "{s}"', "pwd:" + " " * 12 + s, "pwd" + "\t" * 500 + "=" + " " * 500 + f"'{s}'", f'const pwd: string = "{s}"', f'auth_key: str = "{s}"',
+                 f'auth_key: Optional[str] = "{s}"', f'pwd: Option<Box<str>> = "{s}"', f"let pwd: &'static str = \"{s}\"", f'let pwd: string | null = "{s}"', f'config["client_pwd"] = "{s}"',
+                 f"config[ 'client_pwd' ] = '{s}'", f'client_pwd =\n    "{s}"', f'client_pwd:\r\n  "{s}"', f'client_pwd = \\\n "{s}"', "a" * 5000 + f'_pwd = "{s}"',
+                 f'k0 = "{s}"\n' + "".join(f"k{i} = k{i - 1}\n" for i in range(1, 500)) + "client_pwd = k499\n"):
+        assert literal_texts(text) == [s], text[:60]
+    assert literal_texts(f'pwd:\n  "client_key": "{s}"') == [s]
+    assert literal_texts(f'pwd: str\nuser = "{s}"') == [] and literal_texts(f'title: str = "{s}"') == []
+    for long in ("a.b-" * 50_000, "a:b<" * 50_000, "a:b[" * 50_000, "a: b | " * 50_000, "a " + " " * 200_000 + "b", 'a:"' * 50_000, "a=\n" * 50_000):
+        assert literal_texts(long) == []
+
+
 PAGE = ("<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>"
         "<div class=\"ad\">Buy, now.</div><div class='cookie-notice'>We use cookies.</div><article><h1>A &amp; B</h1><p>First  part,\n with <b>bold</b> text.<p>Second&nbsp;one &lt;here&gt;.</p>"
         "<aside>Side.</aside><div class='comments'><p>Reader says, hello.</p></div></article><form><label>Name</label></form><footer>&copy; me</footer></body></html>")
