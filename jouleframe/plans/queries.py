@@ -371,6 +371,18 @@ def _(t):
     return cat.capture_counts(events).select("source_model", "category", "dtype", "p_m", "p_n", "p_k", "count")
 
 
+_CALL_PARAMS = dict(
+    p_m=dict(gemm="p_m"), p_n=dict(gemm="p_n", conv="1"), p_k=dict(gemm="p_k"), p_b=dict(attention="1"), p_h=dict(attention="8", conv="p_m // 8"), p_s_q=dict(attention="p_m"),
+    p_s_kv=dict(attention="p_m"), p_d=dict(attention="64"), p_c_in=dict(conv="p_k"), p_c_out=dict(conv="p_n"), p_w=dict(conv="p_m // 8"), p_kh=dict(conv="3"), p_kw=dict(conv="3"),
+    p_rows=dict(norm="p_m"), p_dim=dict(norm="p_n"), p_n_elem=dict(elementwise="p_m * p_n"), p_kind=dict(elementwise="kind"))
+
+
+@query("capture_counts_all", "SELECT source_model, k.category, dtype, " + ", ".join(f"{p}_ AS {p}" for p in _CALL_PARAMS) + ", count(*) AS count FROM measurements m JOIN (SELECT kernel_sig, category, dtype, "
+       + ", ".join(f"CASE category {' '.join(f'WHEN {k!r} THEN {v}' for k, v in c.items())} END AS {p}_" for p, c in _CALL_PARAMS.items()) + " FROM kernels) k ON k.kernel_sig = m.kernel_sig GROUP BY ALL")
+def _(t):
+    return cat.capture_counts(t.op_calls.drop("count")).select("source_model", "category", "dtype", *_CALL_PARAMS, "count")
+
+
 @query("category_counts", "SELECT category, count(*) AS count FROM measurements GROUP BY category")
 def _(t):
     return cat.category_counts(cat.capture_counts(t.op_calls.drop("count")))
@@ -674,6 +686,16 @@ def _(t):
     return folds.clock_comparison(a, b).filter(~F.col("group").isin("MEAN", "POOLED"))
 
 
+_CLOCK_ROWS = """(SELECT gpu_key AS g, abs(tdp_w*theory - energy_j)/greatest(abs(energy_j), 1e-8)*100 AS t, abs(tdp_w*theory_boost - energy_j)/greatest(abs(energy_j), 1e-8)*100 AS b FROM ds)"""
+
+
+@query("clock_comparison_whole", f"""SELECT coalesce(g, 'POOLED') AS "group", count(*) AS n_test_tensor, avg(t) AS roofline_tensor, count(*) AS n_test_boost, avg(b) AS roofline_boost FROM {_CLOCK_ROWS} GROUP BY ROLLUP (g)
+ UNION ALL SELECT 'MEAN', CAST(sum(n) AS BIGINT), avg(t), CAST(sum(n) AS BIGINT), avg(b) FROM (SELECT g, count(*) AS n, avg(t) AS t, avg(b) AS b FROM {_CLOCK_ROWS} GROUP BY g)""", roofline_tensor=4, roofline_boost=4)
+def _(t):
+    a, b = (folds.baseline_table(t.dataset(c), "hardware").select("group", "n_test", "roofline") for c in ("tensor", "boost"))
+    return folds.clock_comparison(a, b)
+
+
 @query("ridge_baseline")
 def _(t):
     few = ["log_theoretical_time", "log_flops", "log_bytes_global_gpu", "sm_occupancy", "log_n_waves", "log_tdp", "uses_tensor_core"]
@@ -979,6 +1001,13 @@ def _(t):
     return seeds.seed_summary(t.seed_runs.filter(F.col("arm") == "a"))
 
 
+@query("seed_summary_arms", "SELECT arm, gpu, operator, min(n_test) AS n_test, count(DISTINCT seed) AS seeds, median(finetuned) AS finetuned, (max(finetuned) - min(finetuned))/2 AS finetuned_pm, median(hybrid) AS hybrid, (max(hybrid) - min(hybrid))/2 AS hybrid_pm FROM seed_runs GROUP BY ALL",
+       finetuned=7, finetuned_pm=7, hybrid=7, hybrid_pm=7)
+def _(t):
+    a, b = (seeds.seed_summary(t.seed_runs.filter(F.col("arm") == arm)).withColumn("arm", F.lit(arm)) for arm in ("a", "b"))
+    return a.unionByName(b)
+
+
 _P = "(list_sum([factorial(CAST(n AS INTEGER))/(factorial(CAST(k AS INTEGER))*factorial(CAST(n - k AS INTEGER))) for k in range(w, n + 1)])/power(2, n))"
 
 

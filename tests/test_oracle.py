@@ -17,3 +17,11 @@ def test_query_matches_its_sql(spark, name):
 def test_registry_is_complete(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
     assert entry.entry(spark).columns[:2] == ["category", "gpu_key"]
+
+
+@pytest.mark.parametrize("name, column, least", [("capture_counts_all", "category", {"gemm", "conv", "attention", "norm", "elementwise"}), ("clock_comparison_whole", "group", {"MEAN", "POOLED"}), ("seed_summary_arms", "arm", {"a", "b"})])
+def test_whole_jobs_match_their_sql(spark, name, column, least):
+    found = entry.queries()[name](spark, DIR)
+    exact, _, text, _ = differences(found, duck(DIR), entry.oracle_sql()[name])
+    assert exact, text
+    assert least <= {r[column] for r in found.select(column).distinct().collect()}
