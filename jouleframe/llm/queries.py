@@ -167,10 +167,10 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op13_hard_negatives"] = """
 WITH v AS (
   SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
-         list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x
+         list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = len(embedding)),
+    AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
 s AS (
   SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS own,
          CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score

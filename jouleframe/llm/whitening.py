@@ -295,7 +295,7 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, vector: str = "embeddi
     n, sums, d = _sums(fit)
     whole = np.array([s // n for s in sums], np.int64)
     rest = np.array([s % n / n for s in sums])
-    r = factor(fit, d, whole, rest)
+    r = factor(fit, d, whole, rest) if d else np.zeros((0, 0))
     values, directions = leading(r, components)
     k = len(values)
     spread = np.sqrt(values / n) if n else np.zeros(0)
