@@ -28,11 +28,12 @@ their row; other columns, whatever their names, stay with their row in ``encode`
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -44,7 +45,8 @@ from pyspark.sql import DataFrame, functions as F
 from jouleframe.llm.common import text_of
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 400_000  # words a worker remembers
+CACHED = 500_000  # words a worker remembers
+TOGETHER = 1_000_000  # characters whose words are held at once, unless one text is longer
 SHORT = 48  # characters of a word that is remembered
 END = "Ā"  # stands after the last byte of a word; no byte has this number
 # Splits a normalised text into words; the rest is white space.
@@ -70,7 +72,7 @@ class Vocabulary:
         self.cut = re.compile("|".join(map(re.escape, self.added))) if self.added else None
         ids = model["vocab"]
         size = max([*ids.values(), *self.added.values()]) + 1
-        self.token = np.full(size, None, object)
+        self.token: list[str | None] = [None] * size
         for s, i in (ids | self.added).items():
             self.token[i] = s
         byte = byte_of()
@@ -109,7 +111,11 @@ class Vocabulary:
         for i in made[np.argsort(self.rank[made])].tolist():
             whole[i] = whole[i] and whole.get(int(self.left[i]), True) and whole.get(int(self.right[i]), True)
         self.whole = {f: i for i, f in self.form.items() if sound[i] and whole.get(i, True)}
-        self.longest = max(map(len, self.whole), default=0)
+        # The longest token that starts with these three, two or one characters.
+        self.reach: dict[str, int] = {}
+        for f in self.whole:
+            for k in (1, 2, 3):
+                self.reach[f[:k]] = max(len(f), self.reach.get(f[:k], 0))
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -140,10 +146,11 @@ class Vocabulary:
 
     def propose(self, form: str) -> list[int] | None:
         """Greedy longest matches; none ends between the last byte and the end of the word."""
-        out, i, n, whole = [], 0, len(form), self.whole
+        out, i, n, whole, reach = [], 0, len(form), self.whole, self.reach
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                if j != n - 1 and (found := whole.get(form[i:j])) is not None:
+            most = reach.get(form[i:i + 3]) or reach.get(form[i:i + 2]) or reach.get(form[i], 0)
+            for j in range(min(n, i + most), i, -1):
+                if (found := whole.get(form[i:j])) is not None and j != n - 1:
                     out.append(found)
                     i = j
                     break
@@ -214,26 +221,37 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
+class Words:
+    """A worker's table of words in two halves: when the newer is full, it becomes the older, whose words go unless met again."""
+
+    def __init__(self):
+        self.newer: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def turn(self) -> None:
+        if len(self.newer) > CACHED // 2:
+            self.newer, self.older = {}, self.newer
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[Vocabulary, dict[str, tuple[int, ...]]]:
+def vocabulary(path: str) -> tuple[Vocabulary, Words]:
     """The vocabulary and this worker's table of words."""
-    return Vocabulary(path), {}
+    return Vocabulary(path), Words()
 
 
 def encode_texts(texts: Iterable[str], path: str) -> list[list[int]]:
-    vocab, known = vocabulary(path)
+    vocab, table = vocabulary(path)
+    table.turn()
+    known, older = table.newer, table.older
     split = [vocab.stretches(t) for t in texts]
     new = set(chain.from_iterable(split)).difference(known)
+    met = {w: older[w] for w in new if w in older}
     # No word of a text looks like an added token: those hold letters and other signs.
-    found = {w: (vocab.added[w],) for w in new & vocab.added.keys()}
-    found |= vocab.encode_words(new - found.keys())[0]
-    if len(known) + len(found) > CACHED:
-        found |= {w: known[w] for w in set(chain.from_iterable(split)) if w in known}
-        known.clear()
-    long = {w for w in found if len(w) > SHORT}
-    known.update(found)
+    added = {w: (vocab.added[w],) for w in new & vocab.added.keys()}
+    known.update(met, **added)
+    known.update(vocab.encode_words(new.difference(met, added))[0])
     out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
-    for w in long:
+    for w in [w for w in new if len(w) > SHORT]:
         del known[w]
     return out
 
@@ -246,12 +264,29 @@ def _path(path: str | None) -> str:
     return path
 
 
+def parts(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in runs of about ``TOGETHER`` characters, so that the words of one run fit in memory."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= TOGETHER:
+            yield texts[start:i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
+def decoded(ids: Iterable[int], token: list[str | None]) -> str:
+    n = len(token)
+    return " ".join([t for i in ids if 0 <= i < n and (t := token[i]) is not None])
+
+
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", path: str | None = None) -> DataFrame:
     """``docs`` with the token ids of column ``text``. ``path`` names the vocabulary file, the same on every executor."""
 
     @F.pandas_udf("array<int>")
     def ids(batch: pd.Series) -> pd.Series:
-        return pd.Series(encode_texts(batch, _path(path)), dtype=object)
+        return pd.Series([np.array(x, np.int32) for part in parts(batch.to_list()) for x in encode_texts(part, _path(path))], dtype=object)
 
     return docs.withColumn(into, ids(text_of(text)))
 
@@ -262,25 +297,28 @@ def decode(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str |
     @F.pandas_udf("string")
     def joined(batch: pd.Series) -> pd.Series:
         token = vocabulary(_path(path))[0].token
-        out = []
-        for x in batch:
-            if x is None:
-                out.append(None)
-                continue
-            x = np.asarray(x, np.float64) if getattr(x, "dtype", None) == object else np.asarray(x)
-            known = x[(x >= 0) & (x < len(token))].astype(np.int64)
-            out.append(" ".join(t for t in token[known].tolist() if t is not None))
-        return pd.Series(out, dtype=object)
+        return pd.Series([None if x is None else decoded([int(i) for i in x if i == i and i is not None], token) for x in batch], dtype=object)
 
     return rows.withColumn(into, joined(F.col(ids).cast("array<int>")))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: its number of tokens, and digests of its ids and of what they decode to."""
-    encoded = encode(docs.select("doc_id", text_of().alias("text")), path=path).select("doc_id", "ids")
-    return decode(encoded, path=path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    sha256 = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        token = vocabulary(_path(path))[0].token
+        number = [str(i) for i in range(len(token))]
+        for batch in batches:
+            at = 0
+            for part in parts(batch["text"].to_list()):
+                found = encode_texts(part, _path(path))
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[at:at + len(part)], "n_tokens": [len(x) for x in found],
+                    "ids_sha256": [sha256(" ".join(map(number.__getitem__, x))) for x in found],
+                    "decoded_sha256": [sha256(decoded(x, token)) for x in found]})
+                at += len(part)
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
+    out = rows.mapInPandas(made, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
