@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jouleframe.functions.metrics import mape
 from jouleframe.functions.missing import require_columns
 from jouleframe.functions.targets import energy_from_heads
 from jouleframe.operators.quantiles import group_quantiles, median
-from jouleframe.runtime import cut_lineage
+from jouleframe.runtime import written
 
 FOLDS = {"hardware": "gpu_key", "architecture": "source_model", "category": "category"}
 NEEDED = ["eta", "pi", "energy_j", "latency_s", "theoretical_time_s", "tdp_w"]
+VECTOR = "features"  # the model features of a row, as one array
 
 
 def fold_column(fold: str) -> str:
@@ -32,9 +35,17 @@ def complete_rows(df: DataFrame, fold: str, features: list[str]) -> DataFrame:
 
 
 def written_rows(df: DataFrame, fold: str, features: list[str]) -> DataFrame:
-    """``complete_rows`` written once: every fold and baseline reads them again."""
+    """The rows of ``complete_rows``, written once with their features as one array.
+
+    Every fold, baseline and fit reads them again. Rows are written before the incomplete
+    ones are left out, so that no filter carries the feature formulas a second time.
+    """
+    complete_rows(df, fold, features)  # for its refusals
     ids = [c for c in ("kernel_sig", "gpu_key", "category", "source_model", *NEEDED) if c in df.columns]
-    return cut_lineage(complete_rows(df, fold, features).select(*dict.fromkeys([*ids, *features])))
+    packed = F.array(*[F.col(f).cast("double") for f in features]).cast("array<double>").alias(VECTOR)
+    rows = written(df.select(*dict.fromkeys([*ids, fold_column(fold)]), packed))
+    whole = ~F.exists(VECTOR, lambda x: x.isNull() | F.isnan(x))
+    return rows.dropna(subset=["eta", "pi", "energy_j", fold_column(fold)]).filter(whole)
 
 
 def fold_groups(df: DataFrame, fold: str, min_rows: int = 10) -> list[tuple[str, int, int]]:
@@ -73,94 +84,84 @@ def complement_medians(df: DataFrame, fold: str, groups: list[str]) -> DataFrame
 # --- ridge on log energy ------------------------------------------------------------------
 
 
-def _gram_partials(features: list[str], col: str, centre: np.ndarray):
-    """Per-task sums of [1, x, y]' [1, x, y] by group, with x centred on the global mean."""
-    width = len(features) + 2
-
-    def run(batches):
-        acc: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            y = np.log(pdf["energy_j"].to_numpy(float))
-            x = pdf[features].to_numpy(float) - centre
-            z = np.column_stack([np.ones(len(pdf)), x, y])
-            labels = pdf[col].to_numpy()
-            for g in pd.unique(labels):
-                part = z[labels == g]
-                acc[g] = acc.get(g, np.zeros((width, width))) + part.T @ part
-        for g, m in acc.items():
-            yield pd.DataFrame({"group": [g], "gram": [m.ravel()]})
-
-    return run
-
+def group_grams(rows: DataFrame, fold: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Gram matrix [1, x, y]'[1, x, y] of every group, and the means and deviations of x and y = log energy.
 
-def group_grams(df: DataFrame, fold: str, features: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Gram matrix of every group in one pass (``len(features)+2`` squared numbers each)."""
-    col = fold_column(fold)
-    means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()
-    centre = np.array([means[f] for f in features], float)
-    slim = df.select(F.col(col).cast("string").alias(col), "energy_j", *[F.col(f).cast("double").alias(f) for f in features])
-    parts = slim.mapInPandas(_gram_partials(features, col, centre), "group string, gram array<double>")
-    cells = parts.select("group", F.posexplode("gram").alias("i", "v")).groupBy("group", "i").agg(F.sum("v").alias("v"))
-    packed = cells.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))
-    width = len(features) + 2
-    grams = {r["group"]: np.array([c["v"] for c in r["c"]]).reshape(width, width) for r in packed.collect()}
-    return grams, centre
+    x and y are standardised over all rows first. The products of a row are one vector (its
+    expansion to second degree), which partial sums add up per group inside the JVM: what moves
+    is one vector of (features + 1) squared halves per task and group.
+    """
+    col = F.col(fold_column(fold)).cast("string").alias("group")
+    z = rows.select(col, array_to_vector(F.concat(VECTOR, F.array(F.ln("energy_j")))).alias("z"))
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="z", outputCol="s").fit(z)
+    products = PolynomialExpansion(degree=2, inputCol="s", outputCol="p").transform(scaler.transform(z))
+    sums = products.groupBy("group").agg(F.count("*").alias("n"), Summarizer.sum(F.col("p")).alias("p"))
+    mean, sd = scaler.mean.toArray(), scaler.std.toArray()
+    width = len(mean)
+    # The expansion of (a, b, c, ..) is a, aa, b, ab, bb, c, ac, bc, cc, ..
+    at = np.concatenate([[i * (i + 3) // 2 + j for j in range(i + 2)] for i in range(width)])
+    row = np.concatenate([np.full(i + 2, i + 1) for i in range(width)])
+    other = np.concatenate([np.arange(i + 2) for i in range(width)])
+    grams = {}
+    for r in sums.collect():  # a row per held-out unit
+        m = np.zeros((width + 1, width + 1))
+        m[0, 0] = r["n"]
+        m[row, other] = m[other, row] = r["p"].toArray()[at]
+        grams[r["group"]] = m
+    return grams, mean, sd
 
 
 def ridge_from_gram(gram: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, float]:
-    """Ridge on standardised features from a Gram matrix: (coefficients on centred x, intercept)."""
+    """Ridge on standardised features from a Gram matrix: (coefficients on x, intercept)."""
     n = gram[0, 0]
-    mean = gram[0, 1:] / n
-    cov = gram[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
-    sd[sd < 1e-12] = 1.0
-    a = n * cov[:-1, :-1] / np.outer(sd, sd) + alpha * np.eye(len(sd))
-    b = n * cov[:-1, -1] / sd
-    coef = np.linalg.solve(a, b) / sd
+    mean, second = gram[0, 1:] / n, gram[1:, 1:] / n
+    cov = second - np.outer(mean, mean)
+    flat = np.diag(cov)[:-1] <= 1e-10 * np.diag(second)[:-1]  # one value but for rounding: no coefficient
+    sd = np.sqrt(np.where(flat, 1.0, np.diag(cov)[:-1]))
+    use = np.where(flat, 0.0, 1.0 / sd)
+    a = n * cov[:-1, :-1] * np.outer(use, use) + alpha * np.eye(len(sd))
+    coef = np.linalg.solve(a, n * cov[:-1, -1] * use) * use
     return coef, float(mean[-1] - coef @ mean[:-1])
 
 
-def ridge_predictions(df: DataFrame, fold: str, groups: list[str], features: list[str], alpha: float = 1.0) -> Column:
+def ridge_predictions(rows: DataFrame, fold: str, groups: list[str], alpha: float = 1.0) -> Column:
     """Energy predicted for each row by the ridge fitted on all other groups.
 
     The training Gram of a fold is the total minus the group's own, so one pass fits every fold.
     """
-    grams, centre = group_grams(df, fold, features)
+    grams, mean, sd = group_grams(rows, fold)
     total = sum(grams.values())
-    key = F.col(fold_column(fold)).cast("string")
+    scale = np.where(sd[:-1] > 0, sd[:-1], np.inf)
     coefs, shifts = {}, {}
     for g in groups:
         coef, intercept = ridge_from_gram(total - grams[str(g)], alpha)
-        coefs[str(g)] = coef
-        shifts[str(g)] = intercept - float(coef @ centre)
+        coefs[str(g)] = coef / scale * sd[-1]
+        shifts[str(g)] = mean[-1] + sd[-1] * intercept - float(coefs[str(g)] @ mean[:-1])
+    key = F.col(fold_column(fold)).cast("string")
     pairs = [x for g, c in coefs.items() for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in c]))]
     weights = F.try_element_at(F.create_map(*pairs), key)
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    dot = F.aggregate(F.zip_with(weights, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    dot = F.aggregate(F.zip_with(weights, VECTOR, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return F.exp(dot + _lookup(shifts, key))
 
 
 # --- reports --------------------------------------------------------------------------------
 
 
-def with_baselines(df: DataFrame, fold: str, groups: list[str], features: list[str] | None = None,
-                   ridge: bool = True) -> DataFrame:
-    """Rows of the held-out groups with the energy each baseline predicts for them."""
-    col = fold_column(fold)
+def with_baselines(rows: DataFrame, fold: str, groups: list[str], ridge: bool = True) -> DataFrame:
+    """``written_rows`` with the energy that each baseline predicts; NULL outside of ``groups``."""
     theory, tdp = F.col("theoretical_time_s"), F.col("tdp_w")
     one = F.lit(1.0)
-    consts = {r["group"]: r for r in complement_medians(df, fold, groups).collect()}
-    key = F.col(col)
-    out = df.filter(key.isin(*groups))
+    consts = {r["group"]: r for r in complement_medians(rows, fold, groups).collect()}
+    key = F.col(fold_column(fold))
     cols = {
-        "group": key.cast("string"),
+        "group": F.when(key.isin(*groups), key.cast("string")),
         "roofline_pred": energy_from_heads(one, one, theory, tdp),
         "constant_pred": energy_from_heads(_lookup({g: consts[g]["eta_const"] for g in groups}, key),
                                            _lookup({g: consts[g]["pi_const"] for g in groups}, key), theory, tdp),
     }
     if ridge:
-        cols["ridge_pred"] = ridge_predictions(df, fold, groups, features)
-    return out.withColumns(cols)
+        cols["ridge_pred"] = ridge_predictions(rows, fold, groups)
+    return rows.withColumns(cols)
 
 
 REPORT_PAIRS = {
@@ -195,7 +196,8 @@ def baseline_table(df: DataFrame, fold: str, features: list[str] | None = None,
     """Report table of the parameter-free and linear baselines alone."""
     rows = written_rows(df, fold, features or [])
     groups = [g for g, _, _ in fold_groups(rows, fold, min_rows)]
-    return report_table(with_baselines(rows, fold, groups, features, ridge).withColumn("energy_true", F.col("energy_j")))
+    held_out = with_baselines(rows, fold, groups, ridge).filter("group IS NOT NULL")
+    return report_table(held_out.withColumn("energy_true", F.col("energy_j")))
 
 
 def clock_comparison(tensor: DataFrame, boost: DataFrame) -> DataFrame:

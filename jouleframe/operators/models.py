@@ -1,19 +1,31 @@
-"""Two-head predictors of efficiency and power fraction, evaluated by fold."""
+"""Two-head predictors of efficiency and power fraction, evaluated by fold.
+
+Features are binned once into one vector per row and written with the baselines of the fold;
+every fold, head, category and seed fits on that table. Fits run as concurrent jobs. Their
+trees become one table of models, and one pass over the rows scores each held-out row by the
+model that it is routed to: its category's specialist in its fold, or the fold's generalist.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark import inheritable_thread_target
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jouleframe.functions.roofline import FEATURE_COLUMNS
 from jouleframe.functions.targets import energy_from_heads, latency_from_eta
-from jouleframe.operators.folds import fold_column, fold_groups, report_table, with_baselines, written_rows
+from jouleframe.operators.folds import VECTOR, fold_column, fold_groups, report_table, with_baselines, written_rows
+from jouleframe.runtime import fresh_folder, written
 
 HEADS = ("eta", "pi")
+BINS = 32
+AT_ONCE = 8            # fits that run side by side
+MOST_NODES = 1_000_000  # of a model table that is broadcast
 HISTORY_SCHEMA = "fold string, `group` string, model string, head string, train array<double>, val array<double>, test array<double>, best_epoch int"
 
 
@@ -26,6 +38,14 @@ class TrainConfig:
     seed: int = 0
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """What all fits of a fold share: rows with binned features and baselines, and the groups to hold out."""
+    rows: DataFrame
+    fold: str
+    groups: list[str]
+
+
 @dataclass
 class Evaluation:
     table: DataFrame
@@ -48,64 +68,116 @@ def best_epoch(losses: list[float], threshold: float = 1e-6) -> int:
     return at
 
 
-def _assembled(df: DataFrame, features: list[str], cfg: TrainConfig) -> DataFrame:
-    staged = df.withColumns({
-        **{f: F.col(f).cast("double") for f in features},
-        "_val": validation_flag(cfg, [c for c in ("kernel_sig", "gpu_key") if c in df.columns]),
-        **{f"_log_{h}": F.when(F.col(h) > 0, F.ln(F.col(h))).otherwise(F.raise_error(F.lit(f"{h} must be positive"))) for h in HEADS},
-    })
-    return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="error").transform(staged)
-
-
-def fit_heads(train: DataFrame, test: DataFrame, cfg: TrainConfig, tag: tuple[str, str, str], histories: list) -> DataFrame:
-    """Fit both heads on ``train`` and append eta_pred, pi_pred to ``test``.
-
-    Early stopping reads the validation rows alone; the test curve is recorded afterwards.
-    """
-    out = test
-    for head in HEADS:
-        label = f"_log_{head}"
-        gbt = GBTRegressor(
-            featuresCol="_features", labelCol=label, predictionCol=f"_p_{head}", lossType="absolute", maxIter=cfg.max_iter,
-            maxDepth=cfg.max_depth, stepSize=cfg.step, seed=cfg.seed, validationIndicatorCol="_val")
-        model = gbt.fit(train)
-        curves = [model.evaluateEachIteration(d, "absolute") for d in (train.filter(~F.col("_val")), train.filter("_val"), test)]
-        histories.append((*tag, head, *[list(map(float, c)) for c in curves], best_epoch(curves[1])))
-        out = model.transform(out).withColumn(f"{head}_pred", F.least(F.exp(F.col(f"_p_{head}")), F.lit(1.0))).drop(f"_p_{head}")
-    return out
-
+def binned(rows: DataFrame) -> Column:
+    """The features of a row as one vector of bin numbers; bins are the quantiles of all rows."""
+    width = rows.select(F.max(F.size(VECTOR))).first()[0] or 0
+    columns = rows.select(*[F.col(VECTOR)[i].alias(f"f{i}") for i in range(width)])
+    cuts = columns.approxQuantile(columns.columns, [k / BINS for k in range(1, BINS)], 1.0 / (8 * BINS)) if width else []
+    distinct = [sorted(set(c)) for c in cuts]
+    splits = F.array(*[F.array(*[F.lit(float(x)) for x in c]).cast("array<double>") for c in distinct])
+    below = lambda x, i: F.size(F.filter(splits[i], lambda s: s < x)).cast("double")
+    return array_to_vector(F.transform(VECTOR, below) if width else F.array().cast("array<double>"))
 
-def evaluate(df: DataFrame, fold: str = "hardware", features: list[str] | None = None, cfg: TrainConfig = TrainConfig(),
-             min_rows: int = 10, per_category: bool = False, min_category_rows: int = 40, ridge: bool = True) -> Evaluation:
-    """Leave each group out, fit on the rest, and report errors against the baselines.
 
-    Folds are a loop over the few held-out groups; every fit is distributed.
-    """
+def prepare(df: DataFrame, fold: str = "hardware", features: list[str] | None = None, min_rows: int = 10, ridge: bool = True) -> Prepared:
+    """Rows of ``df`` ready for any number of fits, seeds and arms."""
     features = [c for c in FEATURE_COLUMNS if c in df.columns] if features is None else features
-    col = fold_column(fold)
     rows = written_rows(df, fold, features)
-    groups = fold_groups(rows, fold, min_rows)
-    with_base = with_baselines(rows, fold, [g for g, _, _ in groups], features, ridge)
-    ready_all, ready_test = _assembled(rows, features, cfg), _assembled(with_base, features, cfg)
-    histories: list[tuple] = []
-    parts = []
-    for g, _, _ in groups:
-        train, test = ready_all.filter(F.col(col) != g), ready_test.filter(F.col(col) == g)
-        if not per_category:
-            parts.append(fit_heads(train, test, cfg, (fold, str(g), "all"), histories))
-            continue
-        sizes = {r["category"]: r["n"] for r in train.groupBy("category").agg(F.count("*").alias("n")).collect()}
-        present = [r["category"] for r in test.select("category").distinct().collect()]
-        special = [c for c in present if sizes.get(c, 0) >= min_category_rows]
-        for c in special:
-            mine = F.col("category") == c
-            parts.append(fit_heads(train.filter(mine), test.filter(mine), cfg, (fold, str(g), c), histories))
-        if len(special) < len(present):
-            rest = test.filter(~F.col("category").isin(*special)) if special else test
-            parts.append(fit_heads(train, rest, cfg, (fold, str(g), "all"), histories))
-    scored = reduce(DataFrame.unionByName, parts)
+    groups = [g for g, _, _ in fold_groups(rows, fold, min_rows)]
+    logs = {f"_log_{h}": F.when(F.col(h) > 0, F.ln(F.col(h))).otherwise(F.raise_error(F.lit(f"{h} must be positive"))) for h in HEADS}
+    ready = with_baselines(rows, fold, groups, ridge).withColumns({"bins": binned(rows), **logs})
+    return Prepared(written(ready.drop(VECTOR)), fold, groups)
+
+
+def _fit(train: DataFrame, test: DataFrame, head: str, cfg: TrainConfig):
+    """One head's trees and its curves. Early stopping reads the validation rows alone; the test curve is only recorded."""
+    gbt = GBTRegressor(
+        featuresCol="bins", labelCol=f"_log_{head}", lossType="absolute", maxIter=cfg.max_iter, maxDepth=cfg.max_depth, maxBins=BINS,
+        stepSize=cfg.step, seed=cfg.seed, validationIndicatorCol="_val")
+    model = gbt.fit(train)
+    sides = (train.filter(~F.col("_val")), train.filter("_val"), test)
+    return model, [[float(x) for x in model.evaluateEachIteration(d, "absolute")] for d in sides]
+
+
+def model_table(folder: str, rows: DataFrame, depth: int) -> DataFrame:
+    """Saved fits as rows (route, head, trees); a tree is its weight and its nodes in order of their numbers."""
+    spark = rows.sparkSession
+    place = F.split(F.col("_metadata.file_path"), "/")
+    own = lambda n: F.decode(F.unhex(F.element_at(place, F.lit(n))), "utf-8")
+    data, about = spark.read.parquet(f"{folder}/*/*/data"), spark.read.parquet(f"{folder}/*/*/treesMetadata")
+    nodes = data.select(own(-4).alias("route"), own(-3).alias("head"), F.col("treeID").alias("tree"), F.struct(
+        F.col("nodeData.id").alias("id"), F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"), F.col("nodeData.prediction").alias("value")).alias("node"))
+    weights = about.select(own(-4).alias("route"), own(-3).alias("head"), F.col("_1").alias("tree"), F.col("_3").alias("weight"))
+    trees = nodes.groupBy("route", "head", "tree").agg(F.array_sort(F.collect_list("node")).alias("nodes")).join(weights, ["route", "head", "tree"])
+    return trees.groupBy("route", "head").agg(F.collect_list(F.struct("tree", "weight", "nodes")).alias("trees"))
+
+
+def predicted(trees: Column, x: Column, depth: int) -> Column:
+    """Weighted sum of what the trees say about the array ``x``."""
+    def step(nodes: Column, at: Column) -> Column:
+        n = nodes[at]
+        return F.when(n["left"] < 0, at).otherwise(F.when(x[n["feature"]] <= n["threshold"], n["left"]).otherwise(n["right"]))
+
+    def leaf(t: Column) -> Column:
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), lambda i, _: step(t["nodes"], i))
+        return t["nodes"][at]["value"]
+
+    return F.aggregate(F.array_sort(trees), F.lit(0.0), lambda s, t: s + t["weight"] * leaf(t))
+
+
+def _specialists(prepared: Prepared, least: int) -> set[tuple[str, str]]:
+    """(group, category) pairs present in the group, with enough rows of the category in its complement."""
+    col = fold_column(prepared.fold)
+    cells = prepared.rows.groupBy(F.col(col).alias("g"), "category").agg(F.count("*").alias("n")).collect()  # one row per cell of the report
+    total: dict[str, int] = {}
+    for r in cells:
+        total[r["category"]] = total.get(r["category"], 0) + r["n"]
+    return {(r["g"], r["category"]) for r in cells if r["g"] in prepared.groups and total[r["category"]] - r["n"] >= least}
+
+
+def _route(group: str, model: str) -> str:
+    return f"{group}|{model}"
+
+
+def evaluate_prepared(prepared: Prepared, cfg: TrainConfig = TrainConfig(), per_category: bool = False, min_category_rows: int = 40,
+                      at_once: int = AT_ONCE) -> Evaluation:
+    """Fit both heads of every fold, ``at_once`` fits at a time, and score all held-out rows in one pass."""
+    col, fold = F.col(fold_column(prepared.fold)), prepared.fold
+    rows = prepared.rows.withColumn("_val", validation_flag(cfg, [c for c in ("kernel_sig", "gpu_key") if c in prepared.rows.columns]))
+    special = _specialists(prepared, min_category_rows) if per_category else set()
+    present = {g for g in prepared.groups}
+    if per_category:
+        cells = prepared.rows.select(col.alias("g"), "category").distinct().collect()
+        present = {r["g"] for r in cells if (r["g"], r["category"]) not in special}
+    wanted = [(g, "all") for g in prepared.groups if g in present] + sorted(special)
+    folder = fresh_folder(rows.sparkSession, "models")
+
+    def fit(job: tuple[str, str, str]):
+        g, name, head = job
+        mine = F.lit(True) if name == "all" else F.col("category") == name
+        test = rows.filter((col == g) & mine)
+        if name == "all" and special:
+            test = test.filter(~F.col("category").isin([c for h, c in special if h == g]))
+        model, curves = _fit(rows.filter((col != g) & mine), test, head, cfg)
+        model.write().save(f"{folder}/{_route(g, name).encode().hex()}/{head.encode().hex()}")
+        return fold, str(g), name, head, *curves, best_epoch(curves[1])
+
+    jobs = [(g, name, head) for g, name in wanted for head in HEADS]
+    with ThreadPoolExecutor(at_once) as pool:
+        histories = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), jobs))
+    named = F.concat_ws("|", "group", "category")
+    model = F.when(named.isin([_route(g, c) for g, c in special]), F.col("category")).otherwise("all") if special else F.lit("all")
+    held_out = rows.filter("group IS NOT NULL").withColumns({"_route": F.concat_ws("|", "group", model), "_x": vector_to_array("bins")})
+    table = model_table(folder, rows, cfg.max_depth).groupBy(F.col("route").alias("_route")).pivot("head", list(HEADS)).agg(F.first("trees"))
+    # Bounded by what was fitted here: fits, times rounds, times nodes of a tree.
+    nodes = len(jobs) * cfg.max_iter * 2 ** (cfg.max_depth + 1)
+    table = F.broadcast(written(table)) if nodes <= MOST_NODES else written(table)
+    scored = held_out.join(table.withColumnsRenamed({h: f"_trees_{h}" for h in HEADS}), "_route")
+    scored = scored.withColumns({f"{h}_pred": F.least(F.exp(predicted(F.col(f"_trees_{h}"), F.col("_x"), cfg.max_depth)), F.lit(1.0)) for h in HEADS})
     theory, tdp = F.col("theoretical_time_s"), F.col("tdp_w")
-    ids = list(dict.fromkeys(c for c in ("group", col, "category", "gpu_key", "source_model", "kernel_sig") if c in scored.columns))
+    ids = list(dict.fromkeys(c for c in ("group", fold_column(fold), "category", "gpu_key", "source_model", "kernel_sig") if c in scored.columns))
     base = [c for c in ("roofline_pred", "constant_pred", "ridge_pred") if c in scored.columns]
     preds = scored.select(
         *ids, F.col("energy_j").alias("energy_true"),
@@ -115,12 +187,21 @@ def evaluate(df: DataFrame, fold: str = "hardware", features: list[str] | None =
     return Evaluation(report_table(preds), preds, histories)
 
 
-def run_seeds(df: DataFrame, seeds: int = 5, base_seed: int = 0, arm: str = "run", cfg: TrainConfig = TrainConfig(), **options) -> DataFrame:
-    """``evaluate`` over consecutive seeds: every table row tagged with its seed and arm."""
-    tables = []
-    for s in range(base_seed, base_seed + seeds):
-        tagged = TrainConfig(cfg.max_iter, cfg.max_depth, cfg.step, cfg.val_fraction, s)
-        tables.append(evaluate(df, cfg=tagged, **options).table.withColumns({"seed": F.lit(s), "arm": F.lit(arm)}))
+def evaluate(df: DataFrame, fold: str = "hardware", features: list[str] | None = None, cfg: TrainConfig = TrainConfig(),
+             min_rows: int = 10, per_category: bool = False, min_category_rows: int = 40, ridge: bool = True) -> Evaluation:
+    """Leave each group out, fit on the rest, and report errors against the baselines."""
+    return evaluate_prepared(prepare(df, fold, features, min_rows, ridge), cfg, per_category, min_category_rows)
+
+
+def run_seeds(df: DataFrame, seeds: int = 5, base_seed: int = 0, arm: str = "run", cfg: TrainConfig = TrainConfig(), fold: str = "hardware",
+              features: list[str] | None = None, min_rows: int = 10, ridge: bool = True, **options) -> DataFrame:
+    """``evaluate`` over consecutive seeds: every table row tagged with its seed and arm.
+
+    Rows, bins, baselines and Gram sums are made once; a seed costs its fits.
+    """
+    prepared = prepare(df, fold, features, min_rows, ridge)
+    tables = [evaluate_prepared(prepared, replace(cfg, seed=s), **options).table.withColumns({"seed": F.lit(s), "arm": F.lit(arm)})
+              for s in range(base_seed, base_seed + seeds)]
     return reduce(DataFrame.unionByName, tables)
 
 

@@ -307,12 +307,6 @@ def _(t):
     return quality.validate_efficiency(t.dataset())
 
 
-@query("validate_efficiency_large", """SELECT category, gpu_key, count(*) AS n, median(eta) AS eta_median, quantile_cont(eta, 0.95) AS eta_p95, max(eta) AS eta_max,
- avg(CASE WHEN eta > 1 THEN 1e0 ELSE 0e0 END) AS frac_over_1 FROM ds GROUP BY ALL""", eta_median=7, eta_p95=7, eta_max=7, frac_over_1=9)
-def _(t):
-    return quality.validate_efficiency(t.dataset())
-
-
 @query("coverage", "SELECT gpu_key, count(*) FILTER (category = 'gemm') AS gemm, count(*) FILTER (category = 'attention') AS attention, count(*) FILTER (category = 'conv') AS conv, count(*) FILTER (category = 'norm') AS norm, count(*) FILTER (category = 'elementwise') AS elementwise, count(*) AS total FROM reliable GROUP BY gpu_key")
 def _(t):
     return quality.coverage(merge.filter_reliable(t.merged_kernels), ["gemm", "attention", "conv", "norm", "elementwise"])
@@ -365,19 +359,13 @@ _CAT_COLS = ["kernel_sig", "category", "dtype", "source_model", "op_name", "n_mo
 _CALL_COLS = [f"calls_{m}" for m in MODELS]
 
 
-@query("capture_counts", "SELECT source_model, k.category, dtype, p_m, p_n, p_k, count(*) AS count FROM measurements m JOIN (SELECT * FROM kernels WHERE category = 'gemm') k ON k.kernel_sig = m.kernel_sig GROUP BY ALL")
-def _(t):
-    events = t.op_calls.drop("count").filter(F.col("category") == "gemm")
-    return cat.capture_counts(events).select("source_model", "category", "dtype", "p_m", "p_n", "p_k", "count")
-
-
 _CALL_PARAMS = dict(
     p_m=dict(gemm="p_m"), p_n=dict(gemm="p_n", conv="1"), p_k=dict(gemm="p_k"), p_b=dict(attention="1"), p_h=dict(attention="8", conv="p_m // 8"), p_s_q=dict(attention="p_m"),
     p_s_kv=dict(attention="p_m"), p_d=dict(attention="64"), p_c_in=dict(conv="p_k"), p_c_out=dict(conv="p_n"), p_w=dict(conv="p_m // 8"), p_kh=dict(conv="3"), p_kw=dict(conv="3"),
     p_rows=dict(norm="p_m"), p_dim=dict(norm="p_n"), p_n_elem=dict(elementwise="p_m * p_n"), p_kind=dict(elementwise="kind"))
 
 
-@query("capture_counts_all", "SELECT source_model, k.category, dtype, " + ", ".join(f"{p}_ AS {p}" for p in _CALL_PARAMS) + ", count(*) AS count FROM measurements m JOIN (SELECT kernel_sig, category, dtype, "
+@query("capture_counts", "SELECT source_model, k.category, dtype, " + ", ".join(f"{p}_ AS {p}" for p in _CALL_PARAMS) + ", count(*) AS count FROM measurements m JOIN (SELECT kernel_sig, category, dtype, "
        + ", ".join(f"CASE category {' '.join(f'WHEN {k!r} THEN {v}' for k, v in c.items())} END AS {p}_" for p, c in _CALL_PARAMS.items()) + " FROM kernels) k ON k.kernel_sig = m.kernel_sig GROUP BY ALL")
 def _(t):
     return cat.capture_counts(t.op_calls.drop("count")).select("source_model", "category", "dtype", *_CALL_PARAMS, "count")
@@ -431,11 +419,6 @@ def _(t):
     return prof.kernel_shares(_profile(t), ["run_id"]).select("run_id", "kernel", "category", "share", "cumshare")
 
 
-@query("kernel_shares_large", _SHARE, share=9, cumshare=9)
-def _(t):
-    return prof.kernel_shares(_profile(t), ["run_id"]).select("run_id", "kernel", "category", "share", "cumshare")
-
-
 @query("coverage_report", """SELECT run_id, category, sum(cuda_time_us) AS cuda_time_us, CAST(sum(calls) AS BIGINT) AS calls, count(*) AS n_kernels, category IN ('gemm','attention','conv','norm','elementwise') AS implemented,
  sum(cuda_time_us)/(SELECT sum(cuda_time_us) FROM prof p WHERE p.run_id = q.run_id) AS share FROM prof q GROUP BY run_id, category
  UNION ALL SELECT run_id, '__covered__', sum(cuda_time_us) FILTER (category IN ('gemm','attention','conv','norm','elementwise')), CAST(sum(calls) FILTER (category IN ('gemm','attention','conv','norm','elementwise')) AS BIGINT),
@@ -484,11 +467,6 @@ def _(t):
     return planning.balanced_shards(_costed(t), 7).select("kernel_sig", "shard")
 
 
-@query("balanced_shards_large", _SHARDS)
-def _(t):
-    return planning.balanced_shards(_costed(t), 7).select("kernel_sig", "shard")
-
-
 @query("within_budget", f"SELECT kernel_sig, elapsed_s FROM (SELECT kernel_sig, sum(cost_s) OVER (ORDER BY kernel_sig ROWS UNBOUNDED PRECEDING) AS elapsed_s FROM {_COST}) WHERE elapsed_s <= 10000", elapsed_s=4)
 def _(t):
     return planning.within_budget(_costed(t), 10_000.0, [F.col("kernel_sig")]).select("kernel_sig", "elapsed_s")
@@ -672,24 +650,15 @@ def _(t):
     return folds.complement_overview(t.dataset(), "hardware")
 
 
-@query("complement_medians_large", """SELECT k.category AS "group", median(o.eta) AS eta_const, median(o.pi) AS pi_const FROM (SELECT DISTINCT category FROM ds) k JOIN ds o ON o.category <> k.category GROUP BY 1""", eta_const=7, pi_const=9)
+@query("complement_medians", """SELECT k.category AS "group", median(o.eta) AS eta_const, median(o.pi) AS pi_const FROM (SELECT DISTINCT category FROM ds) k JOIN ds o ON o.category <> k.category GROUP BY 1""", eta_const=7, pi_const=9)
 def _(t):
     return folds.complement_medians(t.dataset(), "category", ["attention", "conv", "elementwise", "gemm", "norm"])
 
 
-_CLOCK_SQL = """SELECT gpu_key AS "group", count(*) AS n_test_tensor, avg(abs(tdp_w*theory - energy_j)/greatest(abs(energy_j), 1e-8)*100) AS roofline_tensor, count(*) AS n_test_boost, avg(abs(tdp_w*theory_boost - energy_j)/greatest(abs(energy_j), 1e-8)*100) AS roofline_boost FROM ds GROUP BY gpu_key"""
-
-
-@query("clock_comparison", _CLOCK_SQL, roofline_tensor=4, roofline_boost=4)
-def _(t):
-    a, b = (folds.baseline_table(t.dataset(c), "hardware").select("group", "n_test", "roofline") for c in ("tensor", "boost"))
-    return folds.clock_comparison(a, b).filter(~F.col("group").isin("MEAN", "POOLED"))
-
-
 _CLOCK_ROWS = """(SELECT gpu_key AS g, abs(tdp_w*theory - energy_j)/greatest(abs(energy_j), 1e-8)*100 AS t, abs(tdp_w*theory_boost - energy_j)/greatest(abs(energy_j), 1e-8)*100 AS b FROM ds)"""
 
 
-@query("clock_comparison_whole", f"""SELECT coalesce(g, 'POOLED') AS "group", count(*) AS n_test_tensor, avg(t) AS roofline_tensor, count(*) AS n_test_boost, avg(b) AS roofline_boost FROM {_CLOCK_ROWS} GROUP BY ROLLUP (g)
+@query("clock_comparison", f"""SELECT coalesce(g, 'POOLED') AS "group", count(*) AS n_test_tensor, avg(t) AS roofline_tensor, count(*) AS n_test_boost, avg(b) AS roofline_boost FROM {_CLOCK_ROWS} GROUP BY ROLLUP (g)
  UNION ALL SELECT 'MEAN', CAST(sum(n) AS BIGINT), avg(t), CAST(sum(n) AS BIGINT), avg(b) FROM (SELECT g, count(*) AS n, avg(t) AS t, avg(b) AS b FROM {_CLOCK_ROWS} GROUP BY g)""", roofline_tensor=4, roofline_boost=4)
 def _(t):
     a, b = (folds.baseline_table(t.dataset(c), "hardware").select("group", "n_test", "roofline") for c in ("tensor", "boost"))
@@ -698,22 +667,24 @@ def _(t):
 
 @query("ridge_baseline")
 def _(t):
-    few = ["log_theoretical_time", "log_flops", "log_bytes_global_gpu", "sm_occupancy", "log_n_waves", "log_tdp", "uses_tensor_core"]
-    return folds.baseline_table(t.dataset(), "hardware", few, ridge=True)
+    """All features; each held-out card's errors, MEAN and POOLED."""
+    return folds.baseline_table(t.dataset(), "hardware", roofline.FEATURE_COLUMNS, ridge=True)
 
 
-_SMALL_FIT = models.TrainConfig(max_iter=3, max_depth=3)
-_FIT_FEATURES = ["log_theoretical_time", "log_flops", "log_bytes_global_gpu", "sm_occupancy", "log_n_waves", "uses_tensor_core"]
+@query("evaluate_category")
+def _(t):
+    return models.evaluate(t.dataset(), "category").table
 
 
-@query("evaluate_category")
+@query("category_specialists")
 def _(t):
-    return models.evaluate(t.dataset(), "category", _FIT_FEATURES, _SMALL_FIT).table
+    """Cards held out; categories with enough rows elsewhere have a model of their own."""
+    return models.evaluate(t.dataset(), "hardware", per_category=True).table
 
 
 @query("run_seeds")
 def _(t):
-    return models.run_seeds(t.dataset(), seeds=2, cfg=models.TrainConfig(2, 2), fold="architecture", features=_FIT_FEATURES, ridge=False)
+    return models.run_seeds(t.dataset(), fold="architecture")
 
 
 def _histories(t):
@@ -958,11 +929,6 @@ def _(t):
     return ext.transfer_table(ext.with_hybrid(t.transfer_preds))
 
 
-@query("transfer_table_large", _TT_SQL, **_TT_DIGITS)
-def _(t):
-    return ext.transfer_table(ext.with_hybrid(t.transfer_preds))
-
-
 @query("transfer_cells", "SELECT operator, gpu_key, n_test, CAST(sum(n_test) OVER (PARTITION BY operator) - n_test AS BIGINT) AS n_train, CASE WHEN n_test < 1000 THEN 'too few rows' ELSE 'evaluated' END AS status FROM (SELECT operator, gpu_key, count(*) AS n_test FROM tp GROUP BY ALL)")
 def _(t):
     return ext.transfer_cells(t.transfer_preds, min_test=1000)
@@ -995,13 +961,7 @@ def _(t):
 # --- seeds ---------------------------------------------------------------------------------------------------------------
 
 
-@query("seed_summary", "SELECT gpu, operator, min(n_test) AS n_test, count(DISTINCT seed) AS seeds, median(finetuned) AS finetuned, (max(finetuned) - min(finetuned))/2 AS finetuned_pm, median(hybrid) AS hybrid, (max(hybrid) - min(hybrid))/2 AS hybrid_pm FROM seed_runs WHERE arm = 'a' GROUP BY ALL",
-       finetuned=7, finetuned_pm=7, hybrid=7, hybrid_pm=7)
-def _(t):
-    return seeds.seed_summary(t.seed_runs.filter(F.col("arm") == "a"))
-
-
-@query("seed_summary_arms", "SELECT arm, gpu, operator, min(n_test) AS n_test, count(DISTINCT seed) AS seeds, median(finetuned) AS finetuned, (max(finetuned) - min(finetuned))/2 AS finetuned_pm, median(hybrid) AS hybrid, (max(hybrid) - min(hybrid))/2 AS hybrid_pm FROM seed_runs GROUP BY ALL",
+@query("seed_summary", "SELECT arm, gpu, operator, min(n_test) AS n_test, count(DISTINCT seed) AS seeds, median(finetuned) AS finetuned, (max(finetuned) - min(finetuned))/2 AS finetuned_pm, median(hybrid) AS hybrid, (max(hybrid) - min(hybrid))/2 AS hybrid_pm FROM seed_runs GROUP BY ALL",
        finetuned=7, finetuned_pm=7, hybrid=7, hybrid_pm=7)
 def _(t):
     a, b = (seeds.seed_summary(t.seed_runs.filter(F.col("arm") == arm)).withColumn("arm", F.lit(arm)) for arm in ("a", "b"))

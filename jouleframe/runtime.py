@@ -51,10 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A path in the folder all executors reach that nothing has used before."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet in the folder all executors reach and go on from the written copy."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "rows")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

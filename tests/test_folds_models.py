@@ -34,8 +34,9 @@ def test_ridge_equals_the_closed_form_and_spark_ml(spark, data):
     x, y = (tr[FEW].to_numpy() - mu) / sd, np.log(tr.energy_j.to_numpy())
     coef = np.linalg.solve(x.T @ x + np.eye(len(FEW)), x.T @ (y - y.mean()))
     want = np.sort(np.exp((te[FEW].to_numpy() - mu) / sd @ coef + y.mean()))
-    pred = folds.ridge_predictions(data, "hardware", [held], FEW)
-    got = np.sort([r[0] for r in data.filter(F.col("gpu_key") == held).select(pred).collect()])
+    rows = folds.written_rows(data, "hardware", FEW)
+    pred = folds.ridge_predictions(rows, "hardware", [held])
+    got = np.sort([r[0] for r in rows.filter(F.col("gpu_key") == held).select(pred).collect()])
     assert np.allclose(got, want, rtol=1e-8)
     std = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y)], ["y", *FEW])
     fit = LinearRegression(labelCol="y", regParam=1.0 / len(y) * float(np.std(y)), elasticNetParam=0, standardization=False, solver="normal").fit(
@@ -43,6 +44,35 @@ def test_ridge_equals_the_closed_form_and_spark_ml(spark, data):
     assert np.allclose(fit.coefficients.toArray(), coef, rtol=1e-5, atol=1e-7)
 
 
+def test_ridge_on_all_features_equals_the_closed_form(data):
+    from jouleframe.functions.roofline import FEATURE_COLUMNS
+
+    table = {r["group"]: r for r in folds.baseline_table(data, "hardware", FEATURE_COLUMNS, ridge=True).collect()}
+    pdf = data.select("gpu_key", "energy_j", *FEATURE_COLUMNS).toPandas()
+    errors = []
+    for held in sorted(pdf.gpu_key.unique()):
+        tr, te = pdf[pdf.gpu_key != held], pdf[pdf.gpu_key == held]
+        mu, sd = tr[FEATURE_COLUMNS].mean().to_numpy(), tr[FEATURE_COLUMNS].std(ddof=0).to_numpy()
+        sd[sd < 1e-9 * np.maximum(1.0, np.abs(mu))] = np.inf
+        x, y = (tr[FEATURE_COLUMNS].to_numpy() - mu) / sd, np.log(tr.energy_j.to_numpy())
+        coef = np.linalg.solve(x.T @ x + np.eye(x.shape[1]), x.T @ (y - y.mean()))
+        want = np.exp((te[FEATURE_COLUMNS].to_numpy() - mu) / sd @ coef + y.mean())
+        true = te.energy_j.to_numpy()
+        own = np.abs(want - true) / np.maximum(np.abs(true), 1e-8) * 100
+        assert table[held]["ridge"] == pytest.approx(own.mean(), rel=1e-6) and table[held]["n_test"] == len(te)
+        errors.append(own)
+    assert table["MEAN"]["ridge"] == pytest.approx(np.mean([e.mean() for e in errors]), rel=1e-6)
+    assert table["POOLED"]["ridge"] == pytest.approx(np.concatenate(errors).mean(), rel=1e-6)
+
+
+def test_a_feature_that_only_the_held_out_group_varies_gets_no_weight(spark):
+    rows = [("a", float(i % 7), 0.1, float(i + 1)) for i in range(20)] + [("b", float(i % 5), 0.1, float(i + 2)) for i in range(20)] + [("c", float(i % 3), 5.0, 3.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "gpu_key string, f double, odd double, energy_j double").withColumns({c: F.lit(1.0) for c in ("eta", "pi", "latency_s", "theoretical_time_s", "tdp_w")})
+    with_odd, without = (folds.written_rows(df, "hardware", f) for f in (["f", "odd"], ["f"]))
+    pick = lambda r: [x[0] for x in r.filter("gpu_key = 'c'").select(folds.ridge_predictions(r, "hardware", ["c"])).collect()]
+    assert sorted(pick(with_odd)) == pytest.approx(sorted(pick(without)))
+
+
 def test_complement_medians(data):
     pdf = data.select("category", "eta", "pi").toPandas()
     cats = sorted(pdf.category.unique())
@@ -84,6 +114,37 @@ def test_per_category_uses_a_generalist_for_thin_categories(data):
     assert {h[2] for h in ev.histories} == {"gemm", "all"} and ev.predictions.count() == two.count()
 
 
+def test_one_scoring_pass_equals_each_fit_applied_to_its_rows(data):
+    """Specialists, a planted thin category and the generalist, against Spark ML's own scoring."""
+    thin = (F.col("category") != "attention") | (F.pmod(F.xxhash64("kernel_sig"), F.lit(3)) == 0)
+    two = data.filter(F.col("gpu_key").isin("L4", "H100") & F.col("category").isin("gemm", "norm", "attention") & thin)
+    prepared = models.prepare(two, "hardware", FEW, ridge=False)
+    cfg = models.TrainConfig(4, 3)
+    ev = models.evaluate_prepared(prepared, cfg, per_category=True, min_category_rows=20)
+    fitted = {(h[1], h[2]) for h in ev.histories}
+    assert ("L4", "gemm") in fitted and ("L4", "all") in fitted and ("L4", "attention") not in fitted
+    rows = prepared.rows.withColumn("_val", models.validation_flag(cfg, ["kernel_sig", "gpu_key"]))
+    for g, c in (("L4", "gemm"), ("L4", "attention")):
+        own = F.col("category") == c if (g, c) in fitted else F.lit(True)
+        test = rows.filter((F.col("gpu_key") == g) & (F.col("category") == c))
+        for head in models.HEADS:
+            model, _ = models._fit(rows.filter((F.col("gpu_key") != g) & own), test, head, cfg)
+            want = sorted(r[0] for r in model.transform(test).select(F.least(F.exp("prediction"), F.lit(1.0))).collect())
+            got = sorted(r[0] for r in ev.predictions.filter((F.col("group") == g) & (F.col("category") == c)).select(f"{head}_pred").collect())
+            assert got == pytest.approx(want, rel=1e-12) and len(got) > 3
+
+
+def test_seeds_equal_separate_evaluations(data):
+    two = data.filter(F.col("gpu_key").isin("L4", "H100"))
+    cfg = models.TrainConfig(2, 2)
+    runs = {(r["seed"], r["group"]): r for r in models.run_seeds(two, seeds=2, base_seed=3, cfg=cfg, features=FEW).collect()}
+    assert {g for _, g in runs} == {"L4", "H100", "MEAN", "POOLED"} and len(runs) == 8
+    for seed in (3, 4):
+        for r in models.evaluate(two, "hardware", FEW, models.replace(cfg, seed=seed)).table.collect():
+            for c in ("energy", "latency", "eta", "pi", "roofline", "constant", "ridge"):
+                assert runs[seed, r["group"]][c] == pytest.approx(r[c], rel=1e-9)
+
+
 def test_seeds_and_refusals(data):
     two = data.filter(F.col("gpu_key").isin("L4", "H100"))
     runs = models.run_seeds(two, seeds=2, cfg=models.TrainConfig(1, 2), arm="x", fold="hardware", features=FEW, ridge=False)

@@ -4,8 +4,8 @@ import __spark_entry__ as entry
 from oracle_check import differences, duck
 
 DIR = "/root/testdata/sf0.001"
-QUICK = ["merge_measurements", "kernel_signature", "roofline_features", "build_dataset", "validate_efficiency_large", "build_catalogue", "coverage_report",
-         "kernel_shares_large", "summarise_telemetry", "baseline_table_category", "reconcile", "reconstruct_gap", "transfer_table_large", "ood_report", "paired_compare"]
+QUICK = ["merge_measurements", "kernel_signature", "roofline_features", "build_dataset", "validate_efficiency", "build_catalogue", "coverage_report",
+         "kernel_shares", "summarise_telemetry", "baseline_table_category", "reconcile", "reconstruct_gap", "transfer_table", "ood_report", "paired_compare"]
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -19,7 +19,7 @@ def test_registry_is_complete(spark):
     assert entry.entry(spark).columns[:2] == ["category", "gpu_key"]
 
 
-@pytest.mark.parametrize("name, column, least", [("capture_counts_all", "category", {"gemm", "conv", "attention", "norm", "elementwise"}), ("clock_comparison_whole", "group", {"MEAN", "POOLED"}), ("seed_summary_arms", "arm", {"a", "b"})])
+@pytest.mark.parametrize("name, column, least", [("capture_counts", "category", {"gemm", "conv", "attention", "norm", "elementwise"}), ("clock_comparison", "group", {"MEAN", "POOLED"}), ("seed_summary", "arm", {"a", "b"})])
 def test_whole_jobs_match_their_sql(spark, name, column, least):
     found = entry.queries()[name](spark, DIR)
     exact, _, text, _ = differences(found, duck(DIR), entry.oracle_sql()[name])
