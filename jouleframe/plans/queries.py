@@ -551,7 +551,7 @@ def _(t):
     out = _fresh_folder(t.spark, "rollup")
     rolled = rollup.windowed_rollup(_telemetry(events), ["gpu_key"], "6 hours", delay="1 hour", tie=["event_id"])
     rollup.start_rollup(rolled, f"{out}/windows", f"{out}/state", available_now=True).awaitTermination()
-    return rollup.read_rollup(t.spark, f"{out}/windows", ["gpu_key", "window_start"]).select(*_WIN_COLS)
+    return rollup.read_rollup(t.spark, f"{out}/windows", ["gpu_key"], "6 hours").select(*_WIN_COLS)
 
 
 @query("stream_ingest", f"SELECT {', '.join(_MERGE_COLS)} FROM merged")
@@ -577,9 +577,9 @@ def _(t):
 
     events = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
     out = _fresh_folder(t.spark, "sessions")
-    spans = rollup.run_rollup(_telemetry(events), gap="30 minutes", delay="1 hour", tie=["event_id"])
+    spans = rollup.run_rollup(_telemetry(events), gap="30 minutes", delay="1 hour", tie=["event_id"], slice_="10 seconds")
     rollup.start_rollup(spans, f"{out}/windows", f"{out}/state", available_now=True, mode="append").awaitTermination()
-    return rollup.read_rollup(t.spark, f"{out}/windows", ["gpu_key", "window_start"]).select("gpu_key", "n_samples", "power_mean_w")
+    return rollup.read_sessions(t.spark, f"{out}/windows").select("gpu_key", "n_samples", "power_mean_w")
 
 
 @query("session_rollup", """SELECT gpu_key, count(*) AS n_samples, avg(power_w) AS power_mean_w FROM (SELECT *, sum(fresh) OVER (PARTITION BY gpu_key ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM (

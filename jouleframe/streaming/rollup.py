@@ -1,87 +1,94 @@
-"""Structured Streaming roll-up of power telemetry."""
+"""Structured Streaming roll-up of power telemetry.
+
+Streams are cut into slices first. Windows are put together from the stored slices when they
+are read, so that a window that is still open has its newest numbers; sessions and runs are
+put together in the stream and written once, when they are over.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jouleframe.operators.telemetry import sample_stats, summarise_telemetry, with_sessions
-
-
-def ordered_trapezoid(tie: list[str] = ()) -> Column:
-    """Trapezoidal energy of one window from its samples in time order (aggregate).
-
-    The state is the samples of one window of one device: bounded by window length times
-    sampling rate.
-    """
-    samples = F.array_sort(F.collect_list(F.struct(
-        F.unix_micros("ts").alias("t"), *tie, F.col("power_w").cast("double").alias("p"))))
-    start = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("e"))
-    return F.aggregate(
-        samples, start,
-        lambda a, s: F.struct(s["t"].alias("t"), s["p"].alias("p"),
-                              (a["e"] + F.coalesce(0.5 * (a["p"] + s["p"]) * ((s["t"] - a["t"]) / 1e6), F.lit(0.0))).alias("e")),
-        lambda a: a["e"])
+from jouleframe.operators.telemetry import summarise_telemetry, with_sessions
+from jouleframe.streaming.sessions import sessions
+from jouleframe.streaming.slices import SLICE, assembled, micros, slice_for, sliced
 
 
-def _aggregates(columns: list[str], tie) -> list[Column]:
-    out = [*sample_stats(columns), F.percentile("power_w", F.lit(0.5)).alias("power_median_w"),
-           ordered_trapezoid(tie).alias("energy_integrated_j")]
-    if "sm_clock" in columns:
-        out.append(F.percentile("sm_clock", F.lit(0.5)).alias("sm_clock_median_mhz"))
-    return out
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def windowed_rollup(samples: DataFrame, keys: list[str], size: str, slide: str | None = None, delay: str = "1 minute",
-                    tie: list[str] = ()) -> DataFrame:
-    """One summary per (event-time window, keys); works on a stream or a table alike.
+                    tie: list[str] = (), slice_: str = SLICE) -> DataFrame:
+    """One summary per (event-time window, keys) of a table; the slices of these windows on a stream.
 
     On a stream, samples later than ``delay`` behind the newest one are dropped by the
-    watermark. A table is summarised slice by slice instead of holding a window's samples.
+    watermark, and a slice leaves the state when the watermark has passed it. Write the slices
+    with ``start_rollup`` and read the windows with ``read_rollup``.
     """
+    if samples.isStreaming:
+        return sliced(samples, keys, slice_for(samples.sparkSession, slice_, size, slide), tie, delay).drop("slice_time")
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    if not samples.isStreaming:
-        placed = samples.withColumn("_w", window).withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
-        return summarise_telemetry(placed, ["window_start", "window_end", *keys], tie=list(tie))
-    out = samples.withWatermark("ts", delay).groupBy(window.alias("w"), *keys).agg(*_aggregates(samples.columns, tie))
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                      *[c for c in out.columns if c != "w"])
+    placed = samples.withColumn("_w", window).withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
+    return summarise_telemetry(placed, ["window_start", "window_end", *keys], tie=list(tie))
 
 
 def run_rollup(samples: DataFrame, run: str = "run_id", keys: list[str] = ("gpu_key",), gap: str | None = None,
-               delay: str = "1 minute", tie: list[str] = (), silence: str = "10 minutes") -> DataFrame:
+               delay: str = "1 minute", tie: list[str] = (), silence: str = "10 minutes", slice_: str = SLICE) -> DataFrame:
     """One summary per measured run; with ``gap``, runs are sessions separated by silence instead.
 
-    On a stream a run ends when no sample of it came for ``silence`` of event time; its state
-    is then dropped, and samples that still follow count as a further row of that run. Start
-    these streams with ``mode="append"``: sessions have no intermediate results.
+    On a stream a run ends when no sample of it came for ``silence`` of event time, and a slice
+    beyond that; its state is then dropped, and samples that still follow count as a further
+    row of that run. Start these streams with ``mode="append"``: sessions have no intermediate results.
     """
     if not samples.isStreaming:
         if not gap:
             return summarise_telemetry(samples, [run, *keys], tie=list(tie))
         spans = summarise_telemetry(with_sessions(samples, list(keys), gap), ["session", *keys], tie=list(tie))
         return spans.drop("session")
-    by = [F.session_window("ts", gap or silence).alias("w"), *([] if gap else [run])]
-    out = samples.withWatermark("ts", delay).groupBy(*by, *keys).agg(*_aggregates(samples.columns, tie))
-    if not gap:
-        return out.drop("w")
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in out.columns if c != "w"])
+    spark = samples.sparkSession
+    by = [*([] if gap else [run]), *keys]
+    silent = micros(spark, gap or silence)
+    short = min(micros(spark, slice_), silent)  # no silence fits into a slice
+    cut = sliced(samples, by, f"{short} microseconds", tie, delay)
+    out = sessions(cut, samples.columns, by, silent, short)
+    return out if gap else out.drop("window_start", "window_end")
 
 
 def start_rollup(rollup: DataFrame, path: str, checkpoint: str, available_now: bool = False, mode: str = "update") -> StreamingQuery:
-    """Write every refreshed window per batch; a replayed batch overwrites its own files.
+    """Write every refreshed slice per batch; a replayed batch overwrites its own files.
 
-    ``mode="append"`` writes a window once, when the watermark has passed it.
+    ``mode="append"`` writes a row once, when it is final: for sessions and runs.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = rollup.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    conf = rollup.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, ROCKSDB)  # a query keeps the settings that it was started with
+    try:
+        return writer.start()
+    finally:
+        conf.set(STORE, before) if before else conf.unset(STORE)
 
 
-def read_rollup(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of every window written by ``start_rollup``."""
+def _newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     written = spark.read.parquet(path)
     w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
     return written.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "batch_id")
+
+
+def read_rollup(spark: SparkSession, path: str, keys: list[str], size: str, slide: str | None = None) -> DataFrame:
+    """Windows put together from the newest version of every slice written by ``start_rollup``."""
+    window = F.window("slice_start", size, slide) if slide else F.window("slice_start", size)
+    placed = _newest(spark, path, ["slice_start", *keys]).withColumn("_w", window)
+    placed = placed.withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
+    return assembled(placed, ["window_start", "window_end", *keys])
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Sessions or runs written by ``start_rollup`` in append mode, each of them once."""
+    return spark.read.parquet(path).drop("batch_id")

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,22 +65,90 @@ def test_repeats(spark):
     assert [r[0] for r in w.select(tel.repeat_energy(w)).collect()] == [10, 7, 3]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def same_rows(got, want, key, columns):
+    got, want = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    for a, b in zip(got, want, strict=True):
+        for c in columns:
+            assert a[c] == (pytest.approx(b[c], rel=1e-9, abs=1e-7) if isinstance(b[c], float) else b[c]), c
+
+
+@pytest.mark.parametrize("slide", [None, "4 minutes"])
+def test_stream_equals_batch(spark, tmp_path, slide):
     df, rows = samples(spark)
     for i, part in enumerate((df.filter("counter_mj < 1500"), df.filter("counter_mj >= 1500"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    rolled = rollup.windowed_rollup(stream, ["gpu_key"], "10 minutes", delay="1 day")
+    rolled = rollup.windowed_rollup(stream, ["gpu_key"], "10 minutes", slide, delay="1 day")
     rollup.start_rollup(rolled, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
-    got = rollup.read_rollup(spark, str(tmp_path / "out"), ["gpu_key", "window_start"])
-    want = rollup.windowed_rollup(df, ["gpu_key"], "10 minutes")
-    key = lambda r: (r["gpu_key"], r["window_start"])
-    for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
-        assert all(a[c] == (pytest.approx(b[c]) if isinstance(b[c], float) else b[c]) for c in want.columns)
-    keyed = df.withColumn("window_start", F.window("ts", "10 minutes")["start"])
-    batch = {key(r): r for r in tel.summarise_telemetry(keyed, ["gpu_key", "window_start"]).collect()}
-    for r in got.collect():
-        assert r["energy_integrated_j"] == pytest.approx(batch[key(r)]["energy_integrated_j"]) and r["power_median_w"] == pytest.approx(batch[key(r)]["power_median_w"])
+    got = rollup.read_rollup(spark, str(tmp_path / "out"), ["gpu_key"], "10 minutes", slide)
+    want = rollup.windowed_rollup(df, ["gpu_key"], "10 minutes", slide)
+    assert sorted(got.columns) == sorted(want.columns)
+    same_rows(got, want, lambda r: (r["gpu_key"], r["window_start"]), want.columns)
+
+
+def steady(spark, folder, batches=8, per=300):
+    """A device that never falls silent, watts in steps of 0.5, and one with pauses; one file per batch, in order of time."""
+    rng = random.Random(3)
+    out = []
+    for b in range(batches):
+        rows = []
+        for i in range(b * per, (b + 1) * per):
+            rows.append(("on", T0 + dt.timedelta(seconds=i), 100 + rng.randrange(40) / 2, 1000.0 + rng.randrange(5), 40.0 + i % 3, rng.randrange(512), i * 10))
+            if i % 200 < 50:
+                rows.append(("breaks", T0 + dt.timedelta(seconds=i, microseconds=7), 10.0 * (i % 7), 900.0, None, 0, None))
+        out += rows
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken in order of their time stamps
+    return out
+
+
+def state_rows(query):
+    return [sum(x["numRowsTotal"] for x in p["stateOperators"]) for p in query.recentProgress]
+
+
+def test_state_of_windows_is_flat(spark, tmp_path):
+    steady(spark, str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = rollup.start_rollup(rollup.windowed_rollup(stream, ["gpu_key"], "1 day", delay="30 seconds"), str(tmp_path / "out"), str(tmp_path / "state"), available_now=True)
+    q.awaitTermination()
+    held = state_rows(q)
+    assert len(held) >= 8 and max(held[3:]) <= max(held[:3])  # the day never closes, yet nothing piles up
+    got = rollup.read_rollup(spark, str(tmp_path / "out"), ["gpu_key"], "1 day")
+    want = rollup.windowed_rollup(spark.read.parquet(str(tmp_path / "in")), ["gpu_key"], "1 day")
+    same_rows(got, want, lambda r: r["gpu_key"], want.columns)
+
+
+def test_state_of_sessions_is_flat(spark, tmp_path):
+    steady(spark, str(tmp_path / "in"))
+    # A last sample far ahead moves the watermark past all sessions.
+    spark.createDataFrame([("end", T0 + dt.timedelta(days=1), 1.0, 1.0, 1.0, 0, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    spans = rollup.run_rollup(stream, gap="90 seconds", delay="30 seconds", slice_="20 seconds")
+    q = rollup.start_rollup(spans, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True, mode="append")
+    q.awaitTermination()
+    held = state_rows(q)
+    assert len(held) >= 9 and max(held[4:]) <= 1.1 * max(held[:4])
+    got = rollup.read_sessions(spark, str(tmp_path / "out"))
+    want = rollup.run_rollup(spark.read.parquet(str(tmp_path / "in")).filter("gpu_key != 'end'"), gap="90 seconds")
+    assert got.count() == 1 + 12
+    same_rows(got, want, lambda r: (r["gpu_key"], r["n_samples"], r["power_mean_w"], r["energy_integrated_j"]), want.columns)
+    assert {r["window_start"] for r in got.filter("gpu_key = 'on'").collect()} == {T0}
+
+
+def test_runs_of_a_stream(spark, tmp_path):
+    df, _ = samples(spark)
+    tagged = df.withColumn("run_id", F.when(F.col("counter_mj") < 2000, "r1").otherwise("r2"))
+    tagged.coalesce(1).write.parquet(str(tmp_path / "in"))
+    tail = tagged.limit(1).withColumns({"run_id": F.lit("end"), "ts": F.col("ts") + F.expr("INTERVAL 9 DAYS")})
+    time.sleep(1.1)
+    tail.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(tagged.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = rollup.start_rollup(rollup.run_rollup(stream, delay="1 minute"), str(tmp_path / "out"), str(tmp_path / "state"), available_now=True, mode="append")
+    q.awaitTermination()
+    want = rollup.run_rollup(tagged)
+    got = rollup.read_sessions(spark, str(tmp_path / "out"))
+    assert sorted(got.columns) == sorted(want.columns)
+    same_rows(got, want, lambda r: (r["run_id"], r["gpu_key"]), want.columns)
 
 
 def test_runs_and_sessions(spark):
