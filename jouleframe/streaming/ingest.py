@@ -1,4 +1,8 @@
-"""Resumable, duplicate-free ingestion of measurement rows."""
+"""Resumable, duplicate-free ingestion of measurement rows.
+
+The best row of each key is keyed state, so a batch looks up its own keys and reads nothing
+of what was stored before.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jouleframe.operators.merge import KEY, merge_measurements
 from jouleframe.runtime import path_exists
+from jouleframe.streaming.state import started
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -20,37 +25,49 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
-def new_rows(batch: DataFrame, recorded: DataFrame | None, later: list[str], keys: list[str] = KEY) -> DataFrame:
-    """Rows of a batch worth keeping: unrecorded pairs, and clean rows for pairs recorded only contended."""
-    best = merge_measurements(batch, later, keys)
-    if recorded is None:
-        return best
-    known = recorded.groupBy(*keys).agg(F.min(F.coalesce("contended", F.lit(0))).alias("_seen"))
-    joined = best.join(known, keys, "left")
-    return joined.filter(F.col("_seen").isNull() | (F.col("contended") < F.col("_seen"))).drop("_seen")
+def new_rows(stream: DataFrame, recorded: DataFrame, later: list[str], keys: list[str] = KEY) -> DataFrame:
+    """Rows of each batch worth keeping: unrecorded pairs, and clean rows for pairs recorded only contended.
+
+    ``recorded``, a stream too, is what was stored before the first batch. The state keeps a
+    key's best row: a clean one before contended ones, then one of an earlier batch, then the
+    latest of its batch. A batch gives out the keys whose best row is its own.
+    """
+    now = F.unix_micros(F.current_timestamp())  # the same for all rows of a batch, and when it is run again
+    contended = F.coalesce(F.col("contended").cast("int"), F.lit(0))
+    both = stream.withColumn("_at", now).unionByName(recorded.withColumn("_at", F.lit(0).cast("bigint")))
+    flagged = both.withColumn("contended", contended)
+    rest = [c for c in flagged.columns if c not in keys]
+    best = flagged.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(-F.col("contended"), -F.col("_at"), *later)).alias("_best"))
+    return best.where(F.col("_best._at") == now).select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in stream.columns])
+
+
+def _recorded(stream: DataFrame, path: str, checkpoint: str, later: list[str], keys: list[str]) -> DataFrame:
+    """What other queries stored before this one began, written beside its checkpoint once and read as a stream."""
+    spark, seed = stream.sparkSession, f"{checkpoint.rstrip('/')}-recorded"
+    if not path_exists(spark, f"{seed}/_SUCCESS"):
+        rows = _read(spark, path)
+        rows = stream.sparkSession.createDataFrame([], stream.schema) if rows is None else merge_measurements(rows, [*later, "batch_id"], keys)
+        rows.select(*[F.col(c).cast(t) for c, t in stream.dtypes]).write.mode("overwrite").parquet(seed)
+    return spark.readStream.schema(stream.schema).parquet(seed)
 
 
 def start_ingest(stream: DataFrame, path: str, checkpoint: str, later: list[str], keys: list[str] = KEY,
                  on_batch: Callable[[DataFrame, int], None] | None = None, available_now: bool = False) -> StreamingQuery:
     """Append new rows per batch under ``path``; ``on_batch`` sees each batch's kept rows.
 
-    A batch never compares itself with its own earlier attempt, so a retry rewrites the same
-    rows instead of losing them. Folders carry query and batch, so a query with a new
-    checkpoint adds to what an earlier one stored.
+    A retried batch starts from the state before it and overwrites its own folder. Folders
+    carry query and batch, so a query with a new checkpoint adds to what earlier ones stored.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        query_id = _query_id(spark, checkpoint)
-        recorded = _read(spark, path)
-        if recorded is not None:
-            recorded = recorded.filter((F.col("query_id") != query_id) | (F.col("batch_id") != batch_id))
-        target = f"{path}/query_id={query_id}/batch_id={batch_id}"
-        new_rows(batch, recorded, later, keys).write.mode("overwrite").parquet(target)
+        target = f"{path}/query_id={_query_id(spark, checkpoint)}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
         if on_batch is not None:
             on_batch(spark.read.parquet(target), batch_id)
 
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    kept = new_rows(stream, _recorded(stream, path, checkpoint, later, keys), later, keys)
+    writer = kept.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
+    return started(stream.sparkSession, writer, available_now)
 
 
 def read_ingested(spark: SparkSession, path: str, later: list[str], keys: list[str] = KEY) -> DataFrame:

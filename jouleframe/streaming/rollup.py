@@ -13,10 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from jouleframe.operators.telemetry import summarise_telemetry, with_sessions
 from jouleframe.streaming.sessions import sessions
 from jouleframe.streaming.slices import SLICE, assembled, micros, slice_for, sliced
-
-
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from jouleframe.streaming.state import started
 
 
 def windowed_rollup(samples: DataFrame, keys: list[str], size: str, slide: str | None = None, delay: str = "1 minute",
@@ -65,14 +62,7 @@ def start_rollup(rollup: DataFrame, path: str, checkpoint: str, available_now: b
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = rollup.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save)
-    writer = writer.trigger(availableNow=True) if available_now else writer
-    conf = rollup.sparkSession.conf
-    before = conf.get(STORE, None)
-    conf.set(STORE, ROCKSDB)  # a query keeps the settings that it was started with
-    try:
-        return writer.start()
-    finally:
-        conf.set(STORE, before) if before else conf.unset(STORE)
+    return started(rollup.sparkSession, writer, available_now)
 
 
 def _newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
