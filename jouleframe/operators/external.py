@@ -106,57 +106,85 @@ def reference_hardware(reference: DataFrame, cards: DataFrame) -> DataFrame:
         F.when(F.col("hardware").isNotNull(), "exact").otherwise(F.concat(F.lit("arch:"), F.col("best.hardware"))).alias("how"))
 
 
-def _blocks(reference: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(entries of each block, boxes of each card): blocks hold shapes that are near each other.
+FINE = 4  # parts of an octave per dimension that a block spans at most
 
-    Rows of a card are dealt into cells of a logarithmic grid over (M, N, K); a cell of more
-    than ``size`` rows is cut further by row order.
+
+def _octave(c: Column) -> Column:
+    return F.floor(F.log2(F.greatest(c, F.lit(1.0)))).cast("int")
+
+
+def _cell(m: Column, n: Column, k: Column) -> Column:
+    """One key for the octaves of M, N and K; doubles have fewer than 2048 of them."""
+    return (m.cast("bigint") * 2048 + n) * 2048 + k
+
+
+def _blocks(reference: DataFrame, size: int) -> DataFrame:
+    """Reference rows in blocks of shapes that are near each other, with the box that holds them.
+
+    A block lies in one cell of octaves of (M, N, K) and spans a part of an octave; where more than
+    ``size`` rows share a part it is cut further by row order.
     """
-    step = lambda c: F.floor(F.log2(F.greatest(F.col(c), F.lit(1)).cast("double")))
-    celled = reference.withColumn("_cell", F.concat_ws("/", step("M"), step("N"), step("K")))
-    counted = celled.groupBy("hardware", "_cell").agg(F.count("*").alias("_n"))
-    part = F.pmod(F.xxhash64("idx"), F.ceil(F.col("_n") / size))
+    x = {c: F.col(c).cast("double") for c in "MNK"}
+    fine = [F.floor(F.log2(F.greatest(x[c], F.lit(1.0))) * FINE).cast("int").alias(f"_f{c}") for c in "MNK"]
+    celled = reference.select("*", _cell(*[_octave(x[c]) for c in "MNK"]).alias("_cell"), *fine)
+    keys = ["hardware", "_cell", "_fM", "_fN", "_fK"]
+    counted = celled.groupBy(*keys).agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64("idx"), F.ceil(F.col("_n") / size)).alias("_part")
     entry = F.struct("idx", "M", "N", "K", "tile_M", "tile_N", "tile_K", "cta_count", "is_split_k")
-    placed = celled.join(counted, ["hardware", "_cell"]).withColumn("_block", F.concat_ws(":", "_cell", part))
-    blocks = placed.groupBy("hardware", "_block").agg(
-        F.collect_list(entry).alias("entries"), *[f(c).alias(f"{n}_{c}") for c in "MNK" for n, f in (("lo", F.min), ("hi", F.max))])
-    box = F.struct("_block", *[f"{n}_{c}" for c in "MNK" for n in ("lo", "hi")])
-    return blocks.select("hardware", "_block", "entries"), blocks.groupBy("hardware").agg(F.collect_list(box).alias("boxes"))
+    boxes = [f(c).cast("double").alias(f"{n}_{c}") for c in "MNK" for n, f in (("lo", F.min), ("hi", F.max))]
+    return celled.join(counted, keys).select("*", part).groupBy(*keys, "_part").agg(F.collect_list(entry).alias("entries"), *boxes).drop("_fM", "_fN", "_fK", "_part")
+
+
+def _square(x: Column) -> Column:
+    return x * x
 
 
 def _search(placed: DataFrame, reference: DataFrame, size: int) -> DataFrame:
-    """The nearest reference row of each shape, from the blocks whose box can hold it.
+    """The nearest reference row of each shape, by equal cells.
 
-    A box bounds the distance of its rows from both sides, so only boxes that begin nearer
-    than the nearest one ends are searched; the join spreads over (card, block).
+    Blocks in a shape's own and neighbouring cells, or else the box of its whole card, bound how
+    far the nearest row can be. A second join visits the cells that this reaches, and there the
+    blocks whose boxes begin within it.
     """
-    blocks, boxes = _blocks(written(reference), size)
-    q = {c: F.col(c.lower()).cast("double") for c in "MNK"}
-    sq = lambda x: x * x
-    near = lambda b: sum((sq(F.greatest(F.lit(0.0), b[f"lo_{c}"] - q[c], q[c] - b[f"hi_{c}"])) for c in "NK"),
-                         sq(F.greatest(F.lit(0.0), b["lo_M"] - q["M"], q["M"] - b["hi_M"])))
-    far = lambda b: sum((sq(F.greatest(F.abs(b[f"lo_{c}"] - q[c]), F.abs(b[f"hi_{c}"] - q[c]))) for c in "NK"),
-                        sq(F.greatest(F.abs(b["lo_M"] - q["M"]), F.abs(b["hi_M"] - q["M"]))))
-    met = placed.join(boxes, "hardware").withColumn("_reach", F.array_min(F.transform("boxes", far)))
-    open_ = F.explode(F.transform(F.filter("boxes", lambda b: near(b) <= F.col("_reach")), lambda b: b["_block"])).alias("_block")
-    tried = met.select("gpu_key", "m", "n", "k", "how", "hardware", open_)
+    blocks = written(_blocks(reference, size))
+    boxes = blocks.drop("entries")
+    dims = ("M", "N", "K")
+    q = {c: F.col(c.lower()).cast("double") for c in dims}
+    near = sum((_square(F.greatest(F.lit(0.0), F.col(f"lo_{c}") - q[c], q[c] - F.col(f"hi_{c}"))) for c in dims), F.lit(0.0))
+    far = sum((_square(F.greatest(F.abs(F.col(f"lo_{c}") - q[c]), F.abs(F.col(f"hi_{c}") - q[c]))) for c in dims), F.lit(0.0))
+    whole = boxes.groupBy("hardware").agg(*[f(f"{n}_{c}").alias(f"{n}_{c}") for c in dims for n, f in (("lo", F.min), ("hi", F.max))])
+    shape = ["gpu_key", "m", "n", "k", "how", "hardware"]
+    at = [_octave(q[c]) for c in dims]
+    around = F.array(*[_cell(at[0] + i, at[1] + j, at[2] + l) for i in (-1, 0, 1) for j in (-1, 0, 1) for l in (-1, 0, 1)])
+    close = (placed.select(*shape, F.explode(around).alias("_cell")).join(boxes, ["hardware", "_cell"])
+             .groupBy(*shape).agg(F.min(far).alias("_close")))
+    bound = placed.join(whole, "hardware").select(*shape, far.alias("_any")).join(close, shape, "left")
+    # A little more than the bound, as the square root below rounds.
+    reach = written(bound.select(*shape, (F.least("_any", F.coalesce("_close", "_any")) * (1 + 1e-12)).alias("_reach")))
+    r = F.sqrt("_reach")
+    gap = lambda a, c: F.greatest(F.lit(0.0), F.when(a > 0, F.pow(F.lit(2.0), a) - q[c]).otherwise(0.0), q[c] - F.pow(F.lit(2.0), a + 1))
+    low, high = [_octave(q[c] - r) for c in dims], [_octave(q[c] + r) for c in dims]
+    lists = [F.sequence(low[i], high[i]) for i in range(3)]
+    cells = F.flatten(F.flatten(F.transform(lists[0], lambda a: F.transform(lists[1], lambda b: F.transform(
+        F.filter(lists[2], lambda c: _square(gap(a, "M")) + _square(gap(b, "N")) + _square(gap(c, "K")) <= F.col("_reach")), lambda c: _cell(a, b, c))))))
+    tried = reach.select(*shape, "_reach", F.explode(cells).alias("_cell"))
     best = F.array_min(F.transform("entries", lambda e: F.struct(
-        F.sqrt(sq(e["M"] - q["M"]) + sq(e["N"] - q["N"]) + sq(e["K"] - q["K"])).alias("distance"), e["idx"].alias("idx"),
+        F.sqrt(sum((_square(e[c] - q[c]) for c in ("N", "K")), _square(e["M"] - q["M"]))).alias("distance"), e["idx"].alias("idx"),
         e["tile_M"].alias("tile_m"), e["tile_N"].alias("tile_n"), e["tile_K"].alias("tile_k"),
         e["cta_count"].alias("cta_count"), e["is_split_k"].alias("is_split_k"))))
-    return (tried.join(blocks, ["hardware", "_block"]).select("gpu_key", "m", "n", "k", "how", best.alias("b"))
-            .groupBy("gpu_key", "m", "n", "k", "how").agg(F.min("b").alias("b")))
+    met = tried.join(blocks, ["hardware", "_cell"]).where(near <= F.col("_reach"))
+    return met.select("gpu_key", "m", "n", "k", "how", best.alias("b")).groupBy("gpu_key", "m", "n", "k", "how").agg(F.min("b").alias("b"))
 
 
 def nearest_launch(shapes: DataFrame, reference: DataFrame, cards: DataFrame | None = None, mode: str = "structural",
-                   block: int = 1024, missing: str = "raise") -> DataFrame:
+                   block: int = 256, missing: str = "raise") -> DataFrame:
     """Launch geometry for matrix products: nearest reference shape in raw (M, N, K).
 
     ``shapes`` has gpu_key, m, n, k; ``reference`` has hardware, arch, num_sms, M, N, K,
     tile_M/N/K, cta_count, is_split_k and ``idx``, its row order (ties go to the lowest).
 
-    Distinct shapes are looked up once, in blocks of near reference shapes that boxes rule in
-    or out. A card that is unknown or has no reference of its architecture fails the query;
+    Distinct shapes are looked up once, in blocks of near reference shapes that equal cells find
+    and boxes rule in or out. A card that is unknown or has no reference of its architecture fails the query;
     with ``missing="keep"`` its shapes come back with NULL geometry and the reason as
     ``launch_source``.
     """

@@ -230,8 +230,11 @@ def curve_summary(tidy: DataFrame) -> DataFrame:
     return out.withColumn("epochs", F.col("_last") + 1).drop("_last")
 
 
-def best_epochs(tidy: DataFrame) -> DataFrame:
-    """Epoch of the lowest validation loss per fit (the earliest on ties)."""
+def best_epochs(tidy: DataFrame, threshold: float = 1e-6) -> DataFrame:
+    """Per fit, the epoch whose validation loss was the last to improve on the best before it by more than ``threshold``."""
     ids = [c for c in ("fold", "group", "model", "head") if c in tidy.columns]
-    return (tidy.filter(F.col("split") == "val").groupBy(*ids)
-            .agg(F.min(F.struct("loss", "epoch")).alias("b")).select(*ids, F.col("b.epoch").alias("best_epoch"), F.col("b.loss").alias("best_val")))
+    in_order = F.array_sort(F.collect_list(F.struct("epoch", "loss")))  # a loss per epoch of one fit
+    start = F.struct(F.lit(-1).alias("epoch"), F.lit(float("inf")).alias("loss"))
+    better = lambda best, x: F.when(x["loss"] < best["loss"] - threshold, F.struct(x["epoch"].cast("int").alias("epoch"), x["loss"].cast("double").alias("loss"))).otherwise(best)
+    return (tidy.filter(F.col("split") == "val").groupBy(*ids).agg(F.aggregate(in_order, start, better).alias("b"))
+            .select(*ids, F.col("b.epoch").alias("best_epoch"), F.when(F.col("b.epoch") >= 0, F.col("b.loss")).alias("best_val")))

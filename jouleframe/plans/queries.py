@@ -459,7 +459,10 @@ def _costed(t):
     return k.select("kernel_sig", "category", planning.estimate_cost_s(F.col("working_set_bytes")).alias("cost_s"))
 
 
-_SHARDS = f"SELECT kernel_sig, CAST(CASE WHEN s < 7 THEN s ELSE 13 - s END AS INTEGER) AS shard FROM (SELECT kernel_sig, (row_number() OVER (ORDER BY cost_s DESC, kernel_sig) - 1) % 14 AS s FROM {_COST})"
+_SHARDS = f"""SELECT kernel_sig, shard FROM (WITH RECURSIVE costs AS MATERIALIZED (SELECT kernel_sig, CAST(round(cost_s*1e6) AS BIGINT) AS c, row_number() OVER (ORDER BY CAST(round(cost_s*1e6) AS BIGINT) DESC, kernel_sig) AS i FROM {_COST}),
+ step(i, kernel_sig, shard, loads) AS (SELECT CAST(0 AS BIGINT), '', CAST(-1 AS INTEGER), [CAST(0 AS BIGINT) for x in range(7)]
+ UNION ALL SELECT s.i + 1, n.kernel_sig, CAST(list_position(s.loads, list_min(s.loads)) - 1 AS INTEGER), list_transform(s.loads, lambda x, j: x + CASE WHEN j = list_position(s.loads, list_min(s.loads)) THEN n.c ELSE 0 END)
+ FROM step s JOIN costs n ON n.i = s.i + 1) SELECT kernel_sig, shard FROM step WHERE i > 0)"""
 
 
 @query("balanced_shards", _SHARDS)
@@ -710,9 +713,19 @@ def _(t):
     return models.curve_summary(models.histories_frame(_histories(t)))
 
 
-@query("best_epochs", f"""SELECT 'hardware' AS fold, "group", model, arg_min(epoch, m*1000 + epoch) AS best_epoch, min(m) AS best_val FROM {_HIST} GROUP BY "group", model""")
+# Losses as they fall over a fit: the average so far, which also improves by less than the threshold.
+_FALLING = """(SELECT "group", model, list(m ORDER BY epoch) AS losses FROM (SELECT "group", model, epoch, round(avg(v) OVER (PARTITION BY "group", model ORDER BY epoch ROWS UNBOUNDED PRECEDING), 3) - epoch*2e-7 AS m FROM _HIST) GROUP BY "group", model)""".replace("_HIST", _HIST)
+
+
+@query("best_epochs", f"""SELECT 'hardware' AS fold, "group", model, b.epoch AS best_epoch, b.loss AS best_val FROM (SELECT "group", model, list_reduce(list_transform(losses, lambda x, i: {{'epoch': CAST(i - 1 AS INTEGER), 'loss': CAST(x AS DOUBLE)}}),
+ lambda best, x: CASE WHEN x.loss < best.loss - 1e-6 THEN x ELSE best END, {{'epoch': CAST(-1 AS INTEGER), 'loss': CAST('inf' AS DOUBLE)}}) AS b FROM {_FALLING})""", best_val=9)
 def _(t):
-    return models.best_epochs(models.histories_frame(_histories(t)))
+    from pyspark.sql import Window
+
+    tidy = models.histories_frame(_histories(t)).filter("split = 'train'")
+    so_far = Window.partitionBy("group", "model").orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    falling = F.round(F.avg("loss").over(so_far), 3) - F.col("epoch") * 2e-7
+    return models.best_epochs(tidy.withColumns({"loss": falling, "split": F.lit("val")}))
 
 
 # --- reconciliation ---------------------------------------------------------------------------------------------

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,44 @@ def test_shards_partition_balance_and_ignore_input_order(spark):
     assert max(loads) / min(loads) < 1.15
 
 
+def greedy(costs, n):
+    """The costliest first, each to the shard with the least load."""
+    loads, out = [0] * n, {}
+    for key, cost in sorted(costs.items(), key=lambda x: (-x[1], x[0])):
+        k = min(range(n), key=lambda i: (loads[i], i))
+        out[key], loads[k] = k, loads[k] + cost
+    return out, loads
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_least_loaded_runs_equal_the_greedy_rule(seed):
+    rng = random.Random(seed)
+    for _ in range(150):
+        n = rng.randint(1, 6)
+        classes = sorted({rng.choice([0, 1, 2, 3, 7, rng.randint(0, 60), rng.randint(0, 2000)]) for _ in range(rng.randint(1, 7))}, reverse=True)
+        counts = [rng.choice([1, 2, rng.randint(1, 60), rng.randint(1, 400)]) for _ in classes]
+        costs, got = {}, {}
+        for (cost, runs), rows in zip(planning._least_loaded(iter(zip(classes, counts)), n), counts):
+            for i in range(rows):
+                start, turns = [r for r in runs if r[0] <= i][-1]
+                key = f"{cost:06d}-{i:06d}"
+                costs[key], got[key] = cost, turns[(i - start) % len(turns)]
+        assert got == greedy(costs, n)[0]
+
+
+def test_shards_of_skewed_costs(spark):
+    rng = random.Random(9)
+    cost = {f"k{i:04d}": round(rng.paretovariate(0.9), 6) for i in range(300)} | {f"s{i:04d}": 2.5 for i in range(500)} | {"free": 0.0}
+    df = spark.createDataFrame(list(cost.items()), "kernel_sig string, cost_s double")
+    got = {r["kernel_sig"]: r["shard"] for r in planning.balanced_shards(df, 8).collect()}
+    want, loads = greedy({k: round(c * 1e6) for k, c in cost.items()}, 8)
+    assert got == want
+    best = max(sum(cost.values()) / 8, max(cost.values()))  # no split does better
+    assert max(loads) / 1e6 <= 4 / 3 * best
+    with pytest.raises(ValueError):
+        planning.balanced_shards(df, 0)
+
+
 def test_budget_stops_before_the_first_overrun(spark):
     kept = planning.within_budget(work(spark), 60.0, [F.col("kernel_sig")]).collect()
     total, n = 0.0, 0

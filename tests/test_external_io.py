@@ -129,12 +129,51 @@ def test_moments_and_tile_reference(spark, tmp_path):
     assert [(r["idx"], r["hardware"], r["is_split_k"]) for r in rows] == [(0, "A", False), (1, "B", True)]
 
 
+ROWS = "kernel_sig string, category string, gpu_key string, latency_s double, p_m long"
+
+
+def test_a_repeated_append_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("k", "gemm", "L4", 1.0, 64), ("k", "gemm", "L4", 1.0, 64), ("n", "norm", "H100", 2.0, None)], ROWS)
+    more = spark.createDataFrame([("c", "conv", "L4", 3.0)], "kernel_sig string, category string, gpu_key string, latency_s double")
+    assert writers.append_measurements(df, path, "shard 0") and not writers.append_measurements(df, path, "shard 0")
+    assert writers.append_measurements(more, path, "1") and writers.append_measurements(df, path, "shard 2")
+    # Without a name the rows name themselves, however they are dealt.
+    assert writers.append_measurements(df, path) and not writers.append_measurements(df.orderBy(F.desc("kernel_sig")).repartition(3), path)
+    got = writers.read_appended(spark, path)
+    assert got.count() == 10 and set(got.columns) == {"kernel_sig", "category", "gpu_key", "latency_s", "p_m"}
+    assert {(r["name"], r["n_rows"]) for r in writers.commits(spark, path).collect()} >= {("shard 0", 3), ("1", 1), ("shard 2", 3)}
+    assert writers.append_measurements(df.limit(0), path, "empty") and writers.read_appended(spark, path).count() == 10
+
+
+def test_a_lost_attempt_leaves_no_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("k", "gemm", "L4", 1.0, 64)], ROWS)
+    writers.append_measurements(df, path, "a")
+    token = writers.commits(spark, path).first()["job"]
+    # Rows without an entry in the manifest: of another job, and of a second attempt of the same.
+    for place in (f"job=j0/attempt=a0", f"job={token}/attempt=azzz"):
+        df.write.partitionBy("gpu_key", "category").parquet(f"{path}/rows/{place}")
+    assert writers.read_appended(spark, path).count() == 1
+    # Two attempts that both commit count once.
+    spark.createDataFrame([("a", 1)], "name string, n_rows long").write.parquet(f"{path}/commits/job={token}/attempt=azzz")
+    assert writers.read_appended(spark, path).count() == 1
+
+
+def test_writers_side_by_side(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "t")
+    frames = [spark.createDataFrame([(f"k{i}_{j}", "gemm", "L4", 1.0, j) for j in range(20)], ROWS) for i in range(4)]
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: writers.append_measurements(frames[i % 4], path, f"job {i % 4}"), range(8)))  # each job twice at a time
+    assert writers.read_appended(spark, path).count() == 80 and writers.commits(spark, path).count() == 4
+
+
 def test_append_guard_and_prediction_partitions(spark, tmp_path):
-    df = spark.createDataFrame([("k", "gemm", "L4", 1.0, 64)], "kernel_sig string, category string, gpu_key string, latency_s double, p_m long")
+    df = spark.createDataFrame([("k", "gemm", "L4", 1.0, 64)], ROWS)
     path = str(tmp_path / "t")
     writers.append_measurements(df, path)
-    writers.append_measurements(df, path)
-    assert spark.read.parquet(path).count() == 2
     with pytest.raises(ValueError, match="p_new"):
         writers.append_measurements(df.withColumn("p_new", F.lit(1)), path)
     with pytest.raises(ValueError, match="surprise"):
@@ -143,6 +182,7 @@ def test_append_guard_and_prediction_partitions(spark, tmp_path):
         writers.write_predictions(df, str(tmp_path / "p"), fold)
     assert {r["fold"]: r["count"] for r in spark.read.parquet(str(tmp_path / "p")).groupBy("fold").count().collect()} == {"hardware": 1, "category": 1}
     writers.write_dataset(df, str(tmp_path / "d"), "csv")
-    assert readers.load_results(spark, str(tmp_path / "t")).count() == 2
+    df.write.parquet(str(tmp_path / "one"))
+    assert readers.load_results(spark, str(tmp_path / "one")).count() == 1
     writers.write_report_tables({"hardware": df}, str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r" / "hardware")).count() == 1

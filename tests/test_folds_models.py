@@ -166,6 +166,10 @@ def test_history_shapes(spark):
     s = {r["group"]: r for r in models.curve_summary(tidy).collect()}
     assert s["g1"]["epochs"] == 40 and s["g1"]["val_at_best"] == pytest.approx(2 - 37 / 40) and s["g1"]["val_at_last"] == pytest.approx(2 - 39 / 40)
     assert {r["group"]: r["best_epoch"] for r in models.best_epochs(tidy).collect()} == {"g1": 39, "g2": 0}
+    small = [("f", f"g{k}", "all", "eta", v, v, v, 0) for k, v in enumerate(([1.0, 1.0 - 9e-7, 1.0 - 1.8e-6, 1.0 - 2e-6], [2.0, 1.0, 1.0 - 5e-7, 3.0], [float("nan"), 1.0, 0.5]))]
+    for r in models.best_epochs(models.histories_frame(models.histories_source(spark, small))).collect():
+        losses = small[int(r["group"][1])][5]
+        assert r["best_epoch"] == models.best_epoch(losses) and r["best_val"] == losses[r["best_epoch"]]
     assert models.best_epoch([3.0, 2.0, 2.0 - 1e-9, 1.0, 1.5]) == 3
 
 
