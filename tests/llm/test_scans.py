@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from jouleframe.llm import licenses, pages, secrets
@@ -159,6 +162,50 @@ def test_page_nodes_are_selected_by_their_paths():
     assert pages.main_text(f"<div class='head'><h1>T</h1></div><div class='by'>Me</div><div class='text'>{part(9)}</div>").split("\n")[0] == "T"
 
 
+def test_comments_and_footers_stay_out_however_long_they_are():
+    para = "<p>" + "Words of the article, that go on for a while. " * 2 + "</p>"
+    post, alone = f"<div class=post>{para * 2}</div>", pages.main_text(f"<body><div class=post>{para * 2}</div></body>")
+    other = "<p>A reader says that this is wrong, and goes on about it at length, too.</p>" * 8
+    for role in ("id=comments", "class='comment-list'", "class='reader-comments-thread'", "class='site-footer-links'", "class='page-footer'", "class='mainMenu'",
+                 "class='top-nav-bar'", "id='reply-list'", "class='advert-slot-3'", "class='related-stories-box'", "class='newsletterBox'"):
+        assert pages.main_text(f"<body>{post}<div {role}>{other}</div></body>") == alone, role
+    for role in ("content with-sidebar", "page sidebar-left", "layout comments-open", "wrap footer-fixed", "post-body"):
+        assert pages.main_text(f"<body><div class='{role}'>{para * 4}</div></body>").count("Words of") == 8, role
+
+
+def test_planted_pages_by_precision_and_recall():
+    rng = random.Random(4)
+    words = "river stone market window garden letter summer winter paper silver morning evening people answer".split()
+    sentence = lambda: " ".join(rng.choices(words, k=rng.randint(6, 16))).capitalize() + ", " + " ".join(rng.choices(words, k=rng.randint(3, 9))) + "."
+    hits = wanted = found = 0
+    for i in range(150):
+        mark = iter(range(10_000))
+        good = [f"keep{next(mark)} {sentence()} {sentence()}" for _ in range(rng.randint(3, 14))]
+        bad = lambda n: [f"drop{next(mark)} {sentence()}" for _ in range(n)]  # noqa: E731, B023
+        outer, tag = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"), ("<div id='story' class='text with-sidebar'>", "</div>")]), "p"
+        article = "".join(f"<{tag}>{g}</{tag}>" for g in good)
+        menu = "<nav><ul>" + "".join(f"<li><a href='/'>drop{next(mark)} {rng.choice(words)}</a></li>" for _ in range(8)) + "</ul></nav>"
+        role = rng.choice(["class='comments'", "id='comments'", "class='reader-comments'", "class='user-comment-list'"])
+        comments = f"<div {role}>" + "".join(f"<div class='c'><p>{b}</p></div>" for b in bad(rng.randint(0, 30))) + "</div>"
+        side = f"<div class='{rng.choice(['sidebar', 'side-bar sidebar', 'right-sidebar'])}'>" + "".join(f"<p>{b}</p>" for b in bad(2)) + "</div>"
+        foot = rng.choice(["<footer>{}</footer>", "<div class='site-footer'>{}</div>", "<div id='page-footer-bar' class='footer'>{}</div>"]).format(" ".join(bad(2)))
+        ad = f"<div class='{rng.choice(['ad', 'advert-box', 'top-ad-slot', 'sponsored'])}'>{bad(1)[0]}</div>"
+        page = f"<html><body>{menu}{ad}{outer[0]}<h1>keep{next(mark)} title</h1>{article}{outer[1]}{side}{comments}{foot}</body></html>"
+        got = pages.main_text(page).split()
+        hits += sum(w.startswith("keep") for w in got)
+        found += sum(w.startswith(("keep", "drop")) for w in got)
+        wanted += len(good) + 1
+    assert hits / wanted >= 0.99 and hits / found >= 0.99
+
+
+@pytest.mark.parametrize("page", ["<b>x " * 20_000, "<div>" * 20_000, "<div class='sidebar x'>t" * 20_000, "<b><div class=a>t </x></i>" * 20_000, "<b>x<hr>" * 20_000,
+                                  "<ul><li>x" * 15_000, '<a "' * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<table><tr><td>x" * 8_000])
+def test_deep_pages_take_time_in_proportion(page):
+    start = time.perf_counter()
+    pages.main_text(page)
+    assert time.perf_counter() - start < 2.0
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (None, "u", "", 7), (1, "u", PAGE, 8)], "page_id long, url string, html string, n_chars int")
     got = pages.extract(df).collect()
