@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from jouleframe.functions.categories import CategoryRegistry, analysis_failure
+from jouleframe.functions.labels import operator_of
+from jouleframe.functions.missing import optional
 from jouleframe.functions.roofline import roofline_features
 from jouleframe.functions.targets import add_targets
 from jouleframe.operators.merge import filter_reliable
-from jouleframe.sources.hardware import attach_hardware
+from jouleframe.sources.hardware import attach_hardware, normal_key
 
 
 def attach_features(df: DataFrame, clock: str = "tensor", hardware: DataFrame | None = None,
@@ -44,6 +46,18 @@ def split_failures(df: DataFrame, hardware: DataFrame | None = None,
     return ok, failed
 
 
+def select_rows(df: DataFrame, cards: list[str] | None = None, categories: list[str] | None = None, operators: list[str] | None = None,
+                limit: int | None = None) -> DataFrame:
+    """Rows of the named cards, categories and operators (of the external family); ``limit`` takes so many of the first signatures."""
+    if cards is not None:
+        df = df.filter(normal_key(F.col("gpu_key")).isin([c.strip().upper().replace("-", "_").replace(" ", "_") for c in cards]))
+    if categories is not None:
+        df = df.filter(F.col("category").isin(categories))
+    if operators is not None:
+        df = df.filter(operator_of(F.col("category"), optional(df, "kind", "string")).isin(operators))
+    return df if limit is None else df.orderBy("kernel_sig", *[c for c in ("gpu_key",) if c in df.columns]).limit(limit)
+
+
 def failure_causes(failed: DataFrame, top: int = 5) -> DataFrame:
     """The most frequent reasons with their row counts."""
     return (failed.groupBy("reason").agg(F.count("*").alias("n_rows"))

@@ -14,6 +14,7 @@ from jouleframe.operators import (
     catalogue as cat, dataset as dset, external as ext, folds, merge, models, ood, planning, profile as prof,
     quality, reconcile as rec, seeds, telemetry as tel,
 )
+from jouleframe.plans import files
 from jouleframe.plans.bindings import LATER, MODELS, Tables
 from jouleframe.plans.oracle import CTES, rounded, sql
 from jouleframe.runtime import shared_dir, spread
@@ -1008,3 +1009,6 @@ def _(t):
     w = F.least((F.col("l_quantity") % 8), n.cast("double")).cast("bigint")
     counts = t.raw("lineitem").groupBy(n.alias("n"), w.alias("w")).agg(F.count("*").alias("cnt"))
     return counts.withColumn("p", metrics.sign_test_p(F.col("w"), F.col("n")))
+
+
+files.register(query)

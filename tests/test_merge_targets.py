@@ -87,3 +87,14 @@ def test_quality_report_and_audits(spark):
 def test_log_warnings(spark):
     lines = spark.createDataFrame([("a", "x CONTENDED y"), ("a", "CONTENDED"), ("b", "PREFLIGHT FAILED"), ("c", "fine")], "file_name string, value string")
     assert {r["pattern"]: r["n_logs"] for r in quality.log_warnings(lines).collect()} == {"CONTENDED": 1, "FAILED": 1, "PREFLIGHT FAILED": 1}
+
+
+def test_select_rows(spark):
+    from jouleframe.operators.dataset import select_rows
+
+    df = spark.createDataFrame([("b", "L40S", "norm", "rms"), ("a", "L40S", "norm", "group"), ("c", "A100_PCIE", "conv", None), ("d", "L4", "gemm", None)],
+                               "kernel_sig string, gpu_key string, category string, kind string")
+    names = lambda d: sorted(r["kernel_sig"] for r in d.collect())
+    assert names(select_rows(df)) == ["a", "b", "c", "d"] and names(select_rows(df, cards=["l40s", "a100 pcie"])) == ["a", "b", "c"]
+    assert names(select_rows(df, operators=["gemm", "rmsnorm"])) == ["b", "c", "d"] and names(select_rows(df, categories=["norm"], limit=1)) == ["a"]
+    assert names(select_rows(df, cards=[])) == []

@@ -5,7 +5,8 @@ from oracle_check import differences, duck
 
 DIR = "/root/testdata/sf0.001"
 QUICK = ["merge_measurements", "kernel_signature", "roofline_features", "build_dataset", "validate_efficiency", "build_catalogue", "coverage_report",
-         "kernel_shares", "summarise_telemetry", "baseline_table_category", "reconcile", "reconstruct_gap", "transfer_table", "ood_report", "paired_compare"]
+         "kernel_shares", "summarise_telemetry", "baseline_table_category", "reconcile", "reconstruct_gap", "transfer_table", "ood_report", "paired_compare",
+         "read_captures", "append_measurements", "read_e2e", "catalogue_round_trip", "balanced_shards", "best_epochs", "stream_callbacks"]
 
 
 @pytest.mark.parametrize("name", QUICK)
