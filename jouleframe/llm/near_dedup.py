@@ -15,11 +15,14 @@ of time and only while they can still lower the text's largest register.
 smallest node of a bucket is its head. Pairs are tested in three steps, each followed by
 forming components and leaving out pairs that share a class by then: every node with the
 smallest head it meets in any bucket, every node with the heads of its other buckets, and
-then all pairs that share a bucket. So a group of thousands of copies costs thousands of
+then all pairs that share a bucket, the likely ones first. So a group of thousands of copies costs thousands of
 tests, and every pair of a bucket is either in one class or has been tested. Before texts
 are fetched, signatures of four bits a register are compared: pairs that agree on fewer than
 ``AGREE`` of 256 are left out, which at a similarity of ``THRESHOLD`` is more than four and a
-half deviations away (3e-6). A pair is made in the first bucket that it shares only.
+half deviations away (3e-6). Nodes that still share a bucket with another class get signatures of
+``FINE`` registers as well, which rule out pairs by the same margin far closer to the threshold:
+only pairs from about 0.74 on are fetched, those expected to be links first, so that classes
+have merged before the rest are made. A pair is made in the first bucket that it shares only.
 
 A pair at 0.8 shares no bucket with probability (1 - 0.8^5)^26 = 3e-5. Nothing is collected;
 hot buckets and classes only meet in aggregates with partial sums and in sort-merge joins
@@ -49,6 +52,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 26, 5    # of the first registers
 REGISTERS = 256
 AGREE = 180            # of 256 four-bit registers; 208 are expected at 0.8, with a deviation of 6.2
+FINE = 1024            # registers of nodes with open pairs
+FINE_AGREE = 776       # 832 are expected at 0.8, with a deviation of 12.5
+FINE_LIKELY = 832
 BATCH_WORDS = 200_000  # words whose signatures are made at once
 CACHED = 300_000
 
@@ -146,14 +152,14 @@ def nibbles(times: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(four.reshape(len(times), -1, 16) << shift, axis=2).view(np.int64)
 
 
-def agreement(a: str, b: str) -> Column:
+def agreement(a: str, b: str, registers: int = REGISTERS) -> Column:
     """Registers whose four bits are equal."""
     def differing(i: int) -> Column:
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
 
-    return REGISTERS - sum((differing(i) for i in range(1, REGISTERS // 16)), differing(0))
+    return registers - sum((differing(i) for i in range(1, registers // 16)), differing(0))
 
 
 SIGNED = f"{LOCATOR} string, doc_id long, node binary, n_words long, bands array<long>, signature array<long>"
@@ -247,16 +253,31 @@ def _with_heads(members: DataFrame, labels: DataFrame, texts: DataFrame) -> Data
     return _likely(x, texts)
 
 
-def _all_open(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs of different classes that share a bucket and whose signatures do not rule them out."""
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their roots, of buckets that more than one class shares."""
     placed = members.join(labels, "node")
     open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-    rest = placed.join(open_, "key", "left_semi").join(texts.select("node", "signature", "bands"), "node")
-    left, right = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "head", "root", "signature", "bands")]) for s in "ab")
+    return placed.join(open_, "key", "left_semi")
+
+
+def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for i in range(0, len(batch), 500):
+                part = batch.iloc[i:i + 500]
+                small = nibbles(signatures([grams(words_of(t)) for t in part["text"]], FINE))
+                yield part[["node", "signature", "bands"]].assign(fine=list(small))
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, fine: DataFrame, least: int, below: int) -> DataFrame:
+    """Pairs of different classes that share a bucket and agree in ``least`` registers or more, but fewer than ``below``."""
+    rest = _open(members, labels).join(fine, "node")
+    left, right = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "head", "root", "signature", "bands", "fine")]) for s in "ab")
     first = F.array_compact(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)))[0]
+    close = agreement("fine_a", "fine_b", FINE)
     # The head of a bucket has met all its members already.
     fits = ((F.col("root_a") < F.col("root_b")) & (F.col("node_a") != F.col("head_a")) & (F.col("node_b") != F.col("head_b"))
-            & (agreement("signature_a", "signature_b") >= AGREE) & (first == F.col("key_a")))
+            & (agreement("signature_a", "signature_b") >= AGREE) & (close >= least) & (close < below) & (first == F.col("key_a")))
     return left.join(right, (F.col("key_a") == F.col("key_b")) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
@@ -288,13 +309,22 @@ def _near(content: DataFrame) -> DataFrame:
     texts = keep(content.select(LOCATOR, text_of().alias("text")).join(places, LOCATOR).select("node", "signature", "bands", "text"), "texts")
 
     labels = keep(shared.withColumn("root", F.col("node")), "labels")
-    for pairs in (_with_first_head, _with_heads, _all_open):
-        edges = keep(_verified(pairs(members, labels, texts), texts), "links")
-        if not edges.isEmpty():
-            labels = _joined(labels, edges)
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        edges = keep(_verified(pairs, texts), "links")
+        out = labels if edges.isEmpty() else _joined(labels, edges)
         forget(edges)
+        return out
+
+    for pairs in (_with_first_head, _with_heads):
+        labels = merged(pairs(members, labels, texts))
+    open_nodes = _open(members, labels).select("node").distinct()
+    fine = keep(texts.join(open_nodes, "node", "left_semi").mapInPandas(_finer, "node binary, signature array<long>, bands array<long>, fine array<long>"), "fine")
+    if not fine.isEmpty():
+        labels = merged(_open_pairs(members, labels, fine, FINE_LIKELY, FINE + 1))
+        labels = merged(_open_pairs(members, labels, fine, FINE_AGREE, FINE_LIKELY))
     roots = labels
-    forget(texts), forget(members)
+    forget(texts), forget(members), forget(fine)
 
     alone = F.when(F.col("n_words") == 0, F.encode(F.col(LOCATOR), "utf-8"))
     whole = rows.select(LOCATOR, "doc_id", "node", "n_words").join(roots, "node", "left").select(
