@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from jouleframe.llm.common import LOCATOR, forget, keep, located, new_folder, text_of
 
 WHITE = " \t\n\x0b\x0c\r"
+STORE_MB = "128"  # of an executor's memory for all its state stores
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -67,9 +68,12 @@ def stream_groups(spark: SparkSession, folder: str, schema, state: str, out: str
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     # RocksDB state keeps changes, not whole snapshots, in the checkpoint folder, and sets no
-    # disk space aside, which would cost megabytes a partition.
+    # disk space aside, which would cost megabytes a partition. All stores of an executor
+    # share one bounded memory, however many partitions there are.
     with _conf(spark, **{"spark.sql.streaming.stateStore.providerClass": PROVIDER,
                          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+                         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+                         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": STORE_MB,
                          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
         query = (group_state(spark.readStream.schema(schema).parquet(folder)).writeStream.outputMode("update")
                  .option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start())

@@ -15,7 +15,8 @@ enter a score.
 
 Defined results: a null or empty text has zero features and gets the model's score for
 them. Without labelled rows of both kinds to learn from, the score is half the number of
-fixed insults, 1 at most. Repeated labels of one ``doc_id`` count once, toxic if one is. A null
+fixed insults, 1 at most. If the calibrating fold has labels of one kind only, the trees' own
+probability is the score. Repeated labels of one ``doc_id`` count once, toxic if one is. A null
 ``doc_id`` is held out. An empty table gives no rows.
 """
 
@@ -192,6 +193,8 @@ class ToxicityModel:
             return x.withColumn(out, F.least(F.lit(1.0), F.col(PREFIX + "f")[2] / 2)).select(*docs.columns, out)
         x = self.trees.transform(x.withColumn(PREFIX + "v", array_to_vector(PREFIX + "f")))
         x = x.withColumn(PREFIX + "p", vector_to_array(PREFIX + "prob")[1])
+        if self.isotonic is None:
+            return x.withColumn(out, F.col(PREFIX + "p")).select(*docs.columns, out)
         return self.isotonic.transform(x).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), PREFIX + "cal"))).select(*docs.columns, out)
 
 
@@ -213,6 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: in
                           minInstancesPerNode=5, seed=11)
     trees = trees.setRawPredictionCol(PREFIX + "raw").setProbabilityCol(PREFIX + "prob").fit(train.withColumn("toxic", F.col("toxic").cast("double")))
     raised = trees.transform(held).select(F.col("toxic").cast("double").alias("toxic"), vector_to_array(PREFIX + "prob")[1].alias(PREFIX + "p"))
+    if held.select("toxic").distinct().count() < 2:
+        return ToxicityModel(lexicon, trees)
     isotonic = IsotonicRegression(featuresCol=PREFIX + "p", labelCol="toxic", predictionCol=PREFIX + "cal", isotonic=True).fit(raised)
     return ToxicityModel(lexicon, trees, isotonic)
 

@@ -1,4 +1,6 @@
+import bisect
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,7 +24,6 @@ TEXTS = [None, "", "a short one", "It's 12½ words\n\n and  <|endoftext|> more "
 
 def test_packing_round_trip(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack(docs(spark, TEXTS), capacity=256).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -67,6 +68,43 @@ def test_packing_operator_maps_added_tokens(spark, tmp_path):
     assert packing.tokenizer(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.ADDED))(f"x{end}") == [87, 50256]
 
 
+def histograms():
+    rng = np.random.default_rng(0)
+    yield "full and any", Counter({2048: 3000}) + Counter(rng.integers(1, 2049, 4000).tolist())
+    yield "pairs", Counter(rng.integers(900, 1151, 3000).tolist())
+    yield "twos and threes", Counter(np.clip(rng.normal(700, 60, 200_000).astype(int), 1, 2048).tolist())
+    yield "threes", Counter(rng.integers(600, 761, 3000).tolist())
+    yield "any size", Counter(np.exp(rng.uniform(0, np.log(2048), 200_000)).astype(int).tolist())
+    yield "one length", Counter({700: 1000})
+    yield "one piece", Counter({1: 1})
+
+
+@pytest.mark.parametrize("name, counts", histograms())
+def test_never_more_sequences_than_best_fit_decreasing(name, counts):
+    def plain():
+        rooms = []  # of open sequences, piece by piece
+        for length, n in sorted(counts.items(), reverse=True):
+            for _ in range(n):
+                at = bisect.bisect_left(rooms, length)
+                bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else 2048) - length)
+        return len(rooms)
+
+    start = time.perf_counter()
+    plan = packing.configurations(dict(counts))
+    assert time.perf_counter() - start < 20  # some 3 s on an idle machine
+    held = Counter()
+    for times, best in plan:
+        assert times > 0 and sum(length * c for length, c in best.items()) <= 2048
+        held.update({length: times * c for length, c in best.items()})
+    assert held == counts
+    used = sum(times for times, _ in plan)
+    assert used <= sum(times for times, _ in packing.best_fit(counts, 2048))
+    if sum(counts.values()) < 10_000:
+        assert used <= plain()
+    if name in ("twos and threes", "threes"):
+        assert used < 0.99 * sum(times for times, _ in packing.best_fit(counts, 2048))  # what the LP is for
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_configurations_cover_every_length_once(seed):
     rng = np.random.default_rng(seed)
@@ -143,6 +181,15 @@ def toxic_frames(spark, n=400):
     return df, spark.createDataFrame(labels, "doc_id long, toxic int"), n
 
 
+def test_toxicity_with_one_kind_of_label_in_the_calibrating_fold(spark):
+    df, labels, _ = toxic_frames(spark)
+    one_sided = labels.where((F.crc32(F.col("doc_id").cast("string")) % 5 != toxicity.CALIBRATION) | (F.col("toxic") == 0))
+    model = toxicity.fit(df, one_sided)
+    assert model.trees is not None and model.isotonic is None
+    rows = [(r.toxic, r.score) for r in model.score(df.select("doc_id", "text")).join(labels, "doc_id").collect()]
+    assert sum(s >= 0.5 for t, s in rows if t) >= 0.9 * sum(t for t, _ in rows) and not any(s >= 0.5 for t, s in rows if not t)
+
+
 def test_toxicity_held_out_and_odd_texts(spark):
     df, labels, n = toxic_frames(spark)
     rows = {r.doc_id: r for r in toxicity.scored(df, labels).collect()}
