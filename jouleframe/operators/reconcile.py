@@ -46,13 +46,23 @@ def sum_over_calls(calls: DataFrame, table: DataFrame, run: list[str], values: d
     (gpu_key, kernel_sig); ``calls`` carries ``run``, ``gpu_key``, ``kernel_sig``, ``calls``.
     The first value decides what counts as matched.
     """
-    side = table.select("gpu_key", "kernel_sig", *[F.col(c).alias(f"_v_{o}") for c, o in values.items()])
+    return _sum_levels(calls, _kernel_values(table, values), run, {"": list(values.values())})
+
+
+def _kernel_values(table: DataFrame, values: dict[str, str]) -> DataFrame:
+    return table.select("gpu_key", "kernel_sig", *[F.col(c).alias(f"_v_{o}") for c, o in values.items()])
+
+
+def _sum_levels(calls: DataFrame, side: DataFrame, run: list[str], levels: dict[str, list[str]]) -> DataFrame:
+    """Sums of several levels of kernel values from one join; the first value of a level decides what it matches."""
     n = F.col("calls")
-    first = F.col(f"_v_{next(iter(values.values()))}")
-    return calls.join(side, ["gpu_key", "kernel_sig"], "left").groupBy(*run).agg(
-        *[_weighted(f"_v_{o}", n).alias(o) for o in values.values()],
-        F.coalesce(F.sum(F.when(first.isNotNull(), n)), F.lit(0)).alias("matched"),
-        F.coalesce(F.sum(F.when(first.isNull(), n)), F.lit(0)).alias("missing"))
+    aggs = []
+    for level, outs in levels.items():
+        first = F.col(f"_v_{outs[0]}")
+        aggs += [*[_weighted(f"_v_{o}", n).alias(o) for o in outs],
+                 F.coalesce(F.sum(F.when(first.isNotNull(), n)), F.lit(0)).alias(f"{level}matched"),
+                 F.coalesce(F.sum(F.when(first.isNull(), n)), F.lit(0)).alias(f"{level}missing")]
+    return calls.join(side, ["gpu_key", "kernel_sig"], "left").groupBy(*run).agg(*aggs)
 
 
 def split_known_cards(runs: DataFrame, dataset: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,8 +83,17 @@ def reconcile(runs: DataFrame, calls: DataFrame, dataset: DataFrame, predictions
     if "gpu_key" not in calls.columns:
         calls = calls.join(known.select(*run, "gpu_key"), run)
     keys = [c for c in run if c in calls.columns]
-    a = sum_over_calls(calls, dataset, keys, {"energy_j": "A_kernel_energy_j", "latency_s": "A_kernel_latency_s"})
-    out = known.join(a, keys, "left").withColumns({
+    # Measured and predicted values side by side per kernel and card: the calls, the largest table, move once.
+    side = _kernel_values(dataset, {"energy_j": "A_kernel_energy_j", "latency_s": "A_kernel_latency_s"})
+    levels = {"": ["A_kernel_energy_j", "A_kernel_latency_s"]}
+    with_b = predictions is not None and energy_pred in predictions.columns
+    if with_b:
+        values = {energy_pred: "B_kernel_energy_j"}
+        if latency_pred in predictions.columns:
+            values[latency_pred] = "B_kernel_latency_s"
+        side = side.join(_kernel_values(predictions, values), ["gpu_key", "kernel_sig"], "full_outer")
+        levels["_b_"] = list(values.values())
+    out = known.join(_sum_levels(calls, side, keys, levels), keys, "left").withColumns({
         "A_kernel_energy_j": F.coalesce("A_kernel_energy_j", F.lit(0.0)),
         "A_kernel_latency_s": F.coalesce("A_kernel_latency_s", F.lit(0.0)),
         "calls_matched": F.coalesce("matched", F.lit(0)), "calls_missing": F.coalesce("missing", F.lit(0))})
@@ -97,14 +116,10 @@ def reconcile(runs: DataFrame, calls: DataFrame, dataset: DataFrame, predictions
         "A_residual_j": e2e - total, "A_residual_frac": (e2e - total) / safe_e,
         "A_kernel_latency_s": F.col("A_kernel_latency_s"), "A_latency_ratio": F.col("A_kernel_latency_s") / safe_dev,
     }
-    if predictions is not None and energy_pred in predictions.columns:
-        values = {energy_pred: "B_kernel_energy_j"}
-        if latency_pred in predictions.columns:
-            values[latency_pred] = "B_kernel_latency_s"
-        b = sum_over_calls(calls, predictions, keys, values).select(*keys, *values.values(), F.col("matched").alias("_b_matched"))
+    if with_b:
         # A card without any prediction has no level B at all.
         predicted = predictions.select("gpu_key").distinct().withColumn("_has_b", F.lit(True))
-        staged = staged.join(b, keys, "left").join(predicted, "gpu_key", "left")
+        staged = staged.join(predicted, "gpu_key", "left")
         has = lambda c: F.when(F.col("_has_b"), c)
         kernel = F.coalesce("B_kernel_energy_j", F.lit(0.0))
         b_total = kernel + F.col("A_gap_energy_j")
