@@ -105,6 +105,39 @@ def test_secret_pairs_of_any_width_type_and_chain():
         assert literal_texts(long) == []
 
 
+def test_secret_values_are_evaluated():
+    s = "q8Zr!w2LpX9v"
+    for text in (f'passphrase = ("{s}")', f'passphrase, b = "{s}", 1', f'K = "{s}"\npwd = f"{{K}}"', f'K="{s}"\nexport DB_PWD=$K', f'K="{s}"\nDB_PWD="${{K}}"', f'pwd = \"\"\"{s}\"\"\"',
+                 f'pwd: |\n  {s}\nother: x', f'<add key="DbPwd" value="{s}">', f'passphrase = os.getenv("X", "{s}")', f'pwd = process.env.X || "{s}"', f'pwd = b"{s}"',
+                 f'call(user, pwd="{s}")', f'x = {{"pwd": "{s}"}}', f'pwd = decode(strip("{s}"))'):
+        assert literal_texts(text) == [s], text
+    for text in ('a="q8Zr!w"\npwd = a + "2LpX9v"', 'pwd = "q8Zr!w" + "2LpX9v"', 'pwd = (\n  "q8Zr!w"\n  "2LpX9v"\n)'):
+        assert literal_texts(text) == ["q8Zr!w", "2LpX9v"], text
+    for text in ("pwd = os.environ['X']", 'passphrase = os.getenv("DB_PASSPHRASE")', "passphrase = load_value(path)", "pwd = getpass.getpass()", "pwd = settings.main.value", "pwd = (", 'pwd = f("', "a, pwd = b, c"):
+        assert literal_texts(text) == [], text
+
+
+def test_planted_literals_are_found_and_others_left_alone():
+    rng = random.Random(6)
+    signs = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%+/"
+    value = lambda: "".join(rng.choices(signs, k=rng.randint(14, 40)))
+    names = ["db_pwd", "client_credentials", "auth_passphrase", "signingSalt", "bearer_auth", "ENCRYPTION_PASS", "private_access_key"]
+    shapes = ['{n} = "{v}"', "{n}: '{v}'", '{{"{n}": "{v}"}}', 'const {n}: string = "{v}";', 'seed{i} = "{v}"\nmid{i} = seed{i}\n{n} = mid{i}', '{n} = get("X", "{v}")', '{n} = ("{v}")',
+              'export {n}="{v}"', '{n}:\n  "{v}"', 'cfg["{n}"] = "{v}"', '<add key="{n}" value="{v}"/>', '{n} = "{a}" + "{b}"', '{n}: |\n    {v}\n', 'put(x, {n}="{v}")']
+    hits = wanted = 0
+    for i in range(600):
+        v = value()
+        text = rng.choice(shapes).format(n=rng.choice(names), v=v, a=v[:7], b=v[7:], i=i)
+        got = literal_texts("Some words before.\n" + text + "\nand after.")
+        base = [x for x in secrets.spans_of(text) if x[2] != "literal"]
+        wanted += 1
+        hits += "".join(got) == v or bool(base)
+    assert hits / wanted >= 0.95
+    words = "title colour owner path comment label price version".split()
+    clean = ["{n} = \"{v}\"", "{n}: some plain words", "{n} = load(\"file name\")", "{n} = other.value"]
+    assert not any(literal_texts(rng.choice(clean).format(n=rng.choice(words), v=value())) for _ in range(300))
+
+
 PAGE = ("<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>"
         "<div class=\"ad\">Buy, now.</div><div class='cookie-notice'>We use cookies.</div><article><h1>A &amp; B</h1><p>First  part,\n with <b>bold</b> text.<p>Second&nbsp;one &lt;here&gt;.</p>"
         "<aside>Side.</aside><div class='comments'><p>Reader says, hello.</p></div></article><form><label>Name</label></form><footer>&copy; me</footer></body></html>")
