@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from jouleframe.llm.common import LOCATOR, forget, keep, located, new_folder, text_of
 
 WHITE = " \t\n\x0b\x0c\r"
-STORE_MB = "128"  # of an executor's memory for all its state stores
+STORE_MB = "64"  # of an executor's memory for all its state stores
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -74,6 +74,7 @@ def stream_groups(spark: SparkSession, folder: str, schema, state: str, out: str
                          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
                          "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
                          "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": STORE_MB,
+                         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
                          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
         query = (group_state(spark.readStream.schema(schema).parquet(folder)).writeStream.outputMode("update")
                  .option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start())

@@ -55,8 +55,8 @@ AGREE = 180            # of 256 four-bit registers; 208 are expected at 0.8, wit
 FINE = 1024            # registers of nodes with open pairs
 FINE_AGREE = 776       # 832 are expected at 0.8, with a deviation of 12.5
 FINE_LIKELY = 832
-BATCH_WORDS = 200_000  # words whose signatures are made at once
-CACHED = 300_000
+BATCH_WORDS = 100_000  # words whose signatures are made at once
+CACHED = 100_000
 
 _PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _G = np.uint64(0x9E3779B97F4A7C15)

@@ -41,7 +41,7 @@ LEXICON_WORDS = 200    # most learned lexicon entries
 MIN_TEXTS = 8          # different toxic texts that must hold a learned entry
 CLEAN_WEIGHT = 9       # texts that are toxic for each one that is not
 STEMS = range(3, 9)    # letters of a word beginning
-CACHED = 300_000
+CACHED = 100_000       # words or entries that a worker holds at once
 FOLDS, CALIBRATION = 5, 1
 WINDOW, NEAR = 25, 5   # words
 PREFIX = "__tox_"
@@ -164,9 +164,9 @@ def learned_entries(fit: DataFrame) -> list[str]:
                 words = {w.decode("utf-8", "replace") for w in text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split() if 3 <= len(w) <= 40}
                 for entry in {w + "$" for w in words} | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}:
                     held.setdefault(entry, [0, 0])[toxic] += 1
-            if len(held) > CACHED:
-                yield pd.DataFrame([(e, *n) for e, n in held.items()], columns=["entry", "c", "t"])
-                held = {}
+                if len(held) > CACHED:
+                    yield pd.DataFrame([(e, *n) for e, n in held.items()], columns=["entry", "c", "t"])
+                    held = {}
         yield pd.DataFrame([(e, *n) for e, n in held.items()], columns=["entry", "c", "t"])
 
     texts = fit.dropDuplicates(["sketch", "toxic"]).select("toxic", text_of().alias("text"))
