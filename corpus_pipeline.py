@@ -13,11 +13,18 @@ from jouleframe.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from jouleframe.llm.common import keep, table
 from jouleframe.llm.queries import production_weights
 
+BATCH_BYTES = 4 << 20  # of texts that go to a Python worker at once; the stages share the executors' memory
 MIXED_SHARE = 0.9  # of the tokens that the stages before it kept
 MIXED_SEED = 7
 
 
+def _in_small_batches(spark: SparkSession) -> None:
+    """A setting of the session, as a stage's rows are computed when they are written."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,6 +33,7 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -35,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return packing.pack(docs)
 
 
