@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jouleframe.operators import catalogue as cat, dataset as dset, folds, ood
 from jouleframe.plans.bindings import LATER
 from jouleframe.operators.ordering import with_running
 from jouleframe.runtime import fresh_folder, written
 from jouleframe.sources import readers, writers
-from jouleframe.sources.hardware import FLEET_KEYS, attach_hardware, info, load_hardware
+from jouleframe.sources.hardware import attach_hardware, info, load_hardware
 from jouleframe.streaming import ingest
 
 
@@ -26,6 +26,26 @@ def csv_files(df: DataFrame, folder: str, prefix: str) -> None:
         fs.rename(path(f"{part}/{name}"), path(f"{folder}/{prefix}{i}.csv"))
 
 
+def csv_files_by(df: DataFrame, folder: str, name: str, **of: Column) -> None:
+    """Write ``df`` in one job as CSV files named by ``name``, a pattern of the values ``of`` a row.
+
+    Rows of equal values meet in one partition, and so in one file.
+    """
+    spark, part = df.sparkSession, fresh_folder(df.sparkSession, "csv")
+    tagged = df.withColumns({f"_{k}": v for k, v in of.items()}).repartition(*[f"_{k}" for k in of])
+    tagged.write.option("header", True).option("emptyValue", "").partitionBy(*[f"_{k}" for k in of]).csv(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listFiles(path(part), True)
+    while found.hasNext():
+        p = found.next().getPath()
+        if p.getName().startswith("part-"):
+            values = dict(x[1:].split("=", 1) for x in p.toString().split("/") if x.startswith("_") and "=" in x)
+            fs.mkdirs(path(folder))
+            if not fs.rename(p, path(f"{folder}/{name.format(**values)}.csv")):
+                raise OSError(f"{name.format(**values)} stands in {folder} already")
+
+
 def _params(df: DataFrame, category: str) -> DataFrame:
     """Rows of one category with the parameters it has."""
     own = {"gemm": "m n k", "attention": "b h s_q s_kv d", "conv": "n c_in c_out h w kh kw", "norm": "rows dim", "elementwise": "n_elem kind"}[category].split()
@@ -33,6 +53,7 @@ def _params(df: DataFrame, category: str) -> DataFrame:
     return df.filter(F.col("category") == category).select(*rest, *[f"p_{p}" for p in own])
 
 
+E2E_SHARES = 64  # pairs of files of a card
 CATEGORIES = ["gemm", "attention", "conv", "norm", "elementwise"]
 
 
@@ -110,15 +131,15 @@ def register(query) -> None:
 
     @query("read_e2e", """SELECT r.gpu_key, count(DISTINCT r.run_id) AS n_runs, CAST(sum(c.calls) AS BIGINT) AS calls, sum(c.calls*r.latency_s) AS weighted FROM runs r JOIN calls c USING (run_id) WHERE r.gpu_key NOT IN ('L4', 'H100') GROUP BY r.gpu_key""", weighted=6)
     def _(t):
-        """A pair of files per card; two cards lack their calls file and are left out."""
+        """Pairs of files per card, each pair with its share of the runs; two cards lack their calls files and are left out."""
         folder = fresh_folder(t.spark, "e2e")
-        runs = t.e2e_runs.withColumns({"height": F.lit(1024), "width": F.lit(1024)})
-        calls = t.e2e_calls.join(t.e2e_runs.select("run_id", "gpu_key", "model", "steps"), "run_id").withColumns({"height": F.lit(1024), "width": F.lit(1024)})
-        for card in FLEET_KEYS:
-            mine = F.col("gpu_key") == card
-            csv_files(runs.filter(mine).select("gpu_key", "model", "steps", "height", "width", "latency_s", "energy_j", F.col("run_id").alias("notes")).coalesce(1), folder, f"e2e__{card}_")
-            if card not in ("L4", "H100"):
-                csv_files(calls.filter(mine).select("kernel_sig", "calls", "gpu_key", F.col("run_id").alias("model"), "steps", "height", "width").coalesce(1), folder, f"e2e_calls__{card}_")
+        share = lambda run: F.pmod(F.xxhash64(run), F.lit(E2E_SHARES))
+        size = [F.lit(1024).alias("height"), F.lit(1024).alias("width")]
+        runs = t.e2e_runs.select("gpu_key", "model", "steps", *size, "latency_s", "energy_j", F.col("run_id").alias("notes"))
+        complete = t.e2e_runs.filter(~F.col("gpu_key").isin("L4", "H100")).select("run_id", "gpu_key", "steps")
+        calls = t.e2e_calls.join(complete, "run_id").select("kernel_sig", "calls", "gpu_key", F.col("run_id").alias("model"), "steps", *size)
+        csv_files_by(runs, folder, "e2e__{card}_{share}", card=F.col("gpu_key"), share=share("notes"))
+        csv_files_by(calls, folder, "e2e_calls__{card}_{share}", card=F.col("gpu_key"), share=share("model"))
         a, b = readers.read_e2e(t.spark, folder)
         both = b.select(F.col("model").alias("run_id"), "calls", "tag").join(a.select(F.col("notes").alias("run_id"), "latency_s", "gpu_key", "tag"), ["run_id", "tag"])
         return both.groupBy("gpu_key").agg(F.countDistinct("run_id").alias("n_runs"), F.sum("calls").alias("calls"), F.sum(F.col("calls") * F.col("latency_s")).alias("weighted"))

@@ -3,8 +3,11 @@
 import os
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from jouleframe.plans.bindings import Tables
 from oracle_check import differences, duck
 
 DIR = "/root/testdata/sf0.001"
@@ -26,3 +29,18 @@ def test_counter_ratio_passes_over_repeats_without_a_reading(spark, tmp_path):
     path = copied(tmp_path, lineitem="SELECT * REPLACE (CASE WHEN l_orderkey > 100 THEN 4 ELSE l_linenumber END AS l_linenumber, floor(l_extendedprice) + 0.5 AS l_extendedprice) FROM {t}")
     exact, _, text, n = differences(entry.queries()["counter_ratio"](spark, path), duck(path), entry.oracle_sql()["counter_ratio"])
     assert exact and n == 8, text
+
+
+def test_read_e2e_deals_the_runs_of_a_card_over_pairs_of_files(spark, tmp_path, monkeypatch):
+    from jouleframe.plans import files
+
+    seen = {}
+    read = files.readers.read_e2e
+    monkeypatch.setattr(files.readers, "read_e2e", lambda s, folder: seen.setdefault("r", read(s, folder)))
+    exact, _, text, _ = differences(entry.queries()["read_e2e"](spark, DIR), duck(DIR), entry.oracle_sql()["read_e2e"])
+    assert exact, text
+    runs, calls = seen["r"]
+    pairs = {r["gpu_key"]: r["n"] for r in runs.groupBy("gpu_key").agg(F.countDistinct("tag").alias("n")).collect()}
+    assert len(pairs) == 6 and min(pairs.values()) > 1
+    # A run and its calls are in files of one tag.
+    assert calls.select(F.col("model").alias("notes"), "tag").distinct().join(runs.select("notes", "tag"), ["notes", "tag"], "left_anti").isEmpty()
