@@ -63,7 +63,7 @@ def register(query) -> None:
     @query("read_captures", "SELECT source_model, category, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS calls FROM measurements GROUP BY ALL")
     def _(t):
         folder = fresh_folder(t.spark, "captures")
-        calls = t.op_calls.withColumns({"source_module": F.lit(""), "op_name": F.lit("op")})
+        calls = written(t.op_calls).withColumns({"source_module": F.lit(""), "op_name": F.lit("op")})  # joined once, not once a category
         for c in CATEGORIES:
             head = ["kernel_sig", "category", "dtype", "source_model", "source_module", "op_name", "count"]
             rows = _params(calls.withColumn("kernel_sig", F.lit("x")), c)
@@ -77,8 +77,9 @@ def register(query) -> None:
     def _(t):
         folder = fresh_folder(t.spark, "measurements")
         columns = ["kernel_sig", "category", "dtype", "gpu_key", "source_model", "latency_s", "energy_j", "energy_sd_rel", "contended", "n_buffers"]
+        merged = written(t.merged_kernels.select(*columns, *[p for p in t.merged_kernels.columns if p.startswith("p_")]))  # the table moves once, not once a category
         for c in CATEGORIES:
-            rows = _params(t.merged_kernels, c)
+            rows = _params(merged, c)
             csv_files(rows.select(*columns, *[p for p in rows.columns if p.startswith("p_")]), folder, f"fleet__{c}__")
         back = readers.read_measurements(t.spark, folder)
         return back.groupBy("gpu_key", "category").agg(

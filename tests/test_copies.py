@@ -44,3 +44,30 @@ def test_read_e2e_deals_the_runs_of_a_card_over_pairs_of_files(spark, tmp_path,
     assert len(pairs) == 6 and min(pairs.values()) > 1
     # A run and its calls are in files of one tag.
     assert calls.select(F.col("model").alias("notes"), "tag").distinct().join(runs.select("notes", "tag"), ["notes", "tag"], "left_anti").isEmpty()
+
+
+def rows_read(spark, name, tables) -> tuple[int, int]:
+    """Rows of lineitem that a query of ``REGISTRY`` reads in all, and how many it has."""
+    n = spark.sparkContext.accumulator(0)
+
+    class Counted(tables):
+        def raw(self, table):
+            df = super().raw(table)
+            if table != "lineitem":
+                return df
+
+            def count(batches):
+                for b in batches:
+                    n.add(len(b))
+                    yield b
+
+            return df.mapInPandas(count, df.schema)
+
+    entry.REGISTRY[name].build(Counted(spark, DIR)).collect()
+    return n.value, tables(spark, DIR).raw("lineitem").count()
+
+
+@pytest.mark.parametrize("name", ["read_measurements", "read_captures"])
+def test_files_of_all_categories_come_from_one_pass(spark, name):
+    read, rows = rows_read(spark, name, Tables)
+    assert read == rows
