@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler
+import pyarrow as pa
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jouleframe.functions.metrics import mape
@@ -42,10 +44,12 @@ def written_rows(df: DataFrame, fold: str, features: list[str]) -> DataFrame:
     """
     complete_rows(df, fold, features)  # for its refusals
     ids = [c for c in ("kernel_sig", "gpu_key", "category", "source_model", *NEEDED) if c in df.columns]
-    packed = F.array(*[F.col(f).cast("double") for f in features]).cast("array<double>").alias(VECTOR)
-    rows = written(df.select(*dict.fromkeys([*ids, fold_column(fold)]), packed))
+    packed = F.array(*[F.col(f).cast("double") for f in features]).cast("array<double>")
     whole = ~F.exists(VECTOR, lambda x: x.isNull() | F.isnan(x))
-    return rows.dropna(subset=["eta", "pi", "energy_j", fold_column(fold)]).filter(whole)
+    # The explode of one array keeps the flag from repeating the formulas; passes that need no features then read none.
+    packed = df.select(*dict.fromkeys([*ids, fold_column(fold)]), F.explode(F.array(packed)).alias(VECTOR))
+    rows = written(packed.withColumn("_whole", whole))
+    return rows.filter("_whole").drop("_whole").dropna(subset=["eta", "pi", "energy_j", fold_column(fold)])
 
 
 def fold_groups(df: DataFrame, fold: str, min_rows: int = 10) -> list[tuple[str, int, int]]:
@@ -87,28 +91,36 @@ def complement_medians(df: DataFrame, fold: str, groups: list[str]) -> DataFrame
 def group_grams(rows: DataFrame, fold: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Gram matrix [1, x, y]'[1, x, y] of every group, and the means and deviations of x and y = log energy.
 
-    x and y are standardised over all rows first. The products of a row are one vector (its
-    expansion to second degree), which partial sums add up per group inside the JVM: what moves
-    is one vector of (features + 1) squared halves per task and group.
+    x and y are standardised over all rows first. A task multiplies batch by batch and hands on
+    one matrix of (features + 2) squared per group, which are then summed.
     """
     col = F.col(fold_column(fold)).cast("string").alias("group")
-    z = rows.select(col, array_to_vector(F.concat(VECTOR, F.array(F.ln("energy_j")))).alias("z"))
-    scaler = StandardScaler(withMean=True, withStd=True, inputCol="z", outputCol="s").fit(z)
-    products = PolynomialExpansion(degree=2, inputCol="s", outputCol="p").transform(scaler.transform(z))
-    sums = products.groupBy("group").agg(F.count("*").alias("n"), Summarizer.sum(F.col("p")).alias("p"))
+    values = F.concat(VECTOR, F.array(F.ln("energy_j")))
+    z = rows.select(col, values.alias("z"))
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="z", outputCol="s").fit(z.select(array_to_vector("z").alias("z")))
     mean, sd = scaler.mean.toArray(), scaler.std.toArray()
-    width = len(mean)
-    # The expansion of (a, b, c, ..) is a, aa, b, ab, bb, c, ac, bc, cc, ..
-    at = np.concatenate([[i * (i + 3) // 2 + j for j in range(i + 2)] for i in range(width)])
-    row = np.concatenate([np.full(i + 2, i + 1) for i in range(width)])
-    other = np.concatenate([np.arange(i + 2) for i in range(width)])
-    grams = {}
-    for r in sums.collect():  # a row per held-out unit
-        m = np.zeros((width + 1, width + 1))
-        m[0, 0] = r["n"]
-        m[row, other] = m[other, row] = r["p"].toArray()[at]
-        grams[r["group"]] = m
-    return grams, mean, sd
+    scale = np.where(sd > 0, sd, np.inf)
+    width = len(mean) + 1
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x = np.ones((batch.num_rows, width))
+            x[:, 1:] = (batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width - 1) - mean) / scale
+            groups = batch.column("group").dictionary_encode()
+            of = groups.indices.to_numpy()
+            for i, group in enumerate(groups.dictionary.to_pylist()):
+                part = x[of == i]
+                sums[group] = sums.get(group, 0.0) + part.T @ part
+        at = pa.array(np.arange(width * width, dtype=np.int32))
+        for group, m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([group] * len(at), pa.string()), at, pa.array(m.ravel())], ["group", "at", "v"])
+
+    sums = z.mapInArrow(products, "group string, at int, v double").groupBy("group", "at").agg(F.sum("v").alias("v"))
+    grams: dict[str, np.ndarray] = {}
+    for r in sums.collect():  # a matrix per held-out unit
+        grams.setdefault(r["group"], np.zeros(width * width))[r["at"]] = r["v"]
+    return {g: m.reshape(width, width) for g, m in grams.items()}, mean, sd
 
 
 def ridge_from_gram(gram: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, float]:

@@ -3,10 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from jouleframe.operators import folds
 from jouleframe.plans.bindings import Tables
 from oracle_check import differences, duck
 
@@ -71,3 +73,22 @@ def rows_read(spark, name, tables) -> tuple[int, int]:
 def test_files_of_all_categories_come_from_one_pass(spark, name):
     read, rows = rows_read(spark, name, Tables)
     assert read == rows
+
+
+def test_passes_without_features_read_none(spark):
+    rows = folds.written_rows(Tables(spark, DIR).dataset(), "hardware", ["log_flops", "log_tdp"])
+    plan = rows.select("eta")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and folds.VECTOR not in plan.split("ReadSchema")[1].splitlines()[0]
+
+
+def test_grams_sum_over_batches_and_tasks(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        data = np.random.default_rng(1).normal(size=(100, 4)) * [1, 10, 0, 100] + 3
+        df = spark.createDataFrame([(f"g{i % 3}", float(np.exp(r[0] / 10)), list(map(float, r[1:]))) for i, r in enumerate(data)], f"gpu_key string, energy_j double, {folds.VECTOR} array<double>").repartition(5)
+        grams, mean, sd = folds.group_grams(df, "hardware")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    x = np.column_stack([data[:, 1:], data[:, 0] / 10])
+    z = np.column_stack([np.ones(100), (x - x.mean(0)) / np.where(x.std(0) > 1e-12, x.std(0, ddof=1), np.inf)])
+    assert all(np.allclose(grams[f"g{g}"], z[g::3].T @ z[g::3]) for g in range(3)) and np.allclose(mean, x.mean(0))
