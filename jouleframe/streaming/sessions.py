@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -12,6 +13,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from jouleframe.streaming.slices import MEDIANS, slice_columns, summary
 
 
+Counts = tuple[np.ndarray, np.ndarray]  # distinct values, and how often each came
+
+
 class Sessions(StatefulProcessor):
     """Per key: one row of combined numbers of the open session, and a count per distinct value for its medians.
 
@@ -50,37 +54,48 @@ class Sessions(StatefulProcessor):
             s |= {"counter_last": r["counter_last"], "counter_last_t": r["counter_last_t"]}
         return s | {"last_t": r["last_t"], "last_p": r["last_p"]}
 
-    def _add(self, new: dict[str, dict[float, int]]) -> None:
-        for c, counts in new.items():
+    def _stored(self, c: str) -> Counts:
+        pairs = [(v[0], n[0]) for v, n in self.counts[c].iterator()] if self.counts[c].exists() else []
+        return np.array([v for v, _ in pairs], float), np.array([n for _, n in pairs], np.int64)
+
+    def _add(self, new: dict[str, list[np.ndarray]]) -> None:
+        for c, held in new.items():
             state = self.counts[c]
-            for v, n in counts.items():
+            for v, n in zip(*_counted(held)):
+                v, n = float(v), int(n)
                 state.updateValue((v,), ((state.getValue((v,))[0] if state.containsKey((v,)) else 0) + n,))
-            counts.clear()
 
-    def _closed(self, key, s: dict) -> dict:
+    def _closed(self, key, s: dict, new: dict[str, list[np.ndarray]]) -> dict:
+        """The finished session: what was stored of it, and the values of this batch, which never enter the state."""
         out = dict(zip(self.keys, key)) | {k: s.get(k) for k in (*self.combine, "first_t", "last_t")}
         if self.counters:
             out |= {"counter_first": s["counter_first"], "counter_last": s["counter_last"]}
         for c in self.medians:
-            values = sorted((v[0], n[0]) for v, n in self.counts[c].iterator()) if self.counts[c].exists() else []
-            out[MEDIANS[c]] = _median(values)
+            out[MEDIANS[c]] = _median(_summed([self._stored(c), _counted(new[c])] if new else [self._stored(c)]))
             self.counts[c].clear()
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("slice_start")
+        # Of a batch only the numbers of each slice and its values as plain arrays are held, eight bytes a value.
+        parts, values = [], {c: [] for c in self.medians}
+        for part in rows:
+            for c, held in values.items():
+                held += [np.asarray(v, float) for v in part[f"{c}_values"]]
+            parts.append(part.drop(columns=[f"{c}_values" for c in self.medians]))
+        batch = pd.concat(parts, ignore_index=True).sort_values("slice_start")
         s = json.loads(self.open.get()[0]) if self.open.exists() else None
-        new: dict[str, dict[float, int]] = {c: {} for c in self.medians}
-        done = []
-        for r in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+        new: dict[str, list[np.ndarray]] = {c: [] for c in self.medians}
+        done, names = [], list(batch.columns)
+        for at, *r in batch.itertuples(name=None):
+            r = {k: None if v is None or v != v else v for k, v in zip(names, r)}
             if s is not None and r["first_t"] - s["last_t"] >= self.gap:
-                self._add(new)
-                done.append(self._closed(key, s))
+                done.append(self._closed(key, s, new))
+                new = {c: [] for c in self.medians}
                 s = None
             s = self._begun(r) if s is None else self._grown(s, r)
-            for c, counts in new.items():
-                for v in r[f"{c}_values"]:
-                    counts[float(v)] = counts.get(float(v), 0) + 1
+            for c, held in new.items():
+                held.append(values[c][at])
+                values[c][at] = None
         self._add(new)
         self.open.update((json.dumps(s, default=lambda x: x.item()),))
         for t in list(self.handle.listTimers()):
@@ -89,7 +104,7 @@ class Sessions(StatefulProcessor):
         yield pd.DataFrame(done, columns=self.names())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = [self._closed(key, json.loads(self.open.get()[0]))] if self.open.exists() else []
+        done = [self._closed(key, json.loads(self.open.get()[0]), {})] if self.open.exists() else []
         self.open.clear()
         yield pd.DataFrame(done, columns=self.names())
 
@@ -101,21 +116,26 @@ class Sessions(StatefulProcessor):
         return [*self.keys, *self.combine, "first_t", "last_t", *extra, *[MEDIANS[c] for c in self.medians]]
 
 
-def _median(values: list[tuple[float, int]]) -> float | None:
+def _counted(arrays: list[np.ndarray]) -> Counts:
+    """Distinct values in rising order and their counts."""
+    return np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.empty(0), np.empty(0, np.int64))
+
+
+def _summed(counts: list[Counts]) -> Counts:
+    values, at = np.unique(np.concatenate([v for v, _ in counts]), return_inverse=True)
+    total = np.zeros(len(values), np.int64)
+    np.add.at(total, at, np.concatenate([n for _, n in counts]))
+    return values, total
+
+
+def _median(counts: Counts) -> float | None:
     """Median of values given with their counts in rising order."""
-    total = sum(n for _, n in values)
-    if not total:
+    values, n = counts
+    upto = np.cumsum(n)
+    if not len(upto):
         return None
-    low = high = None
-    upto = 0
-    for v, n in values:
-        upto += n
-        if low is None and upto > (total - 1) // 2:
-            low = v
-        if upto > total // 2:
-            high = v
-            break
-    return (low + high) / 2
+    middle = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")
+    return float(values[middle].sum() / 2)
 
 
 def sessions(slices: DataFrame, columns: list[str], keys: list[str], gap: int, slice_: int) -> DataFrame:

@@ -92,3 +92,34 @@ def test_grams_sum_over_batches_and_tasks(spark):
     x = np.column_stack([data[:, 1:], data[:, 0] / 10])
     z = np.column_stack([np.ones(100), (x - x.mean(0)) / np.where(x.std(0) > 1e-12, x.std(0, ddof=1), np.inf)])
     assert all(np.allclose(grams[f"g{g}"], z[g::3].T @ z[g::3]) for g in range(3)) and np.allclose(mean, x.mean(0))
+
+
+def test_values_of_sessions_that_end_in_a_batch_never_enter_the_state():
+    import pandas as pd
+    from jouleframe.streaming.sessions import Sessions
+
+    class State(dict):
+        exists = lambda self: bool(self)
+        get = lambda self: self["v"]
+        update = lambda self, v: self.__setitem__("v", v)
+        updateValue = dict.__setitem__
+        getValue = dict.__getitem__
+        containsKey = dict.__contains__
+        iterator = lambda self: iter([(k, v) for k, v in self.items()])
+
+    class Handle:
+        getValueState = lambda self, *a: State()
+        getMapState = lambda self, *a: State()
+        listTimers = lambda self: []
+        registerTimer = lambda self, t: None
+
+    p = Sessions(["gpu_key", "ts", "power_w"], ["gpu_key"], gap=100, slice_=10)
+    p.init(Handle())
+    stored = []
+    put = p.counts["power_w"].__class__.updateValue
+    p.counts["power_w"].updateValue = lambda k, v: (stored.append(k[0]), put(p.counts["power_w"], k, v))
+    row = lambda start, values: {"slice_start": start, **{c: 1.0 for c in p.combine}, "n_samples": len(values), "first_t": start, "last_t": start + 5, "first_p": 1.0, "last_p": 1.0, "power_w_values": values}
+    # Out of order, over two chunks: a session of two slices, then one that stays open.
+    chunks = [pd.DataFrame([row(1000, [7.0, 8.0])]), pd.DataFrame([row(10, [3.0, 4.0]), row(0, [1.0, 2.0, 2.0])])]
+    out = pd.concat(p.handleInputRows(("L4",), iter(chunks), None))
+    assert out["power_median_w"].tolist() == [2.0] and out["n_samples"].tolist() == [5] and stored == [7.0, 8.0]
