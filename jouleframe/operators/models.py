@@ -2,16 +2,20 @@
 
 Features are binned once into one vector per row and written with the baselines of the fold;
 every fold, head, category and seed fits on that table. Fits run as concurrent jobs. Their
-trees become one table of models, and one pass over the rows scores each held-out row by the
-model that it is routed to: its category's specialist in its fold, or the fold's generalist.
+trees become one table of models; one pass over the rows takes the loss curves of all fits, and
+one scores each held-out row by the model that it is routed to: its category's specialist in its
+fold, or the fold's generalist.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -89,12 +93,17 @@ def prepare(df: DataFrame, fold: str = "hardware", features: list[str] | None =
     return Prepared(written(ready.drop(VECTOR)), fold, groups)
 
 
-def _fit(train: DataFrame, test: DataFrame, head: str, cfg: TrainConfig):
-    """One head's trees and its curves. Early stopping reads the validation rows alone; the test curve is only recorded."""
+def _trained(train: DataFrame, head: str, cfg: TrainConfig):
+    """One head's trees. Early stopping reads the validation rows alone."""
     gbt = GBTRegressor(
         featuresCol="bins", labelCol=f"_log_{head}", lossType="absolute", maxIter=cfg.max_iter, maxDepth=cfg.max_depth, maxBins=BINS,
         stepSize=cfg.step, seed=cfg.seed, validationIndicatorCol="_val")
-    model = gbt.fit(train)
+    return gbt.fit(train)
+
+
+def _fit(train: DataFrame, test: DataFrame, head: str, cfg: TrainConfig):
+    """One head's trees and its curves by Spark ML, which reads the rows again for every round and side; see ``loss_curves``."""
+    model = _trained(train, head, cfg)
     sides = (train.filter(~F.col("_val")), train.filter("_val"), test)
     return model, [[float(x) for x in model.evaluateEachIteration(d, "absolute")] for d in sides]
 
@@ -127,6 +136,82 @@ def predicted(trees: Column, x: Column, depth: int) -> Column:
     return F.aggregate(F.array_sort(trees), F.lit(0.0), lambda s, t: s + t["weight"] * leaf(t))
 
 
+class Trees:
+    """The trees of one fit as flat arrays; a leaf is its own child."""
+
+    def __init__(self, trees: list, depth: int):
+        trees = sorted(trees, key=lambda t: t["tree"])
+        sizes = [len(t["nodes"]) for t in trees]
+        self.roots, self.depth = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), depth
+        nodes = [(n, at, t["weight"]) for t, at in zip(trees, self.roots.tolist()) for n in t["nodes"]]
+        inner = np.array([n["left"] >= 0 for n, _, _ in nodes])
+        pick = lambda name, other: np.where(inner, [n[name] if n["left"] >= 0 else 0 for n, _, _ in nodes], other)
+        own, root = np.arange(len(nodes)), np.array([at for _, at, _ in nodes])
+        self.feature, self.threshold = pick("feature", 0).astype(np.int64), pick("threshold", np.inf).astype(float)
+        self.left, self.right = (np.where(inner, pick(side, 0) + root, own).astype(np.int64) for side in ("left", "right"))
+        self.value = np.array([n["value"] * w for n, _, w in nodes])
+
+    def rounds(self, x: np.ndarray) -> np.ndarray:
+        """Prediction of each row after each round; ``x`` has a row per feature."""
+        row, n = np.arange(x.shape[1]), x.shape[1]
+        flat, out = x.ravel(), np.empty((len(self.roots), n))
+        for r, root in enumerate(self.roots):
+            at = np.full(n, root)
+            for _ in range(self.depth):
+                at = np.where(flat[self.feature[at] * n + row] <= self.threshold[at], self.left[at], self.right[at])
+            out[r] = self.value[at]
+        return np.cumsum(out, axis=0)
+
+
+def loss_curves(rows: DataFrame, fold: str, fits: dict[tuple[str, str, str], Trees], special: set[tuple[str, str]]) -> dict[tuple[str, str, str], list[list[float]]]:
+    """Mean absolute errors after each round on the training, validation and test rows of every fit (group, model, head), in one pass.
+
+    A fit's rows are those of its category, or all rows for the generalist; its test rows are those of its group that no
+    specialist takes. A side without rows has the error 0, as in Spark ML.
+    """
+    jobs, at_once = list(fits), 4_096  # rows that are scored at a time
+    names = list(dict.fromkeys(name for _, name, _ in jobs))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((3, len(fits[j].roots))) for j in jobs]
+        count = np.zeros((len(jobs), 3), np.int64)
+
+        def add(batch: pa.RecordBatch) -> None:
+            groups, categories = (np.array(batch.column(c).to_pylist(), object) for c in ("g", "category"))
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            val = batch.column("_val").to_numpy(zero_copy_only=False)
+            labels = {h: batch.column(f"_log_{h}").to_numpy() for h in HEADS}
+            for name in names:
+                mine = np.arange(len(groups)) if name == "all" else np.flatnonzero(categories == name)
+                if not len(mine):
+                    continue
+                part = np.ascontiguousarray(x[mine].T)
+                for i, (g, model, head) in enumerate(jobs):
+                    if model != name:
+                        continue
+                    out = groups[mine] == g
+                    taken = out & np.isin(categories[mine].astype(str), [c for h, c in special if h == g]) if name == "all" else out & False
+                    side = np.stack([~out & ~val[mine], ~out & val[mine], out & ~taken])
+                    held[i] += side.astype(float) @ np.abs(fits[jobs[i]].rounds(part) - labels[head][mine]).T
+                    count[i] += side.sum(axis=1)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                add(batch.slice(at, at_once))
+        for i, h in enumerate(held):
+            side, epoch = np.indices(h.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(h.size, i, np.int32)), pa.array(side.ravel().astype(np.int32)), pa.array(epoch.ravel().astype(np.int32)),
+                                              pa.array(h.ravel()), pa.array(np.repeat(count[i], h.shape[1]))], ["fit", "side", "epoch", "loss", "n"])
+
+    slim = rows.select(F.col(fold_column(fold)).cast("string").alias("g"), F.col("category").cast("string").alias("category"), "_val",
+                       *[f"_log_{h}" for h in HEADS], vector_to_array("bins").cast("array<tinyint>").alias("x"))
+    found = slim.mapInArrow(sums, "fit int, side int, epoch int, loss double, n long").groupBy("fit", "side", "epoch").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    out = {j: [[0.0] * len(t.roots) for _ in range(3)] for j, t in fits.items()}
+    for r in found.collect():  # a number per fit, side and round
+        out[jobs[r["fit"]]][r["side"]][r["epoch"]] = r["loss"] / r["n"] if r["n"] else 0.0
+    return out
+
+
 def _specialists(prepared: Prepared, least: int) -> set[tuple[str, str]]:
     """(group, category) pairs present in the group, with enough rows of the category in its complement."""
     col = fold_column(prepared.fold)
@@ -154,23 +239,22 @@ def evaluate_prepared(prepared: Prepared, cfg: TrainConfig = TrainConfig(), per_
     wanted = [(g, "all") for g in prepared.groups if g in present] + sorted(special)
     folder = fresh_folder(rows.sparkSession, "models")
 
-    def fit(job: tuple[str, str, str]):
+    def fit(job: tuple[str, str, str]) -> None:
         g, name, head = job
         mine = F.lit(True) if name == "all" else F.col("category") == name
-        test = rows.filter((col == g) & mine)
-        if name == "all" and special:
-            test = test.filter(~F.col("category").isin([c for h, c in special if h == g]))
-        model, curves = _fit(rows.filter((col != g) & mine), test, head, cfg)
-        model.write().save(f"{folder}/{_route(g, name).encode().hex()}/{head.encode().hex()}")
-        return fold, str(g), name, head, *curves, best_epoch(curves[1])
+        _trained(rows.filter((col != g) & mine), head, cfg).write().save(f"{folder}/{_route(g, name).encode().hex()}/{head.encode().hex()}")
 
     jobs = [(g, name, head) for g, name in wanted for head in HEADS]
     with ThreadPoolExecutor(at_once) as pool:
-        histories = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), jobs))
+        list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), jobs))
+    fitted = written(model_table(folder, rows, cfg.max_depth))
+    trees = {(r["route"], r["head"]): Trees(r["trees"], cfg.max_depth) for r in fitted.collect()}  # bounded by what was fitted here
+    curves = loss_curves(rows, fold, {(str(g), name, head): trees[_route(g, name), head] for g, name, head in jobs}, {(str(g), c) for g, c in special})
+    histories = [(fold, str(g), name, head, *curves[str(g), name, head], best_epoch(curves[str(g), name, head][1])) for g, name, head in jobs]
     named = F.concat_ws("|", "group", "category")
     model = F.when(named.isin([_route(g, c) for g, c in special]), F.col("category")).otherwise("all") if special else F.lit("all")
     held_out = rows.filter("group IS NOT NULL").withColumns({"_route": F.concat_ws("|", "group", model), "_x": vector_to_array("bins")})
-    table = model_table(folder, rows, cfg.max_depth).groupBy(F.col("route").alias("_route")).pivot("head", list(HEADS)).agg(F.first("trees"))
+    table = fitted.groupBy(F.col("route").alias("_route")).pivot("head", list(HEADS)).agg(F.first("trees"))
     # Bounded by what was fitted here: fits, times rounds, times nodes of a tree.
     nodes = len(jobs) * cfg.max_iter * 2 ** (cfg.max_depth + 1)
     table = F.broadcast(written(table)) if nodes <= MOST_NODES else written(table)

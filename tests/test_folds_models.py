@@ -134,6 +134,34 @@ def test_one_scoring_pass_equals_each_fit_applied_to_its_rows(data):
             assert got == pytest.approx(want, rel=1e-12) and len(got) > 3
 
 
+def test_curves_of_all_fits_come_from_one_pass(data, monkeypatch):
+    """The curves equal Spark ML's own, which reads the rows once a round and side; no fit reads them that often."""
+    two = data.filter(F.col("gpu_key").isin("L4", "H100") & F.col("category").isin("gemm", "norm", "attention"))
+    prepared = models.prepare(two.filter("category != 'attention' OR pmod(xxhash64(kernel_sig), 3) = 0"), "hardware", FEW, ridge=False)
+    cfg = models.TrainConfig(5, 3)
+    rows = prepared.rows.withColumn("_val", models.validation_flag(cfg, ["kernel_sig", "gpu_key"]))
+    special = models._specialists(prepared, 20)
+    want = {}
+    for g, name in [("L4", "gemm"), ("L4", "all")]:
+        own = F.col("category") == name if name != "all" else F.lit(True)
+        test = rows.filter((F.col("gpu_key") == g) & own)
+        if name == "all":
+            test = test.filter(~F.col("category").isin([c for h, c in special if h == g]))
+        for head in models.HEADS:
+            want[g, name, head] = models._fit(rows.filter((F.col("gpu_key") != g) & own), test, head, cfg)[1]
+
+    def refuse(*_):
+        raise AssertionError("reads the rows once a round")
+
+    monkeypatch.setattr("pyspark.ml.regression.GBTRegressionModel.evaluateEachIteration", refuse)
+    ev = models.evaluate_prepared(prepared, cfg, per_category=True, min_category_rows=20)
+    got = {h[1:4]: h[4:7] for h in ev.histories}
+    for key, sides in want.items():
+        for a, b in zip(got[key], sides):
+            assert a == pytest.approx(b, rel=1e-9) and a[0] > 0
+    assert max(len(h[4]) for h in ev.histories) > 1
+
+
 def test_seeds_equal_separate_evaluations(data):
     two = data.filter(F.col("gpu_key").isin("L4", "H100"))
     cfg = models.TrainConfig(2, 2)
