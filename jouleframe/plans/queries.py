@@ -17,7 +17,7 @@ from jouleframe.operators import (
 from jouleframe.plans import files
 from jouleframe.plans.bindings import LATER, MODELS, Tables
 from jouleframe.plans.oracle import CTES, rounded, sql
-from jouleframe.runtime import shared_dir, spread
+from jouleframe.runtime import shared_dir, spread, written
 from jouleframe.sources.hardware import FLEET_KEYS, attach_hardware, external_hardware_frame, identify_device, power_descriptors
 from jouleframe.streaming import ingest, rollup
 
@@ -739,14 +739,16 @@ def _reliable(t):
     return merge.filter_reliable(t.merged)
 
 
-def _predictions(t):
-    d = _reliable(t).join(t.kernels.select("partkey", "category"), "partkey")
+def _predictions(t, reliable=None):
+    d = (_reliable(t) if reliable is None else reliable).join(t.kernels.select("partkey", "category"), "partkey")
     return d.filter((F.col("category") != "conv") & (F.col("gpu_key") != "L4")).select(
         "gpu_key", "kernel_sig", (F.col("energy_j") * 1.1).alias("energy_pred"), (F.col("latency_s") * 0.9).alias("latency_pred"))
 
 
 def _reconciled(t):
-    return rec.reconcile(t.e2e_runs, t.e2e_calls, _reliable(t), _predictions(t))
+    # Cards, measured and predicted values all read the merged rows: merged and written once.
+    reliable = written(_reliable(t).select("partkey", "gpu_key", "kernel_sig", "energy_j", "latency_s"))
+    return rec.reconcile(t.e2e_runs, t.e2e_calls, reliable, _predictions(t, reliable))
 
 
 _REC_DIGITS = dict(call_coverage=11, A_kernel_energy_j=13, A_total_j=13, A_ratio=9, A_residual_j=13, A_residual_frac=9, A_kernel_latency_s=13,

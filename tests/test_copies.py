@@ -123,3 +123,20 @@ def test_values_of_sessions_that_end_in_a_batch_never_enter_the_state():
     chunks = [pd.DataFrame([row(1000, [7.0, 8.0])]), pd.DataFrame([row(10, [3.0, 4.0]), row(0, [1.0, 2.0, 2.0])])]
     out = pd.concat(p.handleInputRows(("L4",), iter(chunks), None))
     assert out["power_median_w"].tolist() == [2.0] and out["n_samples"].tolist() == [5] and stored == [7.0, 8.0]
+
+
+def test_reconcile_merges_once_and_moves_the_calls_by_run(spark):
+    """Values and cards come from merged rows that are written, and the calls are dealt by run for both of their steps."""
+    from jouleframe.plans import queries
+
+    t = Tables(spark, DIR)
+    whole = queries._reconciled(t)
+    assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = t.e2e_calls.join(t.e2e_runs.select("run_id", "gpu_key"), "run_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # one a side
+    assert all(differences(entry.queries()[n](spark, DIR), duck(DIR), entry.oracle_sql()[n])[0] for n in ("reconcile", "step_model", "stream_ingest"))
