@@ -567,6 +567,7 @@ def _(t):
             return facts if name == "lineitem" else super().raw(name)
 
     rows = Streamed(t.spark, t.dir).measured.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.select(*dict.fromkeys([*merge.KEY, "contended", *_MERGE_COLS, *LATER]))
     out = _fresh_folder(t.spark, "ingest")
     ingest.start_ingest(rows, f"{out}/rows", f"{out}/state", LATER, available_now=True).awaitTermination()
     return ingest.read_ingested(t.spark, f"{out}/rows", LATER).select(*_MERGE_COLS)

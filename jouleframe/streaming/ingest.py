@@ -36,9 +36,14 @@ def new_rows(stream: DataFrame, recorded: DataFrame, later: list[str], keys: lis
     contended = F.coalesce(F.col("contended").cast("int"), F.lit(0))
     both = stream.withColumn("_at", now).unionByName(recorded.withColumn("_at", F.lit(0).cast("bigint")))
     flagged = both.withColumn("contended", contended)
-    rest = [c for c in flagged.columns if c not in keys]
-    best = flagged.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(-F.col("contended"), -F.col("_at"), *later)).alias("_best"))
-    return best.where(F.col("_best._at") == now).select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in stream.columns])
+    # One struct holds each column once, in sorts, shuffle and state: what orders the rows first, the rest after it.
+    order = [(-F.col("contended")).alias("contended"), (-F.col("_at")).alias("_at"), *dict.fromkeys(later)]
+    rest = [c for c in stream.columns if c not in keys and c not in later and c != "contended"]
+    whole = F.struct(*order, *rest)
+    unordered = any("map<" in t or t == "variant" for _, t in stream.dtypes)  # such rows cannot be compared whole
+    best = flagged.groupBy(*keys).agg((F.max_by(whole, F.struct(*order)) if unordered else F.max(whole)).alias("_best"))
+    own = {c: F.col(c) if c in keys else -F.col("_best.contended") if c == "contended" else F.col(f"_best.{c}") for c in stream.columns}
+    return best.where(F.col("_best._at") == -now).select(*[v.alias(c) for c, v in own.items()])
 
 
 def _recorded(stream: DataFrame, path: str, checkpoint: str, later: list[str], keys: list[str]) -> DataFrame:

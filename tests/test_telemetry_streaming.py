@@ -222,3 +222,16 @@ def test_a_retried_batch_writes_the_same_rows(spark, tmp_path):
     stream = spark.readStream.schema(INGEST).parquet(str(tmp_path / "in"))
     ingest.start_ingest(stream, str(tmp_path / "t"), str(tmp_path / "c"), ["ts"], on_batch=fail_once, available_now=True).awaitTermination()
     assert tries[0] == tries[1] == [1, 2] and spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_ingest_moves_each_column_once(spark):
+    """The rows of a batch are compared as one struct; columns that cannot be compared (maps) still come through."""
+    rows = [("k", "L4", 1, 5, 0.1), ("k", "L4", 0, 3, 0.2), ("k", "L4", 0, 4, 0.3), ("j", "L4", 1, 2, 0.4), ("j", "H100", None, 1, 0.5)]
+    df = spark.createDataFrame(rows, "kernel_sig string, gpu_key string, contended int, ts int, energy_j double")
+    best = {("k", "L4", 0, 4, 0.3), ("j", "L4", 1, 2, 0.4), ("j", "H100", 0, 1, 0.5)}
+    plain = ingest.new_rows(df, df.limit(0), ["ts"])
+    assert {tuple(r) for r in plain.collect()} == best and plain.columns == df.columns
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "max(" in plan
+    mapped = ingest.new_rows(df.withColumn("m", F.create_map(F.lit("a"), "ts")), df.limit(0).withColumn("m", F.create_map(F.lit("a"), "ts")), ["ts"])
+    assert {(*tuple(r)[:5], r["m"]["a"]) for r in mapped.collect()} == {(*b, b[3]) for b in best}
