@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jouleframe.functions.categories import Params
 from jouleframe.functions.labels import operator_of
 from jouleframe.functions.metrics import ape
-from jouleframe.operators.quantiles import Quantile, group_quantiles, median
+from jouleframe.operators.quantiles import Quantile, group_quantiles, median, sent_whole_if_few
 from jouleframe.runtime import spread, written
 from jouleframe.sources.hardware import external_hardware_frame, normal_key
 
@@ -320,7 +320,8 @@ def transfer_table(df: DataFrame, min_train: int = 40, min_test: int = 10) -> Da
     their medians and ``below_train`` its share.
     """
     ok = transfer_cells(df, min_train, min_test).filter(F.col("status") == "evaluated").select("operator", "gpu_key")
-    rows = df.join(ok, ["operator", "gpu_key"], "left_semi")
+    # The cells go to the rows: dealt by cell, the rows would stand in as many tasks as there are cells.
+    rows = df.join(sent_whole_if_few(written(ok)), ["operator", "gpu_key"], "left_semi")
     true = F.col("energy_true")
     err = {v: ape(true, F.col(f"energy_{v}")) for v in ("zeroshot", "finetuned", "scratch", "hybrid")}
     aggs = [F.count("*").alias("n_test")] + [F.avg(e).alias(v) for v, e in err.items()]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -49,6 +50,11 @@ def group_quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile], a
     return _bracketed(df, keys, quantiles, list(aggs), accuracy)
 
 
+def sent_whole_if_few(groups: DataFrame) -> DataFrame:
+    """``groups`` (written before), counted: few go to every task; else rows would go to as many tasks as there are groups."""
+    return F.broadcast(groups) if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else groups
+
+
 def _used(df: DataFrame, keys: list[str], columns: list[Column]) -> list[str]:
     """The columns of ``df`` that the expressions name (or whose names cannot be told from their text)."""
     words = set(re.findall(r"\w+", " ".join(map(str, columns)))) | set(keys)
@@ -83,8 +89,7 @@ def _bracketed(df: DataFrame, keys, quantiles, aggs, accuracy) -> DataFrame:
     if keys:
         first = written(first)
     brackets = first.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *bounds)
-    # Counted: few brackets go to every task; else rows would go to as many tasks as there are groups.
-    sent = F.broadcast if keys and first.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else (lambda d: d)
+    sent = sent_whole_if_few if keys else (lambda d: d)
 
     # Pass 2: below the bracket count only (NULL value); above it drop; inside keep the value.
     on = F.lit(True)
@@ -96,14 +101,18 @@ def _bracketed(df: DataFrame, keys, quantiles, aggs, accuracy) -> DataFrame:
     else:
         one = brackets.select(F.struct(*brackets.columns).alias("s")).scalar()
         joined = slim.withColumn("_r", one).select(*slim.columns, "_r.*")
+    # Few rows stand inside a bracket; only those are taken apart by slot. The others are counted as they are.
+    inside = [F.col(f"_v{j}").between(F.col(f"_b{j}.lo"), F.col(f"_b{j}.hi")) for j in slots]
     tagged = F.explode(F.filter(F.array(*[
-        F.when(F.col(f"_v{j}") <= F.col(f"_b{j}.hi"), F.struct(
-            F.lit(j).alias("j"),
-            F.when(F.col(f"_v{j}") >= F.col(f"_b{j}.lo"), F.col(f"_v{j}")).alias("v"),
-            F.col(f"_b{j}.pos").alias("pos"))) for j in slots
+        F.when(inside[j], F.struct(F.lit(j).alias("j"), F.col(f"_v{j}").alias("v"), F.col(f"_b{j}.pos").alias("pos"))) for j in slots
     ]), lambda e: e.isNotNull())).alias("e")
-    counted = (joined.select(*names, tagged).select(*names, "e.j", "e.v", "e.pos")
+    counted = (joined.filter(reduce(Column.__or__, inside)).select(*names, tagged).select(*names, "e.j", "e.v", "e.pos")
                .groupBy(*names, "j", "v", "pos").agg(F.count("*").alias("c")))
+    below = joined.groupBy(*names).agg(*[F.struct(
+        F.lit(j).alias("j"), F.lit(None).cast("double").alias("v"), F.max(f"_b{j}.pos").alias("pos"),
+        F.count_if(F.col(f"_v{j}") < F.col(f"_b{j}.lo")).alias("c")).alias(f"_n{j}") for j in slots])
+    below = below.select(*names, F.explode(F.array(*[f"_n{j}" for j in slots])).alias("e")).select(*names, "e.*").filter("c > 0")
+    counted = counted.unionByName(below)
     w = (Window.partitionBy(*names, "j").orderBy(F.col("v").asc_nulls_first())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counted.withColumn("upto", F.sum("c").over(w))

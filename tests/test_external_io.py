@@ -186,3 +186,18 @@ def test_append_guard_and_prediction_partitions(spark, tmp_path):
     assert readers.load_results(spark, str(tmp_path / "one")).count() == 1
     writers.write_report_tables({"hardware": df}, str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r" / "hardware")).count() == 1
+
+
+def test_rows_of_a_transfer_table_are_not_dealt_by_cell(spark, monkeypatch):
+    """A handful of cells must not gather the rows in as many tasks."""
+    seen = []
+    monkeypatch.setattr(ext, "group_quantiles", lambda df, *_: seen.append(df) or df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(400).selectExpr("concat('g', id % 4) AS gpu_key", "'gemm' AS operator", "1D + id AS energy_true", "1D AS energy_zeroshot", "2D AS energy_finetuned",
+                                           "3D AS energy_scratch", "3D AS energy_hybrid", "false AS saturated")
+        ext.transfer_table(rows)
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan and seen[0].count() == 800

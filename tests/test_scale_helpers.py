@@ -70,3 +70,11 @@ def test_merge_keeps_one_row_per_key_before_the_shuffle(spark):
     out = merge_measurements(df.withColumns({"kernel_sig": F.col("g"), "gpu_key": F.lit("L4")}), ["i"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_only_rows_inside_a_bracket_are_taken_apart(spark, monkeypatch):
+    """Rows below a bracket are counted by a plain aggregate: no slot of theirs is exploded."""
+    monkeypatch.setattr(quantiles, "written", lambda d: d)  # to see the whole plan
+    df, _ = skewed(spark, 300)
+    plan = group_quantiles(df, ["g"], [median("m", F.col("v")), median("n", F.col("w"))])._jdf.queryExecution().optimizedPlan().toString()
+    assert "count_if" in plan or "count(if" in plan
