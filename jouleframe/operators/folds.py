@@ -159,18 +159,16 @@ def ridge_predictions(rows: DataFrame, fold: str, groups: list[str], alpha: floa
 # --- reports --------------------------------------------------------------------------------
 
 
-def with_baselines(rows: DataFrame, fold: str, groups: list[str], ridge: bool = True) -> DataFrame:
+def with_baselines(rows: DataFrame, fold: str, groups: list[str], ridge: bool = True, constant: bool = True) -> DataFrame:
     """``written_rows`` with the energy that each baseline predicts; NULL outside of ``groups``."""
     theory, tdp = F.col("theoretical_time_s"), F.col("tdp_w")
     one = F.lit(1.0)
-    consts = {r["group"]: r for r in complement_medians(rows, fold, groups).collect()}
     key = F.col(fold_column(fold))
-    cols = {
-        "group": F.when(key.isin(*groups), key.cast("string")),
-        "roofline_pred": energy_from_heads(one, one, theory, tdp),
-        "constant_pred": energy_from_heads(_lookup({g: consts[g]["eta_const"] for g in groups}, key),
-                                           _lookup({g: consts[g]["pi_const"] for g in groups}, key), theory, tdp),
-    }
+    cols = {"group": F.when(key.isin(*groups), key.cast("string")), "roofline_pred": energy_from_heads(one, one, theory, tdp)}
+    if constant:
+        consts = {r["group"]: r for r in complement_medians(rows, fold, groups).collect()}
+        cols["constant_pred"] = energy_from_heads(_lookup({g: consts[g]["eta_const"] for g in groups}, key),
+                                                  _lookup({g: consts[g]["pi_const"] for g in groups}, key), theory, tdp)
     if ridge:
         cols["ridge_pred"] = ridge_predictions(rows, fold, groups)
     return rows.withColumns(cols)
@@ -204,11 +202,11 @@ def complement_overview(df: DataFrame, fold: str, min_rows: int = 10) -> DataFra
 
 
 def baseline_table(df: DataFrame, fold: str, features: list[str] | None = None, ridge: bool = False,
-                   min_rows: int = 10) -> DataFrame:
-    """Report table of the parameter-free and linear baselines alone."""
+                   min_rows: int = 10, constant: bool = True) -> DataFrame:
+    """Report table of the parameter-free and linear baselines alone; those not asked for are not fitted."""
     rows = written_rows(df, fold, features or [])
     groups = [g for g, _, _ in fold_groups(rows, fold, min_rows)]
-    held_out = with_baselines(rows, fold, groups, ridge).filter("group IS NOT NULL")
+    held_out = with_baselines(rows, fold, groups, ridge, constant).filter("group IS NOT NULL")
     return report_table(held_out.withColumn("energy_true", F.col("energy_j")))
 
 

@@ -205,3 +205,14 @@ def test_clock_comparison(data):
     a = folds.baseline_table(data, "category")
     out = folds.clock_comparison(a, a).collect()
     assert all(r["roofline_tensor"] == r["roofline_boost"] for r in out) and len(out) == 7
+
+
+def test_baselines_that_are_not_asked_for_are_not_fitted(data, monkeypatch):
+    whole = {r["group"]: r["roofline"] for r in folds.baseline_table(data, "hardware").collect()}
+
+    def refuse(*_):
+        raise AssertionError("medians of a baseline that nobody reads")
+
+    monkeypatch.setattr(folds, "complement_medians", refuse)
+    table = folds.baseline_table(data, "hardware", constant=False)
+    assert "constant" not in table.columns and {r["group"]: r["roofline"] for r in table.collect()} == whole
