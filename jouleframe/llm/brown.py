@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from jouleframe.llm.common import LOCATOR, keep, located, text_of
@@ -201,11 +202,12 @@ class ClassModel:
         for w, c, n in zip(words, classes.tolist(), counts.tolist()):
             if w:
                 votes.setdefault(w[-2:], Counter())[c] += math.log1p(n)
-        self.by_end = {k: n_class + max(v.items(), key=lambda x: (x[1], -x[0]))[0] for k, v in votes.items()}
-        self.total = 2 * n_class  # tail class of n_class + 0: words with an unknown ending
+        self.by_end = Codes([], other=n_class)  # words with an unknown ending: the tail class of n_class + 0
+        self.by_end.update({k: n_class + max(v.items(), key=lambda x: (x[1], -x[0]))[0] for k, v in votes.items()})
+        self.total = 2 * n_class
 
     def tail_class(self, word: bytes) -> int:
-        return self.by_end.get(word[-2:], self.n)
+        return self.by_end[word[-2:]]
 
     def classed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Codes (-1 outside the head), classes, and the words outside the head in order."""
@@ -214,7 +216,7 @@ class ClassModel:
         out = np.flatnonzero(code < 0)
         tail = [words[i] for i in out.tolist()]
         if tail:
-            cls[out] = np.fromiter(map(self.tail_class, tail), np.int64, len(tail))
+            cls[out] = self.by_end.of([w[-2:] for w in tail])
         return code, cls, tail
 
     def fit(self, training: DataFrame, vocabulary: DataFrame) -> None:
@@ -255,28 +257,33 @@ LOCAL = f"{LOCATOR} string, doc_id long, n_tokens long, n_head long, base double
 def local_scores(docs: DataFrame, model: ClassModel) -> DataFrame:
     """Per text all that the head and the classes give, and its tail words with their counts."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.log10(model.counts + ADD)
         p3, t = model.p3.reshape(-1), model.total
         for batch in batches:
-            rows = []
-            for place, doc_id, text in zip(batch[LOCATOR], batch["doc_id"], batch["text"]):
-                words = words_of(text)
-                code, c, tail = model.classed([END, END, *words, END])
-                code, own = code[2:], c[2:]
-                inside = code >= 0
-                local = float(p3[(c[:-2] * t + c[1:-1]) * t + own].sum(dtype=float))
-                local += float(model.emission[code[inside]].sum()) - float(model.tail_mass[own[~inside]].sum())
-                rows.append((place, None if pd.isna(doc_id) else int(doc_id), len(own), int(inside.sum()), float(head[code[inside]].sum()), local,
-                             [{"word": w, "n": n} for w, n in Counter(tail).items()]))
-                if len(rows) >= 500:
-                    yield pd.DataFrame(rows, columns=["l", "d", "t", "h", "b", "s", "w"]).set_axis(names, axis=1).astype({"doc_id": "Int64"})
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["l", "d", "t", "h", "b", "s", "w"]).set_axis(names, axis=1).astype({"doc_id": "Int64"})
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sums, words_out, times, ends = [], [], [], [0]
+                for text in part.column("text").to_pylist():
+                    code, c, tail = model.classed([END, END, *words_of(text), END])
+                    code, own = code[2:], c[2:]
+                    inside = code >= 0
+                    known = code[inside]
+                    local = float(p3[(c[:-2] * t + c[1:-1]) * t + own].sum(dtype=float))
+                    local += float(model.emission[known].sum()) - float(model.tail_mass[own[~inside]].sum())
+                    sums.append((len(own), len(known), float(head[known].sum()), local))
+                    held = Counter(tail)
+                    words_out += held.keys()
+                    times += held.values()
+                    ends.append(len(words_out))
+                tails = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(times, pa.int32())], names=["word", "n"])
+                n_tokens, n_head, base, local = zip(*sums)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(LOCATOR), part.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_head, pa.int64()), pa.array(base, pa.float64()),
+                     pa.array(local, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tails)], names=names)
 
     names = [LOCATOR, "doc_id", "n_tokens", "n_head", "base", "local", "tail"]
-    return docs.mapInPandas(score, LOCAL)
+    return docs.mapInArrow(score, LOCAL)
 
 
 def scored(docs: DataFrame) -> DataFrame:
