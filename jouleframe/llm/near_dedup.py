@@ -56,6 +56,8 @@ FINE = 1024            # registers of nodes with open pairs
 FINE_AGREE = 776       # 832 are expected at 0.8, with a deviation of 12.5
 FINE_LIKELY = 832
 BATCH_WORDS = 100_000  # words whose signatures are made at once
+PART_ROWS = 100_000    # of nodes and links in a task
+POINTS, AHEAD = 8_192, 64  # points of the grams that are left made at once, and of each of them
 CACHED = 100_000
 
 _PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -116,23 +118,27 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
         band, low, width = band + 1, low + width, max(width, low + width)
         width = low
     d, seed, low, width, c = (np.concatenate(x) for x in zip(*parts))
-    t, step = np.zeros(len(d)), np.uint64(0)
+    t, step, rows, worst = np.zeros(len(d)), 0, best.reshape(-1, registers), np.full(len(bags), np.inf)
     with np.errstate(over="ignore"):
         while len(d):
-            step += np.uint64(1)
-            u = mixed(seed + step * _G)
+            # Of few grams many points at once: those that come too late lower no register.
+            k = min(AHEAD, max(1, POINTS // len(d)))
+            u = mixed(seed + np.arange(step + 1, step + k + 1, dtype=np.uint64)[:, None] * _G)
             v = mixed(u ^ _G)
-            t = t - np.log(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53) / width
-            register = ((v >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
-            counts = width == 1
+            times = np.subtract.accumulate(np.vstack([t, np.log(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53) / width]))[1:]
+            at = d * registers + ((v >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
+            counts = np.broadcast_to(width == 1, at.shape)
             if not counts.all():
                 level = low + ((mixed(v) >> np.uint64(11)).astype(float) * 2.0 ** -53 * width).astype(np.int64)
                 counts = level < c
-            np.minimum.at(best, d[counts] * registers + register[counts], t[counts])
-            worst = best.reshape(-1, registers).max(axis=1)
+            np.minimum.at(best, at[counts], times[counts])
+            # Only registers of bags that still have grams are looked at again.
+            live = np.flatnonzero(np.bincount(d, minlength=len(bags)))
+            worst[live] = rows[live].max(axis=1)
+            t, step = times[-1], step + k
             on = t < worst[d]
             d, seed, low, width, c, t = d[on], seed[on], low[on], width[on], c[on], t[on]
-    return best.reshape(-1, registers)
+    return rows
 
 
 def band_keys(times: np.ndarray) -> np.ndarray:
@@ -208,17 +214,23 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float)
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows or fewer, in no more parts than these need: tables of a few thousand rows are not dealt over hundreds of tasks."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's smallest node) for all ends of ``edges`` (a, b)."""
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    roots = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
+    """node and root (its component's smallest node) for all ends of ``edges`` (a, b), which are read more than once."""
+    rows = 2 * edges.count()
+    both = keep(_few(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), rows), "edges")
+    roots = keep(_few(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), rows), "roots")
     while True:
         of = roots.select(F.col("node").alias("b"), F.col("root").alias("near"))
         met = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         lower = roots.join(met, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         # Jump: the root that the root has by now.
         jump = roots.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = keep(lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "roots")
+        new = keep(_few(lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), rows), "roots")
         done = new.where(F.col("old") != F.col("root")).isEmpty()
         forget(roots)
         roots = new.select("node", "root")
@@ -227,37 +239,50 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def climbed(parents: DataFrame, rows: int) -> DataFrame:
+    """node and root: where the steps from a node (to ``root``, a smaller node, or to itself) end; each round doubles the steps taken."""
+    while True:
+        up = parents.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = keep(_few(parents.join(up, "root").select("node", F.col("root").alias("old"), F.col("far").alias("root")), rows), "labels")
+        done = new.where(F.col("old") != F.col("root")).isEmpty()
+        forget(parents)
+        parents = new.select("node", "root")
+        if done:
+            return parents
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The ``pairs`` (a, b and more) whose texts are similar enough."""
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     x = pairs.join(b, "b").join(a, "a").withColumn("similarity", _similarity("text_a", "text_b"))
-    return x.where(F.col("similarity") >= THRESHOLD).select("a", "b", "similarity")
+    return x.where(F.col("similarity") >= THRESHOLD).select(*pairs.columns)
 
 
 def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures do not rule them out."""
+    """The ``pairs`` (a, b and more) whose signatures do not rule them out."""
     a, b = (texts.select(F.col("node").alias(s), F.col("signature").alias(f"signature_{s}")) for s in "ab")
-    return pairs.join(b, "b").join(a, "a").where(agreement("signature_a", "signature_b") >= AGREE).select("a", "b")
+    return pairs.join(b, "b").join(a, "a").where(agreement("signature_a", "signature_b") >= AGREE).select(*pairs.columns)
 
 
-def _with_first_head(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Each node with the smallest head that it meets."""
+def _with_first_head(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each node (b) with the smallest head that it meets (a), a smaller node."""
     return _likely(members.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")).where("a != b").select("a", "b"), texts)
 
 
 def _with_heads(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Each node with the heads of its buckets that are of another class."""
+    """Each node with the heads of its buckets that are of another class, and both classes."""
     met = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     x = met.join(labels.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
-    x = x.join(labels.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").where("root_a != root_b").select("a", "b")
+    x = x.join(labels.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").where("root_a != root_b").select("a", "b", "root_a", "root_b")
     return _likely(x, texts)
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their roots, of buckets that more than one class shares."""
+    """Members, with their roots, of buckets that more than one class shares, and the class (main) that has most of a bucket."""
     placed = members.join(labels, "node")
-    open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-    return placed.join(open_, "key", "left_semi")
+    shares = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    open_ = shares.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("most")).where("classes > 1")
+    return placed.join(open_.select("key", F.col("most.root").alias("main")), "key").select("key", "node", "head", "root", "main")
 
 
 def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,25 +294,27 @@ def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield part[["node", "signature", "bands"]].assign(fine=list(small))
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, fine: DataFrame, least: int, below: int) -> DataFrame:
-    """Pairs of different classes that share a bucket and agree in ``least`` registers or more, but fewer than ``below``."""
-    rest = _open(members, labels).join(fine, "node")
-    left, right = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "head", "root", "signature", "bands", "fine")]) for s in "ab")
+def _open_pairs(open_: DataFrame, fine: DataFrame, least: int, below: int) -> DataFrame:
+    """Pairs of different classes that share a bucket and agree in ``least`` registers or more, but fewer than ``below``, and both classes."""
+    rest = open_.join(fine, "node")
+    left, right = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "head", "root", "main", "signature", "bands", "fine")]) for s in "ab")
+    # A large class would meet itself; so all others meet it and each other instead.
+    left = left.where("root_a != main_a")
     first = F.array_compact(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)))[0]
-    close = agreement("fine_a", "fine_b", FINE)
+    # ``least`` <= agreement < ``below``, with the long expression once.
+    close = F.abs(agreement("fine_a", "fine_b", FINE) * 2 - (least + below - 1)) <= below - 1 - least
     # The head of a bucket has met all its members already.
-    fits = ((F.col("root_a") < F.col("root_b")) & (F.col("node_a") != F.col("head_a")) & (F.col("node_b") != F.col("head_b"))
-            & (agreement("signature_a", "signature_b") >= AGREE) & (close >= least) & (close < below) & (first == F.col("key_a")))
-    return left.join(right, (F.col("key_a") == F.col("key_b")) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-
-def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """``labels`` (node, root) after merging the classes that ``edges`` link."""
-    a, b = (labels.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
-    between = edges.join(a, "a").join(b, "b").where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
-    merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("new"))
-    out = keep(labels.join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
-    forget(labels)
+    fits = ((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("root_a") < F.col("root_b")))
+            & (F.col("node_a") != F.col("head_a")) & (F.col("node_b") != F.col("head_b"))
+            & (agreement("signature_a", "signature_b") >= AGREE) & close & (first == F.col("key_a")))
+    return left.join(right, (F.col("key_a") == F.col("key_b")) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b")
+
+
+def _joined(labels: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """``labels`` (node, root), of so many rows, after merging the classes (root_a, root_b) that ``links`` join."""
+    merged = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    out = keep(_few(labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root")), rows), "labels")
+    forget(labels), forget(merged)
     return out
 
 
@@ -308,23 +335,26 @@ def _near(content: DataFrame) -> DataFrame:
     places = nodes.join(shared, "node", "left_semi").select("node", F.col(f"r.{LOCATOR}").alias(LOCATOR), "r.signature", "r.bands")
     texts = keep(content.select(LOCATOR, text_of().alias("text")).join(places, LOCATOR).select("node", "signature", "bands", "text"), "texts")
 
-    labels = keep(shared.withColumn("root", F.col("node")), "labels")
+    size = texts.count()  # one row for each of these nodes
+    first = keep(_verified(_with_first_head(members, texts), texts), "links").select(F.col("b").alias("node"), F.col("a").alias("root"))
+    labels = climbed(keep(_few(texts.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root")), size), "labels"), size)
+    forget(first)
 
     def merged(pairs: DataFrame) -> DataFrame:
-        edges = keep(_verified(pairs, texts), "links")
-        out = labels if edges.isEmpty() else _joined(labels, edges)
-        forget(edges)
+        links = keep(_verified(pairs, texts).select("root_a", "root_b"), "links")
+        out = labels if links.isEmpty() else _joined(labels, links, size)
+        forget(links)
         return out
 
-    for pairs in (_with_first_head, _with_heads):
-        labels = merged(pairs(members, labels, texts))
-    open_nodes = _open(members, labels).select("node").distinct()
-    fine = keep(texts.join(open_nodes, "node", "left_semi").mapInPandas(_finer, "node binary, signature array<long>, bands array<long>, fine array<long>"), "fine")
-    if not fine.isEmpty():
-        labels = merged(_open_pairs(members, labels, fine, FINE_LIKELY, FINE + 1))
-        labels = merged(_open_pairs(members, labels, fine, FINE_AGREE, FINE_LIKELY))
+    labels = merged(_with_heads(members, labels, texts))
+    open_ = keep(_open(members, labels), "open")
+    if not open_.isEmpty():
+        fine = keep(texts.join(open_.select("node").distinct(), "node", "left_semi").mapInPandas(_finer, "node binary, signature array<long>, bands array<long>, fine array<long>"), "fine")
+        labels = merged(_open_pairs(open_, fine, FINE_LIKELY, FINE + 1))
+        labels = merged(_open_pairs(_open(open_.drop("root", "main"), labels), fine, FINE_AGREE, FINE_LIKELY))
+        forget(fine)
     roots = labels
-    forget(texts), forget(members), forget(fine)
+    forget(texts), forget(members), forget(open_)
 
     alone = F.when(F.col("n_words") == 0, F.encode(F.col(LOCATOR), "utf-8"))
     whole = rows.select(LOCATOR, "doc_id", "node", "n_words").join(roots, "node", "left").select(

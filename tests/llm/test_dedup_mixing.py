@@ -106,6 +106,39 @@ def test_near_copies_match_brute_force(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({c for c, _ in expected.values()})
 
 
+def test_near_signatures_of_short_texts_take_few_rounds(monkeypatch):
+    """A text of one gram needs some 1,500 points; they came one a round, each looking at all registers of the batch."""
+    rounds, mix = [0], near_dedup.mixed
+    monkeypatch.setattr(near_dedup, "mixed", lambda x: rounds.__setitem__(0, rounds[0] + 1) or mix(x))
+    for weight in (1, 5):
+        bag = np.array([12345], np.uint64), np.array([weight])
+        rounds[0] = 0
+        (got,) = near_dedup.signatures([bag])
+        assert rounds[0] < 300
+        best, low, width, band = [np.inf] * near_dedup.REGISTERS, 0, 1, 0
+        while low < weight:
+            with np.errstate(over="ignore"):
+                seed, t, step = mix(bag[0] + np.uint64(band + 1) * near_dedup._G), 0.0, 0
+                while step < 20_000:
+                    step += 1
+                    u = mix(seed + np.uint64(step) * near_dedup._G)
+                    v = mix(u ^ near_dedup._G)
+                    t -= np.log(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53)[0] / width
+                    level = low + int((mix(v) >> np.uint64(11)).astype(float)[0] * 2.0 ** -53 * width) if width > 1 else low
+                    if level < weight:
+                        r = int((v >> np.uint64(32))[0]) * near_dedup.REGISTERS >> 32
+                        best[r] = min(best[r], t)
+            band, low = band + 1, low + width
+            width = low
+        assert got.tolist() == best
+
+
+def test_near_climbed_follows_parents_to_the_top(spark):
+    parents = {i: i - 1 if i % 40 else i for i in range(120)}
+    rows = keep(spark.createDataFrame([(bytes([n]), bytes([p])) for n, p in parents.items()], "node binary, root binary"), "parents")
+    assert {r.node[0]: r.root[0] for r in near_dedup.climbed(rows, 120).collect()} == {n: n - n % 40 for n in parents}
+
+
 def test_near_repeated_rows_and_empty_table(spark):
     df = frame(spark, ["one two three four five six", "one two three four five six"]).withColumn("doc_id", F.lit(7).cast("long"))
     got = near_dedup.near_duplicates(df).collect()
