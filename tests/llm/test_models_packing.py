@@ -241,6 +241,70 @@ def test_class_scores_base_and_gain(spark, monkeypatch):
     assert brown.scored(docs(spark, [])).collect() == []
 
 
+def test_words_outside_the_head_are_classed_by_their_own_contexts(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEAD", 13)  # the end and the twelve words of both contexts
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    rng = np.random.default_rng(9)
+    a, b = [f"a{i}" for i in range(6)], [f"b{i}" for i in range(6)]
+    texts = []
+    for i in range(4000):
+        side, rare = (a, "x") if i % 2 else (b, "y")
+        texts.append(" ".join([*rng.choice(side, 4), f"{rare}{i // 2 % 40}qq", *rng.choice(side, 4)]))
+    held = [i for i in range(4000, 4200) if zlib.crc32(str(i).encode()) % 10 == 0][:8]
+    for i in range(4000, 4200):
+        texts.append("" if i not in held else " ".join(["a1"] * 4 + ["xy"[held.index(i) % 2] + f"{held.index(i) // 2}qq"] + ["a2"] * 4))
+    rows = {r.doc_id: r for r in brown.scored(docs(spark, texts)).collect()}
+    own, other = (sum(rows[i].score - rows[i].base_score for i in held[k::2]) for k in (0, 1))
+    assert own > other + 1  # all end alike; only their neighbours tell them apart
+
+
+def test_class_scores_equal_those_of_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEAD", 40)
+    texts = lm_texts(200)
+    rows = {r.doc_id: r for r in brown.scored(docs(spark, texts)).collect()}
+    monkeypatch.setattr(brown, "CHUNK", 50)
+    words = {i: (t or "").encode().lower().split() + [b""] for i, t in enumerate(texts)}
+    trained = {i for i in words if zlib.crc32(str(i).encode()) % 10}
+    count = Counter(w for i in trained for w in words[i])
+    head = [b"", *sorted((w for w in count if w), key=lambda w: (-count[w], w))[:39]]
+    chunks = brown.chunks_of(docs(spark, texts).select("doc_id", brown.text_of().alias("text")), head)
+    classes, table = brown.unit_classes(chunks.where("trained"), len(head))
+    parts = brown.classed(chunks, classes, table, np.array([count[w] for w in head], float), 5).collect()
+    of = {}
+    for p in parts:
+        at = 0
+        for i, end in zip(p.doc_id, np.frombuffer(p.ends, np.int32)):
+            for w, c in zip(words[i], p.classes[at:end], strict=True):
+                assert of.setdefault(w, c) == c  # one class a word
+            at = end
+    t = 2 * (brown.CLASSES + 1)
+    assert set(of) == {w for ws in words.values() for w in ws} and all((of[w] >= t // 2) == (w not in head) for w in of)
+    n3, n2, n1 = Counter(), Counter(), Counter()
+    for i in trained:
+        c = [0, 0, *(of[w] for w in words[i])]
+        for x in zip(c, c[1:], c[2:]):
+            n3[x] += 1
+            n2[x[1:]] += 1
+            n1[x[2]] += 1
+    open3, open2 = Counter(), Counter()
+    for x, n in n3.items():
+        open3[x[:2]] += n
+        open2[x[1]] += n
+    kinds = Counter(of[w] for w in count)
+
+    def p(x, w):
+        p1 = (n1[x[2]] + 0.1) / (sum(n1.values()) + 0.1 * t)
+        p2 = (n2[x[1:]] + brown.BIGRAM * p1) / (open2[x[1]] + brown.BIGRAM)
+        p3 = (n3[x] + brown.TRIGRAM * p2) / (open3[x[:2]] + brown.TRIGRAM)
+        return p3 * (count[w] / n1[x[2]] if w in head else (count[w] + 0.1) / (n1[x[2]] + 0.1 * (kinds[x[2]] + 1)))
+
+    for i, ws in words.items():
+        c = [0, 0, *(of[w] for w in ws)]
+        assert rows[i].score == pytest.approx(sum(math.log10(p(x, w)) for x, w in zip(zip(c, c[1:], c[2:]), ws)), rel=1e-5)
+    none = brown.scored(docs(spark, texts).where("crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")).collect()
+    assert len(none) == len(words) - len(trained) and all((r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0, 0) for r in none)
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(8)
     pairs = np.zeros((9, 9))
