@@ -4,7 +4,7 @@ Word counts come from every training text. Every word of the vocabulary gets its
 exchange, from all of its neighbours. The ``CORE`` most frequent words are first clustered
 alone, word by word, which gives the exchange its start. Then rounds over the whole corpus
 move words to the class that raises the likelihood of the class bigrams most, until a round
-moves few: in a round every word of the ``HEAD`` moves, and so do, as one word each, the
+gains little: in a round every word of the ``HEAD`` moves, and so do, as one word each, the
 other words that share their last two bytes. At last each of those other words moves on its
 own: its contexts meet in one of many buckets of words, and it leaves the class of its ending
 where that gains more than naming another class costs (the logarithm of their number).
@@ -50,12 +50,13 @@ ENDINGS = 65_536  # two bytes
 CLASSES = 32      # of head words, besides that of the end, and as many of other words
 EXCHANGES = 12    # most rounds over the core
 ROUNDS = 8        # most rounds over the corpus
+LITTLE = 0.0005   # share of the likelihood's logarithm below which a round's gain ends them
 LEAN = 0.001      # share of a head class's bigrams
 TRIGRAM, BIGRAM = 8.0, 4.0  # counts given to the shorter history
 FLUSH = 300_000   # different words a task counts before it hands them on
 CHUNK = 250_000   # tokens of a chunk; a longer text is one chunk
 BUCKET = 1_000_000  # tokens of a bucket of words outside the head
-BLOCK = 1_024     # numbers whose counts travel as one row
+BLOCKS = 512      # shares of the numbers; the counts of a share travel as one row and have fewer than 2 ** 16 places
 END = b""         # no word is empty
 
 
@@ -232,12 +233,12 @@ def _moved(training: DataFrame, classes: np.ndarray, table: np.ndarray, size: in
                 np.add.at(flat, (now + near)[near >= 0], one)
                 now, near = now[:-1] + t, c[2:]
                 np.add.at(flat, (now + near)[near >= 0], one)
-        for block in range(0, len(classes), BLOCK):
-            part = sums[block:block + BLOCK].reshape(-1)
+        for block in range(BLOCKS):  # frequent words have neighbouring numbers: every block has its share of them
+            part = sums[block::BLOCKS].reshape(-1)
             place = np.flatnonzero(part)
             if len(place):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([place.astype(np.int32).tobytes()], pa.binary()), pa.array([part[place].tobytes()], pa.binary())],
+                    [pa.array([block]), pa.array([place.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[place].tobytes()], pa.binary())],
                     names=["block", "place", "n"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,12 +246,12 @@ def _moved(training: DataFrame, classes: np.ndarray, table: np.ndarray, size: in
         for batch in batches:
             for block, place, n in zip(*batch.columns):
                 if block.as_py() not in blocks:
-                    blocks[block.as_py()] = np.zeros(BLOCK * 2 * t)
-                blocks[block.as_py()][_ints(place)] += _ints(n)
+                    blocks[block.as_py()] = np.zeros(-(-len(classes) // BLOCKS) * 2 * t)
+                blocks[block.as_py()][_ints(place, np.uint16)] += _ints(n)
         for block, sums in blocks.items():
-            sums = sums.reshape(BLOCK, 2, t)
+            sums = sums.reshape(-1, 2, t)
             seen = np.flatnonzero(sums.any(axis=(1, 2)))
-            left, right, unit = sums[seen, 0], sums[seen, 1], seen + block
+            left, right, unit = sums[seen, 0], sums[seen, 1], seen * BLOCKS + block
             tails = unit >= size
             to = np.where(tails, t // 2 + _gains(left, right, logs, True).argmax(axis=1), _gains(left, right, logs, False).argmax(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(to)], names=["unit", "class"])
@@ -299,9 +300,9 @@ def unit_classes(training: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
         table = _tallied(training, "units", bigrams, t * t).reshape(t, t)
         if best is not None and _likelihood(table) <= _likelihood(best[1]):
             break  # words that moved together undid each other's gain
-        few = best is not None and (classes != best[0]).sum() <= size // 200
+        little = best is not None and _likelihood(table) - _likelihood(best[1]) < -LITTLE * _likelihood(table)
         best = classes, table
-        if few:
+        if little:
             break
         classes = _moved(training, classes, table, size)
     return best
