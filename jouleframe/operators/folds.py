@@ -181,15 +181,20 @@ REPORT_PAIRS = {
 }
 
 
-def report_table(predictions: DataFrame) -> DataFrame:
-    """Errors per held-out group plus MEAN (groups weigh equally) and POOLED (rows weigh equally)."""
+def report_table(predictions: DataFrame, *by: str) -> DataFrame:
+    """Errors per held-out group plus MEAN (groups weigh equally) and POOLED (rows weigh equally), each once per value of ``by``.
+
+    A group's line counts for itself and for MEAN, so the predictions are made once.
+    """
     present = {k: p for k, p in REPORT_PAIRS.items() if set(p) <= set(predictions.columns)}
     aggs = [F.count("*").alias("n_test")] + [mape(F.col(t), F.col(p)).alias(k) for k, (t, p) in present.items()]
-    rolled = predictions.rollup("group").agg(F.grouping("group").alias("_all"), *aggs)
-    rows = rolled.withColumn("group", F.when(F.col("_all") == 1, "POOLED").otherwise(F.col("group")))
-    mean = rows.filter(F.col("_all") == 0).agg(
-        F.lit("MEAN").alias("group"), F.sum("n_test").alias("n_test"), *[F.avg(k).alias(k) for k in present])
-    return rows.drop("_all").unionByName(mean)
+    sets = [[*map(F.col, by), F.col("group")], [*map(F.col, by)]]
+    rolled = predictions.groupingSets(sets, *by, "group").agg(F.grouping("group").alias("_all"), *aggs)
+    line = lambda name, of: F.struct(name.alias("group"), F.lit(of).alias("of"))
+    lines = F.when(F.col("_all") == 1, F.array(line(F.lit("POOLED"), "all"))).otherwise(F.array(line(F.col("group"), "one"), line(F.lit("MEAN"), "each")))
+    told = rolled.select(*by, F.explode(lines).alias("_line"), "n_test", *present)
+    out = told.groupBy(*by, "_line").agg(F.sum("n_test").alias("n_test"), *[F.avg(k).alias(k) for k in present])
+    return out.select("_line.group", "n_test", *present, *by)
 
 
 def complement_overview(df: DataFrame, fold: str, min_rows: int = 10) -> DataFrame:

@@ -1,35 +1,31 @@
 """Two-head predictors of efficiency and power fraction, evaluated by fold.
 
-Features are binned once into one vector per row and written with the baselines of the fold;
-every fold, head, category and seed fits on that table. Fits run as concurrent jobs. Their
-trees become one table of models; one pass over the rows takes the loss curves of all fits, and
-one scores each held-out row by the model that it is routed to: its category's specialist in its
-fold, or the fold's generalist.
+Features are binned once and written with the baselines of the fold; every fold, head, category
+and seed fits on that table. All fits grow side by side (``boosting``), which leaves their loss
+curves too. One pass scores each held-out row, for all seeds, by the model that it is routed to:
+its category's specialist in its fold, or the fold's generalist.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructType
 
 from jouleframe.functions.roofline import FEATURE_COLUMNS
 from jouleframe.functions.targets import energy_from_heads, latency_from_eta
+from jouleframe.operators.boosting import BINS, FIRST_BIN, Boosted, Fit, Grower, bins_of, blocks, boosted, label
 from jouleframe.operators.folds import VECTOR, fold_column, fold_groups, report_table, with_baselines, written_rows
-from jouleframe.runtime import fresh_folder, written
+from jouleframe.runtime import find_package, written
 
 HEADS = ("eta", "pi")
-BINS = 32
-AT_ONCE = 8            # fits that run side by side
-MOST_NODES = 1_000_000  # of a model table that is broadcast
 HISTORY_SCHEMA = "fold string, `group` string, model string, head string, train array<double>, val array<double>, test array<double>, best_epoch int"
 
 
@@ -48,6 +44,7 @@ class Prepared:
     rows: DataFrame
     fold: str
     groups: list[str]
+    width: int  # features
 
 
 @dataclass
@@ -72,25 +69,39 @@ def best_epoch(losses: list[float], threshold: float = 1e-6) -> int:
     return at
 
 
-def binned(rows: DataFrame) -> Column:
-    """The features of a row as one vector of bin numbers; bins are the quantiles of all rows."""
-    width = rows.select(F.max(F.size(VECTOR))).first()[0] or 0
+def binned(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with the bins of their features as a string ``_x`` in place of the features; bins are the quantiles of all rows."""
     columns = rows.select(*[F.col(VECTOR)[i].alias(f"f{i}") for i in range(width)])
     cuts = columns.approxQuantile(columns.columns, [k / BINS for k in range(1, BINS)], 1.0 / (8 * BINS)) if width else []
-    distinct = [sorted(set(c)) for c in cuts]
-    splits = F.array(*[F.array(*[F.lit(float(x)) for x in c]).cast("array<double>") for c in distinct])
-    below = lambda x, i: F.size(F.filter(splits[i], lambda s: s < x)).cast("double")
-    return array_to_vector(F.transform(VECTOR, below) if width else F.array().cast("array<double>"))
+    cuts = [np.array(sorted(set(c))) for c in cuts]
+    names = [c for c in rows.columns if c != VECTOR]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            values = batch.column(VECTOR).flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+            x = np.full((n, max(width, 1)), FIRST_BIN, np.uint8)
+            for i, c in enumerate(cuts):
+                x[:, i] += np.searchsorted(c, values[:, i]).astype(np.uint8)
+            ends = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+            text = pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(x.tobytes()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], text], [*names, "_x"])
+
+    schema = StructType([rows.schema[c] for c in names]).add("_x", StringType())
+    return rows.select(*names, VECTOR).mapInArrow(place, schema)
 
 
 def prepare(df: DataFrame, fold: str = "hardware", features: list[str] | None = None, min_rows: int = 10, ridge: bool = True) -> Prepared:
     """Rows of ``df`` ready for any number of fits, seeds and arms."""
     features = [c for c in FEATURE_COLUMNS if c in df.columns] if features is None else features
+    find_package(df.sparkSession)
     rows = written_rows(df, fold, features)
     groups = [g for g, _, _ in fold_groups(rows, fold, min_rows)]
-    logs = {f"_log_{h}": F.when(F.col(h) > 0, F.ln(F.col(h))).otherwise(F.raise_error(F.lit(f"{h} must be positive"))) for h in HEADS}
-    ready = with_baselines(rows, fold, groups, ridge).withColumns({"bins": binned(rows), **logs})
-    return Prepared(written(ready.drop(VECTOR)), fold, groups)
+    logs = {f"_log_{h}": F.when(F.col(h) > 0, label(F.col(h))).otherwise(F.raise_error(F.lit(f"{h} must be positive"))) for h in HEADS}
+    ready = written(binned(with_baselines(rows, fold, groups, ridge).withColumns(logs), len(features)))
+    # For Spark ML alone; a column that nobody reads costs nothing.
+    bins = F.array(*[(F.ascii(F.substring("_x", i + 1, 1)) - FIRST_BIN).cast("double") for i in range(len(features))]).cast("array<double>")
+    return Prepared(ready.withColumn("bins", array_to_vector(bins)), fold, groups, len(features))
 
 
 def _trained(train: DataFrame, head: str, cfg: TrainConfig):
@@ -102,116 +113,12 @@ def _trained(train: DataFrame, head: str, cfg: TrainConfig):
 
 
 def _fit(train: DataFrame, test: DataFrame, head: str, cfg: TrainConfig):
-    """One head's trees and its curves by Spark ML, which reads the rows again for every round and side; see ``loss_curves``."""
+    """One head's trees and its curves by Spark ML, which reads the rows again for every level, round and side: what ``boosting`` is held against."""
     model = _trained(train, head, cfg)
     sides = (train.filter(~F.col("_val")), train.filter("_val"), test)
     return model, [[float(x) for x in model.evaluateEachIteration(d, "absolute")] for d in sides]
 
 
-def model_table(folder: str, rows: DataFrame, depth: int) -> DataFrame:
-    """Saved fits as rows (route, head, trees); a tree is its weight and its nodes in order of their numbers."""
-    spark = rows.sparkSession
-    place = F.split(F.col("_metadata.file_path"), "/")
-    own = lambda n: F.decode(F.unhex(F.element_at(place, F.lit(n))), "utf-8")
-    data, about = spark.read.parquet(f"{folder}/*/*/data"), spark.read.parquet(f"{folder}/*/*/treesMetadata")
-    nodes = data.select(own(-4).alias("route"), own(-3).alias("head"), F.col("treeID").alias("tree"), F.struct(
-        F.col("nodeData.id").alias("id"), F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"), F.col("nodeData.prediction").alias("value")).alias("node"))
-    weights = about.select(own(-4).alias("route"), own(-3).alias("head"), F.col("_1").alias("tree"), F.col("_3").alias("weight"))
-    trees = nodes.groupBy("route", "head", "tree").agg(F.array_sort(F.collect_list("node")).alias("nodes")).join(weights, ["route", "head", "tree"])
-    return trees.groupBy("route", "head").agg(F.collect_list(F.struct("tree", "weight", "nodes")).alias("trees"))
-
-
-def predicted(trees: Column, x: Column, depth: int) -> Column:
-    """Weighted sum of what the trees say about the array ``x``."""
-    def step(nodes: Column, at: Column) -> Column:
-        n = nodes[at]
-        return F.when(n["left"] < 0, at).otherwise(F.when(x[n["feature"]] <= n["threshold"], n["left"]).otherwise(n["right"]))
-
-    def leaf(t: Column) -> Column:
-        at = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), lambda i, _: step(t["nodes"], i))
-        return t["nodes"][at]["value"]
-
-    return F.aggregate(F.array_sort(trees), F.lit(0.0), lambda s, t: s + t["weight"] * leaf(t))
-
-
-class Trees:
-    """The trees of one fit as flat arrays; a leaf is its own child."""
-
-    def __init__(self, trees: list, depth: int):
-        trees = sorted(trees, key=lambda t: t["tree"])
-        sizes = [len(t["nodes"]) for t in trees]
-        self.roots, self.depth = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), depth
-        nodes = [(n, at, t["weight"]) for t, at in zip(trees, self.roots.tolist()) for n in t["nodes"]]
-        inner = np.array([n["left"] >= 0 for n, _, _ in nodes])
-        pick = lambda name, other: np.where(inner, [n[name] if n["left"] >= 0 else 0 for n, _, _ in nodes], other)
-        own, root = np.arange(len(nodes)), np.array([at for _, at, _ in nodes])
-        self.feature, self.threshold = pick("feature", 0).astype(np.int64), pick("threshold", np.inf).astype(float)
-        self.left, self.right = (np.where(inner, pick(side, 0) + root, own).astype(np.int64) for side in ("left", "right"))
-        self.value = np.array([n["value"] * w for n, _, w in nodes])
-
-    def rounds(self, x: np.ndarray) -> np.ndarray:
-        """Prediction of each row after each round; ``x`` has a row per feature."""
-        row, n = np.arange(x.shape[1]), x.shape[1]
-        flat, out = x.ravel(), np.empty((len(self.roots), n))
-        for r, root in enumerate(self.roots):
-            at = np.full(n, root)
-            for _ in range(self.depth):
-                at = np.where(flat[self.feature[at] * n + row] <= self.threshold[at], self.left[at], self.right[at])
-            out[r] = self.value[at]
-        return np.cumsum(out, axis=0)
-
-
-def loss_curves(rows: DataFrame, fold: str, fits: dict[tuple[str, str, str], Trees], special: set[tuple[str, str]]) -> dict[tuple[str, str, str], list[list[float]]]:
-    """Mean absolute errors after each round on the training, validation and test rows of every fit (group, model, head), in one pass.
-
-    A fit's rows are those of its category, or all rows for the generalist; its test rows are those of its group that no
-    specialist takes. A side without rows has the error 0, as in Spark ML.
-    """
-    jobs, at_once = list(fits), 4_096  # rows that are scored at a time
-    names = list(dict.fromkeys(name for _, name, _ in jobs))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros((3, len(fits[j].roots))) for j in jobs]
-        count = np.zeros((len(jobs), 3), np.int64)
-
-        def add(batch: pa.RecordBatch) -> None:
-            groups, categories = (np.array(batch.column(c).to_pylist(), object) for c in ("g", "category"))
-            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-            val = batch.column("_val").to_numpy(zero_copy_only=False)
-            labels = {h: batch.column(f"_log_{h}").to_numpy() for h in HEADS}
-            for name in names:
-                mine = np.arange(len(groups)) if name == "all" else np.flatnonzero(categories == name)
-                if not len(mine):
-                    continue
-                part = np.ascontiguousarray(x[mine].T)
-                for i, (g, model, head) in enumerate(jobs):
-                    if model != name:
-                        continue
-                    out = groups[mine] == g
-                    taken = out & np.isin(categories[mine].astype(str), [c for h, c in special if h == g]) if name == "all" else out & False
-                    side = np.stack([~out & ~val[mine], ~out & val[mine], out & ~taken])
-                    held[i] += side.astype(float) @ np.abs(fits[jobs[i]].rounds(part) - labels[head][mine]).T
-                    count[i] += side.sum(axis=1)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                add(batch.slice(at, at_once))
-        for i, h in enumerate(held):
-            side, epoch = np.indices(h.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(h.size, i, np.int32)), pa.array(side.ravel().astype(np.int32)), pa.array(epoch.ravel().astype(np.int32)),
-                                              pa.array(h.ravel()), pa.array(np.repeat(count[i], h.shape[1]))], ["fit", "side", "epoch", "loss", "n"])
-
-    slim = rows.select(F.col(fold_column(fold)).cast("string").alias("g"), F.col("category").cast("string").alias("category"), "_val",
-                       *[f"_log_{h}" for h in HEADS], vector_to_array("bins").cast("array<tinyint>").alias("x"))
-    found = slim.mapInArrow(sums, "fit int, side int, epoch int, loss double, n long").groupBy("fit", "side", "epoch").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
-    out = {j: [[0.0] * len(t.roots) for _ in range(3)] for j, t in fits.items()}
-    for r in found.collect():  # a number per fit, side and round
-        out[jobs[r["fit"]]][r["side"]][r["epoch"]] = r["loss"] / r["n"] if r["n"] else 0.0
-    return out
-
-
 def _specialists(prepared: Prepared, least: int) -> set[tuple[str, str]]:
     """(group, category) pairs present in the group, with enough rows of the category in its complement."""
     col = fold_column(prepared.fold)
@@ -222,52 +129,68 @@ def _specialists(prepared: Prepared, least: int) -> set[tuple[str, str]]:
     return {(r["g"], r["category"]) for r in cells if r["g"] in prepared.groups and total[r["category"]] - r["n"] >= least}
 
 
-def _route(group: str, model: str) -> str:
-    return f"{group}|{model}"
-
-
-def evaluate_prepared(prepared: Prepared, cfg: TrainConfig = TrainConfig(), per_category: bool = False, min_category_rows: int = 40,
-                      at_once: int = AT_ONCE) -> Evaluation:
-    """Fit both heads of every fold, ``at_once`` fits at a time, and score all held-out rows in one pass."""
-    col, fold = F.col(fold_column(prepared.fold)), prepared.fold
-    rows = prepared.rows.withColumn("_val", validation_flag(cfg, [c for c in ("kernel_sig", "gpu_key") if c in prepared.rows.columns]))
-    special = _specialists(prepared, min_category_rows) if per_category else set()
-    present = {g for g in prepared.groups}
+def _grown(prepared: Prepared, cfg: TrainConfig, seeds: list[int], special: set[tuple[str, str]], per_category: bool) -> Boosted:
+    """Both heads of every fold, category and seed."""
+    key = F.col(fold_column(prepared.fold)).cast("string")
+    present = set(map(str, prepared.groups))
     if per_category:
-        cells = prepared.rows.select(col.alias("g"), "category").distinct().collect()
+        cells = prepared.rows.select(key.alias("g"), "category").distinct().collect()
         present = {r["g"] for r in cells if (r["g"], r["category"]) not in special}
-    wanted = [(g, "all") for g in prepared.groups if g in present] + sorted(special)
-    folder = fresh_folder(rows.sparkSession, "models")
-
-    def fit(job: tuple[str, str, str]) -> None:
-        g, name, head = job
-        mine = F.lit(True) if name == "all" else F.col("category") == name
-        _trained(rows.filter((col != g) & mine), head, cfg).write().save(f"{folder}/{_route(g, name).encode().hex()}/{head.encode().hex()}")
-
-    jobs = [(g, name, head) for g, name in wanted for head in HEADS]
-    with ThreadPoolExecutor(at_once) as pool:
-        list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), jobs))
-    fitted = written(model_table(folder, rows, cfg.max_depth))
-    trees = {(r["route"], r["head"]): Trees(r["trees"], cfg.max_depth) for r in fitted.collect()}  # bounded by what was fitted here
-    curves = loss_curves(rows, fold, {(str(g), name, head): trees[_route(g, name), head] for g, name, head in jobs}, {(str(g), c) for g, c in special})
-    histories = [(fold, str(g), name, head, *curves[str(g), name, head], best_epoch(curves[str(g), name, head][1])) for g, name, head in jobs]
-    named = F.concat_ws("|", "group", "category")
-    model = F.when(named.isin([_route(g, c) for g, c in special]), F.col("category")).otherwise("all") if special else F.lit("all")
-    held_out = rows.filter("group IS NOT NULL").withColumns({"_route": F.concat_ws("|", "group", model), "_x": vector_to_array("bins")})
-    table = fitted.groupBy(F.col("route").alias("_route")).pivot("head", list(HEADS)).agg(F.first("trees"))
-    # Bounded by what was fitted here: fits, times rounds, times nodes of a tree.
-    nodes = len(jobs) * cfg.max_iter * 2 ** (cfg.max_depth + 1)
-    table = F.broadcast(written(table)) if nodes <= MOST_NODES else written(table)
-    scored = held_out.join(table.withColumnsRenamed({h: f"_trees_{h}" for h in HEADS}), "_route")
-    scored = scored.withColumns({f"{h}_pred": F.least(F.exp(predicted(F.col(f"_trees_{h}"), F.col("_x"), cfg.max_depth)), F.lit(1.0)) for h in HEADS})
+    wanted = [(str(g), "all") for g in prepared.groups if str(g) in present] + sorted(special)
+    fits = [Fit(i, g, name, head) for i in range(len(seeds)) for g, name in wanted for head in range(len(HEADS))]
+    ids = [c for c in ("kernel_sig", "gpu_key") if c in prepared.rows.columns]
+    flags = reduce(lambda a, b: a.bitwiseOR(b), [F.when(validation_flag(replace(cfg, seed=s), ids), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, s in enumerate(seeds)])
+    labels = [f"_log_{h}" for h in HEADS]
+    slim = prepared.rows.select(key.alias("g"), F.col("category").cast("string").alias("category"), F.col("_x").alias("x"), flags.alias("val"), *labels)
+    return Grower(blocks(slim, labels, len(seeds)), fits, special, len(seeds), prepared.width, cfg.max_iter, cfg.max_depth, cfg.step).run()
+
+
+def _scored(prepared: Prepared, cfg: TrainConfig, found: Boosted, special: set[tuple[str, str]], seeds: int) -> DataFrame:
+    """Held-out rows with the logarithms that their models say, ``_{head}_{place of the seed}``, in one pass."""
+    trees, depth, step = found.trees, cfg.max_depth, cfg.step
+    made = [f"_{h}_{i}" for i in range(seeds) for h in HEADS]
+    rows = prepared.rows.filter("group IS NOT NULL").drop("bins", *[f"_log_{h}" for h in HEADS])
+    names = [c for c in rows.columns if c != "_x"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, out = bins_of(batch.column("_x")), np.empty((len(made), batch.num_rows))
+            pairs = pa.StructArray.from_arrays([batch.column(c).cast(pa.string()) for c in ("group", "category")], ["g", "c"]).to_pylist()
+            routes = [(p["g"], p["c"] if (p["g"], p["c"]) in special else "all") for p in pairs]
+            number = {r: i for i, r in enumerate(dict.fromkeys(routes))}
+            of = np.array([number[r] for r in routes])
+            for (g, model), i in number.items():
+                mine = np.flatnonzero(of == i)
+                for k in range(len(made)):
+                    out[k, mine] = boosted(trees[Fit(k // len(HEADS), g, model, k % len(HEADS))], x[mine], depth, step)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *map(pa.array, out)], [*names, *made])
+
+    schema = StructType([rows.schema[c] for c in names])
+    for c in made:
+        schema = schema.add(c, "double")
+    return rows.select(*names, "_x").mapInArrow(score, schema)
+
+
+def _predictions(scored: DataFrame, fold: str) -> DataFrame:
+    """Energies, latencies and heads of rows with the logarithms ``_{head}``."""
+    scored = scored.withColumns({f"{h}_pred": F.least(F.exp(f"_{h}"), F.lit(1.0)) for h in HEADS})
     theory, tdp = F.col("theoretical_time_s"), F.col("tdp_w")
-    ids = list(dict.fromkeys(c for c in ("group", fold_column(fold), "category", "gpu_key", "source_model", "kernel_sig") if c in scored.columns))
+    ids = list(dict.fromkeys(c for c in ("seed", "group", fold_column(fold), "category", "gpu_key", "source_model", "kernel_sig") if c in scored.columns))
     base = [c for c in ("roofline_pred", "constant_pred", "ridge_pred") if c in scored.columns]
-    preds = scored.select(
+    return scored.select(
         *ids, F.col("energy_j").alias("energy_true"),
         energy_from_heads(F.col("eta_pred"), F.col("pi_pred"), theory, tdp).alias("energy_pred"),
         F.col("latency_s").alias("latency_true"), latency_from_eta(F.col("eta_pred"), theory).alias("latency_pred"),
         F.col("eta").alias("eta_true"), "eta_pred", F.col("pi").alias("pi_true"), "pi_pred", *base)
+
+
+def evaluate_prepared(prepared: Prepared, cfg: TrainConfig = TrainConfig(), per_category: bool = False, min_category_rows: int = 40) -> Evaluation:
+    """Fit both heads of every fold side by side and score all held-out rows in one pass."""
+    special = {(str(g), c) for g, c in _specialists(prepared, min_category_rows)} if per_category else set()
+    found = _grown(prepared, cfg, [cfg.seed], special, per_category)
+    histories = [(prepared.fold, f.group, f.model, HEADS[f.head], *curves, best_epoch(curves[1])) for f, curves in found.losses.items()]
+    scored = _scored(prepared, cfg, found, special, 1)
+    preds = _predictions(scored.withColumnsRenamed({f"_{h}_0": f"_{h}" for h in HEADS}), prepared.fold)
     return Evaluation(report_table(preds), preds, histories)
 
 
@@ -278,13 +201,13 @@ def evaluate(df: DataFrame, fold: str = "hardware", features: list[str] | None =
 
 
 def run_seeds(df: DataFrame, seeds: int = 5, base_seed: int = 0, arm: str = "run", cfg: TrainConfig = TrainConfig(), fold: str = "hardware",
-              features: list[str] | None = None, min_rows: int = 10, ridge: bool = True, **options) -> DataFrame:
+              features: list[str] | None = None, min_rows: int = 10, ridge: bool = True, per_category: bool = False, min_category_rows: int = 40) -> DataFrame:
     """``evaluate`` over consecutive seeds: every table row tagged with its seed and arm.
 
     Rows, bins, baselines and Gram sums are made once; a seed costs its fits.
     """
     prepared = prepare(df, fold, features, min_rows, ridge)
-    tables = [evaluate_prepared(prepared, replace(cfg, seed=s), **options).table.withColumns({"seed": F.lit(s), "arm": F.lit(arm)})
+    tables = [evaluate_prepared(prepared, replace(cfg, seed=s), per_category, min_category_rows).table.withColumns({"seed": F.lit(s), "arm": F.lit(arm)})
               for s in range(base_seed, base_seed + seeds)]
     return reduce(DataFrame.unionByName, tables)
 

@@ -23,6 +23,11 @@ def apply_recommended_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def find_package(spark: SparkSession) -> None:
+    """Local Python workers find this package where the driver found it; a cluster ships it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal few rows over all cores ahead of work that is heavy per row.
 
@@ -64,6 +69,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what ``written`` wrote; nothing that reads it may run afterwards."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
