@@ -204,12 +204,15 @@ def run_seeds(df: DataFrame, seeds: int = 5, base_seed: int = 0, arm: str = "run
               features: list[str] | None = None, min_rows: int = 10, ridge: bool = True, per_category: bool = False, min_category_rows: int = 40) -> DataFrame:
     """``evaluate`` over consecutive seeds: every table row tagged with its seed and arm.
 
-    Rows, bins, baselines and Gram sums are made once; a seed costs its fits.
+    Rows, bins, baselines and Gram sums are made once; the fits of all seeds grow side by side.
     """
     prepared = prepare(df, fold, features, min_rows, ridge)
-    tables = [evaluate_prepared(prepared, replace(cfg, seed=s), per_category, min_category_rows).table.withColumns({"seed": F.lit(s), "arm": F.lit(arm)})
-              for s in range(base_seed, base_seed + seeds)]
-    return reduce(DataFrame.unionByName, tables)
+    special = {(str(g), c) for g, c in _specialists(prepared, min_category_rows)} if per_category else set()
+    numbers = list(range(base_seed, base_seed + seeds))
+    scored = _scored(prepared, cfg, _grown(prepared, cfg, numbers, special, per_category), special, seeds)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), *[F.col(f"_{h}_{i}").alias(f"_{h}") for h in HEADS]) for i, s in enumerate(numbers)])).alias("s")
+    preds = _predictions(scored.select(*[c for c in prepared.rows.columns if c in scored.columns], each).select("*", "s.*"), fold)
+    return report_table(preds, "seed").withColumn("arm", F.lit(arm))
 
 
 def histories_source(spark, histories: list[tuple]) -> DataFrame:

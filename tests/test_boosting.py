@@ -84,3 +84,9 @@ def test_a_fit_without_a_split_says_its_mean(spark):
         ev = models.evaluate(df, "hardware", features, models.TrainConfig(3, 2), ridge=False)
         preds = ev.predictions.collect()
         assert len(preds) == 80 and {round(r["pi_pred"], 6) for r in preds} == {0.5} and all(0.25 < r["eta_pred"] < 0.5 for r in preds)
+
+
+def test_more_seeds_take_no_more_jobs(spark, data):
+    two = data.filter(F.col("gpu_key").isin("L4", "H100"))
+    run = lambda n: jobs_of(spark, lambda: models.run_seeds(two, seeds=n, cfg=models.TrainConfig(1, 2), features=FEW, ridge=False).collect())
+    assert run(4) <= run(1) + 2
