@@ -90,3 +90,10 @@ def test_more_seeds_take_no_more_jobs(spark, data):
     two = data.filter(F.col("gpu_key").isin("L4", "H100"))
     run = lambda n: jobs_of(spark, lambda: models.run_seeds(two, seeds=n, cfg=models.TrainConfig(1, 2), features=FEW, ridge=False).collect())
     assert run(4) <= run(1) + 2
+
+
+def test_more_specialists_take_no_more_jobs(spark, data):
+    two = data.filter(F.col("gpu_key").isin("L4", "H100"))
+    prepared = models.prepare(two, "hardware", FEW, ridge=False)
+    run = lambda least: jobs_of(spark, lambda: models.evaluate_prepared(prepared, models.TrainConfig(1, 2), True, least).table.collect())
+    assert run(5) <= run(10_000) + 2
