@@ -93,8 +93,9 @@ def boosted(trees: list[Tree], x: np.ndarray, depth: int, step: float) -> np.nda
 
 def bins_of(column: pa.Array) -> np.ndarray:
     """Rows of bins from strings of one width."""
-    data = np.frombuffer(b"".join(column.cast(pa.binary()).to_pylist()), np.uint8)
-    return data.reshape(len(column), -1) - FIRST_BIN
+    column = column.cast(pa.string())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(len(column), -1) - FIRST_BIN
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:

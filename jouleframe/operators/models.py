@@ -154,13 +154,15 @@ def _scored(prepared: Prepared, cfg: TrainConfig, found: Boosted, special: set[t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x, out = bins_of(batch.column("_x")), np.empty((len(made), batch.num_rows))
-            pairs = pa.StructArray.from_arrays([batch.column(c).cast(pa.string()) for c in ("group", "category")], ["g", "c"]).to_pylist()
-            routes = [(p["g"], p["c"] if (p["g"], p["c"]) in special else "all") for p in pairs]
-            number = {r: i for i, r in enumerate(dict.fromkeys(routes))}
-            of = np.array([number[r] for r in routes])
-            for (g, model), i in number.items():
-                mine = np.flatnonzero(of == i)
+            held, category = (batch.column(c).cast(pa.string()).dictionary_encode("encode") for c in ("group", "category"))
+            pair = held.indices.to_numpy() * len(category.dictionary) + category.indices.to_numpy()
+            for p in np.unique(pair):
+                mine = np.flatnonzero(pair == p)
+                g, c = held.dictionary[p // len(category.dictionary)].as_py(), category.dictionary[p % len(category.dictionary)].as_py()
+                model = c if (g, c) in special else "all"
                 for k in range(len(made)):
                     out[k, mine] = boosted(trees[Fit(k // len(HEADS), g, model, k % len(HEADS))], x[mine], depth, step)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *map(pa.array, out)], [*names, *made])
