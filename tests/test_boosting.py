@@ -62,7 +62,7 @@ def test_trees_do_not_depend_on_how_rows_are_dealt(spark, data):
     assert grown(prepared) == grown(dealt)
 
 
-def test_trees_equal_spark_ml_node_by_node(data):
+def test_predictions_of_all_fits_equal_spark_ml(data):
     """Eight rounds, five levels and twin features whose splits tie."""
     two = data.filter(F.col("gpu_key").isin("L4", "H100", "A100_PCIE")).withColumn("twin", -F.col("log_flops"))
     prepared = models.prepare(two, "hardware", ["twin", *FEW], ridge=False)
