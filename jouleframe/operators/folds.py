@@ -193,6 +193,9 @@ def report_table(predictions: DataFrame, *by: str) -> DataFrame:
     line = lambda name, of: F.struct(name.alias("group"), F.lit(of).alias("of"))
     lines = F.when(F.col("_all") == 1, F.array(line(F.lit("POOLED"), "all"))).otherwise(F.array(line(F.col("group"), "one"), line(F.lit("MEAN"), "each")))
     told = rolled.select(*by, F.explode(lines).alias("_line"), "n_test", *present)
+    if not by:  # MEAN stands in the table of no rows too
+        none = [F.lit(None).cast("bigint").alias("n_test"), *[F.lit(None).cast("double").alias(k) for k in present]]
+        told = told.unionByName(predictions.sparkSession.range(1).select(line(F.lit("MEAN"), "each").alias("_line"), *none))
     out = told.groupBy(*by, "_line").agg(F.sum("n_test").alias("n_test"), *[F.avg(k).alias(k) for k in present])
     return out.select("_line.group", "n_test", *present, *by)
 

@@ -97,3 +97,10 @@ def test_more_specialists_take_no_more_jobs(spark, data):
     prepared = models.prepare(two, "hardware", FEW, ridge=False)
     run = lambda least: jobs_of(spark, lambda: models.evaluate_prepared(prepared, models.TrainConfig(1, 2), True, least).table.collect())
     assert run(5) <= run(10_000) + 2
+
+
+def test_the_report_of_no_rows_keeps_its_mean(spark):
+    from jouleframe.operators import folds
+
+    none = spark.createDataFrame([], "group string, energy_true double, energy_pred double")
+    assert [tuple(r) for r in folds.report_table(none).collect()] == [("MEAN", None, None)]
